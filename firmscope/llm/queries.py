@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import mixing, packing, sharding, tokens
+from .common import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,8 +20,31 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_blocks(blocks)
 
 
+def op2_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near-equal bytes (and tokens and rows); equal texts share a shard."""
+    measured = sharding.measure(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+    rows = sharding.assign_shards(stage(measured, "shard-measures"))
+    return rows.select(
+        "doc_id", F.col("shard_size").alias("size"), F.col("shard_text_crc32").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("shard_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_best_fit_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids in sequences of at most 2048."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a schedule that holds each source to the square root of its size."""
+    rows = mixing.mix_sources(_table(spark, sf_dir, "documents", "doc_id", "source"))
+    return rows.select("doc_id", "source", F.round("mix_weight", 6).alias("weight"), F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_place").alias("place"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_vector_shards": op2_vector_shards,
+    "op8_best_fit_packs": op8_best_fit_packs,
+    "op10_pfair_mix": op10_pfair_mix,
 }
 ORACLE: dict[str, str] = {}
 

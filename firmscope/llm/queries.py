@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, tokens
+from . import licenses, mixing, packing, quality, sharding, tokens
 from .common import stage
 
 
@@ -29,6 +29,11 @@ def op2_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that all documents name, by ordered signature rules."""
+    return licenses.license_report(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of all documents and the verdict of the base rule and the MCD rule."""
     return quality.quality_report(_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
@@ -48,6 +53,7 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_vector_shards": op2_vector_shards,
+    "op3_license_rules": op3_license_rules,
     "op4_robust_quality": op4_robust_quality,
     "op8_best_fit_packs": op8_best_fit_packs,
     "op10_pfair_mix": op10_pfair_mix,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, sharding, tokens
+from . import langid, licenses, mixing, packing, quality, sharding, tokens
 from .common import stage
 
 
@@ -44,6 +44,11 @@ def op8_best_fit_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, by words and n-grams learned from three folds of four."""
+    return langid.language_report(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in a schedule that holds each source to the square root of its size."""
     rows = mixing.mix_sources(_table(spark, sf_dir, "documents", "doc_id", "source"))
@@ -56,6 +61,7 @@ QUERIES = {
     "op3_license_rules": op3_license_rules,
     "op4_robust_quality": op4_robust_quality,
     "op8_best_fit_packs": op8_best_fit_packs,
+    "op9_word_backoff_language": op9_word_backoff_language,
     "op10_pfair_mix": op10_pfair_mix,
 }
 ORACLE: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, packing, quality, sharding, tokens
+from . import langid, licenses, mixing, neardup, packing, quality, sharding, tokens
 from .common import stage
 
 
@@ -39,6 +39,11 @@ def op4_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
+def op7_bayes_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents at 85 of 100."""
+    return neardup.linked_groups(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_best_fit_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids in sequences of at most 2048."""
     return packing.pack_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op2_vector_shards": op2_vector_shards,
     "op3_license_rules": op3_license_rules,
     "op4_robust_quality": op4_robust_quality,
+    "op7_bayes_near_duplicates": op7_bayes_near_duplicates,
     "op8_best_fit_packs": op8_best_fit_packs,
     "op9_word_backoff_language": op9_word_backoff_language,
     "op10_pfair_mix": op10_pfair_mix,

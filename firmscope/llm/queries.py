@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, neardup, packing, quality, sharding, tokens
+from . import avi, langid, licenses, mixing, neardup, packing, quality, sharding, tokens, warczip
 from .common import stage
 
 
@@ -39,6 +39,17 @@ def op4_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
+def op5_avi_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as motion-JPEG movies and read back."""
+    return avi.movie_digests(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op6_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records in ZIP packages, read back by ranges."""
+    packages = warczip.write_packages(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warczip.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_bayes_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at 85 of 100."""
     return neardup.linked_groups(_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -65,6 +76,8 @@ QUERIES = {
     "op2_vector_shards": op2_vector_shards,
     "op3_license_rules": op3_license_rules,
     "op4_robust_quality": op4_robust_quality,
+    "op5_avi_shots": op5_avi_shots,
+    "op6_zip_warc": op6_zip_warc,
     "op7_bayes_near_duplicates": op7_bayes_near_duplicates,
     "op8_best_fit_packs": op8_best_fit_packs,
     "op9_word_backoff_language": op9_word_backoff_language,

@@ -346,11 +346,11 @@ def store_bytes(payloads: list[bytes]) -> list[bytes]:
     """Each payload (a multiple of 64 bytes) as a movie; all are packed in one go."""
     rows = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, WIDE)
     segments, out, at = encode_rows(rows), [], 0
-    grey = encode_rows(np.full((1, WIDE), 128, np.uint8))[0]
     for p in payloads:
         own = segments[at : at + len(p) // WIDE]
         at += len(own)
-        own = own + [grey] * (-len(own) % HIGH)
+        while len(own) % HIGH:  # the last frame is filled up from the frame before it, so the fill makes no cut
+            own.append(own[-HIGH] if len(own) > HIGH else own[-1])
         out.append(write_avi([encode_frame(own[i : i + HIGH]) for i in range(0, len(own), HIGH)], len(p), WIDE * 8, HIGH * 8))
     return out
 

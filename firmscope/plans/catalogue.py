@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import ranking
+from . import names, ranking
 
 
-MODULES = [ranking]
+MODULES = [ranking, names]
 
 
 def queries() -> dict:

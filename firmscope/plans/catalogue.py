@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import names, ranking
+from . import market, names, payloads, ranking
 
 
-MODULES = [ranking, names]
+MODULES = [ranking, names, market, payloads]
 
 
 def queries() -> dict:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from ..streaming import market_stream
 from . import market, names, payloads, ranking
 
 
-MODULES = [ranking, names, market, payloads]
+MODULES = [ranking, names, market, payloads, market_stream]
 
 
 def queries() -> dict:

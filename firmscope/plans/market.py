@@ -16,7 +16,10 @@ from ..sources.records import RECORD, first_wins, union_all
 from .names import COMPANY, DOMAIN, TOKENS, _sql_text, sql_decoded, sql_list, sql_words
 
 RUN_DAY = "2024-01-20"
-_day = F.lit(RUN_DAY).cast("date")
+
+def _day():
+    return F.lit(RUN_DAY).cast("date")
+
 
 
 # ---------------------------------------------------------------- signals over events
@@ -32,7 +35,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signals(spark, sf_dir, policy: A.Policy) -> DataFrame:
-    rows = _evidence(spark, sf_dir).select("user_id", F.posexplode(A.signals_for(policy, _day, F.col("evidence"))).alias("pos", "s"))
+    rows = _evidence(spark, sf_dir).select("user_id", F.posexplode(A.signals_for(policy, _day(), F.col("evidence"))).alias("pos", "s"))
     return rows.select("user_id", F.col("pos").cast("long").alias("pos"), "s.kind", "s.detail")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rank_in_group, stage, tokenizer_path
+from .common import column, rank_in_group, stage, tokenizer_path
 from .tokens import Encoder, in_portions
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
@@ -114,7 +114,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int, id_
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    wanted = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    wanted = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     return wanted.mapInArrow(encode, PIECES)
 
 

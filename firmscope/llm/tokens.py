@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, tokenizer_path
+from .common import column, stage, tokenizer_path
 
 # ---------------------------------------------------------------- encoding
 
@@ -235,7 +235,7 @@ def write_token_blocks(docs: DataFrame, vocabulary: str, keeps_space: bool, end_
     is never split: a longer one has a block to itself). Null text: empty, its only id is
     `end_id`. Null ids come first. Repeated ids: each row is a document.
     """
-    wanted = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    wanted = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     dealt = wanted.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     dealt = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, langid, licenses, mixing, neardup, packing, quality, sharding, tokens, warczip
+from . import avi, langid, licenses, mixing, neardup, oracles, packing, quality, sharding, tokens, warczip
 from .common import stage
 
 
@@ -83,12 +83,10 @@ QUERIES = {
     "op9_word_backoff_language": op9_word_backoff_language,
     "op10_pfair_mix": op10_pfair_mix,
 }
-ORACLE: dict[str, str] = {}
-
 
 def queries() -> dict:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return dict(oracles.ORACLE)

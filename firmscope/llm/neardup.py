@@ -2,20 +2,19 @@
 
 Documents are sets of distinct runs of five words. Texts with the same words in the same
 order are one representative from the start, so thousands of copies cost one. Representatives
-that agree in a band of their signature are candidates. A candidate pair is compared one batch
-of signature places at a time and given up as soon as the posterior probability that its
-similarity reaches the threshold falls below the chosen miss probability; survivors are
-confirmed on their full sets.
-
-Only the groups are asked for, so not every pair of a bucket is: first each member meets
-three of its bucket's members (the first, the last, one drawn by hash), and the links found
-join documents into groups. Then only members of different groups that still share a bucket
-are compared, block against block inside tasks that emit survivors alone. Every pair that
-shares a band is so either compared or already in one group: no link is lost by a cap.
+that agree in a band of their signature are candidates, and candidates that hang together
+make a family. Families are compared block against block inside tasks: a pair that shares a
+band is compared one batch of signature places at a time, and given up as soon as the
+posterior probability that its similarity reaches the threshold falls below the chosen miss
+probability. Survivors are confirmed on their full sets, likeliest first; a pair that links
+found in the same task already connect needs no more work, so a family of thousands of near
+copies yields a spanning set of links and not every pair. No link between unconnected
+documents is left out by a cap: sets too long to travel are confirmed on the texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -28,9 +27,11 @@ from pyspark.sql import functions as F
 from .common import column, stage
 
 SPAN = 5
-BANDS, ROWS = 25, 5
+BANDS, ROWS = 45, 7
 PLACES = BANDS * ROWS
-BATCH = 25
+BATCH = 45
+#: Sets up to this size travel whole with their document.
+WHOLE = 4096
 THRESHOLD = (85, 100)
 MISS = 1e-7
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -71,6 +72,10 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def _words_hash(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def _some_shingles(words: list[bytes]) -> np.ndarray:
     joined = np.frombuffer(b" ".join(words) + b" ", np.uint8)
     up, down = _powers(len(joined) + 1)
@@ -143,15 +148,13 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, words_hash (of all words in order; null without words), signature."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
             sizes, keys, signs = [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text or "")
                 hashes = shingles(words)
                 sizes.append(len(hashes))
-                keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+                keys.append(_words_hash(words) if words else None)
                 signs.append(signature(hashes).tobytes() if words else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "words_hash", "signature"])
 
@@ -160,7 +163,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, signature) to one row a band: bucket, band, doc_id."""
+    """(doc_id, signature) to one row a band: bucket, doc_id."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -170,19 +173,7 @@ def _banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(ROWS):
             bucket = _mixed(bucket ^ signs[:, :, k])
         ids = batch.column(0).to_numpy()
-        bands = np.tile(np.arange(BANDS, dtype=np.int32), n)
-        yield _batch({"bucket": (bucket.view(np.int64).ravel(), pa.int64()), "band": (bands, pa.int32()), "doc_id": (np.repeat(ids, BANDS), pa.int64())})
-
-
-def _pair_survivors(threshold: float, miss: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n:
-                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(n, PLACES) for c in (2, 3))
-                yield batch.take(pa.array(survivors(left, right, threshold, miss))).select([0, 1])
-
-    return run
+        yield _batch({"bucket": (bucket.view(np.int64).ravel(), pa.int64()), "doc_id": (np.repeat(ids, BANDS), pa.int64())})
 
 
 def _confirm(percent: tuple[int, int]):
@@ -208,20 +199,14 @@ def _confirm(percent: tuple[int, int]):
     return run
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: tuple[int, int], miss: float, checked: bool = False) -> DataFrame:
-    """Of candidate pairs (a < b) the links. Signatures first, then the texts of survivors only; both staged."""
-    signs = reps.select("doc_id", "signature")
-    if not checked:
-        left = signs.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"))
-        right = signs.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-        pairs = stage(both.mapInArrow(_pair_survivors(percent[0] / percent[1], miss), "a long, b long"), "survivors")
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: tuple[int, int]) -> DataFrame:
+    """Of pairs (a < b) the links, on the texts."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     some = stage(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
     left = some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return stage(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
+    return both.mapInArrow(_confirm(percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -246,58 +231,77 @@ def components(links: DataFrame) -> DataFrame:
 BLOCK = 256
 
 
-def _cross_blocks(threshold: float, miss: float):
-    """Two blocks of a bucket (arrays of id, group, signature) to the surviving pairs of different groups.
-
-    A pair that shares an earlier band is left to that band, so no pair comes twice.
-    """
+def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, words_hash, family, part, signature, text) to members with their set, if it is short enough."""
+    for batch in batches:
+        keep, sets = [], []
+        for key, text in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            words = words_of(text or "")
+            keep.append(bool(words) and _words_hash(words) == key)  # rows that repeat a doc_id with other words aren't meant
+            hashes = shingles(words) if keep[-1] else ()
+            sets.append(hashes.tobytes() if 0 < len(hashes) <= WHOLE else b"")
+        rows = pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(0), batch.column(4), pa.array(sets, pa.binary())], names=["family", "part", "doc_id", "signature", "hashes"])
+        yield rows.filter(pa.array(keep, pa.bool_()))
+
+
+def _compare_blocks(percent: tuple[int, int], miss: float):
+    """Two blocks of a family (arrays of doc_id, signature, hashes) to links (sure) and pairs to confirm on their texts."""
+    num, den = percent
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                band, same = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                ids, groups, signs = [], [], []
-                for c in (2, 3):
+                same = batch.column(0)[k].as_py()
+                ids, signs, sets = [], [], []
+                for c in (1, 2):
                     members = batch.column(c)[k].values
-                    ids.append(members.field("doc_id").to_numpy())
-                    groups.append(members.field("group").to_numpy())
+                    ids.append(members.field("doc_id").to_pylist())
                     signs.append(np.frombuffer(b"".join(members.field("signature").to_pylist()), "<u4").reshape(-1, PLACES))
-                i, j = np.nonzero(groups[0][:, None] != groups[1][None, :])
-                if same:
-                    i, j = i[keep := ids[0][i] < ids[1][j]], j[keep]
-                for at in range(0, len(i), 1 << 14):
-                    x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-                    s = survivors(signs[0][x], signs[1][y], threshold, miss)
-                    shared = (signs[0][x[s]] == signs[1][y[s]]).reshape(-1, BANDS, ROWS).all(axis=2)
-                    s = s[shared.argmax(axis=1) == band] if len(s) else s
-                    if len(s):
-                        a, b = ids[0][x[s]], ids[1][y[s]]
-                        yield _batch({"a": (np.minimum(a, b), pa.int64()), "b": (np.maximum(a, b), pa.int64())})
+                    sets.append([np.frombuffer(h, np.uint64) for h in members.field("hashes").to_pylist()])
+                root: dict[int, int] = {}
+
+                def top(x: int, root=root) -> int:
+                    while (up := root.get(x, x)) != x:
+                        root[x] = x = root.get(up, up)
+                    return x
+
+                found: list[tuple[int, int, bool]] = []
+                for x, y in _likely(signs, same, num / den, miss):
+                    a, b, p, q = ids[0][x], ids[1][y], sets[0][x], sets[1][y]
+                    if a == b or top(a) == top(b):
+                        continue
+                    if not (len(p) and len(q)):
+                        found.append((min(a, b), max(a, b), False))
+                        continue
+                    if den * min(len(p), len(q)) < num * max(len(p), len(q)):
+                        continue
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if den * both >= num * (len(p) + len(q) - both):
+                        root[top(a)] = top(b)
+                        found.append((min(a, b), max(a, b), True))
+                if found:
+                    yield _batch({"a": ([f[0] for f in found], pa.int64()), "b": ([f[1] for f in found], pa.int64()), "sure": ([f[2] for f in found], pa.bool_())})
 
     return run
 
 
-def _rest(member: DataFrame, reps: DataFrame, percent: tuple[int, int], miss: float) -> DataFrame:
-    """Surviving pairs of members (bucket, band, doc_id, group) whose bucket holds several groups.
-
-    Large groups of a bucket are cut into blocks of their own and small ones pooled, by counts and
-    hashes alone; two blocks of one and the same group are never brought together.
-    """
-    sizes = member.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"))
-    of_bucket = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum(F.when(F.col("n") < BLOCK // 4, F.col("n")).otherwise(0)).alias("small")).filter("groups > 1")
-    rows = member.join(sizes, ["bucket", "group"]).join(of_bucket, "bucket")
-    large = F.col("n") >= BLOCK // 4
-    own = F.when(large, F.col("group"))
-    part = F.when(large, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("group"), F.ceil(F.col("small") / BLOCK)))
-    rows = rows.select("bucket", "band", "doc_id", "group", own.alias("own"), part.alias("part"))
-    rows = rows.join(reps, "doc_id")
-    blocks = rows.groupBy("bucket", "own", "part").agg(F.min("band").alias("band"), F.collect_list(F.struct("doc_id", "group", "signature")).alias("members"))
-    blocks = stage(blocks, "blocks")
-    key = F.struct(F.col("own"), F.col("part"))
-    one, two = blocks.select("bucket", "band", "own", key.alias("k1"), F.col("members").alias("m1")), blocks.select("bucket", F.col("own").alias("own2"), key.alias("k2"), F.col("members").alias("m2"))
-    pairs = one.join(two, "bucket").filter("k1 <= k2 and (own is null or own2 is null or own <> own2)")
-    pairs = pairs.select("band", F.expr("k1 = k2").alias("same"), "m1", "m2")
-    return pairs.mapInArrow(_cross_blocks(percent[0] / percent[1], miss), "a long, b long")
+def _likely(signs: list[np.ndarray], same: bool, threshold: float, miss: float) -> list[tuple[int, int]]:
+    """Places of the pairs that share a band and outlive the sequential comparison, likeliest first."""
+    n, m = len(signs[0]), len(signs[1])
+    kept, count = [], []
+    step = max(1, (1 << 14) // max(1, m))
+    for at in range(0, n, step):
+        i, j = np.divmod(np.arange(min(step, n - at) * m), m)
+        i = i + at
+        if same:
+            i, j = i[later := i < j], j[later]
+        s = survivors(signs[0][i], signs[1][j], threshold, miss)
+        equal = signs[0][i[s]] == signs[1][j[s]]
+        banded = equal.reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1)
+        kept.append(np.stack([i[s][banded], j[s][banded]], axis=1))
+        count.append(equal[banded].sum(axis=1))
+    order = np.argsort(-np.concatenate(count), kind="stable")
+    return [(int(x), int(y)) for x, y in np.concatenate(kept)[order]]
 
 
 def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: tuple[int, int] = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -316,20 +320,21 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = owners.select(F.col("rep").alias("doc_id"), "signature")
     texts = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
 
-    banded = stage(reps.mapInArrow(_banded, "bucket long, band int, doc_id long"), "bands")
-    ends = banded.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("drawn"))
-    shared = stage(banded.join(ends.filter("first <> last"), "bucket"), "buckets")
-    met = F.array_distinct(F.array("first", "last", "drawn"))
-    pairs = shared.select("doc_id", met.alias("met")).distinct().select("doc_id", F.explode("met").alias("other")).filter("doc_id <> other")
-    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-    links = confirmed(pairs, reps, texts, percent, miss)
+    banded = stage(reps.mapInArrow(_banded, "bucket long, doc_id long"), "bands")
+    ends = banded.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("bucket", "first")
+    met = banded.join(ends, "bucket").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+    family = components(met).withColumnRenamed("group", "family")
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    placed = family.join(sizes, "family").select("doc_id", "family", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("part"))
+    placed = placed.join(owners.select(F.col("rep").alias("doc_id"), "words_hash", "signature"), "doc_id")
+    rows = texts.join(placed, "doc_id").select("doc_id", "words_hash", "family", "part", "signature", "text")
+    rows = rows.mapInArrow(_members, "family long, part int, doc_id long, signature binary, hashes binary").dropDuplicates(["doc_id", "signature"])
+    blocks = stage(rows.groupBy("family", "part").agg(F.collect_list(F.struct("doc_id", "signature", "hashes")).alias("members")), "blocks")
+    one, two = blocks.select("family", F.col("part").alias("p1"), F.col("members").alias("m1")), blocks.select("family", F.col("part").alias("p2"), F.col("members").alias("m2"))
+    pairs = one.join(two, "family").filter("p1 <= p2").select(F.expr("p1 = p2").alias("same"), "m1", "m2")
+    found = stage(pairs.mapInArrow(_compare_blocks(percent, miss), "a long, b long, sure boolean"), "survivors")
+    links = found.filter("sure").select("a", "b").union(confirmed(found.filter("not sure").select("a", "b").distinct(), texts, percent))
     groups = components(links)
-
-    member = shared.select("bucket", "band", "doc_id").join(groups, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
-    more = stage(_rest(stage(member, "members"), reps, percent, miss), "survivors")
-    if not more.isEmpty():
-        links = links.union(confirmed(more, reps, texts, percent, miss, checked=True))
-        groups = components(links)
     rows = described.select("doc_id", "n_shingles", "words_hash").join(owners.select("words_hash", "rep"), "words_hash", "left")
     out = rows.join(groups.select(F.col("doc_id").alias("rep"), "group"), "rep", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "rep", "doc_id"))
@@ -342,9 +347,10 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id are kept.
     """
     gone = linked_groups(docs).filter("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    named, null = kept.filter("doc_id is not null"), kept.filter("doc_id is null")
-    again = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    once = named.join(again, "doc_id", "left_anti")
-    repeated = named.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(null).select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_anti")
+    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))

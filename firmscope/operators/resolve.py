@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import web as W
+from ..sources.records import SITE
 from .staging import staged
 
 
@@ -91,7 +92,7 @@ def accounts(records: DataFrame) -> DataFrame:
     record had them. The site is the first with text, else the last.
     """
     has = {c.lower() for c in records.columns}
-    r = records if "site" in has else records.withColumn("site", F.lit(None).cast("struct<url:string,text:string>"))
+    r = records if "site" in has else records.withColumn("site", F.lit(None).cast(SITE))
     members = r.join(groups(records), "record_id")
     order = Window.partitionBy("group_id").orderBy(F.col("website").isNull(), "record_id")
     members = members.withColumn("ord", F.row_number().over(order))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import web as W
+from ..functions.region import Region
 from ..operators import accounts as A
 from ..operators import buyers as B
 from ..operators import resolve, verdicts
@@ -220,6 +221,16 @@ def er_accounts(spark, sf_dir):
     return a.select("account_id", "domain", "name", "website", "phone", "employees", F.array_join("sources", ",").alias("sources"), F.array_join("categories", ",").alias("categories"), F.size("record_ids").alias("n"), F.col("address.city").alias("city"))
 
 
+PAGES_POLICY = A.Policy(region=Region(site_terms=["Page 1", "Page 3"]), region_strict=True, include_any=["page [0-9]+", r"\bk1\b", "net"], exclude_any=["page 11"], exclude_domains=["https://www.spam-farm.example.org/"], require_website=True, prefer_small=True)
+
+
+def account_filters(spark, sf_dir):
+    """Pages resolved to accounts, then every filter, the verdict of the knock-outs, score and rank in one plan."""
+    rows = _page_records(spark, sf_dir).withColumn("site", F.lit(None).cast("struct<url:string,title:string,description:string,text:string,error:string,tech:array<string>,client_rendered:boolean>"))
+    a = A.ranked(A.evaluated(resolve.accounts(rows), PAGES_POLICY, _day()))
+    return a.select("account_id", "region_status", F.array_join("keyword_hits", ",").alias("hits"), "size_band", "filters.relevant", "filters.no_exclude_terms", "filters.not_excluded", "passed", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def site_budget(spark, sf_dir):
     """Pages of the first twenty domains, in page order."""
     pages = table(spark, sf_dir, "pages").select("page_id", W.domain_of("url").alias("domain"))
@@ -387,7 +398,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         signals_recent, signals_funded, first_events, last_events, filters_struct, knockouts, ranked_accounts, judge_queue, judge_batches, verdict_kept, verdict_rejected,
-        judge_stats, deliver_topn, deliver_map, funnel, export_accounts, index_rows, excluded, seen_recent, er_edges, er_groups, er_accounts, site_budget, site_read,
+        judge_stats, deliver_topn, deliver_map, funnel, export_accounts, index_rows, excluded, seen_recent, er_edges, er_groups, er_accounts, account_filters, site_budget, site_read,
         enrich_counters, website_lookup, vendor_match, vendor_filter, award_dedup, top_buyers, other_vendors, by_company, listed_purchases, coverage_rollup, search_queries,
         source_union, tags_union, date_windows, latest_filing, largest_awards, account_view, early_prune, risks_coerced, conversation_postings,
     )
@@ -473,6 +484,14 @@ ORACLE = {
     "conversation_postings": """WITH c AS (SELECT conv_id % 40 AS k, conv_id * 1000 + turn AS pos, turn, role FROM conversations) SELECT 'postings:acme-' || k || '-llc' AS record_id, 'Acme ' || k || ' LLC' AS name, CASE WHEN first(turn ORDER BY pos) % 2 = 0 THEN 'Dayton' ELSE 'Salem' END AS city,
         CASE WHEN first(turn ORDER BY pos) % 2 = 0 THEN 'OH' ELSE 'OR' END AS state, count(*) AS n, 'Hiring: ' || first(role || ' ' || turn ORDER BY pos) AS first FROM c GROUP BY k""",
 }
+ORACLE["account_filters"] = f"""WITH {_REC}, o AS (SELECT d, k, min(page_id) AS f FROM (SELECT d, page_id, 'k' || (page_id % 3) AS k FROM rec) GROUP BY d, k),
+  a AS (SELECT d, 'Page ' || min(page_id) AS name, 'Page ' || min(page_id) || chr(10) || split_part(d, '.', -1) || ' ' || (SELECT string_agg(k, ' ' ORDER BY f) FROM o WHERE o.d = r.d) AS t, max(page_id) FILTER (page_id % 7 = 0) AS n, count(DISTINCT page_id % 2) AS s FROM rec r GROUP BY d),
+  b AS (SELECT *, trim(regexp_replace(d, '[^a-z0-9]+', '-', 'g'), '-') AS account_id, CASE WHEN regexp_matches(t, '(^|[^A-Za-z])Page [13]([^A-Za-z]|$)') THEN 'in' ELSE 'unknown' END AS region_status,
+    list_filter([CASE WHEN regexp_matches(t, '(?i)page [0-9]+') THEN 'page [0-9]+' END, CASE WHEN regexp_matches(t, '(?i)\\bk1\\b') THEN '\\bk1\\b' END, CASE WHEN regexp_matches(t, '(?i)net') THEN 'net' END], lambda x: x IS NOT NULL) AS h,
+    CASE WHEN n IS NULL THEN 'unknown' WHEN n < 20 THEN 'under 20' WHEN n < 100 THEN '20-99' WHEN n < 250 THEN '100-249' ELSE '250+' END AS size_band, NOT regexp_matches(t, '(?i)page 11') AS no_exclude_terms, d <> 'spam-farm.example.org' AS not_excluded FROM a),
+  c AS (SELECT *, len(h) > 0 AS relevant, region_status = 'in' AND relevant AND no_exclude_terms AND not_excluded AS passed,
+    least(len(h), 5) + (s > 1)::INT + (region_status = 'in')::INT + CASE size_band WHEN 'under 20' THEN 4 WHEN '20-99' THEN 3 WHEN '100-249' THEN 1 ELSE 0 END AS score FROM b)
+  SELECT account_id, region_status, array_to_string(h, ',') AS hits, size_band, relevant, no_exclude_terms, not_excluded, passed, score, row_number() OVER (ORDER BY passed DESC, score DESC, lower(name), account_id) AS rank FROM c"""
 _title = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
 ORACLE["website_lookup"] = ORACLE["website_lookup"].replace("{title}", f"trim({sql_decoded(_title)})").replace("{common}", sql_list(T.COMMON_NAME_WORDS))
 ORACLE["vendor_match"] = ORACLE["vendor_match"].replace("{generic}", sql_list(T.GENERIC_WORDS))

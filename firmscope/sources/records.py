@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 EVIDENCE = "array<struct<kind:string,detail:string,url:string,date:string,snippet:string>>"
+#: Null: never read; error set: tried and failed; tech null: read without looking for tools.
+SITE = "struct<url:string,title:string,description:string,text:string,error:string,pages:array<string>,tech:array<string>,scripts_scanned:int,client_rendered:boolean>"
 RECORD = f"""record_id string, source string, name string, legal_name string, website string,
   address struct<street:string,city:string,region:string,postal_code:string,country:string>, phone string,
   categories array<string>, evidence {EVIDENCE}, coords struct<lat:double,lon:double>, employees int"""

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Texts that stand in results where a decision lacks them.
 NO_DECISION = "No decision returned by the judge; review by hand."
 NO_REASON = "Rejected without a stated reason."
+NO_DESCRIPTION = "Unverified: no description returned."
+NO_RISKS = "The judge stated no risks; review before any outreach."
+BELOW = "Qualified, but ranked below the top {}."
+
 DECISION = """account_id string, decision string, reject_reason string, fit string, fit_score int, what_they_do string,
   why_fit array<struct<text:string,context_id:string>>, signals array<struct<detail:string,url:string>>, risks array<string>, contact_role string,
   draft struct<channel:string,subject:string,body:string>"""
@@ -36,9 +41,9 @@ def enforced(queue: DataFrame, decisions: DataFrame, headings: list[str], drafts
     score = F.least(F.lit(5), F.greatest(F.lit(1), F.coalesce(F.nullif("d.fit_score", F.lit(0)), F.lit(1))))
     can = F.lit(drafts) & (F.col("d.fit") == "strong") & F.coalesce(F.col("d.draft.channel") != "none", F.lit(False)) & (F.coalesce("d.draft.body", F.lit("")) != "")
     kept = q.filter(~no).select(
-        "account_id", "name", "rank", F.col("d.fit").alias("fit"), score.alias("fit_score"), F.coalesce(F.nullif("d.what_they_do", F.lit("")), F.lit("Unverified: no description returned.")).alias("what_they_do"),
+        "account_id", "name", "rank", F.col("d.fit").alias("fit"), score.alias("fit_score"), F.coalesce(F.nullif("d.what_they_do", F.lit("")), F.lit(NO_DESCRIPTION)).alias("what_they_do"),
         why.alias("why_fit"), F.filter("d.signals", lambda s: F.coalesce(s["detail"], F.lit("")) != "").alias("signals"),
-        F.when(F.size(risks) > 0, risks).otherwise(F.array(F.lit("The judge stated no risks; review before any outreach."))).alias("risks"),
+        F.when(F.size(risks) > 0, risks).otherwise(F.array(F.lit(NO_RISKS))).alias("risks"),
         F.nullif(F.trim("d.contact_role"), F.lit("")).alias("contact_role"), F.when(can, F.col("d.draft").withField("body", F.left("d.draft.body", F.lit(1200)))).alias("draft"),
         (F.size(F.coalesce("d.why_fit", F.array().cast("array<struct<text:string,context_id:string>>"))) - F.size(why)).alias("uncited"),
     )
@@ -47,7 +52,7 @@ def enforced(queue: DataFrame, decisions: DataFrame, headings: list[str], drafts
         decisions.join(queue, "account_id", "left_anti").agg(F.count(F.lit(1)).alias("unknown_ids_ignored"))
     )
     if target:
-        below = kept.filter(F.col("place") > target).select("account_id", "name", "rank", F.lit(f"Qualified, but ranked below the top {target}.").alias("reason"))
+        below = kept.filter(F.col("place") > target).select("account_id", "name", "rank", F.lit(BELOW.format(target)).alias("reason"))
         kept, rejected = kept.filter(F.col("place") <= target), rejected.unionByName(below)
     return kept.drop("uncited"), rejected, stats
 

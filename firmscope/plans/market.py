@@ -436,10 +436,10 @@ ORACLE = {
     "ranked_accounts": f"WITH {_ACC}, {_RANKED} SELECT doc_id, source, rank FROM ranked",
     "judge_queue": f"WITH {_ACC}, {_QUEUE} SELECT source, account_id, qrank AS rank FROM queue",
     "judge_batches": f"WITH {_ACC}, {_QUEUE}, r AS (SELECT doc_id, row_number() OVER (ORDER BY source, qrank) AS rank, count(*) OVER () AS n FROM queue) SELECT (rank - 1) // 20 + 1 AS part, CAST(ceil(n / 20.0) AS INT) AS parts, count(*) AS n, min(doc_id) AS lo FROM r GROUP BY r.n, part",
-    "verdict_kept": f"""{_all} SELECT account_id, fit, fit_score, CASE WHEN doc_id % 2 = 0 THEN 'makes things' ELSE 'Unverified: no description returned.' END AS what_they_do, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS cited,
-        CASE WHEN doc_id % 5 = 0 THEN 'The judge stated no risks; review before any outreach.' ELSE 'small' END AS risks, 'buyer' AS contact_role, CASE WHEN fit = 'strong' THEN 'hello' END AS draft FROM kept""",
+    "verdict_kept": f"""{_all} SELECT account_id, fit, fit_score, CASE WHEN doc_id % 2 = 0 THEN 'makes things' ELSE '{verdicts.NO_DESCRIPTION}' END AS what_they_do, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS cited,
+        CASE WHEN doc_id % 5 = 0 THEN '{verdicts.NO_RISKS}' ELSE 'small' END AS risks, 'buyer' AS contact_role, CASE WHEN fit = 'strong' THEN 'hello' END AS draft FROM kept""",
     "verdict_rejected": f"""{_all} SELECT account_id, CASE WHEN decision IS NULL THEN '{verdicts.NO_DECISION}' WHEN doc_id % 3 = 0 THEN 'weak fit' ELSE '{verdicts.NO_REASON}' END AS reason FROM j WHERE account_id NOT IN (SELECT account_id FROM kept)
-        UNION ALL SELECT account_id, 'Qualified, but ranked below the top 10.' FROM kept WHERE place > 10""",
+        UNION ALL SELECT account_id, '{verdicts.BELOW.format(10)}' FROM kept WHERE place > 10""",
     "judge_stats": f"""{_all} SELECT (SELECT coalesce(sum(CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END), 0) FROM kept) AS uncited_points_removed, (SELECT count(*) FROM j WHERE decision IS NULL) AS missing_decisions,
         (SELECT count(*) FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE (doc_id * 2 + 1) % 3 = 0) WHERE 'doc-' || doc_id NOT IN (SELECT account_id FROM queue)) AS unknown_ids_ignored""",
     "deliver_topn": f"{_all} SELECT account_id, place, fit_score FROM kept WHERE place <= 25",

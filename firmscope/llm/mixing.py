@@ -71,8 +71,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_rows: i
     runs out holds each source to its weight with less than one block's deviation. A source
     that has run out leaves its slots empty and the others keep their order; no row is
     dropped or repeated. A null source is a source. Sources without a weight get the
-    smallest given. An empty table gives no rows.
+    smallest given. Columns of the added names are replaced. An empty table gives no rows.
     """
+    docs = docs.drop("mix_weight", "mix_block", "mix_slot", "mix_place")
     source, doc = fresh(docs, "mix_source"), fresh(docs, "mix_id")
     rank = fresh(docs, "mix_rank")
     rows = docs.withColumns({source: column(docs, source_col).cast("string"), doc: column(docs, id_col).cast("long")})
@@ -91,9 +92,10 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_rows: i
     numbered = rank_in_group(rows, [source], doc, ties, rank)
     block = F.floor(F.col(rank) / block_rows).cast("long")
     # the plan has `period` rows: a fixed size, and the one thing sent to every task
-    per_source = F.broadcast(plan.groupBy("p_source").agg(F.first("weight").alias("p_weight"), F.first("units").alias("p_units"), F.sort_array(F.collect_list("slot")).alias("p_slots")))
-    joined = numbered.join(per_source, F.col(source).eqNullSafe(F.col("p_source")))
-    slot = F.floor(block / F.col("p_units")).cast("long") * period + F.element_at("p_slots", (block % F.col("p_units") + 1).cast("int"))
+    p_source, p_weight, p_units, p_slots = (fresh(numbered, f"mix_p_{n}") for n in ("source", "weight", "units", "slots"))
+    per_source = plan.groupBy("p_source").agg(F.first("weight"), F.first("units"), F.sort_array(F.collect_list("slot"))).toDF(p_source, p_weight, p_units, p_slots)
+    joined = numbered.join(F.broadcast(per_source), F.col(source).eqNullSafe(F.col(p_source)))
+    slot = F.floor(block / F.col(p_units)).cast("long") * period + F.element_at(p_slots, (block % F.col(p_units) + 1).cast("int"))
     return joined.select(
-        *[column(joined, c) for c in others], F.col("p_weight").alias("mix_weight"), block.alias("mix_block"), slot.alias("mix_slot"), (F.col(rank) % block_rows).alias("mix_place")
+        *[column(joined, c) for c in others], F.col(p_weight).alias("mix_weight"), block.alias("mix_block"), slot.alias("mix_slot"), (F.col(rank) % block_rows).alias("mix_place")
     )

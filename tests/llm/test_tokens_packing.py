@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from firmscope.llm import mixing, packing, sharding, tokens
@@ -120,9 +121,9 @@ def test_schedule_is_edf_and_fair(spark):
 
 def test_mix_keeps_every_row(spark):
     rows = [(i, f"s{i % 3}" if i % 7 else None, "x") for i in range(200)] + [(5, "s1", "again"), (None, "s1", "y")]
-    df = spark.createDataFrame(rows, "doc_id long, source string, mix_slot string").withColumnRenamed("mix_slot", "rank")
+    df = spark.createDataFrame(rows, "doc_id long, source string, x string").withColumnRenamed("x", "mix.p_units")
     got = mixing.mix_sources(df, block_rows=4, period=64).collect()
-    assert len(got) == len(rows) and {(r.doc_id, r.source, r["rank"]) for r in got} == set(rows)
+    assert len(got) == len(rows) and {(r.doc_id, r.source, r["mix.p_units"]) for r in got} == set(rows)
     slots = collections.defaultdict(set)
     for r in got:
         slots[r.mix_slot].add(r.source)
@@ -132,7 +133,7 @@ def test_mix_keeps_every_row(spark):
 
 def test_shards(spark):
     rows = [(i, "same text here" if i % 3 == 0 else f"text {i} " * (1 + i % 9), "x") for i in range(600)] + [(None, None, "x"), (7, "", "x"), (7, "", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string").withColumn("l_key", F.lit(1))
     got = sharding.assign_shards(stage(sharding.measure(df), "m"), shards=4).collect()
     assert len(got) == len(rows)
     size, slot, of = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,10 +39,34 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _noted is not None:
+        _noted.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_noted: list[str] | None = None
+
+
+@contextmanager
+def noting() -> Iterator[list[str]]:
+    """Collects the paths that `stage` writes meanwhile, for whoever knows when they aren't needed any more."""
+    global _noted
+    outer, _noted = _noted, []
+    try:
+        yield _noted
+    finally:
+        _noted = outer
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that the frame doesn't have (names are compared without case)."""
     have = {c.lower() for c in df.columns}
@@ -55,18 +81,20 @@ def column(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"]
 
 
-def rank_in_group(df: DataFrame, group: list[str], order: str, ties: list[str], out: str, cells: int = 512) -> DataFrame:
+def rank_in_group(df: DataFrame, group: list[str], order: str, ties: list[str], out: str, cell_rows: int = 500_000) -> DataFrame:
     """Number the rows of each group from 0 in the order of `order` (a long), then `ties`.
 
     A group can hold most of the rows, so no task sorts a whole group: the order
-    column's range is cut into `cells` equal stretches, each (group, stretch) is
-    numbered by itself, and counts of the stretches before it are added. Stretches
-    keep the order, so the numbers don't depend on how many there are. Null orders
-    come first. Rows equal in order and ties are numbered among each other freely.
+    column's range is cut into equal stretches of about `cell_rows` rows (32 to 4096
+    of them), each (group, stretch) is numbered by itself, and counts of the stretches
+    before it are added: a table of stretches times groups, small enough to spare the
+    rows a second shuffle. Stretches keep the order, so the numbers don't depend on how
+    many there are. Null orders come first. Rows equal in order and ties are numbered
+    among each other freely.
     """
-    spark = df.sparkSession
-    low, high = df.agg(F.min(order), F.max(order)).first()
+    low, high, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
     low, high = (0, 0) if low is None else (low, high)
+    cells = max(32, min(4096, n // cell_rows))
     width = (high - low) // cells + 1
     cell, before = fresh(df, "cell"), fresh(df, "before")
     cut = F.coalesce(F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("int"), F.lit(-1))
@@ -76,9 +104,9 @@ def rank_in_group(df: DataFrame, group: list[str], order: str, ties: list[str],
     counts = counts.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
     own = Window.partitionBy(*group, cell).orderBy(F.col(order).asc_nulls_first(), *ties)
     rows = rows.withColumn(out, F.row_number().over(own).cast("long") - 1)
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*group, cell]]
+    same = [F.col(f"r.`{c}`").eqNullSafe(F.col(f"c.`{c}`")) for c in [*group, cell]]
     on = same[0]
     for s in same[1:]:
         on = on & s
-    kept = [F.col(f"r.{c}") for c in df.columns]
+    kept = [F.col(f"r.`{c}`") for c in df.columns]
     return rows.alias("r").join(counts.alias("c"), on).select(*kept, (F.col(f"r.{out}") + F.col(f"c.{before}")).alias(out))

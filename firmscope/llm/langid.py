@@ -59,7 +59,7 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def fit(labelled: DataFrame, rows: int = 20_000, words: int = 60_000, grams: int = 30_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+def fit(labelled: DataFrame, rows: int = 20_000, words: int = 40_000, grams: int = 12_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Learn from a sample of about `rows` labelled rows (chosen by a hash of the id; all if there are fewer).
 
     The `words` most frequent words and `grams` most frequent n-grams of each length and

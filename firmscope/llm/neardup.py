@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, stage
+from .common import column, drop, noting, stage
 
 SPAN = 5
 BANDS, ROWS = 45, 7
@@ -320,10 +320,12 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = owners.select(F.col("rep").alias("doc_id"), "signature")
     texts = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
 
-    banded = stage(reps.mapInArrow(_banded, "bucket long, doc_id long"), "bands")
+    with noting() as bands:
+        banded = stage(reps.mapInArrow(_banded, "bucket long, doc_id long"), "bands")
     ends = banded.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("bucket", "first")
     met = banded.join(ends, "bucket").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     family = components(met).withColumnRenamed("group", "family")
+    drop(docs.sparkSession, bands)
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     placed = family.join(sizes, "family").select("doc_id", "family", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("part"))
     placed = placed.join(owners.select(F.col("rep").alias("doc_id"), "words_hash", "signature"), "doc_id")

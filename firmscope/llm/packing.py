@@ -93,14 +93,14 @@ def best_fit_plan(counts: dict[int, int], window: int) -> list[tuple[int, int, i
     return plan
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int, id_col: str = "doc_id", text_col: str = "text", remember: int = 900_000) -> DataFrame:
     """Encode each whole text, append the end id, cut into full windows and a rest; one row a piece.
 
     Null or empty text: one piece that holds the end id alone.
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = Encoder(tokenizer_path(vocabulary), keeps_space=False), np.array([end_id], "<u4").tobytes()
+        coder, end = Encoder(tokenizer_path(vocabulary), keeps_space=False, most=remember), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for first, some in in_portions(texts):
@@ -132,7 +132,7 @@ def pack(pieces: DataFrame, window: int) -> DataFrame:
     fits = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_rank")) & (F.col("rank") < F.col("p_rank") + F.col("p_pieces"))
     into = F.col("rank") - F.col("p_rank")
     return ranked.join(F.broadcast(rows), fits).select(
-        *PIECE_COLUMNS,
+        *[F.col(c).cast("long").alias(c) for c in PIECE_COLUMNS],
         (F.col("p_sequence") + F.floor(into / F.col("p_each"))).cast("long").alias("sequence_id"),
         (F.col("p_offset") + into % F.col("p_each") * F.col("length")).cast("long").alias("offset"),
     )
@@ -141,7 +141,7 @@ def pack(pieces: DataFrame, window: int) -> DataFrame:
 PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, cut, pack: one row a piece. An empty table gives no rows."""
-    pieces = stage(token_pieces(docs, vocabulary, end_id, window, id_col, text_col), "pieces")
+def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", remember: int = 900_000) -> DataFrame:
+    """Encode, cut, pack: one row a piece. An empty table gives no rows. remember: words whose ids a task keeps at hand."""
+    pieces = stage(token_pieces(docs, vocabulary, end_id, window, id_col, text_col, remember), "pieces")
     return pack(pieces, window)

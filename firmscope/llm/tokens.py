@@ -91,24 +91,26 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids, as little-endian unsigned 32-bit integers."""
         cut = [self._pieces(t) for t in texts]
-        new = set().union(*(p for _, p in cut)) - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = set().union(*(p for _, p in cut))
-        known, stems = self.known, {p: self._stem(p) for p in new}
-        learn = list(set(stems.values()) - known.keys())
+        known, there = self.known, set().union(*(p for _, p in cut))
+        new = [p for p in there if p not in known]
+        if len(known) + len(new) > self.most:
+            self.known = known = {}
+            new = list(there)
+        stems = {p: self._stem(p) for p in new}
+        learn = [s for s in set(stems.values()) if s not in known]
         for i in range(0, len(learn), 8192):
             known.update(self._learn(learn[i : i + 8192]))
         for p, s in stems.items():
-            if p not in known:
+            if p is not s and p not in known:
                 mark = p[len(s) :]
                 if mark not in self.marks:
                     self.marks[mark] = self._first(mark) if mark else b""
                 known[p] = known[s] + self.marks[mark]
         out = [(self._first(a) if a else b"") + b"".join(map(known.__getitem__, p)) for a, p in cut]
-        for p in new.union(learn):
-            if len(p) > self.longest:
-                del known[p]
+        for some in (new, learn):
+            for p in some:
+                if len(p) > self.longest:
+                    known.pop(p, None)
         return out
 
 

@@ -6,12 +6,14 @@ again as the next stage's docs. All but the last return the columns of documents
 
 from __future__ import annotations
 
+import re
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from firmscope.llm import langid, mixing, neardup, packing, quality
-from firmscope.llm.common import drop, noting, stage
+from firmscope.llm.common import column, drop, fresh, noting, stage
 
 #: Tables that the stage before staged for itself.
 _left: list[str] = []
@@ -58,10 +60,36 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot", "mix_place").select(*docs.columns)
 
 
+def in_written_order(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of a table read from Parquet with their number from 0 in the order they were written in, and its column's name.
+
+    That order is all the mixing stage can hand on, as it returns the columns of documents. Spark's
+    writer numbers a file by its partition, and a row has a place in its file, however files are split for reading.
+    """
+    at, first, path = docs.metadataColumn("_metadata"), fresh(docs, "first"), fresh(docs, "path")
+    place = fresh(docs, "place")
+    sizes = docs.groupBy(at["file_path"].alias("path")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a file
+
+    def number(r) -> tuple:
+        name = r["path"].rsplit("/", 1)[-1]
+        part = re.match(r"part-(\d+)-.*-c(\d+)", name)
+        return (int(part[1]), int(part[2]), r["path"]) if part else (-1, -1, r["path"])
+
+    starts, n = [], 0
+    for r in sorted(sizes, key=number):
+        starts.append((r["path"], n))
+        n += r["n"]
+    before = spark.createDataFrame(starts, f"`{path}` string, `{first}` long")
+    rows = docs.select("*", at["file_path"].alias(place + "_path"), at["row_index"].alias(place + "_row"))
+    rows = rows.join(F.broadcast(before), F.col(place + "_path") == F.col(path))
+    return rows.select(*[column(docs, c) for c in docs.columns], (F.col(first) + F.col(place + "_row")).alias(place)), place
+
+
 @_alone
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' ids in sequences of at most 2048; tasks share their memory with what earlier stages left in it."""
-    return packing.pack_documents(docs, remember=300_000)
+    """All documents' ids in sequences of at most 2048, in the order of the mixture; tasks share their memory with what earlier stages left in it."""
+    placed, place = in_written_order(spark, docs)
+    return packing.pack_documents(placed, remember=300_000, place_col=place)
 
 
 STAGES = [

@@ -9,6 +9,8 @@ out and any block's slot follows from it, however many blocks there are.
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def whole_units(sources: DataFrame, period: int) -> DataFrame:
     """Weights (any positive numbers) to whole units of 1/period by largest remainder; at least one unit each.
 
     sources: one row a source, columns source and weight. More sources than the period has
-    units can't be scheduled and raise an error.
+    units can't be scheduled and raise an error; `period_for` gives a period that is long enough.
     """
     one = Window.partitionBy()
     shares = sources.withColumn("share", F.col("weight") / F.sum("weight").over(one) * (period - F.count(F.lit(1)).over(one)))
@@ -29,7 +31,33 @@ def whole_units(sources: DataFrame, period: int) -> DataFrame:
     order = Window.orderBy(F.desc(F.round(F.col("share") - F.col("floor"), 9)), F.col("source").asc_nulls_first())
     rest = period - F.count(F.lit(1)).over(one) - F.sum("floor").over(one)
     units = F.col("floor") + 1 + (F.row_number().over(order) <= rest).cast("long")
-    return shares.select("source", "weight", units.alias("units"))
+    many = F.count(F.lit(1)).over(one) > period
+    return shares.select("source", "weight", F.when(many, F.raise_error(F.lit(f"more than {period} sources"))).otherwise(units).alias("units"))
+
+
+def period_for(sources: int, period: int = PERIOD) -> int:
+    """The period itself where it has a unit for each source; else its least doubling with four units a source or more."""
+    if sources > period:
+        while period < 4 * sources:
+            period *= 2
+    return period
+
+
+def edf_slots(units: list[int], period: int) -> list[int | None]:
+    """The source's number in each slot of one period: the fold of `one_period` by a heap, for many sources."""
+    had, later = [0] * len(units), {}
+    ready = [(-(-period // u), i) for i, u in enumerate(units)]
+    heapq.heapify(ready)
+    run: list[int | None] = []
+    for slot in range(period):
+        for i in later.pop(slot, ()):
+            heapq.heappush(ready, (-(-(had[i] + 1) * period // units[i]), i))
+        run.append(i := heapq.heappop(ready)[1] if ready else None)
+        if i is not None:
+            had[i] += 1
+            if had[i] < units[i]:
+                later.setdefault(max(slot + 1, had[i] * period // units[i]), []).append(i)
+    return run
 
 
 def one_period(units: DataFrame, period: int) -> DataFrame:
@@ -37,7 +65,17 @@ def one_period(units: DataFrame, period: int) -> DataFrame:
 
     A fold over the slots carries how many blocks each source has had. Ties in the deadline go
     to the heavier source, then to the name; the source's place in that order is its number.
+    A fold's step looks at all sources, so a period longer than PERIOD is worked out by a heap
+    on the driver (one row a source goes there).
     """
+    if period > PERIOD:
+        rows = sorted(units.collect(), key=lambda r: (-r["units"], r["source"] or "", r["source"] is not None))
+        run, had, out = edf_slots([r["units"] for r in rows], period), [0] * len(rows), []
+        for slot, i in enumerate(run):
+            if i is not None:
+                had[i] += 1
+                out.append((slot, rows[i]["source"], had[i]))
+        return units.sparkSession.createDataFrame(out, "slot long, source string, nth long")
     by_weight = F.array_sort(F.collect_list(F.struct((-F.col("units")).alias("minus"), F.coalesce(F.col("source"), F.lit("")).alias("name"), F.col("source").alias("source"), F.col("units").alias("units"))))
     one = units.agg(by_weight.alias("s")).filter(F.size("s") > 0)
 
@@ -70,7 +108,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_rows: i
     row's place in its block: sorted by both, any prefix that ends before the first source
     runs out holds each source to its weight with less than one block's deviation. A source
     that has run out leaves its slots empty and the others keep their order; no row is
-    dropped or repeated. A null source is a source. Sources without a weight get the
+    dropped or repeated. More sources than `period` lengthen it (`period_for`). A null source is a source. Sources without a weight get the
     smallest given. Columns of the added names are replaced. An empty table gives no rows.
     """
     docs = docs.drop("mix_weight", "mix_block", "mix_slot", "mix_place")
@@ -84,6 +122,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_rows: i
         given = weights.select(F.col("source").alias("g"), F.col("weight").cast("double").alias("w"))
         least = given.agg(F.min("w").alias("least"))
         sources = counts.join(given, F.col("source").eqNullSafe(F.col("g")), "left").crossJoin(F.broadcast(least)).select("source", F.coalesce("w", "least", F.lit(1.0)).alias("weight"))
+    period = period_for(counts.count(), period)
     units = whole_units(sources, period)
     table = one_period(units, period)
     plan = table.alias("t").join(units.alias("u"), F.col("t.source").eqNullSafe(F.col("u.source"))).select(F.col("t.source").alias("p_source"), "weight", "units", "slot", "nth")
@@ -91,10 +130,10 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_rows: i
     ties = [F.xxhash64(*[column(rows, c) for c in others if dict(docs.dtypes)[c][:3] != "map"])]
     numbered = rank_in_group(rows, [source], doc, ties, rank)
     block = F.floor(F.col(rank) / block_rows).cast("long")
-    # the plan has `period` rows: a fixed size, and the one thing sent to every task
+    # the plan has `period` rows: the one thing sent to every task, unless many sources have lengthened it
     p_source, p_weight, p_units, p_slots = (fresh(numbered, f"mix_p_{n}") for n in ("source", "weight", "units", "slots"))
     per_source = plan.groupBy("p_source").agg(F.first("weight"), F.first("units"), F.sort_array(F.collect_list("slot"))).toDF(p_source, p_weight, p_units, p_slots)
-    joined = numbered.join(F.broadcast(per_source), F.col(source).eqNullSafe(F.col(p_source)))
+    joined = numbered.join(F.broadcast(per_source) if period <= PERIOD else per_source, F.col(source).eqNullSafe(F.col(p_source)))
     slot = F.floor(block / F.col(p_units)).cast("long") * period + F.element_at(p_slots, (block % F.col(p_units) + 1).cast("int"))
     return joined.select(
         *[column(joined, c) for c in others], F.col(p_weight).alias("mix_weight"), block.alias("mix_block"), slot.alias("mix_slot"), (F.col(rank) % block_rows).alias("mix_place")

@@ -7,6 +7,11 @@ open windows that still take it by a segment tree indexed by remaining capacity.
 of alike windows are filled in one step, so the plan has a few thousand rows. Pieces
 then get their rank among the pieces of their length, and the plan's row of that rank
 gives window and offset.
+
+Texts that come in an order to be kept (a mixture's schedule) are packed stretch by stretch
+of that order, and windows are numbered in it: the windows up to the end of a stretch hold
+the texts up to there and no others, so the shares of sources that the order holds also hold
+for the windows.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import column, rank_in_group, stage, tokenizer_path
 from .tokens import Encoder, in_portions
 
+#: Texts of an ordered table that are packed together: at least so many, and more where there would be over STRETCHES stretches.
+STRETCH_TEXTS, STRETCHES = 8192, 32
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
@@ -93,29 +100,32 @@ def best_fit_plan(counts: dict[int, int], window: int) -> list[tuple[int, int, i
     return plan
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int, id_col: str = "doc_id", text_col: str = "text", remember: int = 900_000) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int, id_col: str = "doc_id", text_col: str = "text", remember: int = 900_000, place_col: str | None = None) -> DataFrame:
     """Encode each whole text, append the end id, cut into full windows and a rest; one row a piece.
 
-    Null or empty text: one piece that holds the end id alone.
+    Null or empty text: one piece that holds the end id alone. place_col: a long that goes along as `place`.
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = Encoder(tokenizer_path(vocabulary), keeps_space=False, most=remember), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            places = batch.column(2).to_pylist()
             for first, some in in_portions(texts):
-                out: list[list] = [[], [], [], [], []]
-                for d, ids in zip(ids_of[first:], coder.encode(some), strict=False):
+                out: list[list] = [[], [], [], [], [], []]
+                for d, place, ids in zip(ids_of[first:], places[first:], coder.encode(some), strict=False):
                     ids += end
                     for at in range(0, len(ids), 4 * window):
                         piece = ids[at : at + 4 * window]
-                        for k, v in enumerate((d, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)):
+                        for k, v in enumerate((d, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, place)):
                             out[k].append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=[*PIECE_COLUMNS, "place"])
 
-    wanted = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
-    return wanted.mapInArrow(encode, PIECES)
+    place = column(docs, place_col).cast("long") if place_col else F.lit(None).cast("long")
+    wanted = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"), place.alias("place"))
+    pieces = wanted.mapInArrow(encode, PIECES + ", place long")
+    return pieces if place_col else pieces.drop("place")
 
 
 def pack(pieces: DataFrame, window: int) -> DataFrame:
@@ -123,13 +133,25 @@ def pack(pieces: DataFrame, window: int) -> DataFrame:
 
     Equal lengths are ranked by doc_id, start and checksum; pieces equal in all of them
     (repeated rows) change places freely. Sequences are filled from offset 0 without gaps.
+    With a column place (numbers of the texts from 0), pieces are packed by stretches of it,
+    equal lengths are ranked by it, and the sequences of a stretch follow those before it.
     """
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` rows
-    plan = best_fit_plan(counts, window)
-    schema = "p_length int, p_rank long, p_pieces long, p_sequence long, p_each long, p_offset long"
-    rows = pieces.sparkSession.createDataFrame(plan, schema)  # bounded by the window, not by the data
-    ranked = rank_in_group(pieces, ["length"], "doc_id", ["start", "ids_crc32"], "rank")
-    fits = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_rank")) & (F.col("rank") < F.col("p_rank") + F.col("p_pieces"))
+    ordered = "place" in pieces.columns
+    last = pieces.agg(F.max("place")).first()[0] if ordered else None
+    texts = max(STRETCH_TEXTS, -(-((last or 0) + 1) // STRETCHES))
+    pieces = pieces.withColumn("stretch", F.floor(F.col("place") / texts).cast("int") if ordered else F.lit(0))
+    counts: dict[int, dict[int, int]] = {}
+    for r in pieces.groupBy("stretch", "length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `window` rows a stretch
+        counts.setdefault(r["stretch"], {})[r["length"]] = r["n"]
+    plan, opened = [], 0
+    for stretch in sorted(counts):
+        part = best_fit_plan(counts[stretch], window)
+        plan += [(stretch, length, rank, n, opened + first, each, offset) for length, rank, n, first, each, offset in part]
+        opened += max(first - (-n // each) for _, _, n, first, each, _ in part)
+    schema = "p_stretch int, p_length int, p_rank long, p_pieces long, p_sequence long, p_each long, p_offset long"
+    rows = pieces.sparkSession.createDataFrame(plan, schema)  # bounded by the window and STRETCHES, not by the data
+    ranked = rank_in_group(pieces, ["stretch", "length"], "place" if ordered else "doc_id", ["start", "ids_crc32"], "rank")
+    fits = (F.col("stretch") == F.col("p_stretch")) & (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_rank")) & (F.col("rank") < F.col("p_rank") + F.col("p_pieces"))
     into = F.col("rank") - F.col("p_rank")
     return ranked.join(F.broadcast(rows), fits).select(
         *[F.col(c).cast("long").alias(c) for c in PIECE_COLUMNS],
@@ -141,7 +163,7 @@ def pack(pieces: DataFrame, window: int) -> DataFrame:
 PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", remember: int = 900_000) -> DataFrame:
-    """Encode, cut, pack: one row a piece. An empty table gives no rows. remember: words whose ids a task keeps at hand."""
-    pieces = stage(token_pieces(docs, vocabulary, end_id, window, id_col, text_col, remember), "pieces")
+def pack_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", remember: int = 900_000, place_col: str | None = None) -> DataFrame:
+    """Encode, cut, pack: one row a piece. An empty table gives no rows. remember: words whose ids a task keeps at hand. place_col: numbers of the texts from 0, an order to keep."""
+    pieces = stage(token_pieces(docs, vocabulary, end_id, window, id_col, text_col, remember, place_col), "pieces")
     return pack(pieces, window)

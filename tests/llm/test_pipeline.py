@@ -1,9 +1,10 @@
 """The pipeline on a small table: what each stage keeps, and that the packs hold exactly that."""
 
 import collections
+from functools import partial
 
 import corpus_pipeline
-from firmscope.llm import langid, neardup, quality
+from firmscope.llm import langid, mixing, neardup, packing, quality
 
 
 def test_pipeline(spark, sf):
@@ -21,3 +22,28 @@ def test_pipeline(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "language ID", "MinHash near-dedup", "mixing sources to target weights", "packing"]
     mixed = corpus_pipeline.mix(spark, once, sf)
     assert mixed.columns == docs.columns and mixed.count() == len(kept)
+
+
+def test_mixture_takes_effect(spark, sf, monkeypatch):
+    """Other weights give other packs, and sequences follow the schedule stretch by stretch."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    monkeypatch.setattr(packing, "STRETCH_TEXTS", 32, raising=False)
+    made = {}
+    sources = sorted(r.source for r in docs.select("source").distinct().collect())
+    for heavy in (1.0, 40.0):
+        weights = spark.createDataFrame([(s, heavy if i == 0 else 1.0) for i, s in enumerate(sources)], "source string, weight double")
+        mix_sources = partial(mixing.mix_sources, weights=weights, block_rows=2)
+        order = [r.doc_id for r in mix_sources(docs).orderBy("mix_slot", "mix_place").collect()]
+        with monkeypatch.context() as m:
+            m.setattr(corpus_pipeline.mixing, "mix_sources", mix_sources)
+            rows = corpus_pipeline.run(spark, sf).collect()
+        stretch = {d: i // 32 for i, d in enumerate(order)}
+        assert len(stretch) == len(order) > 64
+        of = collections.defaultdict(set)
+        for r in rows:
+            of[r.sequence_id].add(stretch[r.doc_id])
+        assert sorted(of) == list(range(len(of))) and all(len(s) == 1 for s in of.values())
+        assert [min(of[k]) for k in sorted(of)] == sorted(min(s) for s in of.values())
+        made[heavy] = {(r.doc_id, r.start, r.sequence_id, r.offset) for r in rows}
+    assert made[1.0] != made[40.0]

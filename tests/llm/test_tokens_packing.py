@@ -131,6 +131,18 @@ def test_mix_keeps_every_row(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_more_sources_than_the_period(spark):
+    """The period grows, each source keeps all its rows, and the heap runs what the fold runs."""
+    rows = [(i, f"s{i % 4500}") for i in range(5000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1).collect()
+    assert {(r.doc_id, r.source) for r in got} == set(rows) and len({r.mix_slot for r in got}) == len(rows)
+    assert mixing.period_for(4096) == 4096 and mixing.period_for(4097) == 32768
+    for u in ({"a": 20, "b": 7, "c": 4, "d": 1}, {"a": 11, "b": 11, "c": 10}):
+        assert [list(u)[i] for i in mixing.edf_slots(list(u.values()), 32)] == edf(u, 32)
+    with pytest.raises(Exception, match="more than 8 sources"):
+        mixing.whole_units(spark.createDataFrame([(f"s{i}", 1.0) for i in range(9)], "source string, weight double"), 8).collect()
+
+
 def test_shards(spark):
     rows = [(i, "same text here" if i % 3 == 0 else f"text {i} " * (1 + i % 9), "x") for i in range(600)] + [(None, None, "x"), (7, "", "x"), (7, "", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard string").withColumn("l_key", F.lit(1))

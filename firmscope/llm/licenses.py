@@ -2,8 +2,9 @@
 
 Texts are brought to a string of words, each with its own space on either side, so
 that case, punctuation and line breaks don't matter and rules, written as plain word
-patterns, match whole words. Each rule has a keyword: it is tried only on texts that
-hold it, and most texts are passed over because they hold none. Detections overlap
+patterns, match whole words. A rule is tried only on texts that hold a word which one of
+its alternatives can't do without (`needed`), and most texts are passed over because they
+hold none. Detections overlap
 (a full notice holds a name, a name holds a shorter one), so they are put in order of
 place and one that lies within another of the same or a better rank is dropped.
 Everything happens inside a text's row; nothing is shuffled.
@@ -194,6 +195,43 @@ def rules() -> list[Rule]:
     return out
 
 
+#: Words that tell little: they are looked for only where an alternative has no others.
+PLAIN = set("license licence public the a free software open source general version v and or of to under with for use this is in any terms style new".split())
+
+
+def needed(pattern: str, prefer: frozenset[str] = frozenset()) -> frozenset[str]:
+    """Words of which every match of the pattern holds one: of each alternative one it can't do without."""
+    tokens = re.findall(r"\)\?|[()|]|[^\s()|]+", pattern)
+
+    def cost(words: frozenset[str]) -> tuple:
+        each = [0 if w in prefer else 1 if w not in PLAIN and len(w) > 2 and not w.isdigit() else 2 for w in words]
+        return max(each), len(words), -min(map(len, words)), sorted(words)
+
+    def choices(at: int) -> tuple[frozenset[str] | None, int]:
+        """The words for the choices from a place up to their closing mark, or None if one of them can do without any."""
+        of: list[frozenset[str] | None] = []
+        sure: list[frozenset[str]] = []
+        while True:
+            token = tokens[at] if at < len(tokens) else ")"
+            if token in ("|", ")", ")?"):
+                of.append(min(sure, key=cost) if sure else None)
+                if token != "|":
+                    return (None if None in of else frozenset().union(*of)), at
+                sure = []
+            elif token == "(":
+                inner, at = choices(at + 1)
+                if inner and tokens[at] == ")":
+                    sure.append(inner)
+            elif re.fullmatch(r"[a-z0-9]+", token):  # neither any word nor a class of digits
+                sure.append(frozenset([token]))
+            at += 1
+
+    found, _ = choices(0)
+    if not found:
+        raise ValueError(f"a match of {pattern} can do without any word")
+    return found
+
+
 def _spaced(names: str) -> str:
     """Write word parts such as "non ?commercial" and "licen(c|s)e" as choices of whole words."""
     for part, whole in (("non ?commercial", "(noncommercial|non commercial)"), ("no ?deriv(ative)?s?( works)?", "(noderivs|no derivs|noderivatives|no derivatives|noderivative|no derivative)( works)?"), ("share ?alike", "(sharealike|share alike)"), ("licen(c|s)e", "(license|licence)"), ("3 01?", "3 (0|01)")):
@@ -234,23 +272,26 @@ def _found(words: Column, rule: Column) -> Column:
 
 
 HITS = "array<struct<s:int,e:int,rank:int,label:string>>"
-RULES = "array<struct<key:string,rules:array<struct<pattern:string,rank:int,label:string>>>>"
+RULES = "array<struct<keys:array<string>,rules:array<struct<pattern:string,rank:int,label:string>>>>"
 
 
 def detections(words: Column, only: list[Rule] | None = None) -> Column:
     """The detections left after suppression, in order of place: structs s, e, rank, label.
 
-    Rules are tried by keyword: those whose keyword the text lacks are never matched.
+    Rules are tried by the words they need: those of which the text holds none can't match.
     One is dropped if it lies within another of the same or a better rank (of equal ones the
     first in rule order stays); base phrases always stay. A scan over detections by place
     keeps the furthest end seen of each rank, which is all that containment asks for.
     """
-    by_key: dict[str, list[dict]] = {}
+    keywords: dict[tuple[str, int, str], set[str]] = {}  # a rule stands once for each of its keywords
     for r in only or rules():
-        by_key.setdefault(f" {r.keyword} ", []).append({"pattern": compile_pattern(r.pattern), "rank": r.rank, "label": r.label})
-    table = F.from_json(F.lit(json.dumps([{"key": k, "rules": v} for k, v in by_key.items()])), RULES)
+        keywords.setdefault((r.label, r.rank, r.pattern), set()).add(r.keyword)
+    by_keys: dict[frozenset[str], list[dict]] = {}
+    for (label, rank, pattern), prefer in keywords.items():
+        by_keys.setdefault(needed(pattern, frozenset(prefer)), []).append({"pattern": compile_pattern(pattern), "rank": rank, "label": label})
+    table = F.from_json(F.lit(json.dumps([{"keys": [f" {k} " for k in sorted(ks)], "rules": v} for ks, v in by_keys.items()])), RULES)
     none = F.array().cast(HITS)
-    tried = F.flatten(F.transform(F.filter(table, lambda t: F.contains(words, t["key"])), lambda t: F.filter(t["rules"], lambda r: F.rlike(words, r["pattern"]))))
+    tried = F.flatten(F.transform(F.filter(table, lambda t: F.exists(t["keys"], lambda k: F.contains(words, k))), lambda t: F.filter(t["rules"], lambda r: F.rlike(words, r["pattern"]))))
     every = F.flatten(F.transform(tried, lambda r: _found(words, r)))
     ordered = F.array_sort(F.transform(every, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("minus"), x["rank"].alias("rank"), x["label"].alias("label"))))
     ranks = len(CONFIDENCE)

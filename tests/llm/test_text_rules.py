@@ -104,6 +104,32 @@ def test_all_rules_gate():
         assert any(g in text for g in licenses.GATE) or re.search(r"\bcc by", text), rule
 
 
+def alternatives(names):
+    """The choices outside of parentheses."""
+    out, depth = [""], 0
+    for c in names:
+        depth += (c == "(") - (c == ")")
+        out = [*out, ""] if c == "|" and not depth else [*out[:-1], out[-1] + c]
+    return out
+
+
+def test_every_alternative_through_the_detector(spark):
+    """Against a brute force without keywords: the name, the grant and the identifier of each alternative."""
+    plain = lambda p: example(licenses._spaced(p))
+    texts = []
+    for _, _, names, ids in licenses.NAMES:
+        for alternative in alternatives(names):
+            texts += [f"x {plain(alternative)} y", f"Licensed under the {plain(alternative).upper()}.", f"governed by {plain(alternative)}"]
+        texts += [f"SPDX-License-Identifier: {plain(i)}" for i in alternatives(ids)]
+    texts += [f"x {example(p)} y" for _, _, p in licenses.BASE] + [f"x {example(p.replace('(' + chr(92) + 'w+ )?', '(*)?'))} y" for _, _, p in licenses.NOTICES]
+    distinct = {(r.label, r.rank, licenses.compile_pattern(r.pattern)) for r in RULES}
+    for got in licenses.license_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        line = "".join(f" {x} " for x in re.findall(r"[a-z0-9]+", texts[got.doc_id].lower()))
+        hits = sorted({(m.start(), -m.end(), rank, label) for label, rank, p in distinct for m in re.finditer(p, line)})
+        kept = [h for i, h in enumerate(hits) if h[2] == 0 or not any(g[1] <= h[1] and g[2] <= h[2] for g in hits[:i])]
+        assert hits and got.labels == ",".join(sorted({h[3] for h in kept})) and got.score == licenses.CONFIDENCE[min(h[2] for h in kept)], texts[got.doc_id]
+
+
 def test_language(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}

@@ -34,6 +34,8 @@ BATCH = 45
 WHOLE = 4096
 THRESHOLD = (85, 100)
 MISS = 1e-7
+#: A corpus stage links from 0.8 on. 52 bands of 6 places, all but 3 of the signature's, miss a pair at 0.8 with a chance of 1.4e-7.
+STAGE_THRESHOLD, STAGE_BANDS = (80, 100), (52, 6)
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -162,18 +164,22 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return wanted.mapInArrow(run, "doc_id long, n_shingles long, words_hash binary, signature binary")
 
 
-def _banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _banded(bands: int, rows: int):
     """(doc_id, signature) to one row a band: bucket, doc_id."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(n, BANDS, ROWS).astype(np.uint64)
-        bucket = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS)).copy()
-        for k in range(ROWS):
-            bucket = _mixed(bucket ^ signs[:, :, k])
-        ids = batch.column(0).to_numpy()
-        yield _batch({"bucket": (bucket.view(np.int64).ravel(), pa.int64()), "doc_id": (np.repeat(ids, BANDS), pa.int64())})
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(n, PLACES)[:, : bands * rows].reshape(n, bands, rows).astype(np.uint64)
+            bucket = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands)).copy()
+            for k in range(rows):
+                bucket = _mixed(bucket ^ signs[:, :, k])
+            ids = batch.column(0).to_numpy()
+            yield _batch({"bucket": (bucket.view(np.int64).ravel(), pa.int64()), "doc_id": (np.repeat(ids, bands), pa.int64())})
+
+    return run
 
 
 def _confirm(percent: tuple[int, int]):
@@ -244,7 +250,7 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows.filter(pa.array(keep, pa.bool_()))
 
 
-def _compare_blocks(percent: tuple[int, int], miss: float):
+def _compare_blocks(percent: tuple[int, int], miss: float, bands: tuple[int, int]):
     """Two blocks of a family (arrays of doc_id, signature, hashes) to links (sure) and pairs to confirm on their texts."""
     num, den = percent
 
@@ -266,7 +272,7 @@ def _compare_blocks(percent: tuple[int, int], miss: float):
                     return x
 
                 found: list[tuple[int, int, bool]] = []
-                for x, y in _likely(signs, same, num / den, miss):
+                for x, y in _likely(signs, same, num / den, miss, bands):
                     a, b, p, q = ids[0][x], ids[1][y], sets[0][x], sets[1][y]
                     if a == b or top(a) == top(b):
                         continue
@@ -285,7 +291,7 @@ def _compare_blocks(percent: tuple[int, int], miss: float):
     return run
 
 
-def _likely(signs: list[np.ndarray], same: bool, threshold: float, miss: float) -> list[tuple[int, int]]:
+def _likely(signs: list[np.ndarray], same: bool, threshold: float, miss: float, bands: tuple[int, int]) -> list[tuple[int, int]]:
     """Places of the pairs that share a band and outlive the sequential comparison, likeliest first."""
     n, m = len(signs[0]), len(signs[1])
     kept, count = [], []
@@ -297,14 +303,14 @@ def _likely(signs: list[np.ndarray], same: bool, threshold: float, miss: float)
             i, j = i[later := i < j], j[later]
         s = survivors(signs[0][i], signs[1][j], threshold, miss)
         equal = signs[0][i[s]] == signs[1][j[s]]
-        banded = equal.reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1)
+        banded = equal[:, : bands[0] * bands[1]].reshape(-1, *bands).all(axis=2).any(axis=1)
         kept.append(np.stack([i[s][banded], j[s][banded]], axis=1))
         count.append(equal[banded].sum(axis=1))
     order = np.argsort(-np.concatenate(count), kind="stable")
     return [(int(x), int(y)) for x, y in np.concatenate(kept)[order]]
 
 
-def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: tuple[int, int] = THRESHOLD, miss: float = MISS) -> DataFrame:
+def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: tuple[int, int] = THRESHOLD, miss: float = MISS, bands: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row.
 
     component_id is the least doc_id reachable over links (percent[1] * intersection >=
@@ -312,6 +318,7 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts, and texts without words, have an empty set and no link: they are
     their own component. Rows that repeat a doc_id with other words share its links; rows with a
     null doc_id are kept, link nothing and have a null component. An empty table gives no rows.
+    bands: how many and of how many places, at most PLACES together.
     """
     described = stage(describe(docs, id_col, text_col), "signatures")
     # the least doc_id stands for all documents with its sequence of words
@@ -320,12 +327,12 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = owners.select(F.col("rep").alias("doc_id"), "signature")
     texts = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
 
-    with noting() as bands:
-        banded = stage(reps.mapInArrow(_banded, "bucket long, doc_id long"), "bands")
+    with noting() as made:
+        banded = stage(reps.mapInArrow(_banded(*bands), "bucket long, doc_id long"), "bands")
     ends = banded.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("bucket", "first")
     met = banded.join(ends, "bucket").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     family = components(met).withColumnRenamed("group", "family")
-    drop(docs.sparkSession, bands)
+    drop(docs.sparkSession, made)
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     placed = family.join(sizes, "family").select("doc_id", "family", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("part"))
     placed = placed.join(owners.select(F.col("rep").alias("doc_id"), "words_hash", "signature"), "doc_id")
@@ -334,7 +341,7 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = stage(rows.groupBy("family", "part").agg(F.collect_list(F.struct("doc_id", "signature", "hashes")).alias("members")), "blocks")
     one, two = blocks.select("family", F.col("part").alias("p1"), F.col("members").alias("m1")), blocks.select("family", F.col("part").alias("p2"), F.col("members").alias("m2"))
     pairs = one.join(two, "family").filter("p1 <= p2").select(F.expr("p1 = p2").alias("same"), "m1", "m2")
-    found = stage(pairs.mapInArrow(_compare_blocks(percent, miss), "a long, b long, sure boolean"), "survivors")
+    found = stage(pairs.mapInArrow(_compare_blocks(percent, miss, bands), "a long, b long, sure boolean"), "survivors")
     links = found.filter("sure").select("a", "b").union(confirmed(found.filter("not sure").select("a", "b").distinct(), texts, percent))
     groups = components(links)
     rows = described.select("doc_id", "n_shingles", "words_hash").join(owners.select("words_hash", "rep"), "words_hash", "left")
@@ -346,9 +353,9 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """The rows without those whose near-duplicate group keeps another document; of repeated rows of a doc_id one.
 
-    Rows with a null doc_id are kept.
+    Rows with a null doc_id are kept. Documents are linked from STAGE_THRESHOLD on.
     """
-    gone = linked_groups(docs).filter("not kept").select("doc_id").distinct()
+    gone = linked_groups(docs, percent=STAGE_THRESHOLD, bands=STAGE_BANDS).filter("not kept").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     if again.isEmpty():

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, rank_in_group, stage, tokenizer_path
-from .tokens import Encoder, in_portions
+from .tokens import encoder, in_portions
 
 #: Texts of an ordered table that are packed together: at least so many, and more where there would be over STRETCHES stretches.
 STRETCH_TEXTS, STRETCHES = 8192, 32
@@ -107,14 +107,16 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int, id_
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = Encoder(tokenizer_path(vocabulary), keeps_space=False, most=remember), np.array([end_id], "<u4").tobytes()
+        coder, end = encoder(tokenizer_path(vocabulary), False, remember), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids_of, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            places = batch.column(2).to_pylist()
-            for first, some in in_portions(texts):
+            ids_of, places = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for first, some in in_portions(batch.column(1)):
+                flat, ends = coder.encode(some)
+                raw, begin = flat.tobytes(), 0
                 out: list[list] = [[], [], [], [], [], []]
-                for d, place, ids in zip(ids_of[first:], places[first:], coder.encode(some), strict=False):
-                    ids += end
+                for d, place, upto in zip(ids_of[first:], places[first:], ends.tolist(), strict=False):
+                    ids = raw[4 * begin : 4 * upto] + end
+                    begin = upto
                     for at in range(0, len(ids), 4 * window):
                         piece = ids[at : at + 4 * window]
                         for k, v in enumerate((d, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, place)):

@@ -14,10 +14,13 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +28,21 @@ from .common import column, stage, tokenizer_path
 
 # ---------------------------------------------------------------- encoding
 
-#: White space other than the plain space and the line feed.
-_ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
+#: Texts whose white space is more than single plain spaces and line feeds between other characters, or that hold our own marks.
+_UNEVEN = r"  | \n|\n |\n\n|^[ \n]|[ \n]$|[\x{00}\x{01}\t\x{0b}\x{0c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
+#: Letters whose normal form is the letter itself (small or not), so that a word of them is one run for every vocabulary here.
+_PLAIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD, _ENDED = f"^[{_PLAIN}]+$", f"[{_PLAIN}]$"
 
+#: CUT stands between the pieces of a text, RAW before one that has no space in front.
+CUT, RAW = "\0", "\1"
+#: Stands between pieces that the library encodes in one call; pieces that hold it are encoded by themselves.
+BAR = RAW
 
-#: Stands between pieces that are encoded in one call; pieces that hold it are encoded by themselves.
-BAR = "\x01"
+
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
 
 
 class Encoder:
@@ -40,90 +51,158 @@ class Encoder:
     A vocabulary splits a text before it merges, and never over a single space between
     two other characters. So texts are cut there, each different piece is encoded once
     by the library, and the pieces' ids are joined: the ids are those of the whole text,
-    and a very long text never becomes one call. `keeps_space`: the space belongs to
-    the piece behind it (byte-level vocabularies), or is dropped (word vocabularies).
+    and a very long text never becomes one call. Arrow cuts the texts and finds the
+    different pieces of a portion; what they stand for is remembered over portions and,
+    as one encoder serves a whole Python worker (`encoder`), over tasks.
+
+    `keeps_space`: the space belongs to the piece behind it (byte-level vocabularies), or is
+    dropped (word vocabularies, which also make letters small). `most`: pieces remembered;
+    those not met for half as many new ones are forgotten. Strings of special tokens in a text
+    are ordinary text (`encode_special_tokens`, as the vocabularies' notes advise), so that no text can
+    plant an end of document; `special=True` gives them their own ids, as a plain call does.
     """
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 900_000, longest: int = 24):
+    def __init__(self, path: str, keeps_space: bool, most: int = 900_000, longest: int = 24, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = not special
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()] if special else []
+        self.model = self.library.model
         self.keeps_space, self.most, self.longest = keeps_space, most, longest
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = re.findall(f"[{_PLAIN}]", "".join(map(chr, range(0xC0, 0x100))))
+        self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
+        self.lead = as_bytes.pre_tokenize_str(" ")[0][0] if keeps_space else ""
         self.bar = self.library.encode(" " + BAR, add_special_tokens=False).ids
 
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A word of plain letters: at most to be made small and nothing to split, so the vocabulary's model takes it as it is."""
+        word = word if self.keeps_space else word.lower()
+        return array("I", [t.id for t in self.model.tokenize(self.lead + (word if word.isascii() else word.translate(self.letters)))]).tobytes()
+
+    def _written(self, piece: str) -> str:
+        """What a piece stands for in the text."""
+        if not self.keeps_space:
+            return piece
+        return piece[1:] if piece[:1] == RAW else piece if piece[:1] == "\n" else " " + piece
+
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of each piece: one call for all, with a bar between them that no piece holds."""
-        lead = " " if self.keeps_space else ""
-        plain = [p for p in pieces if p and BAR not in p and not p.lstrip("\n")[:1].isspace() and not p[-1].isspace() and not p.startswith("\n\n")]
-        found = {p: self._first(p if p[:1] == "\n" else lead + p) for p in set(pieces).difference(plain)}
-        if plain:
-            text = f" {BAR}".join([p if p[0] == "\n" else " " + p for p in plain])
+        """The ids of pieces that aren't words: one call for all, with a bar between them that no piece holds."""
+        odd = [p for p in pieces if not p or BAR in p or p.lstrip("\n")[:1].isspace() or p[-1].isspace() or p.startswith("\n\n")]
+        found = {p: self._ids(self._written(p)) if p != "" or self.keeps_space else b"" for p in odd}
+        even = [p for p in pieces if p not in found]
+        for i in range(0, len(even), 4096):
+            some = even[i : i + 4096]
+            text = f" {BAR}".join([p if p[0] == "\n" else " " + p for p in some])
             ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             bars = np.flatnonzero(ids == self.bar[-1])
             starts, ends, raw = [0, *(4 * (bars + 1)).tolist()], [*(4 * (bars + 1 - len(self.bar))).tolist(), 4 * len(ids)], ids.tobytes()
-            found.update((p, raw[i:j]) for p, i, j in zip(plain, starts, ends, strict=True))
+            found.update((p, raw[i:j]) for p, i, j in zip(some, starts, ends, strict=True))
         return found
 
-    def _first(self, piece: str) -> bytes:
-        return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _pieces(self, text: str) -> tuple[str, list[str]]:
-        """The start of the text, and the pieces behind it without their leading space."""
+    def _pieces(self, texts: pa.Array) -> pa.Array:
+        """Of each text the list of its pieces."""
         if not self.keeps_space:
-            return "", text.replace("\n", " ").split(" ")
-        parts = text.split(" ")
-        if "" in parts or " \n" in text or "\n " in text or "\n\n" in text or text[:1] == "\n" or text[-1:] == "\n" or _ODD_SPACE.search(text):
-            parts = _BETWEEN.split(text)
-            return parts[0], [p[1:] for p in parts[1:]]
-        parts = text.replace("\n", " \n").split(" ")  # a line feed starts its own piece and needs no space
-        return parts[0], parts[1:]
-
-    def _stem(self, piece: str) -> str:
-        """The piece without full stops and commas behind its last letter: vocabularies always split there."""
-        stem = piece.rstrip(".,")
-        stem = stem if stem and stem[-1].isalpha() else piece
-        return stem.lower() if not self.keeps_space and stem.isascii() else stem
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text the ids, as little-endian unsigned 32-bit integers."""
-        cut = [self._pieces(t) for t in texts]
-        known, there = self.known, set().union(*(p for _, p in cut))
-        new = [p for p in there if p not in known]
-        if len(known) + len(new) > self.most:
-            self.known = known = {}
-            new = list(there)
-        stems = {p: self._stem(p) for p in new}
-        learn = [s for s in set(stems.values()) if s not in known]
-        for i in range(0, len(learn), 8192):
-            known.update(self._learn(learn[i : i + 8192]))
-        for p, s in stems.items():
-            if p is not s and p not in known:
-                mark = p[len(s) :]
-                if mark not in self.marks:
-                    self.marks[mark] = self._first(mark) if mark else b""
-                known[p] = known[s] + self.marks[mark]
-        out = [(self._first(a) if a else b"") + b"".join(map(known.__getitem__, p)) for a, p in cut]
-        for some in (new, learn):
-            for p in some:
-                if len(p) > self.longest:
-                    known.pop(p, None)
-        return out
-
-
-def in_portions(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about `most` characters at most; one longer text is a run of its own."""
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > most:
-            yield start, texts[start:i]
-            start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield start, texts[start:]
+            return pc.split_pattern(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), " ")
+        uneven = pc.match_substring_regex(texts, _UNEVEN).to_pylist()
+        marked = [
+            RAW + (CUT.join([p[1:] if i else p for i, p in enumerate(_BETWEEN.split(t))]) if odd else t.replace("\n", " \n").replace(" ", CUT)) for t, odd in zip(_strings(texts), uneven, strict=True)
+        ]
+        return pc.split_pattern(pa.array(marked, pa.string()), CUT)
+
+    def _all_ids(self, pieces: pa.Array) -> list[bytes]:
+        """Of each of these different pieces the ids."""
+        known, older = self.known, self.older
+        names = _strings(pieces)
+        found = list(map(known.get, names))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            missing = pieces.take(pa.array(new))
+            stems = pc.utf8_rtrim(missing, ".,")  # every vocabulary splits between a plain letter and what isn't one
+            plain, ended = pc.match_substring_regex(stems, _WORD).to_pylist(), pc.match_substring_regex(stems, _ENDED).to_pylist()
+            more: dict[str, bytes] = {}
+            later: list[tuple[str, str]] = []
+            ask: list[str] = []
+            for p, s, word, cut in zip(_strings(missing), _strings(stems), plain, ended, strict=True):
+                if (ids := older.get(p)) is not None:
+                    more[p] = ids
+                    continue
+                ids = known.get(s) or older.get(s) or more.get(s)
+                if ids is None and word:
+                    more[s] = ids = self._word(s)
+                if ids is None or not cut:
+                    ask.append(s if cut else p)
+                    if cut and s != p:
+                        later.append((p, s))
+                elif s != p:
+                    more[p] = ids + self._mark(p[len(s) :])
+                else:
+                    more[p] = ids
+            more.update(self._learn([p for p in set(ask) if p not in more]))
+            for p, s in later:
+                more[p] = more[s] + self._mark(p[len(s) :])
+            for i in new:
+                found[i] = more[names[i]]
+            known.update([x for x in more.items() if len(x[0]) <= self.longest])
+            if len(known) > self.most // 2:
+                self.known, self.older = {}, known
+        return found
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self._ids(mark)
+        return self.marks[mark]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after another (unsigned 32-bit), and where each text's ids end."""
+        apart = [False] * len(texts)
+        marks = [CUT, RAW] if self.keeps_space else []
+        if any(pc.any(pc.match_substring(texts, s)).as_py() for s in marks + self.special):  # rare, so in one call each
+            apart = [any(s in t for s in marks + self.special) for t in texts.to_pylist()]
+            whole = {i: np.frombuffer(self._ids(texts[i].as_py()), "<u4") for i, a in enumerate(apart) if a}
+            texts = pc.if_else(pa.array(apart), "", texts)
+        pieces = self._pieces(texts)
+        coded = pc.dictionary_encode(pieces.flatten())
+        at = coded.indices.to_numpy()
+        of = self._all_ids(coded.dictionary)
+        size = np.fromiter(map(len, of), np.int64, len(of)) // 4
+        flat, begin = np.frombuffer(b"".join(of), "<u4"), np.cumsum(size) - size
+        each = size[at]
+        total = np.concatenate(([0], np.cumsum(each)))
+        ids = flat[np.repeat(begin[at] - total[:-1], each) + np.arange(total[-1])]
+        ends = total[pieces.offsets.to_numpy()[1:] - pieces.offsets[0].as_py()]
+        if any(apart):
+            starts = np.concatenate(([0], ends[:-1]))
+            parts = [whole[i] if a else ids[starts[i] : ends[i]] for i, a in enumerate(apart)]
+            ids, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        return ids, ends
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, keeps_space: bool, most: int = 900_000) -> Encoder:
+    """The encoder of this Python worker, which the tasks that it runs share one after another."""
+    return Encoder(path, keeps_space, most)
+
+
+def in_portions(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts (null: empty) of about `most` bytes at most; one longer text is a run of its own."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    held = np.cumsum(pc.binary_length(texts).to_numpy())
+    start = 0
+    while start < len(texts):
+        before = held[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(held, before + most, side="right")))
+        yield start, texts.slice(start, end - start)
+        start = end
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -159,10 +238,9 @@ class BoundReader:
         self.notes = np.frombuffer(code, "<u4", -(-self.n // EVERY), at + lows + highs)
 
     def _low(self, i: int) -> int:
-        at, value = i * self.low_bits, 0
-        for k in range(self.low_bits):
-            value |= int(self.lows[(at + k) >> 3] >> ((at + k) & 7) & 1) << k
-        return value
+        at = i * self.low_bits
+        few = self.lows[at >> 3 : (at + self.low_bits + 7) >> 3].tobytes()
+        return int.from_bytes(few, "little") >> (at & 7) & ((1 << self.low_bits) - 1)
 
     def select(self, i: int) -> int:
         """The i-th value, from the nearest note before it."""
@@ -220,9 +298,17 @@ class Block:
         return self.bounds.n
 
     def document(self, i: int) -> tuple[int, np.ndarray]:
+        """Start and ids of any one document, by select."""
         start = self.bounds.select(i - 1) if i else 0
         return start, self.ids[start : self.bounds.select(i)]
 
+    def documents(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Start and ids of all documents in turn, from one scan of the bounds."""
+        start = 0
+        for end in self.bounds.all().astype(np.int64).tolist():
+            yield start, self.ids[start:end]
+            start = end
+
 
 # ---------------------------------------------------------------- as DataFrames
 
@@ -242,7 +328,7 @@ def write_token_blocks(docs: DataFrame, vocabulary: str, keeps_space: bool, end_
     dealt = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(tokenizer_path(vocabulary), keeps_space)
+        coder = encoder(tokenizer_path(vocabulary), keeps_space)
         wide = coder.library.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         end, schema = np.array([end_id], "<u4").tobytes(), pa.schema([("part", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("data", pa.binary())])
         ids: list[int | None] = []
@@ -253,14 +339,17 @@ def write_token_blocks(docs: DataFrame, vocabulary: str, keeps_space: bool, end_
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([write_block(held, wide)], pa.binary())], schema=schema)
 
         for batch in batches:
-            docs_of, texts = batch.column(1).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
-            if len(texts):
+            docs_of = batch.column(1).to_pylist()
+            if len(docs_of):
                 part = batch.column(0)[0].as_py()
-            for start, some in in_portions(texts):
-                for d, x in zip(docs_of[start:], coder.encode(some), strict=False):
+            for first, some in in_portions(batch.column(2)):
+                flat, ends = coder.encode(some)
+                raw, begin = flat.tobytes(), 0
+                for d, upto in zip(docs_of[first:], ends.tolist(), strict=False):
                     ids.append(d)
-                    held.append(x + end)
-                    size += len(x) // 4 + 1
+                    held.append(raw[4 * begin : 4 * upto] + end)
+                    size += upto - begin + 1
+                    begin = upto
                     if size >= block_ids:
                         yield close()
                         ids, held, size, number = [], [], 0, number + 1
@@ -289,7 +378,7 @@ def read_token_blocks(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for base, docs_of, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 block = Block(data.as_py())
-                rows = [block.document(i) for i in range(len(block))]
+                rows = list(block.documents())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(docs_of, pa.int64()),

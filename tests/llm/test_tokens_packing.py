@@ -2,9 +2,11 @@
 
 import collections
 import random
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -14,16 +16,28 @@ from firmscope.llm.common import rank_in_group, stage, tokenizer_path
 
 ODD = ["", " ", "a  b", " a b ", "x\n y  \n\n z", "don't  stop\tnow   b", "<|endoftext|> x", "é́ a", "İX \x1c y", "a\x85 b", "日本 語 テスト", "\x01 a\x01b c", "a.\nb,\nc", "\n", "A.B. c.,. ,", "w" * 90 + " " + "v" * 90]
 
+FRAGMENTS = ["İ", "İ.", "ǅ,", "ΑΣ.", "É", "é.", "क़.", "a", "B", "it's", "'LL", "\n", "\n\n", " ", "  ", "\t", "\u3000", "\0", "\1", "<|endoftext|>", "<|startoftext|>", "12", "3.5,", "...", "don't.", "\r\n", "中文", "\u0301", "ß.", "ſ", "😀", "_", "a_b.", "\x85", "\xa0", " .", ". ", "ﬁ.", "Å,"]
+
 
 @pytest.mark.parametrize(("file", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_pieces_encode_as_whole_texts(spark, sf, file, spaced):
+@pytest.mark.parametrize("special", [False, True])
+def test_pieces_encode_as_whole_texts(spark, sf, file, spaced, special):
+    """Table texts, texts of odd fragments, and every letter (but for CJK and Hangul) before a full stop and a comma."""
     texts = ODD + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    r = random.Random(5)
+    texts += ["".join(r.choices(FRAGMENTS, k=r.randint(0, 14))) for _ in range(3000)]
+    letters = [chr(c) for c in range(0x20000) if unicodedata.category(chr(c))[0] == "L" and not (0x3400 <= c <= 0x9FFF or 0xAC00 <= c <= 0xD7A3 or 0x17000 <= c <= 0x18FFF)]
+    texts += [f"a {c}. x{c}, {c}y {c}" for c in letters]
     plain = Tokenizer.from_file(tokenizer_path(file))
-    plain.encode_special_tokens = True
-    small = tokens.Encoder(tokenizer_path(file), spaced, most=500)  # the cache overflows
-    for _, some in tokens.in_portions(texts, 20_000):
-        for t, got in zip(some, small.encode(some), strict=True):
-            assert list(np.frombuffer(got, "<u4")) == plain.encode(t, add_special_tokens=False).ids
+    plain.encode_special_tokens = not special  # a plain call gives special strings their own ids
+    small = tokens.Encoder(tokenizer_path(file), spaced, most=500, special=special)  # the cache overflows
+    for first, some in tokens.in_portions(pa.array(texts), 20_000):
+        ids, ends = small.encode(some)
+        assert len(ids) == ends[-1]
+        for t, a, b in zip(texts[first:], [0, *ends[:-1]], ends, strict=False):
+            assert ids[a:b].tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    ids, ends = small.encode(pa.array([], pa.string()))
+    assert len(ids) == len(ends) == 0
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000])

@@ -2,14 +2,24 @@
 
 Documents are sets of distinct runs of five words. Texts with the same words in the same
 order are one representative from the start, so thousands of copies cost one. Representatives
-that agree in a band of their signature are candidates, and candidates that hang together
-make a family. Families are compared block against block inside tasks: a pair that shares a
-band is compared one batch of signature places at a time, and given up as soon as the
-posterior probability that its similarity reaches the threshold falls below the chosen miss
-probability. Survivors are confirmed on their full sets, likeliest first; a pair that links
-found in the same task already connect needs no more work, so a family of thousands of near
-copies yields a spanning set of links and not every pair. No link between unconnected
-documents is left out by a cap: sets too long to travel are confirmed on the texts.
+that agree in a band of their signature share a bucket and are candidates. They are compared
+in blocks of bounded size inside tasks: a pair is compared one batch of signature places at a
+time, and given up as soon as the posterior probability that its similarity reaches the
+threshold falls below the chosen miss probability. Survivors are confirmed on their full
+sets of word runs, likeliest first, and a pair that links already connect needs no more work.
+
+Two passes look at all candidates without listing the pairs of a group:
+
+1. Stars. A representative goes to the least document that it shares a bucket with, in
+   blocks of at most BLOCK that each hold that document too. So a family of thousands of near
+   copies is linked by work in proportion to its size, and from then on is one component.
+2. Buckets that still hold more than one component. Of their members those of the bucket's
+   largest component are compared with the others, and the others among themselves, never
+   the largest component's among themselves; again in blocks, any two of which meet in a
+   row of their own.
+
+Any two representatives that share a bucket have then been compared or are in one
+component: no link between unconnected documents is left out, and no cap is set.
 """
 
 from __future__ import annotations
@@ -21,17 +31,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, drop, noting, stage
+from .common import column, noting, stage
+from .tokens import in_portions
 
 SPAN = 5
 BANDS, ROWS = 45, 7
 PLACES = BANDS * ROWS
 BATCH = 45
-#: Sets up to this size travel whole with their document.
-WHOLE = 4096
+#: So many bands find most candidates; the others look only for documents that these leave alone.
+EARLY = 9
+#: Members and word runs that a block holds, about.
+BLOCK, BLOCK_RUNS = 64, 1 << 17
 THRESHOLD = (85, 100)
 MISS = 1e-7
 #: A corpus stage links from 0.8 on. 52 bands of 6 places, all but 3 of the signature's, miss a pair at 0.8 with a chance of 1.4e-7.
@@ -49,24 +63,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    draws = _mixed(np.arange(2 * PLACES, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    return draws[:PLACES] | np.uint64(1), draws[PLACES:]
-
-
-BASE = 0x100000001B3
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse, modulo 2 ** 64."""
-    have = _POWERS.get("up", np.zeros(0, np.uint64))
-    if len(have) < n:
-        size, back = max(n, 1 << 17), pow(BASE, -1, 1 << 64)
-        for key, base in (("up", BASE), ("down", back)):
-            run = np.full(size, base, np.uint64)
-            run[0] = 1
-            _POWERS[key] = np.multiply.accumulate(run)
-    return _POWERS["up"], _POWERS["down"]
+    draws = (_mixed(np.arange(2 * PLACES, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(np.uint32)
+    return draws[:PLACES] | np.uint32(1), draws[PLACES:]
 
 
 def words_of(text: str) -> list[bytes]:
@@ -74,41 +72,56 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _words_hash(words: list[bytes]) -> bytes:
-    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-
+def runs_of(words: list[bytes]) -> set[tuple[bytes, ...]]:
+    """The document's set itself: runs of five words, or the whole sequence where there are fewer."""
+    if len(words) < SPAN:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i : i + SPAN]) for i in range(len(words) - SPAN + 1)}
 
-def _some_shingles(words: list[bytes]) -> np.ndarray:
-    joined = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    up, down = _powers(len(joined) + 1)
-    prefix = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=prefix[1:])
-    ends = np.flatnonzero(joined == 32)
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    run = min(SPAN, len(words)) - 1
-    s, e = starts[: len(starts) - run], ends[run:]
-    return _mixed((prefix[e] - prefix[s]) * down[s])
 
+def hashed(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, bytes | None]]:
+    """Of each text: number of words, sorted 64-bit hashes of its distinct runs, and a 128-bit hash of all its words in order.
 
-def shingles(words: list[bytes], portion: int = 20_000) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of five words (fewer words: of all of them)."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) <= portion:
-        return np.unique(_some_shingles(words))
-    parts = [_some_shingles(words[i : i + portion + SPAN - 1]) for i in range(0, len(words) - SPAN + 1, portion)]
-    return np.unique(np.concatenate(parts))
-
-
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """The least of each permutation, its high 32 bits."""
+    Each different word is hashed once to 128 bits. A run's hash mixes the sum of its words' hashes
+    times a multiplier for each place, so neither depends on how letters repeat in a word.
+    """
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = words.flatten()
+    there = pc.greater(pc.binary_length(flat), 0)  # white space around a text leaves empty ones
+    upto = np.concatenate(([0], np.cumsum(there.to_numpy(zero_copy_only=False))))
+    bounds = upto[words.offsets.to_numpy() - words.offsets[0].as_py()]
+    coded = flat.filter(there).dictionary_encode()
+    own = [hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)]
+    lanes = np.frombuffer(b"".join(own), np.uint64).reshape(-1, 2)[coded.indices.to_numpy()] if own else np.zeros((0, 2), np.uint64)
+    places = _mixed(np.arange(1, SPAN + 1, dtype=np.uint64)) | np.uint64(1)
+    first = lanes[:, 0]
+    runs = np.zeros(max(0, len(first) - SPAN + 1), np.uint64)
+    for k in range(SPAN):
+        runs += first[k : k + len(runs)] * places[k]
+    runs = _mixed(runs)
+    for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        n = end - start
+        if n >= SPAN:
+            mine = np.unique(runs[start : end - SPAN + 1])
+        else:
+            mine = _mixed((first[start:end] * places[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n)) if n else runs[:0]
+        yield n, mine, hashlib.blake2b(np.ascontiguousarray(lanes[start:end]), digest_size=16).digest() if n else None
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """Of each permutation the least hash, as one byte drawn from it.
+
+    A byte tells two different least hashes apart but for one time in 256, which only adds candidates:
+    matches grow, so no bound below gives up a pair that it would have kept.
+    """
     a, b = _permutations()
-    least = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 1024):
-        part = hashes[i : i + 1024, None] * a[None, :]
+    small = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(PLACES, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(small), 64):
+        part = small[i : i + 64, None] * a[None, :]
         part += b
         np.minimum(least, part.min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype("<u4")
+    return (_mixed(least.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 @lru_cache(maxsize=8)
@@ -142,77 +155,45 @@ def survivors(left: np.ndarray, right: np.ndarray, threshold: float, miss: float
     return alive
 
 
-def _batch(columns: dict[str, tuple[list | np.ndarray, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
-
-
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, words_hash (of all words in order; null without words), signature."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("words_hash", pa.binary()), ("signature", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, signs = [], [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text or "")
-                hashes = shingles(words)
-                sizes.append(len(hashes))
-                keys.append(_words_hash(words) if words else None)
-                signs.append(signature(hashes).tobytes() if words else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "words_hash", "signature"])
+            for first, some in in_portions(batch.column(1)):
+                sizes, keys, signs = [], [], []
+                for n, hashes, key in hashed(some):
+                    sizes.append(len(hashes))
+                    keys.append(key)
+                    signs.append(signature(hashes) if n else None)
+                ids = batch.column(0).slice(first, len(some))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], schema=schema)
 
     wanted = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     return wanted.mapInArrow(run, "doc_id long, n_shingles long, words_hash binary, signature binary")
 
 
-def _banded(bands: int, rows: int):
-    """(doc_id, signature) to one row a band: bucket, doc_id."""
+def in_buckets(reps: DataFrame, bands: tuple[int, int], which: slice) -> DataFrame:
+    """(doc_id, also, signature) to one row for each of some bands: bucket, doc_id, also."""
+    rows = bands[1]
+    numbers = range(*which.indices(bands[0]))
+    schema = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("also", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            if not n:
+            if not n or not len(numbers):
                 continue
-            signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(n, PLACES)[:, : bands * rows].reshape(n, bands, rows).astype(np.uint64)
-            bucket = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands)).copy()
+            signs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, PLACES)
+            signs = signs[:, numbers.start * rows : numbers.stop * rows].reshape(n, len(numbers), rows).astype(np.uint64)
+            bucket = np.broadcast_to(np.array(numbers, np.uint64) + np.uint64(1), (n, len(numbers))).copy()
             for k in range(rows):
                 bucket = _mixed(bucket ^ signs[:, :, k])
-            ids = batch.column(0).to_numpy()
-            yield _batch({"bucket": (bucket.view(np.int64).ravel(), pa.int64()), "doc_id": (np.repeat(ids, bands), pa.int64())})
-
-    return run
-
-
-def _confirm(percent: tuple[int, int]):
-    """(a, b, text_a, text_b) rows to the linked (a, b), on sets of whole runs of words."""
-    num, den = percent
-
-    def of(text: str) -> set:
-        w = words_of(text)
-        return {tuple(w[i : i + SPAN]) for i in range(len(w) - SPAN + 1)} if len(w) >= SPAN else {tuple(w)}
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, set] = (None, set())
-        for batch in batches:
-            keep = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if last[0] != a:
-                    last = (a, of(x))
-                other = of(y)
-                both = len(last[1] & other)
-                keep.append(den * both >= num * (len(last[1]) + len(other) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+            ids = [np.repeat(batch.column(c).to_numpy(), len(numbers)) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64).ravel()), pa.array(ids[0]), pa.array(ids[1])], schema=schema)
 
-
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: tuple[int, int]) -> DataFrame:
-    """Of pairs (a < b) the links, on the texts."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = stage(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
-    left = some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_confirm(percent), "a long, b long")
+    return reps.mapInArrow(run, "bucket long, doc_id long, also long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -234,80 +215,153 @@ def components(links: DataFrame) -> DataFrame:
             return label.withColumnRenamed("a", "doc_id")
 
 
-BLOCK = 256
-
-
-def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, words_hash, family, part, signature, text) to members with their set, if it is short enough."""
-    for batch in batches:
-        keep, sets = [], []
-        for key, text in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
-            words = words_of(text or "")
-            keep.append(bool(words) and _words_hash(words) == key)  # rows that repeat a doc_id with other words aren't meant
-            hashes = shingles(words) if keep[-1] else ()
-            sets.append(hashes.tobytes() if 0 < len(hashes) <= WHOLE else b"")
-        rows = pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(0), batch.column(4), pa.array(sets, pa.binary())], names=["family", "part", "doc_id", "signature", "hashes"])
-        yield rows.filter(pa.array(keep, pa.bool_()))
+def _likely(left: np.ndarray, right: np.ndarray | None, threshold: float, miss: float, bands: tuple[int, int]) -> list[tuple[int, int]]:
+    """Places of the pairs that share a band and outlive the sequential comparison, likeliest first; right None: pairs within left."""
+    other = left if right is None else right
+    n, m = len(left), len(other)
+    kept, count = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, (1 << 14) // max(1, m))
+    for at in range(0, n, step):
+        i, j = np.divmod(np.arange(min(step, n - at) * m), m)
+        i = i + at
+        if right is None:
+            i, j = i[later := i < j], j[later]
+        s = survivors(left[i], other[j], threshold, miss)
+        equal = left[i[s]] == other[j[s]]
+        banded = equal[:, : bands[0] * bands[1]].reshape(-1, *bands).all(axis=2).any(axis=1)
+        kept.append(np.stack([i[s][banded], j[s][banded]], axis=1))
+        count.append(equal[banded].sum(axis=1))
+    order = np.argsort(-np.concatenate(count), kind="stable")
+    return [(int(x), int(y)) for x, y in np.concatenate(kept)[order]]
 
 
-def _compare_blocks(percent: tuple[int, int], miss: float, bands: tuple[int, int]):
-    """Two blocks of a family (arrays of doc_id, signature, hashes) to links (sure) and pairs to confirm on their texts."""
+def _compare(percent: tuple[int, int], miss: float, bands: tuple[int, int]):
+    """Blocks (lists of doc_id, label, signature and text; `two` holds what `one` is compared with, or nothing) to links that join components."""
     num, den = percent
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                same = batch.column(0)[k].as_py()
-                ids, signs, sets = [], [], []
-                for c in (1, 2):
+                ids, labels, signs, texts = [], [], [], []
+                for c in (0, 1):
                     members = batch.column(c)[k].values
-                    ids.append(members.field("doc_id").to_pylist())
-                    signs.append(np.frombuffer(b"".join(members.field("signature").to_pylist()), "<u4").reshape(-1, PLACES))
-                    sets.append([np.frombuffer(h, np.uint64) for h in members.field("hashes").to_pylist()])
-                root: dict[int, int] = {}
-
-                def top(x: int, root=root) -> int:
-                    while (up := root.get(x, x)) != x:
-                        root[x] = x = root.get(up, up)
-                    return x
-
-                found: list[tuple[int, int, bool]] = []
-                for x, y in _likely(signs, same, num / den, miss, bands):
-                    a, b, p, q = ids[0][x], ids[1][y], sets[0][x], sets[1][y]
-                    if a == b or top(a) == top(b):
-                        continue
-                    if not (len(p) and len(q)):
-                        found.append((min(a, b), max(a, b), False))
-                        continue
-                    if den * min(len(p), len(q)) < num * max(len(p), len(q)):
-                        continue
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    if den * both >= num * (len(p) + len(q) - both):
-                        root[top(a)] = top(b)
-                        found.append((min(a, b), max(a, b), True))
-                if found:
-                    yield _batch({"a": ([f[0] for f in found], pa.int64()), "b": ([f[1] for f in found], pa.int64()), "sure": ([f[2] for f in found], pa.bool_())})
+                    ids += members.field("doc_id").to_pylist()
+                    labels += members.field("label").to_pylist()
+                    signs.append(np.frombuffer(b"".join(members.field("signature").to_pylist()), np.uint8).reshape(-1, PLACES))
+                    texts.append(members.field("text"))
+                yield from _links(ids, labels, signs, pa.concat_arrays(texts))
+
+    def _links(ids: list[int], labels: list[int], signs: list[np.ndarray], texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        pairs = _likely(signs[0], signs[1] if len(signs[1]) else None, num / den, miss, bands)
+        if not pairs:
+            return
+        behind = len(signs[0]) if len(signs[1]) else 0
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        pairs = [(x, y + behind) for x, y in pairs]
+        asked = sorted({p for pair in pairs for p in pair})
+        quick = dict(zip(asked, (h for _, h, _ in hashed(texts.take(pa.array(asked)))), strict=True))
+        whole: dict[int, set] = {}
+        found: list[tuple[int, int]] = []
+        for x, y in pairs:
+            if ids[x] == ids[y] or top(labels[x]) == top(labels[y]):
+                continue
+            p, q = quick[x], quick[y]
+            if den * min(len(p), len(q)) < num * max(len(p), len(q)):
+                continue
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            if den * both < num * (len(p) + len(q) - both):
+                continue
+            for z in (x, y):
+                if z not in whole:
+                    whole[z] = runs_of(words_of(texts[z].as_py()))
+            both = len(whole[x] & whole[y])  # equal hashes aren't proof; equal words are
+            if den * both >= num * (len(whole[x]) + len(whole[y]) - both):
+                root[top(labels[x])] = top(labels[y])
+                found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found])], schema=schema)
 
     return run
 
 
-def _likely(signs: list[np.ndarray], same: bool, threshold: float, miss: float, bands: tuple[int, int]) -> list[tuple[int, int]]:
-    """Places of the pairs that share a band and outlive the sequential comparison, likeliest first."""
-    n, m = len(signs[0]), len(signs[1])
-    kept, count = [], []
-    step = max(1, (1 << 14) // max(1, m))
-    for at in range(0, n, step):
-        i, j = np.divmod(np.arange(min(step, n - at) * m), m)
-        i = i + at
-        if same:
-            i, j = i[later := i < j], j[later]
-        s = survivors(signs[0][i], signs[1][j], threshold, miss)
-        equal = signs[0][i[s]] == signs[1][j[s]]
-        banded = equal[:, : bands[0] * bands[1]].reshape(-1, *bands).all(axis=2).any(axis=1)
-        kept.append(np.stack([i[s][banded], j[s][banded]], axis=1))
-        count.append(equal[banded].sum(axis=1))
-    order = np.argsort(-np.concatenate(count), kind="stable")
-    return [(int(x), int(y)) for x, y in np.concatenate(kept)[order]]
+def _blocks(n: str, runs: str) -> F.Column:
+    """How many blocks so many members with so many word runs make."""
+    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(runs) / BLOCK_RUNS, F.lit(1))).cast("int")
+
+
+def _part(parts: str) -> F.Column:
+    return F.pmod(F.xxhash64("doc_id"), F.col(parts)).cast("int")
+
+
+def links_of(placed: DataFrame, chosen: DataFrame, key: list[str], percent: tuple[int, int], miss: float, bands: tuple[int, int]) -> DataFrame:
+    """Members dealt to blocks (key, doc_id, label, second) to links; chosen: doc_id, signature, text."""
+    member = F.struct("doc_id", "label", "signature", "text")
+    rows = placed.join(chosen.select("doc_id", "signature", "text"), "doc_id")
+    one, two = F.collect_list(F.when(~F.col("second"), member)), F.collect_list(F.when(F.col("second"), member))
+    blocks = rows.groupBy(*key).agg(one.alias("one"), two.alias("two")).select("one", "two")
+    return blocks.mapInArrow(_compare(percent, miss, bands), "a long, b long")
+
+
+def star_blocks(stars: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, star) to blocks of each star's members, its centre in all of them."""
+    sizes = stars.groupBy("star").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("runs")).select("star", _blocks("n", "runs").alias("parts"))
+    members = stars.join(sizes, "star").select("star", _part("parts").alias("part"), "doc_id")
+    centres = sizes.select("star", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("star").alias("doc_id"))
+    return members.union(centres).select("star", "part", "doc_id", F.col("doc_id").alias("label"), F.lit(False).alias("second"))
+
+
+def open_blocks(labelled: DataFrame, bands: tuple[int, int]) -> DataFrame:
+    """(doc_id, label, n_shingles, signature) to blocks of the buckets that hold more than one label.
+
+    home: the bucket's most frequent label. Others are compared with others (block `with` others) and with
+    the home label's members (block `with` theirs, numbered from -1 down). Buckets with the same members are looked at once.
+    """
+    banded = stage(in_buckets(labelled.select("doc_id", F.col("label").alias("also"), "signature"), bands, slice(None)), "buckets").withColumnRenamed("also", "label")
+    same = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))) for k in (0, 1)]
+    open_ = banded.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), *[s.alias(f"s{k}") for k, s in enumerate(same)], F.count(F.lit(1)).alias("n"))
+    open_ = open_.filter("low <> high").groupBy("s0", "s1", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = stage(banded.join(open_, "bucket").join(labelled.select("doc_id", "n_shingles"), "doc_id"), "open-buckets")
+    by_label = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("runs"))
+    home = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).getField("label").alias("home"))
+    mine = F.col("label") == F.col("home")
+    parts = by_label.join(home, "bucket").groupBy("bucket").agg(
+        F.max("home").alias("home"), *[F.sum(F.when(own, F.col(c))).alias(f"{c}_{kind}") for kind, own in (("home", mine), ("other", ~mine)) for c in ("n", "runs")]
+    )
+    parts = parts.select("bucket", "home", _blocks("n_home", "runs_home").alias("homes"), _blocks("n_other", "runs_other").alias("others"))
+    dealt = members.join(parts, "bucket").withColumn("part", F.when(mine, _part("homes")).otherwise(_part("others")))
+    others = F.sequence(F.lit(0), F.col("others") - 1)
+    # a block of home members meets each block of others; a block of others meets those, itself and each other one
+    with_home = lambda o, h: F.struct(o.alias("part"), (-1 - h).alias("with"), mine.alias("second"))
+    met_home = F.when(mine, F.transform(others, lambda o: with_home(o, F.col("part")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda h: with_home(F.col("part"), h)))
+    met_other = F.transform(others, lambda o: F.struct(F.least(o, F.col("part")).alias("part"), F.greatest(o, F.col("part")).alias("with"), (F.col("part") > o).alias("second")))
+    rows = dealt.select("bucket", "doc_id", "label", F.explode(F.when(mine, met_home).otherwise(F.concat(met_home, met_other))).alias("at"))
+    return rows.select("bucket", "at.*", "doc_id", "label")
+
+
+def candidates(reps: DataFrame, bands: tuple[int, int]) -> DataFrame:
+    """(doc_id, star) of the representatives that share a bucket: the least one that they share one with, or (the centre of its buckets) null.
+
+    The first EARLY bands find most; of the others only representatives that those leave alone take part, so what is
+    joined stays in proportion to the members of a large group, not to them times all bands.
+    """
+    plain = reps.select("doc_id", F.lit(0).cast("long").alias("also"), "signature")
+    ends = in_buckets(plain, bands, slice(None)).groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    ends = stage(ends.filter("first <> last").select("bucket", "first"), "shared-buckets")
+
+    def found(rows: DataFrame, which: slice) -> DataFrame:
+        met = in_buckets(rows, bands, which).join(ends, "bucket")
+        return met.groupBy("doc_id").agg(F.min("first").alias("first"))
+
+    early = stage(found(plain, slice(0, EARLY)), "early-candidates")
+    late = found(plain.join(early, "doc_id", "left_anti"), slice(EARLY, None))
+    return early.union(late).select("doc_id", F.when(F.col("first") < F.col("doc_id"), F.col("first")).alias("star"))
 
 
 def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: tuple[int, int] = THRESHOLD, miss: float = MISS, bands: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
@@ -322,34 +376,45 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     described = stage(describe(docs, id_col, text_col), "signatures")
     # the least doc_id stands for all documents with its sequence of words
-    owners = described.filter("words_hash is not null and doc_id is not null").groupBy("words_hash").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"))
-    owners = stage(owners, "representatives")
-    reps = owners.select(F.col("rep").alias("doc_id"), "signature")
+    owners = described.filter("words_hash is not null and doc_id is not null").groupBy("words_hash")
+    owners = stage(owners.agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")), "representatives")
+    # of a repeated doc_id with several sequences of words, which of them stands for it depends on the words alone
+    reps = owners.select(F.col("rep").alias("doc_id"), "n_shingles", "words_hash", "signature")
     texts = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
 
-    with noting() as made:
-        banded = stage(reps.mapInArrow(_banded(*bands), "bucket long, doc_id long"), "bands")
-    ends = banded.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last").select("bucket", "first")
-    met = banded.join(ends, "bucket").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    family = components(met).withColumnRenamed("group", "family")
-    drop(docs.sparkSession, made)
-    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    placed = family.join(sizes, "family").select("doc_id", "family", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("part"))
-    placed = placed.join(owners.select(F.col("rep").alias("doc_id"), "words_hash", "signature"), "doc_id")
-    rows = texts.join(placed, "doc_id").select("doc_id", "words_hash", "family", "part", "signature", "text")
-    rows = rows.mapInArrow(_members, "family long, part int, doc_id long, signature binary, hashes binary").dropDuplicates(["doc_id", "signature"])
-    blocks = stage(rows.groupBy("family", "part").agg(F.collect_list(F.struct("doc_id", "signature", "hashes")).alias("members")), "blocks")
-    one, two = blocks.select("family", F.col("part").alias("p1"), F.col("members").alias("m1")), blocks.select("family", F.col("part").alias("p2"), F.col("members").alias("m2"))
-    pairs = one.join(two, "family").filter("p1 <= p2").select(F.expr("p1 = p2").alias("same"), "m1", "m2")
-    found = stage(pairs.mapInArrow(_compare_blocks(percent, miss, bands), "a long, b long, sure boolean"), "survivors")
-    links = found.filter("sure").select("a", "b").union(confirmed(found.filter("not sure").select("a", "b").distinct(), texts, percent))
-    groups = components(links)
+    shared = stage(candidates(reps, bands), "candidates")
+    chosen = stage(_with_texts(shared, reps, texts), "candidate-texts")
+    stars = chosen.filter("star is not null").select("doc_id", "n_shingles", "star")
+    links = stage(links_of(star_blocks(stars), chosen, ["star", "part"], percent, miss, bands), "star-links")
+    label = components(links).withColumnRenamed("group", "label")
+    labelled = chosen.join(label, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "n_shingles", "signature")
+    more = stage(links_of(open_blocks(labelled, bands), chosen, ["bucket", "part", "with"], percent, miss, bands), "open-links")
+    groups = components(links.union(more))
     rows = described.select("doc_id", "n_shingles", "words_hash").join(owners.select("words_hash", "rep"), "words_hash", "left")
     out = rows.join(groups.select(F.col("doc_id").alias("rep"), "group"), "rep", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _with_texts(shared: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidates with what they are compared by: doc_id, star, n_shingles, signature, text.
+
+    A row of texts that repeats a doc_id with other words than the representative's isn't meant; one with the same words, whatever its case and spaces, stands for all.
+    """
+    described = shared.join(reps, "doc_id")
+
+    def meant(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, some in in_portions(batch.column(1)):
+                keys = pa.array([key for _, _, key in hashed(some)], pa.binary())
+                part = batch.slice(first, len(some))
+                yield part.select([0, 1, 3, 4, 5]).filter(pc.equal(keys, part.column(2)))
+
+    rows = texts.join(described, "doc_id").select("doc_id", "text", "words_hash", "star", "n_shingles", "signature")
+    once = rows.mapInArrow(meant, "doc_id long, text string, star long, n_shingles long, signature binary")
+    return once.groupBy("doc_id", "signature").agg(F.min("star").alias("star"), F.min("n_shingles").alias("n_shingles"), F.min("text").alias("text"))
+
+
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """The rows without those whose near-duplicate group keeps another document; of repeated rows of a doc_id one.
 

@@ -4,6 +4,8 @@ import collections
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,11 +171,11 @@ def groups_of(texts):
     return [(len(s), top(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("whole", [4096, 50])
-def test_near_duplicates(spark, monkeypatch, whole):
-    """A large family of near copies, copies, shared passages; with small `whole` sets are confirmed on texts."""
-    monkeypatch.setattr(neardup, "WHOLE", whole)
-    monkeypatch.setattr(neardup, "BLOCK", 16)
+@pytest.mark.parametrize(("block", "early"), [(16, 9), (5, 0), (64, 45)])
+def test_near_duplicates(spark, monkeypatch, block, early):
+    """A large family of near copies, looser ones that link only in chains, copies, shared passages; blocks of several sizes."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "EARLY", early)
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
     base, passage = [word() for _ in range(120)], [word() for _ in range(60)]
@@ -184,12 +186,35 @@ def test_near_duplicates(spark, monkeypatch, whole):
             t[r.randrange(120)] = word()
         texts.append(" ".join(t))
     texts += [" ".join([word() for _ in range(40)] + passage) for _ in range(20)] + texts[5:9]
+    for _ in range(60):  # most pairs of these share buckets and aren't linked
+        t = list(passage * 3)
+        for _ in range(r.randint(1, 5)):
+            t[r.randrange(180)] = word()
+        texts.append(" ".join(t))
+    r.shuffle(texts)
     want = groups_of(texts)
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, family string").repartition(3)
     got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.linked_groups(df).collect()}
     assert got == {i: (n, g, g == i) for i, (n, g) in enumerate(want)}
 
 
+def test_equal_hashes_do_not_link(spark):
+    """Words whose polynomial hashes modulo a power of two are equal are different words."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    rows = [(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one.upper())]
+    got = neardup.linked_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)]
+
+
+def test_confirmation_is_on_words(monkeypatch):
+    """Even with all hashes of runs alike, only documents with the same words link."""
+    monkeypatch.setattr(neardup, "hashed", lambda texts: ((9, np.arange(9, dtype=np.uint64), b"") for _ in texts))
+    docs = [{"doc_id": i, "label": i, "signature": bytes(neardup.PLACES), "text": t} for i, t in enumerate(["a b c d e f", "u v w x y z", "A b c d e f"])]
+    batch = pa.RecordBatch.from_pylist([{"one": docs, "two": []}], schema=pa.schema([(n, pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int64()), ("signature", pa.binary()), ("text", pa.string())]))) for n in ("one", "two")]))
+    (links,) = neardup._compare((85, 100), 1e-7, (45, 7))([batch])
+    assert links.to_pylist() == [{"a": 0, "b": 2}]
+
+
 def test_bayes_bounds():
     least = neardup.fewest_matches(0.85, 1e-7)
     assert list(least) == sorted(least) and least[-1] < 0.85 * neardup.PLACES

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,7 +30,10 @@ def _own_folder() -> str:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all machines share: spark.checkpoint.dir, or (unset, on one machine) one of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return (folder or _own_folder()).rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -81,23 +85,35 @@ def column(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"]
 
 
+#: So many quantiles of a table's order are asked for; stretches between them hold about equal numbers of rows.
+QUANTILES = 4096
+
+
+def _stretch(value: Column, bounds: list[int]) -> Column:
+    """How many of the bounds are at most the value: first among every few of them, then between two of those."""
+    step = max(1, math.isqrt(len(bounds)))
+    upto = lambda some: F.size(F.filter(some, lambda b: b <= value))
+    coarse = upto(F.array(*[F.lit(b) for b in bounds[step - 1 :: step]]))
+    return coarse * step + upto(F.slice(F.array(*[F.lit(b) for b in bounds]), coarse * step + 1, F.lit(step)))
+
+
 def rank_in_group(df: DataFrame, group: list[str], order: str, ties: list[str], out: str, cell_rows: int = 500_000) -> DataFrame:
     """Number the rows of each group from 0 in the order of `order` (a long), then `ties`.
 
-    A group can hold most of the rows, so no task sorts a whole group: the order
-    column's range is cut into equal stretches of about `cell_rows` rows (32 to 4096
-    of them), each (group, stretch) is numbered by itself, and counts of the stretches
-    before it are added: a table of stretches times groups, small enough to spare the
-    rows a second shuffle. Stretches keep the order, so the numbers don't depend on how
-    many there are. Null orders come first. Rows equal in order and ties are numbered
-    among each other freely.
+    A group can hold most of the rows, so no task sorts a whole group: the order is cut at
+    quantiles into stretches of about `cell_rows` rows (32 to 4096 of them), wherever its values lie,
+    each (group, stretch) is numbered by itself, and counts of the stretches before it are added: a
+    table of stretches times groups, small enough to spare the rows a second shuffle. Stretches keep the
+    order, so the numbers don't depend on how many there are. Null orders come first, in
+    64 stretches by a hash of their ties. Rows equal in order and ties are numbered among each
+    other freely. One value of `order` (an id or a place) is not expected to hold a large share of the rows.
     """
-    low, high, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    low, high = (0, 0) if low is None else (low, high)
-    cells = max(32, min(4096, n // cell_rows))
-    width = (high - low) // cells + 1
+    n, found = df.agg(F.count(F.lit(1)), F.percentile_approx(order, [i / QUANTILES for i in range(1, QUANTILES)], 10 * QUANTILES)).first()
+    cells = max(32, min(QUANTILES, n // cell_rows))
+    bounds = sorted(set((found or [])[QUANTILES // cells - 1 :: max(1, QUANTILES // cells)]))
     cell, before = fresh(df, "cell"), fresh(df, "before")
-    cut = F.coalesce(F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("int"), F.lit(-1))
+    nulls = F.pmod(F.xxhash64(*ties), F.lit(64)).cast("int") - 64
+    cut = F.when(F.col(order).isNull(), nulls).otherwise(_stretch(F.col(order), bounds) if bounds else F.lit(0))
     rows = df.withColumn(cell, cut)
     counts = rows.groupBy(*group, cell).agg(F.count(F.lit(1)).alias(before))
     earlier = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)

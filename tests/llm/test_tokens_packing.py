@@ -105,12 +105,38 @@ def test_packs(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_pieces_hold_the_librarys_ids(spark, sf):
+    """Start, length, checksum and total of every piece, over whole texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").filter("doc_id is not null")
+    plain, want = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), {}
+    plain.encode_special_tokens = True
+    for r in docs.collect():
+        ids = plain.encode(r.text or "", add_special_tokens=False).ids + [1]
+        for at in range(0, len(ids), 2048):
+            part = np.array(ids[at : at + 2048], "<u4")
+            want[r.doc_id, at] = (len(part), zlib.crc32(part.tobytes()), len(ids))
+    got = packing.pack_documents(docs).collect()
+    assert {(r.doc_id, r.start): (r.length, r.ids_crc32, r.doc_tokens) for r in got} == want and len(got) == len(want)
+
+
 def test_ranks(spark):
     rows = [(g, r, k) for k, (g, r) in enumerate([("a", 5), ("a", None), ("a", 5), ("b", 1 << 60), ("a", -7), (None, 3), (None, 1)])]
     got = rank_in_group(spark.createDataFrame(rows, "g string, r long, k long"), ["g"], "r", ["k"], "n").collect()
     assert {x.k: x.n for x in got} == {1: 0, 4: 1, 0: 2, 2: 3, 3: 0, 6: 0, 5: 1}
 
 
+def test_ranks_of_ids_all_over_the_range(spark):
+    """Hashed ids over the signed range, and one outlier far from the others."""
+    r = random.Random(2)
+    for ids in ([r.randint(-(1 << 63), (1 << 63) - 1) for _ in range(400)] + [-(1 << 63), (1 << 63) - 1], [*range(400), 1 << 62]):
+        rows = [(i % 2, d) for i, d in enumerate(ids)]
+        df = spark.createDataFrame(rows, "g long, id long")
+        got = {(x.g, x.id): x.n for x in rank_in_group(df, ["g"], "id", ["id"], "n").collect()}
+        assert got == {(g, d): n for g in (0, 1) for n, d in enumerate(sorted(d for k, d in rows if k == g))}
+        docs = df.select(F.col("id").alias("doc_id"), F.col("g").cast("string").alias("source"), F.lit("a b").alias("text"))
+        assert mixing.mix_sources(docs).count() == packing.pack_documents(docs).count() == len(rows)
+
+
 def edf(units, period):
     had, run = dict.fromkeys(units, 0), []
     for slot in range(period):

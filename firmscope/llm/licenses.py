@@ -255,23 +255,53 @@ def words_of(text: Column) -> Column:
     return F.when(text.rlike(ANY_WORD), small).otherwise(F.lit(""))
 
 
+#: Words that no text has: they stand before and behind a match.
+OPEN, CLOSE = "\x01", "\x02"
+
+
 def _found(words: Column, rule: Column) -> Column:
-    """All places where the rule's pattern stands: start and end in characters of the string of words."""
-    hits = F.regexp_extract_all(words, rule["pattern"], F.lit(0))
-    between = F.split(words, rule["pattern"], -1)
-    pairs = F.arrays_zip(F.transform(between, lambda x: F.char_length(x)).alias("gap"), F.transform(hits, lambda x: F.char_length(x)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(HITS).alias("out"))
+    """All places where the rule's pattern stands: first word and the word behind the last.
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["gap"]
-        e = s + x["hit"]
-        one = F.struct(s.alias("s"), e.alias("e"), rule["rank"].alias("rank"), rule["label"].alias("label"))
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+    Matches are marked in the string of words, which is then cut into words: a mark's number less
+    the marks before it is the word's. So the work is that of reading the text, however many matches it has.
+    """
+    marked = F.regexp_replace(words, rule["pattern"], F.lit(f" {OPEN} $0 {CLOSE} "))
+    numbered = F.transform(F.filter(F.split(marked, " +"), lambda w: w != ""), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
 
-    return F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), start, step, lambda a: a["out"])
+    def places(mark: str, before: int) -> Column:
+        return F.transform(F.filter(numbered, lambda x: x["w"] == mark), lambda x, k: x["i"] - 2 * k - before)
+
+    pairs = F.arrays_zip(places(OPEN, 0).alias("s"), places(CLOSE, 1).alias("e"))
+    return F.transform(pairs, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), rule["rank"].alias("rank"), rule["label"].alias("label")))
 
 
 HITS = "array<struct<s:int,e:int,rank:int,label:string>>"
+#: Detections that are looked at in one go: what is built up step by step stays short.
+STRIDE = 256
+
+
+def _standing(ordered: Column) -> Column:
+    """For each detection, in order of place, "1" if it stays and "0" if it is suppressed.
+
+    The furthest end of each rank so far is all that is carried from one detection to the next.
+    """
+    far = F.array(*[F.lit(-1)] * len(CONFIDENCE))
+
+    def step(a: Column, x: Column) -> Column:
+        e = -x["minus"]
+        within = F.exists(F.slice(a["far"], 1, x["rank"] + 1), lambda f: f >= e)
+        stays = (x["rank"] == 0) | ~within
+        new = F.transform(a["far"], lambda f, i: F.when((i == x["rank"]) & (f < e) & stays, e).otherwise(f))
+        return F.struct(new.alias("far"), F.concat(a["flags"], F.when(stays, "1").otherwise("0")).alias("flags"))
+
+    def stretch(a: Column, at: Column) -> Column:
+        some = F.aggregate(F.slice(ordered, at * STRIDE + 1, F.lit(STRIDE)), F.struct(a["far"].alias("far"), F.lit("").alias("flags")), step)
+        return F.transform(F.array(some), lambda r: F.struct(r["far"].alias("far"), F.concat(a["flags"], r["flags"]).alias("flags")))[0]
+
+    numbers = F.sequence(F.lit(0), F.floor(F.size(ordered) / STRIDE).cast("int"))
+    return F.split(F.aggregate(numbers, F.struct(far.alias("far"), F.lit("").alias("flags")), stretch, lambda a: a["flags"]), "")
+
+
 RULES = "array<struct<keys:array<string>,rules:array<struct<pattern:string,rank:int,label:string>>>>"
 
 
@@ -280,8 +310,7 @@ def detections(words: Column, only: list[Rule] | None = None) -> Column:
 
     Rules are tried by the words they need: those of which the text holds none can't match.
     One is dropped if it lies within another of the same or a better rank (of equal ones the
-    first in rule order stays); base phrases always stay. A scan over detections by place
-    keeps the furthest end seen of each rank, which is all that containment asks for.
+    first in rule order stays); base phrases always stay.
     """
     keywords: dict[tuple[str, int, str], set[str]] = {}  # a rule stands once for each of its keywords
     for r in only or rules():
@@ -290,26 +319,19 @@ def detections(words: Column, only: list[Rule] | None = None) -> Column:
     for (label, rank, pattern), prefer in keywords.items():
         by_keys.setdefault(needed(pattern, frozenset(prefer)), []).append({"pattern": compile_pattern(pattern), "rank": rank, "label": label})
     table = F.from_json(F.lit(json.dumps([{"keys": [f" {k} " for k in sorted(ks)], "rules": v} for ks, v in by_keys.items()])), RULES)
-    none = F.array().cast(HITS)
     tried = F.flatten(F.transform(F.filter(table, lambda t: F.exists(t["keys"], lambda k: F.contains(words, k))), lambda t: F.filter(t["rules"], lambda r: F.rlike(words, r["pattern"]))))
     every = F.flatten(F.transform(tried, lambda r: _found(words, r)))
     ordered = F.array_sort(F.transform(every, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("minus"), x["rank"].alias("rank"), x["label"].alias("label"))))
-    ranks = len(CONFIDENCE)
-    start = F.struct(F.array(*[F.lit(-1)] * ranks).alias("far"), none.alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        e = -x["minus"]
-        within = F.exists(F.slice(a["far"], 1, x["rank"] + 1), lambda f: f >= e)
-        stays = (x["rank"] == 0) | ~within
-        far = F.transform(a["far"], lambda f, i: F.when((i == x["rank"]) & (f < e), e).otherwise(f))
-        one = F.array(F.struct(x["s"].alias("s"), e.alias("e"), x["rank"].alias("rank"), x["label"].alias("label")))
-        return F.when(stays, F.struct(far.alias("far"), F.concat(a["out"], one).alias("out"))).otherwise(a)
+    def left(o: Column) -> Column:
+        flags = F.transform(F.array(_standing(o)), lambda f: F.filter(o, lambda x, i: F.get(f, i) == "1"))[0]
+        return F.transform(flags, lambda x: F.struct(x["s"].alias("s"), (-x["minus"]).alias("e"), x["rank"].alias("rank"), x["label"].alias("label")))
 
-    return F.aggregate(ordered, start, step, lambda a: a["out"])
+    return F.transform(F.array(ordered), left)[0]
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows with license_words (long) and license_hits (array of s, e, rank, label and w, the number of words before) added.
+    """All rows with license_words (long) and license_hits (array of s, e, rank, label: words from the s-th up to before the e-th, from 0) added.
 
     Null and empty texts have no words and no hits. Columns of the added names are replaced.
     """
@@ -325,12 +347,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = docs.withColumn("license_words", F.regexp_count(text, F.lit(f"{ANY_WORD}+")).cast("long"))
     string = F.when(gate, words_of(text)).otherwise(F.lit(""))
 
-    def of(w: Column) -> Column:
-        before = lambda s: F.floor((s - F.char_length(F.replace(F.substring(w, F.lit(1), s), F.lit(" "), F.lit("")))) / 2).cast("long")
-        return F.transform(detections(w), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["rank"].alias("rank"), x["label"].alias("label"), before(x["s"]).alias("w")))
-
-    none = F.array().cast("array<struct<s:int,e:int,rank:int,label:string,w:bigint>>")
-    return rows.withColumn("license_hits", F.transform(F.array(string), lambda w: F.when(w == "", none).otherwise(of(w)))[0])
+    none = F.array().cast(HITS)
+    return rows.withColumn("license_hits", F.transform(F.array(string), lambda w: F.when(w == "", none).otherwise(detections(w)))[0])
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,6 +363,6 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         score = F.when(best == rank, F.lit(value)).otherwise(score)
     return rows.select(
         "doc_id", F.col("license_words").alias("n_words"), F.size(base).cast("long").alias("n_base"),
-        F.array_min(F.transform(base, lambda x: x["w"])).alias("first_word"), F.array_max(F.transform(base, lambda x: x["w"])).alias("last_word"),
+        F.array_min(F.transform(base, lambda x: x["s"])).cast("long").alias("first_word"), F.array_max(F.transform(base, lambda x: x["s"])).cast("long").alias("last_word"),
         names(base).alias("base_labels"), names(hits).alias("labels"), score.alias("score"),
     )

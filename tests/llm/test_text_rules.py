@@ -84,6 +84,14 @@ def test_licenses(spark):
     assert licenses.license_report(df.limit(0)).count() == 0
 
 
+def test_a_text_of_very_many_detections(spark):
+    n = 30_000
+    rows = [(1, "Under the MIT license. " * n), (2, "under the apache license version 2 or gplv3, " * n)]
+    got = {r.doc_id: r for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert tuple(got[1])[1:] == (4 * n, n, 0, 4 * (n - 1), "mit", "mit", 1.0)
+    assert tuple(got[2])[1:6] == (8 * n, n, 2, 8 * (n - 1) + 2, "apache-2") and "apache-2" in got[2].labels and "gpl-3" in got[2].labels
+
+
 def example(pattern):
     """A text that the word pattern matches: first choices, no optional parts."""
     while "(" in pattern:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -20,11 +22,28 @@ from pyspark.sql import functions as F
 
 from .common import column
 
+def _marks() -> str:
+    """The combining marks, as ranges of a character class."""
+    found = [c for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Mn", "Mc")]
+    starts = [c for i, c in enumerate(found) if not i or found[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(found) if i + 1 == len(found) or found[i + 1] != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
 WORDS = re.compile(r"[^\W\d_]+")
+MARKS = re.compile(f"[{_marks()}]")
+#: With the marks that many scripts write vowels with.
+MARKED_WORDS = re.compile(rf"[^\W\d_](?:[^\W\d_]|{MARKS.pattern})*")
 LONGEST = 4
 UNKNOWN = "und"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, with the combining marks behind them, in small letters."""
+    low = text.lower()
+    return (WORDS if low.isascii() or not MARKS.search(low) else MARKED_WORDS).findall(low)
+
+
 @dataclass(frozen=True)
 class Model:
     """languages; of each known word and n-gram the row of its log frequencies per language."""
@@ -51,7 +70,7 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.update((lang, w) for w in WORDS.findall(text.lower()))
+            held.update((lang, w) for w in words_of(text))
             if len(held) > 200_000:
                 yield rows()
                 held.clear()
@@ -59,28 +78,54 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def fit(labelled: DataFrame, rows: int = 20_000, words: int = 40_000, grams: int = 12_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+#: Numbers that a model's tables of words, and of n-grams, hold at most (each has a row for a key and a column for a language).
+CELLS = 16_000_000
+#: Parts in which each language's keys are ranked before the best of all parts are.
+PARTS = 16
+
+
+def even_shares(counts: dict[str, int], rows: int) -> dict[str, float]:
+    """The share of each language's rows to learn from, about `rows` in all: scarce languages whole, the others equally many rows."""
+    left, shares = rows, {}
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        most = left // (len(counts) - i)
+        shares[lang] = min(1.0, most / n)
+        left -= min(n, most)
+    return shares
+
+
+def _best(counts: DataFrame, by: list[Column], key: str, most: int) -> DataFrame:
+    """The `most` most frequent keys of each group; ranked in parts first, so that no task ranks all of a group's keys."""
+    order = [F.desc("n"), F.col(key)]
+    parts = counts.withColumn("r", F.row_number().over(Window.partitionBy(*by, F.pmod(F.xxhash64(key), F.lit(PARTS))).orderBy(*order))).filter(F.col("r") <= most)
+    return parts.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("r") <= most).select("lang", key, "n")
+
+
+def fit(labelled: DataFrame, rows: int = 20_000, words: int = 40_000, grams: int = 12_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", cells: int = CELLS) -> Model:
     """Learn from a sample of about `rows` labelled rows (chosen by a hash of the id; all if there are fewer).
 
-    The `words` most frequent words and `grams` most frequent n-grams of each length and
-    language are kept, so the model's size is bounded whatever the corpus. Rows with a null
+    Each language has an equal part in the sample, scarce ones all their rows, so that none is
+    missed. The `words` most frequent words and `grams` most frequent n-grams of each length and
+    language are kept, and with many languages fewer, so that no table exceeds `cells` numbers: the model
+    and what is gathered for it are bounded whatever the corpus and its languages. Rows with a null
     text or language teach nothing. Without any labelled row the model knows no language.
     """
     taught = labelled.select(column(labelled, lang_col).cast("string").alias("lang"), column(labelled, text_col).cast("string").alias("text"), column(labelled, id_col).cast("string").alias("id"))
     taught = taught.filter("lang is not null and text is not null")
-    total = taught.count()
-    if total > rows:
-        share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * rows / total)
-        taught = taught.filter(share)
+    sizes = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    if sum(sizes.values()) > rows:
+        shares = labelled.sparkSession.createDataFrame([(k, int((1 << 30) * v)) for k, v in even_shares(sizes, rows).items()], "lang string, upto long")
+        chosen = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 30)) < F.col("upto")
+        taught = taught.join(shares, "lang").filter(chosen)
+    most = max(1, cells // max(1, len(sizes)) ** 2)
+    words, grams = min(words, most), min(grams, most // LONGEST + 1)
     counts = taught.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).cache()
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counts.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= words).select("lang", "word", "n").collect()  # bounded by `words` a language
+    top = _best(counts, [F.col("lang")], "word", words).collect()  # bounded by `words` a language
     marked = F.concat(F.lit("^"), "word", F.lit("$"))
-    sizes = F.array(*[F.lit(n) for n in range(1, LONGEST + 1)])
-    cut = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(marked) - n + 1, F.lit(1))), lambda i: F.substring(marked, i, n))))
+    lengths = F.array(*[F.lit(n) for n in range(1, LONGEST + 1)])
+    cut = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(marked) - n + 1, F.lit(1))), lambda i: F.substring(marked, i, n))))
     pieces = counts.select("lang", F.explode(cut).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang", F.char_length("gram")).orderBy(F.desc("n"), "gram")
-    top_grams = pieces.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= grams).select("lang", "gram", "n").collect()
+    top_grams = _best(pieces, [F.col("lang"), F.char_length("gram")], "gram", grams).collect()
     counts.unpersist()
     languages = sorted({r["lang"] for r in top})
     known, word_logs = _logs(top, "word", languages, lambda _: 0)
@@ -108,7 +153,7 @@ class Scorer:
     """Sums a text's words under a model; remembers what unseen words came to (bounded)."""
 
     def __init__(self, model: Model, remember: int = 200_000):
-        self.model, self.remember = model, remember
+        self.model, self.remember = model, min(remember, CELLS // max(1, len(model.languages)))
         self._forget()
 
     def _forget(self) -> None:
@@ -129,7 +174,7 @@ class Scorer:
 
     def score(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its posterior probability under equal priors."""
-        words = WORDS.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not self.model.languages or not any(any(map(str.isalpha, w)) for w in words):  # a word may be of signs like ½ alone
             return UNKNOWN, 0.0
         place = self.place

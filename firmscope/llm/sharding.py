@@ -65,13 +65,14 @@ def assign_shards(measured: DataFrame, shards: int = 16, bundles: int = BUNDLES,
     Size: UTF-8 bytes of the text plus 1. Tokens: runs of characters other than white space
     (what a tokenizer's count follows). Null text counts as empty and groups with it. Slots
     number a shard's rows from 0 without gaps, in order of item, slice and id; rows equal in
-    id and text change places freely. Names that begin with shard_ are the operator's: such columns
-    of the input are replaced or may clash. An empty
-    table gives no rows.
+    id and text change places freely. Columns named shard and shard_slot are replaced, as those of MEASURES are
+    by `measure`; other columns may have any name. An empty table gives no rows.
     """
     spark, rows = measured.sparkSession, measured.drop("shard", "shard_slot")
     key, tok, size, docs = "shard_key", "shard_tokens", "shard_size", rows
-    item, cut, at = (fresh(docs, f"s_{n}") for n in ("item", "slice", "slot"))
+    item, cut, at, before = (fresh(docs, f"s_{n}") for n in ("item", "slice", "slot", "before"))
+    p_item, p_slice, p_shard, l_key, l_item, l_slices = (fresh(docs, f"s_{n}") for n in ("p_item", "p_slice", "p_shard", "l_key", "l_item", "l_slices"))
+    box = [fresh(docs, f"s_box{i}") for i in range(4)]
     groups = rows.groupBy(F.col(key).alias("key")).agg(F.sum(size).alias("bytes"), F.sum(tok).alias("tokens"), F.count(F.lit(1)).alias("rows"))
     groups = groups.withColumn("bundle", F.pmod("key", F.lit(bundles)).cast("int")).cache()
     total = groups.agg(*[F.sum(d).alias(d) for d in DIMENSIONS]).first()
@@ -98,22 +99,22 @@ def assign_shards(measured: DataFrame, shards: int = 16, bundles: int = BUNDLES,
             vectors.append(tuple(r[d] // r["slices"] for d in DIMENSIONS))
             names.append((bundles + i, s))
     placed = place_by_dot_product(vectors, shards)
-    plan = spark.createDataFrame([(*n, s) for n, s in zip(names, placed, strict=True)], "shard_p_item int, shard_p_slice int, shard_p_shard int")
-    large = spark.createDataFrame(keys, "shard_l_key long, shard_l_item int, shard_l_slices int")
+    plan = spark.createDataFrame([(*n, s) for n, s in zip(names, placed, strict=True)], f"{p_item} int, {p_slice} int, {p_shard} int")
+    large = spark.createDataFrame(keys, f"{l_key} long, {l_item} int, {l_slices} int")
     # both sides have a fixed bound: bundles, and 3 * 64 * shards large groups in at most 4 slices a share
-    rows = rows.join(F.broadcast(large), F.col(key) == F.col("shard_l_key"), "left")
-    rows = rows.withColumn(item, F.coalesce("shard_l_item", F.pmod(F.col(key), F.lit(bundles)).cast("int")))
-    piece = F.pmod(F.xxhash64(column(rows, id_col).cast("long"), F.lit(1)), F.coalesce("shard_l_slices", F.lit(1))).cast("int")
-    rows = rows.withColumn(cut, piece).drop("shard_l_key", "shard_l_item", "shard_l_slices")
-    rows = rows.join(F.broadcast(plan), (F.col(item) == F.col("shard_p_item")) & (F.col(cut) == F.col("shard_p_slice")))
+    rows = rows.join(F.broadcast(large), F.col(key) == F.col(l_key), "left")
+    rows = rows.withColumn(item, F.coalesce(l_item, F.pmod(F.col(key), F.lit(bundles)).cast("int")))
+    piece = F.pmod(F.xxhash64(column(rows, id_col).cast("long"), F.lit(1)), F.coalesce(l_slices, F.lit(1))).cast("int")
+    rows = rows.withColumn(cut, piece).drop(l_key, l_item, l_slices)
+    rows = rows.join(F.broadcast(plan), (F.col(item) == F.col(p_item)) & (F.col(cut) == F.col(p_slice)))
     # slots: rows are numbered in cells of at most about a bundle's rows, and the cells of a shard laid end to end
     cell = fresh(docs, "s_cell")
     spread = max(1, bundles // (2 * shards))
     rows = rows.withColumn(cell, F.when(F.col(item) < bundles, 0).otherwise(F.pmod(F.xxhash64(column(rows, id_col).cast("long"), F.lit(2)), F.lit(spread))).cast("int"))
-    cells = rows.groupBy("shard_p_shard", item, cut, cell).agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("shard_p_shard").orderBy(item, cut, cell).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*[F.col(c).alias(f"shard_c_{i}") for i, c in enumerate(("shard_p_shard", item, cut, cell))], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    own = Window.partitionBy("shard_p_shard", item, cut, cell).orderBy(column(rows, id_col).asc_nulls_first(), F.col(key))
+    cells = rows.groupBy(p_shard, item, cut, cell).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(p_shard).orderBy(item, cut, cell).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*[F.col(c).alias(b) for b, c in zip(box, (p_shard, item, cut, cell), strict=True)], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    own = Window.partitionBy(p_shard, item, cut, cell).orderBy(column(rows, id_col).asc_nulls_first(), F.col(key))
     rows = rows.withColumn(at, F.row_number().over(own) - 1)
-    on = (F.col("shard_p_shard") == F.col("shard_c_0")) & (F.col(item) == F.col("shard_c_1")) & (F.col(cut) == F.col("shard_c_2")) & (F.col(cell) == F.col("shard_c_3"))
-    return rows.join(cells, on).select(*[column(rows, c) for c in docs.columns], F.col("shard_p_shard").alias("shard"), (F.col(at) + F.col("before")).cast("long").alias("shard_slot"))
+    on = (F.col(p_shard) == F.col(box[0])) & (F.col(item) == F.col(box[1])) & (F.col(cut) == F.col(box[2])) & (F.col(cell) == F.col(box[3]))
+    return rows.join(cells, on).select(*[column(rows, c) for c in docs.columns], F.col(p_shard).alias("shard"), (F.col(at) + F.col(before)).cast("long").alias("shard_slot"))

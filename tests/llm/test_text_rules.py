@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firmscope.llm import langid, licenses, neardup, quality
+from firmscope.llm.common import stage
 
 SCHEMA = "doc_id long, text string, lang string, source string, extra string"
 
@@ -60,6 +61,71 @@ def test_mcd_resists_a_minority(spark):
     assert abs(fit.c0 - 1500) < 15 and fit.c1 < 40 and fit.c2 == 0
 
 
+def model_mcd(vectors, support=0.75, steps=3):
+    """Centre and covariance of whole vectors, in numpy: tightest share by distances cut at histogram bins."""
+    x = np.array(vectors, float)
+    floor = np.array(quality.FLOOR) * quality.SCALE
+    bins = np.floor(x / 10)
+    centre = np.array([np.sort(bins[:, i])[-(-len(x) // 2) - 1] * 10 + 5 for i in range(x.shape[1])])
+    inverse = np.diag(1 / floor**2)
+    for _ in range(steps):
+        d = np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
+        bin_of = np.floor(np.log1p(d) * 64)
+        need, run = int(np.ceil(len(x) * support)), 0
+        for b in np.unique(bin_of):
+            upto = b
+            run += (bin_of == b).sum()
+            if run >= need:
+                break
+        own = x[bin_of <= upto]
+        centre = own.mean(axis=0)
+        cov = (own.T @ own / len(own) - np.outer(centre, centre)) / support**1.6 + np.diag(floor**2)
+        inverse = np.linalg.inv(cov)
+    return centre, inverse
+
+
+def test_verdicts_against_a_model(spark):
+    """Every kept of three levels of groups, against estimates in numpy over the same whole statistics."""
+    r = random.Random(8)
+
+    def text(kind):
+        words = ["".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(r.randint(25, 120))]
+        if kind == "symbols":
+            words = [w + r.choice("#*$%|") * r.randint(0, 9) for w in words]
+        if kind == "lines":
+            return "\n".join(["same"] * r.randint(5, 60) + [" ".join(words)])
+        return " ".join(w * 6 if kind == "long" else w for w in words)
+
+    rows = []
+    for i in range(900):
+        lang, source = ("en", "big") if i < 400 else ("en", f"small{i % 5}") if i < 600 else ("de" if i % 2 else None, f"s{i % 9}")
+        kind = r.choice(["symbols", "lines", "long"]) if r.random() < 0.06 else "plain"
+        rows.append((i, text(kind), lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    measured, name = quality.with_statistics(docs)
+    staged = stage(measured, "test-statistics")
+    got = {x.doc_id: x.kept for x in quality.judge(staged, name, least=120).collect()}
+    data = [(x.doc_id, x.lang, x.source, x[name]["x"], x[name]["base_failed"]) for x in staged.collect()]
+    groups = collections.defaultdict(list)
+    for _, lang, source, x, failed in data:
+        if not failed:
+            for key in ((0, lang, source), (1, lang, None), (2, None, None)):
+                groups[key].append(x)
+    fits = {k: model_mcd(v) for k, v in groups.items() if len(v) >= 120}
+    assert {k[0] for k in fits} == {0, 1, 2} and (1, None, None) in fits
+    near = want = 0
+    for d, lang, source, x, failed in data:
+        centre, inverse = next(fits[k] for k in ((0, lang, source), (1, lang, None), (2, None, None)) if k in fits)
+        z = np.array(x, float) - centre
+        distance = z @ inverse @ z
+        if abs(distance - quality.CUTOFF) < 1e-6 * quality.CUTOFF:
+            near += 1  # a tie of rounding
+            continue
+        want += not (not failed and distance <= quality.CUTOFF)
+        assert got[d] == (not failed and distance <= quality.CUTOFF), (d, distance)
+    assert near < 3 and want > 10
+
+
 RULES = licenses.rules()
 
 
@@ -154,6 +220,43 @@ def test_language(spark, sf):
     assert {r.doc_id for r in langid.keep_identified(docs.unionByName(odd.withColumns({"source": F.lit("s"), "n_chars": F.lit(1)}))).filter("doc_id < 5 or doc_id is null").collect()} >= {None, 4}
 
 
+def brute_language(text, model):
+    """Word by word, from the model's tables."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    total = np.zeros(len(model.languages))
+    for w in words:
+        if w in model.words:
+            total += model.word_logs[model.words[w]]
+            continue
+        for n in (4, 3, 2, 1):
+            marked = f"^{w}$" if n > 1 else w
+            rows = [model.grams[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in model.grams]
+            if rows:
+                total += np.mean([model.gram_logs[r] for r in rows], axis=0)
+                break
+    odds = np.exp(total - total.max())
+    return model.languages[int(total.argmax())], 1 / odds.sum()
+
+
+def test_predictions_against_word_by_word(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs, words=300, grams=400)
+    for r in langid.predict(docs, model).collect():
+        if r.lang_pred != "und":
+            name, score = brute_language(r.text, model)
+            assert (r.lang_pred, round(r.lang_score, 6)) == (name, round(score, 6))
+
+
+def test_scarce_languages_are_learned_and_tables_bounded(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(500)] + [(900 + i, "der hund und die katze", "de") for i in range(3)] + [(950, "नमस्ते दुनिया", "hi")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, rows=30)
+    assert model.languages == ["de", "en", "hi"] and "नमस्ते" in model.words
+    assert langid.even_shares({"a": 100, "b": 5, "c": 400}, 65) == {"b": 1.0, "a": 0.3, "c": 0.075}
+    small = langid.fit(docs, cells=36)
+    assert small.word_logs.size <= 36 and len(small.languages) == 3
+
+
 def test_unseen_words_fall_back():
     m = langid.Model(["a", "b"], {"known": 0}, {"^x": 0, "x": 1}, langid.np.array([[-1.0, -9.0]]), langid.np.array([[-1.0, -5.0], [-4.0, -2.0]]))
     s = langid.Scorer(m, remember=1)

@@ -185,7 +185,7 @@ def test_more_sources_than_the_period(spark):
 
 def test_shards(spark):
     rows = [(i, "same text here" if i % 3 == 0 else f"text {i} " * (1 + i % 9), "x") for i in range(600)] + [(None, None, "x"), (7, "", "x"), (7, "", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, shard string").withColumn("l_key", F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string").withColumns({c: F.lit(1) for c in ("l_key", "shard_p_item", "shard_c_0", "before", "S_item", "n")})
     got = sharding.assign_shards(stage(sharding.measure(df), "m"), shards=4).collect()
     assert len(got) == len(rows)
     size, slot, of = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)

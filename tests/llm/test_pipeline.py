@@ -1,10 +1,147 @@
 """The pipeline on a small table: what each stage keeps, and that the packs hold exactly that."""
 
 import collections
+import math
+import random
+import re
+import tempfile
+import zlib
 from functools import partial
 
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from firmscope.llm import langid, mixing, neardup, packing, quality
+from firmscope.llm.common import tokenizer_path
+
+SPACES = r"[^\x20\x09-\x0D]+"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality string, place string, mix_slot string"
+
+
+def small_corpus():
+    """Documents with nulls, empty and long texts, repeated rows, near copies, junk, two languages and three sources."""
+    r = random.Random(17)
+    tongue = {"en": ["the", "and", "house", "river", "stone", "walking", "under", "light", "green", "often"], "de": ["der", "und", "haus", "fluss", "stein", "gehen", "unter", "licht", "grün", "oft"]}
+
+    def text(lang, n):
+        return " ".join(r.choice(tongue[lang]) + r.choice(["", "", "n", "s", "er"]) for _ in range(n))
+
+    rows = []
+    for i in range(60):
+        lang = "en" if i % 3 else "de"
+        rows.append((i, text(lang, r.randint(30, 90)), lang, f"s{i % 4 // 2}"))
+    long = text("en", 3000)
+    rows += [(100, long, "en", "s0"), (101, long.upper() + " ", None, "s1"), (102, "\t" + long[:-30], "en", None)]
+    rows += [(110, None, "en", "s0"), (111, "", None, None), (112, "short text", "en", "s1"), (113, "again and again it says " * 30, "en", "s0"), (114, "12 34 " * 20, "en", "s1"), (115, "½ " * 30, None, "s1")]
+    rows += [rows[5], rows[7], (None, text("de", 40), "de", "s2"), (None, text("en", 45), "en", "s0")]
+    r.shuffle(rows)
+    return [(d, t, lang, s, len(t) if t else None, "q", "p", "m") for d, t, lang, s in rows]
+
+
+def plain_pipeline(rows, model):
+    """The texts that stay, as (doc_id, text) in the order of the mixture; from the contracts, without Spark."""
+
+    def failed(text):
+        w = re.findall(SPACES, text or "")
+        runs = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {k for i in range(len(w) - 7) if runs[tuple(w[i : i + 8])] > 1 for k in range(i, i + 8)}
+        return len(w) < 20 or 100 * len(covered) > 30 * len(w)
+
+    def language(text):
+        words, total = re.findall(r"[^\W\d_]+", text.lower()), np.zeros(len(model.languages))
+        if not any(any(map(str.isalpha, w)) for w in words):
+            return 0.0
+        for w in words:
+            marked = f"^{w}$"
+            if w in model.words:
+                total += model.word_logs[model.words[w]]
+                continue
+            for n in (4, 3, 2, 1):
+                of = marked if n > 1 else w
+                found = [model.grams[of[i : i + n]] for i in range(len(of) - n + 1) if of[i : i + n] in model.grams]
+                if found:
+                    total += model.gram_logs[found].mean(axis=0)
+                    break
+        return 1 / sum(math.exp(max(-700.0, v)) for v in total - total.max())
+
+    rows = [x for x in rows if not failed(x[1])]
+    rows = [x for x in rows if language(x[1]) >= 0.5]
+    ids = sorted({x[0] for x in rows if x[0] is not None})
+    first = {d: next(x for x in rows if x[0] == d) for d in ids}
+    sets, root = {}, {d: d for d in ids}
+    for d in ids:
+        w = re.findall(SPACES, re.sub("[A-Z]", lambda m: m[0].lower(), first[d][1]))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def top(d):
+        return d if root[d] == d else top(root[d])
+
+    for a in ids:
+        for b in ids:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return [first[d] for d in ids if top(d) == d] + [x for x in rows if x[0] is None]
+
+
+def naive_fill(lengths, window):
+    open_ = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(c, i) for i, c in enumerate(open_) if c >= n]
+        if fits:
+            open_[min(fits)[1]] -= n
+        else:
+            open_.append(window - n)
+    return sorted(window - c for c in open_)
+
+
+def test_run_against_a_plain_pipeline(spark):
+    rows = small_corpus()
+    folder = tempfile.mkdtemp(prefix="spark-pipeline-", dir="/tmp")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert not any(k[1] == folder for k in corpus_pipeline._left)
+    model = langid.fit(quality.keep_good(docs))
+    kept = plain_pipeline(rows, model)
+    assert 30 < len(kept) < len(rows) - 8 and {x[0] for x in kept} >= {100, None} and not {101, 102, 110, 111, 112, 113, 114, 115} & {x[0] for x in kept}
+    plain, want, lengths = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), collections.Counter(), []
+    plain.encode_special_tokens = True
+    for d, t, *_ in kept:
+        ids = np.array(plain.encode(t, add_special_tokens=False).ids + [1], "<u4")
+        for at in range(0, len(ids), 2048):
+            part = ids[at : at + 2048]
+            want[d, at, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
+            lengths.append(len(part))
+    assert collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
+    filled = collections.defaultdict(list)
+    for r in got:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for some in filled.values():
+        some.sort()
+        assert [o for o, _ in some] == [sum(n for _, n in some[:i]) for i in range(len(some))]
+    assert sorted(filled) == list(range(len(filled)))
+    assert sorted(sum(n for _, n in some) for some in filled.values()) == naive_fill(lengths, 2048)
+    # mixture: the written order holds each source to its weight with less than one block's deviation until one runs out
+    counts = collections.Counter(x[3] for x in kept)
+    mixed = mixing.mix_sources(spark.createDataFrame(kept, SCHEMA), block_rows=1).orderBy("mix_slot", "mix_place").collect()
+    total, had, first_out = sum(math.sqrt(n) for n in counts.values()), collections.Counter(), False
+    for i, r in enumerate(mixed, 1):
+        had[r.source] += 1
+        first_out = first_out or any(had[s] == n for s, n in counts.items())
+        assert first_out or all(abs(had[s] - i * math.sqrt(n) / total) < 1 + i / mixing.PERIOD for s, n in counts.items())
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_an_empty_table(spark, name):
+    docs = spark.createDataFrame([], SCHEMA)
+    folder = tempfile.mkdtemp(prefix="spark-pipeline-", dir="/tmp")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    out = dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
 
 
 def test_pipeline(spark, sf):

@@ -7,6 +7,7 @@ again as the next stage's docs. All but the last return the columns of documents
 from __future__ import annotations
 
 import re
+import threading
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,21 +16,22 @@ from pyspark.sql import functions as F
 from firmscope.llm import langid, mixing, neardup, packing, quality
 from firmscope.llm.common import column, drop, fresh, noting, stage
 
-#: Tables that the stage before staged for itself.
-_left: list[str] = []
+#: Tables that the last stage staged for itself, by the run it belongs to: its thread and its folder of tables.
+_left: dict[tuple[int, str], list[str]] = {}
 
 
 def _alone(apply):
-    """A stage that first drops what the stage before left behind, unless docs still reads it (an unwritten result)."""
+    """A stage that first drops what the stage before it in this run left behind, unless docs still reads it (an unwritten result)."""
 
     @wraps(apply)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if _left and not any(p.rsplit("/", 1)[-1] in f for p in _left for f in docs.inputFiles()):
-            drop(spark, _left)
-            _left.clear()
+        left = _left.setdefault((threading.get_ident(), sf_dir), [])
+        if left and not any(p.rsplit("/", 1)[-1] in f for p in left for f in docs.inputFiles()):
+            drop(spark, left)
+            left.clear()
         with noting() as made:
             out = apply(spark, docs, sf_dir)
-        _left.extend(made)
+        left.extend(made)
         return out
 
     return run_stage
@@ -100,12 +102,18 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Stages of learned and iterative kind have no SQL form; tests hold run() against brute force.
+#: Stages of learned and iterative kind have no SQL form; tests/llm/test_pipeline.py holds run() against a plain Python pipeline.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir, each read from what the one before wrote, which is dropped once it is read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, apply in STAGES:
-        docs = stage(apply(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with noting() as written:
+            docs = stage(apply(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        drop(spark, before)
+        before = [p for p in written if p.rsplit("/", 1)[-1].startswith("stage-")]
+    left = _left.pop((threading.get_ident(), sf_dir), [])
+    drop(spark, left)
     return docs

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +81,8 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Numbers that a model's tables of words, and of n-grams, hold at most (each has a row for a key and a column for a language).
 CELLS = 16_000_000
+#: Languages up to which their table of shares (a row each) is sent to every task.
+MANY = 10_000
 #: Parts in which each language's keys are ranked before the best of all parts are.
 PARTS = 16
 
@@ -116,30 +119,29 @@ def fit(labelled: DataFrame, rows: int = 20_000, words: int = 40_000, grams: int
     if sum(sizes.values()) > rows:
         shares = labelled.sparkSession.createDataFrame([(k, int((1 << 30) * v)) for k, v in even_shares(sizes, rows).items()], "lang string, upto long")
         chosen = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 30)) < F.col("upto")
-        taught = taught.join(shares, "lang").filter(chosen)
+        taught = taught.join(F.broadcast(shares) if len(sizes) <= MANY else shares, "lang").filter(chosen)
     most = max(1, cells // max(1, len(sizes)) ** 2)
     words, grams = min(words, most), min(grams, most // LONGEST + 1)
     counts = taught.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).cache()
-    top = _best(counts, [F.col("lang")], "word", words).collect()  # bounded by `words` a language
+    top = _best(counts, [F.col("lang")], "word", words).toArrow()  # bounded by `words` a language
     marked = F.concat(F.lit("^"), "word", F.lit("$"))
     lengths = F.array(*[F.lit(n) for n in range(1, LONGEST + 1)])
     cut = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(marked) - n + 1, F.lit(1))), lambda i: F.substring(marked, i, n))))
     pieces = counts.select("lang", F.explode(cut).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top_grams = _best(pieces, [F.col("lang"), F.char_length("gram")], "gram", grams).collect()
+    top_grams = _best(pieces, [F.col("lang"), F.char_length("gram")], "gram", grams).toArrow()
     counts.unpersist()
-    languages = sorted({r["lang"] for r in top})
+    languages = sorted(pc.unique(top["lang"]).to_pylist())
     known, word_logs = _logs(top, "word", languages, lambda _: 0)
     pieces_known, gram_logs = _logs(top_grams, "gram", languages, len)
     return Model(languages, known, pieces_known, word_logs, gram_logs)
 
 
-def _logs(rows: list, name: str, languages: list[str], order) -> tuple[dict[str, int], np.ndarray]:
+def _logs(rows: pa.Table, name: str, languages: list[str], order) -> tuple[dict[str, int], np.ndarray]:
     """Rows (lang, key, n) to log frequencies with a half count added, per language and order of the key."""
-    place = {lang: i for i, lang in enumerate(languages)}
-    keys = {k: i for i, k in enumerate(sorted({r[name] for r in rows}))}
+    keys = {k: i for i, k in enumerate(sorted(pc.unique(rows[name]).to_pylist()))}
     counts = np.zeros((len(keys), len(languages)))
-    for r in rows:
-        counts[keys[r[name]], place[r["lang"]]] = r["n"]
+    at_key = pc.index_in(rows[name], pa.array(list(keys), pa.string())).to_numpy()
+    counts[at_key, pc.index_in(rows["lang"], pa.array(languages, pa.string())).to_numpy()] = rows["n"].to_numpy()
     of = np.array([order(k) for k in keys])
     logs = np.zeros_like(counts)
     for o in set(of.tolist()):

@@ -45,6 +45,18 @@ def labelled(purchases: DataFrame, companies: DataFrame) -> DataFrame:
     return purchases.join(names, "vendor_account_id", "left").withColumn("label", buyer_label(F.col("buyer"), F.col("buyer_unit")))
 
 
+def own_lookups(purchases: DataFrame) -> DataFrame:
+    """Purchases (with vendor_account_id) without what a company's lookup found of other companies.
+
+    purpose: "market", or the account a lookup was for; a table without that column is a market's alone. A search by
+    name is loose, so a lookup keeps only purchases whose vendor is that very company.
+    """
+    if "purpose" not in purchases.columns:
+        return purchases
+    mine = F.col("vendor_account_id").eqNullSafe(F.col("purpose"))
+    return purchases.filter(F.col("purpose").isNull() | (F.col("purpose") == "market") | mine)
+
+
 def by_company(rows: DataFrame) -> DataFrame:
     per = rows.filter("vendor_account_id is not null").groupBy("vendor_account_id", "listed_company", "label").agg(_money("amount").alias("t"), F.count(F.lit(1)).alias("n"))
     buyers = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("t")).alias("m"), "label"))), lambda x: x["label"])

@@ -2,53 +2,89 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+import os
+from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import accounts as A
 from ..operators import buyers as B
-from ..operators import exports, resolve, verdicts
+from ..operators import exports, judging, report, resolve, sites, verdicts
+from ..sources.registry import discovered, status_of  # noqa: F401 - part of a run
 from .settings import Settings
 
+LOG = "source string, status string, count long, error string"
+
 
 @dataclass(frozen=True)
 class Outcome:
-    """What a run wrote, and its report's text."""
+    """What a run wrote, its report's text, its cell in the index, and how many rows each step left."""
 
     delivered: DataFrame
     text: str
+    cell: str = ""
+    counts: dict[str, int] = field(default_factory=dict)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def save_records(spark: SparkSession, records: DataFrame | None, log: report.Log, root: str, name: str, run_date: str) -> None:
+    """A search's records and the log of its sources; a search without records leaves the log alone."""
+    day = F.lit(run_date).cast("date")
+    exports.write_stage(spark.createDataFrame(log, LOG).coalesce(1).withColumn("run_date", day), f"{root}/{name}", "sources")
+    if records is not None:
+        exports.write_stage(records.withColumn("run_date", day), f"{root}/{name}", "records")
+
+
+def saved_records(spark: SparkSession, root: str, name: str, run_date: str) -> DataFrame | None:
+    """The day's records: with their sites where the enrich stage ran, else as discovered, or none."""
+    for stage in ("enriched", "records"):
+        if there(spark, f"{root}/{name}/{stage}/run_date={run_date}"):
+            return exports.read_stage(spark, f"{root}/{name}", stage, run_date).drop("run_date")
+    return None
+
+
+def saved_log(spark: SparkSession, root: str, name: str, run_date: str) -> report.Log:
+    if not there(spark, f"{root}/{name}/sources/run_date={run_date}"):
+        return []
+    return [tuple(r) for r in exports.read_stage(spark, f"{root}/{name}", "sources", run_date).select("source", "status", "count", "error").orderBy("source").collect()]  # one row a source
+
+
+def save_sites(spark: SparkSession, settings: Settings, name: str, records: DataFrame, pages: DataFrame, scripts: DataFrame | None, root: str, run_date: str) -> tuple[int, int]:
+    """Read websites from staged pages under the search's budget; returns how many were read and failed."""
+    own = settings.search(name).get("enrich") or {}
+    rows = sites.read_sites(
+        records, pages, settings.policy(name).region, int(own.get("max_sites", 300)), int(own.get("max_pages", 3)), scripts, int(own.get("max_scripts", 0))
+    )
+    exports.write_stage(rows.withColumn("run_date", F.lit(run_date).cast("date")), f"{root}/{name}", "enriched")
+    counts = sites.reading_counts(exports.read_stage(spark, f"{root}/{name}", "enriched", run_date)).first()
+    return counts["sites_read"], counts["sites_failed"]
+
 
+def _ranked(settings: Settings, name: str, records: DataFrame, run_date: str, history: DataFrame | None = None) -> DataFrame:
+    return A.ranked(A.evaluated(resolve.accounts(records), settings.policy(name), F.lit(run_date).cast("date"), history))
 
-def discovered(sources: dict[str, callable]) -> tuple[DataFrame | None, list[tuple[str, str, int, str]]]:
-    """Records of all sources and a log of (source, status, count, error). A failing source is logged and never stops the others.
 
-    Spark is lazy, so each source is counted here; that is where it would fail.
-    """
-    frames, log = [], []
-    for name, read in sources.items():
-        try:
-            rows = read()
-            log.append((name, "ok", rows.count(), ""))
-            frames.append(rows)
-        except Exception as e:  # noqa: BLE001 - any failure of a source is its own
-            log.append((name, "failed", 0, str(e).splitlines()[0][:160]))
-    return (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None), log
+def judge_sizes(spark: SparkSession, settings: Settings, name: str, records: DataFrame, run_date: str) -> list[Any]:
+    """A dry run of the judge: part, parts, accounts and characters of each batch."""
+    queue = _ranked(settings, name, records, run_date).filter("passed").orderBy("rank").limit(settings.judge_limit(name))
+    sized = judging.batch_texts(queue).select("part", "parts", F.size(F.split("body", "\n")).alias("accounts"), F.length("body").alias("characters"))
+    return sized.orderBy("part").collect()  # one row a batch
 
 
-def run_search(spark: SparkSession, settings: Settings, name: str, records: DataFrame, run_date: str, root: str, decisions: DataFrame | None = None, headings: list[str] | None = None, purchases: DataFrame | None = None) -> Outcome:
+def run_search(spark: SparkSession, settings: Settings, name: str, records: DataFrame, run_date: str, root: str, decisions: DataFrame | None = None, headings: list[str] | None = None, purchases: DataFrame | None = None, log: report.Log | None = None, census: dict[str, Any] | None = None) -> Outcome:
     """Resolve, filter, rank, apply decisions, match purchases, export and report one search."""
     day = F.lit(run_date).cast("date")
     history = None
-    if settings.suppresses(name):
-        try:
-            history = exports.recent_names(spark.read.parquet(f"{root}/runs"), settings.window, run_date)
-        except Exception:  # noqa: BLE001 - the first run has no history
-            history = None
-    ranked = A.ranked(A.evaluated(resolve.accounts(records), settings.policy(name), day, history))
-    exports.write_stage(ranked.withColumns({"run_date": day, "search": F.lit(name)}), f"{root}/{name}", "accounts")
+    if settings.suppresses(name) and there(spark, f"{root}/runs"):  # the first run has no history
+        history = exports.recent_names(spark.read.schema(exports.RUNS).parquet(f"{root}/runs"), settings.window, run_date)
+    exports.write_stage(_ranked(settings, name, records, run_date, history).withColumns({"run_date": day, "search": F.lit(name)}), f"{root}/{name}", "accounts")
     ranked = exports.read_stage(spark, f"{root}/{name}", "accounts", run_date)
     goal, target = settings.goal(name), settings.target(name)
     kept = rejected = None
@@ -60,20 +96,23 @@ def run_search(spark: SparkSession, settings: Settings, name: str, records: Data
         delivered = verdicts.deliver_top(ranked, kept, target)
     else:
         delivered = verdicts.deliver_map(ranked, kept if kept is not None else none, rejected if rejected is not None else none)
-    more = kept.select("account_id", "what_they_do", "why_fit", "risks", F.col("signals").alias("judge_signals"), "contact_role", "draft") if kept is not None else None
-    if more is not None:
+    if kept is not None:
+        more = kept.select("account_id", "what_they_do", "why_fit", "risks", F.col("signals").alias("judge_signals"), "contact_role", "draft")
         delivered = delivered.join(more, "account_id", "left")
     exports.write_csv(exports.account_export(delivered), f"{root}/{name}/exports/{run_date}/accounts")
-    if more is not None:
+    if kept is not None:
         exports.write_csv(exports.draft_export(delivered, run_date, name), f"{root}/{name}/exports/{run_date}/queue", only_if_rows=True)
-    top = None
+    rows = None
     if purchases is not None:
         listed = delivered.select("account_id", "name", F.col("place").alias("pos"))
         matched = purchases.join(B.match_vendors(purchases, listed).withColumnRenamed("account_id", "vendor_account_id"), "vendor", "left")
-        rows = B.labelled(matched, listed)
-        exports.write_csv(rows.orderBy(F.desc_nulls_last("amount"), "vendor"), f"{root}/{name}/exports/{run_date}/purchases", only_if_rows=True)
-        top = B.top_buyers(rows)
+        rows = B.labelled(B.own_lookups(matched), listed)
+        exports.write_csv(rows.drop("purpose").orderBy(F.desc_nulls_last("amount"), "vendor"), f"{root}/{name}/exports/{run_date}/purchases", only_if_rows=True)
     exports.save_run(delivered.select(day.alias("run_date"), F.lit(name).alias("search"), F.col("place").alias("rank"), "name"), root)
-    funnel = exports.funnel_line(ranked, records.count(), kept, rejected)
-    briefs = goal if more is not None else "market_map"
-    return Outcome(delivered, exports.section(settings.label(name), briefs, funnel, delivered, top))
+    counts = {"records": records.count(), "accounts": ranked.count(), "delivered": delivered.count()}
+    funnel = exports.funnel_line(ranked, counts["records"], kept, rejected)
+    notes = [report.coverage_text(census, counts["delivered"]), report.tools_text(ranked)]
+    text = report.section(settings.label(name), goal, funnel, delivered, rows, judged=kept is not None, target=target, notes=notes, log=log, rejected=rejected)
+    today = spark.read.schema(exports.RUNS).parquet(f"{root}/runs").filter((F.col("run_date") == day) & (F.col("search") == name))
+    cell = exports.index_cells(today).first()
+    return Outcome(delivered, text, cell["cell"] if cell else "", counts)

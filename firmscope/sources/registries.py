@@ -184,18 +184,27 @@ def yc(companies: DataFrame, region: Region, industries: list[str] | None = None
 EVIDENCE_ITEM = "struct<kind:string,detail:string,url:string,date:string,snippet:string>"
 
 
+FORM_D = """struct<primaryIssuer:struct<entityName:string,issuerAddress:struct<street1:string,city:string,stateOrCountry:string,zipCode:string>>,
+  offeringData:struct<industryGroup:struct<industryGroupType:string>,typeOfFiling:struct<newOrAmendment:struct<isAmendment:string>,dateOfFirstSale:struct<value:string>>,
+  offeringSalesAmounts:struct<totalOfferingAmount:string,totalAmountSold:string>>>"""
+
+
 def form_d(filings: DataFrame, groups: list[str], new_only: bool = True) -> DataFrame:
-    """filings: pos, cik, adsh, form, file_date, xml. The latest sale of a name stays; of equal dates the first filing."""
-    at = lambda *path: F.trim(F.coalesce(F.xpath_string("xml", F.lit("/" + "".join(f"/*[local-name()='{p}']" for p in path))), F.lit("")))
-    offer, sales = ("offeringData",), ("offeringData", "offeringSalesAmounts")
+    """filings: pos, cik, adsh, form, file_date, xml. The latest sale of a name stays; of equal dates the first filing.
+
+    A document is parsed once, whatever namespaces it uses; of its people nothing is read. One that can't be parsed names no issuer and falls away.
+    """
+    at = lambda path: F.trim(F.coalesce(F.col(f"d.{path}"), F.lit("")))
     f = filings.filter("cik is not null and adsh <> ''")
     if new_only:
         f = f.filter("form = 'D'")
+    f = f.withColumn("d", F.from_xml("xml", FORM_D, {"ignoreNamespace": "true"}))
     f = f.select(
-        "pos", "cik", "adsh", "file_date", at("primaryIssuer", "entityName").alias("name"), at("primaryIssuer", "issuerAddress", "street1").alias("street"),
-        at("primaryIssuer", "issuerAddress", "city").alias("city"), at("primaryIssuer", "issuerAddress", "stateOrCountry").alias("state"), at("primaryIssuer", "issuerAddress", "zipCode").alias("zip"),
-        at(*offer, "industryGroup", "industryGroupType").alias("industry"), at(*offer, "typeOfFiling", "newOrAmendment", "isAmendment").alias("amends"),
-        at(*offer, "typeOfFiling", "dateOfFirstSale", "value").alias("sale"), at(*sales, "totalOfferingAmount").try_cast("double").alias("total"), at(*sales, "totalAmountSold").try_cast("double").alias("sold"),
+        "pos", "cik", "adsh", "file_date", at("primaryIssuer.entityName").alias("name"), at("primaryIssuer.issuerAddress.street1").alias("street"),
+        at("primaryIssuer.issuerAddress.city").alias("city"), at("primaryIssuer.issuerAddress.stateOrCountry").alias("state"), at("primaryIssuer.issuerAddress.zipCode").alias("zip"),
+        at("offeringData.industryGroup.industryGroupType").alias("industry"), at("offeringData.typeOfFiling.newOrAmendment.isAmendment").alias("amends"),
+        at("offeringData.typeOfFiling.dateOfFirstSale.value").alias("sale"), at("offeringData.offeringSalesAmounts.totalOfferingAmount").try_cast("double").alias("total"),
+        at("offeringData.offeringSalesAmounts.totalAmountSold").try_cast("double").alias("sold"),
     )
     f = f.filter(F.lower("industry").isin([g.lower() for g in groups]) & (F.col("name") != ""))
     if new_only:

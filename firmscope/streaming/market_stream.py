@@ -21,7 +21,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or staging._own()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{staging.folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _run(out: DataFrame, mode: str = "append") -> DataFrame:

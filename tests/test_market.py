@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from firmscope.functions.region import Region
 from firmscope.operators import accounts as A
-from firmscope.operators import buyers, exports, judging, resolve, verdicts
+from firmscope.operators import buyers, exports, judging, report, resolve, verdicts
 from firmscope.plans import settings
 from firmscope.sources import net, registries
 from firmscope.sources.records import RECORD
@@ -62,8 +62,14 @@ def test_verdict_and_exports(spark, evaluated, tmp_path):
     rows = kept.join(evaluated.select("account_id"), "account_id").withColumnRenamed("signals", "judge_signals")
     q = exports.draft_export(rows, "2025-01-20", "s").first()
     assert (q.status, q.evidence_urls, q.channel) == ("draft", "u", "email")
-    text = exports.report("2025-01-20", [exports.section("Valves", "market_map", exports.funnel_line(evaluated, 5, kept, rejected), delivered)])
-    assert "5 records → 4 companies → 1 passed filters → 1 kept → 0 rejected." in text and "| 1 | Good Valve | Salem, OR |" in text
+    part = report.section("Valves", "market_map", exports.funnel_line(evaluated, 5, kept, rejected), delivered, log=[("csv", "ok", 5, ""), ("npi", "failed", 0, "no file.")], notes=[report.coverage_text({"year": 2022, "codes": ["3329"], "counties": 2, "total": 8, "under_20": 3}, 1)])
+    text = report.report("2025-01-20", [part], summary=[report.summary_line("Valves", "market_map", 1)])
+    for piece in ("5 records → 4 companies → 1 passed filters → 1 kept → 0 rejected.", "| 1 | Good Valve | Salem, OR, US | 30 employees |", "Sources: csv 5, npi failed.", "- Source failed (npi): no file.", "1 listed against 8 establishments in 3329", "12 percent, 7 short", "- Valves: 1 companies", "(Monday)"):
+        assert piece in text, piece
+    assert exports.ACCOUNT_COLUMNS[12:19] == ["categories", "sources", "signals", "score", "region_status", "tech_status", "tech_detected"]
+    draft = report.brief(delivered.join(kept.select("account_id", "what_they_do", "why_fit", "risks", "contact_role", "draft"), "account_id").first())
+    assert "- Reach: r" in draft and "  > Subject: s" in draft and "- Fits: w [Pumps]" in draft
+    assert report.coverage_text({"status": "failed", "error": "no key."}, 1) == "- Coverage: not checked (no key)." and report.tool_names(["chat:hubspot_chat", "x:a:b"]) == "hubspot chat, a:b"
 
 
 def test_judge_seam(spark, evaluated):
@@ -129,3 +135,32 @@ def test_guards():
     for url, resolve in (("https://h.example/", private), ("ftp://h.example/", public), ("http:///x", public)):
         with pytest.raises(net.NetError):
             net.check_url(url, resolve)
+
+
+def test_profile_falls_back_and_context(tmp_path):
+    import json
+
+    (tmp_path / "p.example.json").write_text(json.dumps(GOOD | {"context": ["offer.md"]}))
+    s = settings.load(tmp_path / "p.json")
+    (tmp_path / "offer.md").write_text("# Offer\n\ntext\n## Pumps ##\n")
+    assert settings.context_headings(s, tmp_path) == ["Offer", "Pumps"] and settings.context_headings(s) == ["offer.md"]
+    (tmp_path / "offer.md").write_text("no headings")
+    for folder in (tmp_path, tmp_path / "none"):
+        with pytest.raises(settings.SettingsError):
+            settings.context_headings(s, folder)
+    (tmp_path / "bad.json").write_text("{")
+    with pytest.raises(settings.SettingsError):
+        settings.load(tmp_path / "bad.json")
+    assert settings.checked({"searches": {"a": {**GOOD["searches"]["s"], "buyers": {"years": 5}}, "b": GOOD["searches"]["s"]}}).with_block("buyers", ["b", "a"]) == ["a"]
+
+
+def test_index_keeps_one_row_a_day(tmp_path):
+    at = tmp_path / "index.md"
+    for day, names in (("2025-01-01", "A"), ("2025-01-02", "B"), ("2025-01-01", "")):
+        report.upsert_index(at, day, report.index_row(day, {"valves": names}))
+    assert at.read_text().splitlines()[-2:] == ["| 2025-01-01 | 1 | valves: none |", "| 2025-01-02 | 1 | valves: B |"]
+
+
+def test_lookups_keep_their_own(spark):
+    rows = spark.createDataFrame([("market", None, 1), ("a", "a", 2), ("a", "b", 3), ("a", None, 4), ("market", "b", 5)], "purpose string, vendor_account_id string, k int")
+    assert {r.k for r in buyers.own_lookups(rows).collect()} == {1, 2, 5}

@@ -23,12 +23,18 @@ def test_run(spark, tmp_path):
     base = ["--profile", str(tmp_path / "profile.json"), "--records", str(tmp_path / "records"), "--root", str(tmp_path / "out")]
     assert cli.main([*base, "--date", "2025-01-01", "--decisions", str(tmp_path / "decisions.json"), "--purchases", str(tmp_path / "buys")]) == 0
     text = (tmp_path / "out" / "reports" / "2025-01-01.md").read_text()
-    assert "4 records → 4 companies → 4 passed filters → 1 kept → 3 rejected." in text and "Valve Works 1, Inc. (strong, 4 of 5)" in text and "City / Water: $1,500 over 1 purchases" in text
+    assert "4 records → 4 companies → 4 passed filters → 1 kept → 3 rejected." in text and "Valve Works 1, Inc. (strong, 4 of 5)" in text and "City / Water: $1,500 over 1 purchases, to Valve Works 1, Inc." in text and "Listed companies with purchases: 1 of 1." in text
     names = {p.name for p in (tmp_path / "out" / "pumps" / "exports" / "2025-01-01").iterdir()}
     assert names == {"accounts", "queue", "purchases"}
     assert cli.main([*base, "--date", "2025-01-02"]) == 0
     text = (tmp_path / "out" / "reports" / "2025-01-02.md").read_text()
     assert "3 passed filters" in text and "Valve Works 1, Inc." not in text
+    assert [x[:12] for x in (tmp_path / "out" / "index.md").read_text().splitlines()[-2:]] == ["| 2025-01-01", "| 2025-01-02"]
+    (tmp_path / "decisions.json").write_text('{"pos": 1, "account_id": "x", "decision": "maybe"}')
+    assert cli.main([*base, "--date", "2025-01-03", "--decisions", str(tmp_path / "decisions.json")]) == 2
+    (tmp_path / "decisions.json").write_text('{"pos": "x"')
+    assert cli.main([*base, "--date", "2025-01-03", "--decisions", str(tmp_path / "decisions.json")]) == 4
+    assert cli.main(["judge", *base, "--date", "2025-01-03", "--dry-run"]) == 0
     assert cli.main(["--profile", "none.json", *base[2:], "--date", "2025-01-02"]) == 1
 
 
@@ -38,3 +44,56 @@ def test_a_failing_source_is_logged(spark):
 
     rows, log = runs.discovered({"good": lambda: spark.range(3), "bad": broken})
     assert rows.count() == 3 and log == [("good", "ok", 3, ""), ("bad", "failed", 0, "no file")]
+
+
+PAGES = [
+    {"url": "https://www.v1.example/", "html": "<title>Valves &#8211; &#x41;1</title><a href='about/../about-us'>x</a><script src='/app.js'></script>we make valves"},
+    {"url": "https://v1.example/about-us", "html": "<script src='https://assets.calendly.com/a.js'></script>family owned"},
+    {"url": "https://v2.example", "html": None, "error": "timeout"},
+    {"url": "https://v9.example", "html": "other"},
+]
+
+
+def test_discover_enrich_and_run(spark, tmp_path):
+    """A list as source, one that fails, sites under a budget of three, tools from a page and a script."""
+    (tmp_path / "list.csv").write_text("Name,Website,City,State,Region,Country\n" + "\n".join(f"Valve Works {i},https://v{i}.example,Salem,,{'OR' if i else 'TX'},US" for i in range(5)) + "\n")
+    search = {"goal": "market_map", "region": {"regions": ["OR"]}, "tech_absent": ["chat"], "enrich": {"max_sites": 3, "max_scripts": 2}, "sources": [{"type": "csv", "path": str(tmp_path / "list.csv")}, {"type": "npi", "path": str(tmp_path / "none")}]}
+    (tmp_path / "p.json").write_text(json.dumps({"searches": {"valves": search}}))
+    (tmp_path / "pages.json").write_text("\n".join(map(json.dumps, PAGES)))
+    (tmp_path / "scripts.json").write_text(json.dumps({"url": "https://www.v1.example/app.js", "body": "load('https://widget.intercom.io/w')"}))
+    base = ["--profile", str(tmp_path / "p.json"), "--root", str(tmp_path / "out"), "--date", "2025-01-01"]
+    assert cli.main([*base, "--pages", str(tmp_path / "pages.json"), "--scripts", str(tmp_path / "scripts.json")]) == 0
+    sites = {r.name: r.site for r in runs.saved_records(spark, str(tmp_path / "out"), "valves", "2025-01-01").collect()}
+    assert sites["Valve Works 0"] is None and sites["Valve Works 4"] is None  # outside the region; beyond the budget
+    one = sites["Valve Works 1"]
+    assert (one.title, one.tech, one.scripts_scanned, one.error, len(one.pages)) == ("Valves – A1", ["chat:intercom", "scheduler:calendly"], 1, None, 2) and "family owned" in one.text
+    assert (sites["Valve Works 2"].error, sites["Valve Works 3"].error) == ("timeout", "page isn't staged")
+    text = (tmp_path / "out" / "reports" / "2025-01-01.md").read_text()
+    assert "npi failed" in text and "- Source failed (npi)" in text and "- Tools: chat: 1 present, 4 not known" in text
+    search["sources"] = search["sources"][1:]
+    (tmp_path / "p.json").write_text(json.dumps({"searches": {"valves": search}}))
+    assert cli.main(["discover", *base]) == 3
+
+
+def test_websites_by_name(spark):
+    from firmscope.operators import sites
+    from firmscope.sources.records import RECORD
+
+    rows = [(f"r{i}", "a", n, None, w, (None, None, None, None, None), None, [], [], None, None) for i, (n, w) in enumerate([("Acme Valves", None), ("Bolt Works", "https://b.example"), ("Nowhere Pumps", None)])]
+    hits = [("r0", 0, "https://yelp.com/acme", "Acme"), ("r0", 1, "https://www.acme-valves.example/x", "home"), ("r0", 2, "https://acme.example", "acme"), ("r2", 5, "https://nowhere.example", "Nowhere"), ("r1", 0, "https://bolt.example", "bolt works")]
+    got = sites.find_websites(spark.createDataFrame(rows, RECORD), spark.createDataFrame(hits, "record_id string, pos int, url string, title string")).collect()
+    assert {r.record_id: (r.website, len(r.evidence)) for r in got} == {"r0": ("https://acme-valves.example/", 1), "r1": ("https://b.example", 0), "r2": (None, 0)}
+
+
+def test_filings_in_a_zip(spark, tmp_path):
+    import zipfile
+
+    from firmscope.functions.region import Region
+    from firmscope.sources import registry
+
+    head = "establishment_name,company_name,street_address,city,state,zip_code,naics_code,industry_description,establishment_type,annual_average_employees,year_filing_for"
+    with zipfile.ZipFile(tmp_path / "f.zip", "w") as z:
+        z.writestr("notes.txt", "x")
+        z.writestr("data.csv", "\ufeff" + head + "\r\n" + 'Acme - Salem,"Acme, Inc.",1 A St,Salem,OR,97301,332911,Valves,1,12,2023\r\nFar,Far,2,Austin,TX,73301,332911,Valves,1,5,2023\r\n')
+    rows = registry.READERS["osha_ita"](spark, {"path": str(tmp_path / "f.zip"), "naics": ["3329"]}, Region(regions=["OR"])).collect()
+    assert [(r.employees, r.address.city) for r in rows] == [(12, "Salem")]

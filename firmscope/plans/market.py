@@ -174,8 +174,8 @@ def index_rows(spark, sf_dir):
 
 
 def excluded(spark, sf_dir):
-    """Suppliers against a do-not-contact list by normalised name."""
-    listed = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(T.normalize_name(F.concat(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")), F.lit(", Inc."))).alias("n")).distinct()
+    """Suppliers against a do-not-contact list, the customers in debt, by normalised name."""
+    listed = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(T.normalize_name(F.concat(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")), F.lit(", Inc."))).alias("n")).distinct()
     s = table(spark, sf_dir, "supplier").withColumn("n", T.normalize_name(F.upper("s_name"))).join(listed.withColumn("hit", F.lit(True)), "n", "left")
     return s.select("s_suppkey", F.coalesce("hit", F.lit(False)).alias("excluded"))
 
@@ -255,7 +255,7 @@ def website_lookup(spark, sf_dir):
     """For each part the first page whose host or title shares a telling word with its name (by words, never all pairs)."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.replace(W.domain_of("url"), F.lit("-"), F.lit("")).alias("d"), F.lower(W.page_title("html")).alias("t"))
     words = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "d", "t"), F.lit("[a-z]+"), F.lit(0)))).alias("word")).groupBy("word").agg(F.min("page_id").alias("page_id"))
-    names = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.distinctive_tokens(F.left("text", F.lit(60)))).alias("word"))
+    names = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.distinctive_tokens("text")).alias("word"))
     return names.join(words, "word").groupBy("doc_id").agg(F.min("page_id").alias("page_id"))
 
 
@@ -448,7 +448,7 @@ ORACLE = {
     "funnel": f"WITH {_ACC} SELECT source, count(*) AS records, count(*) FILTER (relevant) AS relevant, count(*) FILTER (passed) AS passed FROM acc GROUP BY source",
     "export_accounts": f"WITH {_ACC}, {_RANKED} SELECT rank, account_id, name, 'documents; ' || source AS sources, coalesce(CAST(quality AS VARCHAR), '') AS fit, '$' || format('{{:,d}}', CAST(round_even(score * 1234.5, 0) AS BIGINT)) AS score FROM ranked WHERE passed",
     "index_rows": f"WITH {_ACC}, {_RANKED}, l AS (SELECT source, list(name ORDER BY rank) AS names FROM ranked WHERE passed GROUP BY source) SELECT source, {_tail('names').format(k=5)} AS cell FROM l",
-    "excluded": "SELECT s_suppkey, s_suppkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) AS excluded FROM supplier",
+    "excluded": "SELECT s_suppkey, s_suppkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AS excluded FROM supplier",
     "seen_recent": r"""WITH days AS (SELECT CAST(ts AS DATE) AS day, max(user_id) AS k FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 7), b AS (SELECT string_agg(lower(p_name), ' | ') AS blob FROM days JOIN part ON k = p_partkey)
         SELECT p_partkey, p_name <> '' AND regexp_matches(blob, '(^|[^a-z0-9])' || regexp_escape(lower(p_name)) || '($|[^a-z0-9])') AS seen FROM part, b""",
     "er_edges": f"""WITH {_REC}, k AS (SELECT record_id, 'd:' || d AS key FROM rec WHERE page_id % 3 <> 0 UNION ALL SELECT record_id, 'n:site ' || (page_id % 40) || chr(10) || CASE WHEN page_id % 5 = 0 THEN 'salem' ELSE '' END FROM rec)
@@ -460,7 +460,7 @@ ORACLE = {
     "site_budget": f"WITH {_REC}, f AS (SELECT d, min(page_id) AS first_page FROM rec GROUP BY d ORDER BY first_page LIMIT 20) SELECT page_id, rec.d AS domain, f.d IS NOT NULL AS read FROM rec LEFT JOIN f ON rec.d = f.d",
     "site_read": f"""WITH {_REC}, t AS (SELECT page_id, d, left({_sql_text()}, 2500) AS t, row_number() OVER (PARTITION BY d ORDER BY page_id) AS r FROM rec) SELECT d AS domain, count(*) AS pages, md5(left(string_agg(t, chr(10) || chr(10) ORDER BY r), 6000)) AS digest FROM t WHERE r <= 3 GROUP BY d""",
     "enrich_counters": f"WITH {_REC} SELECT count(DISTINCT d) AS sites, count(*) FILTER (length({_sql_text()}) < 300) AS thin FROM rec",
-    "website_lookup": f"""WITH {_REC}, w AS (SELECT unnest(regexp_extract_all(concat_ws(' ', replace(d, '-', ''), lower(t)), '[a-z]+')) AS word, page_id FROM (SELECT page_id, d, (SELECT 1) AS one, {{title}} AS t FROM rec)), n AS (SELECT doc_id, unnest(list_filter({sql_words('left(text, 60)')}, lambda w: length(w) >= 4 AND w NOT IN {{common}})) AS word FROM documents)
+    "website_lookup": f"""WITH {_REC}, w AS (SELECT unnest(regexp_extract_all(concat_ws(' ', replace(d, '-', ''), lower(t)), '[a-z]+')) AS word, page_id FROM (SELECT page_id, d, (SELECT 1) AS one, {{title}} AS t FROM rec)), n AS (SELECT doc_id, unnest(list_filter({sql_words('text')}, lambda w: length(w) >= 4 AND w NOT IN {{common}})) AS word FROM documents)
         SELECT doc_id, min(page_id) AS page_id FROM n JOIN w USING (word) GROUP BY doc_id""",
     "vendor_match": f"""WITH v AS (SELECT vendor, {TOKENS.replace("'name'", "'vendor'")} AS vt FROM (SELECT DISTINCT concat({COMPANY}, CASE p_partkey % 3 WHEN 0 THEN ' Holdings' ELSE '' END) AS vendor, vendor AS name FROM part)),
         c AS (SELECT account_id, pos, {TOKENS} AS ct FROM (SELECT 'c-' || p_partkey AS account_id, {COMPANY} AS name, p_partkey AS pos FROM part WHERE p_partkey % 10 = 0))

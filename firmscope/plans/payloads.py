@@ -128,7 +128,7 @@ def src_certified(spark, sf_dir):
 
 def src_awards(spark, sf_dir):
     """Lines as award pages of two queries; each award once, for the earlier query."""
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 2 = 0")
+    o = table(spark, sf_dir, "orders")
     item = F.struct(F.concat(F.lit("V "), "o_custkey").alias("Recipient Name"), F.lit("DEPT").alias("Awarding Agency"), F.lit("Unit").alias("Awarding Sub Agency"), F.col("o_totalprice").alias("Award Amount"), F.col("o_orderpriority").alias("Description"),
                     F.date_format("o_orderdate", "yyyy-MM-dd").alias("Start Date"), F.concat(F.lit("A"), "o_orderkey").alias("Award ID"), F.concat(F.lit("G"), "o_orderkey").alias("generated_internal_id"))
     both = o.withColumns({"qpos": F.lit(1), "purpose": F.lit("market")}).filter("o_totalprice > 150000").unionByName(o.withColumns({"qpos": F.lit(2), "purpose": F.lit("c-1")}))
@@ -165,5 +165,5 @@ ORACLE = {
         SELECT 'nsf:' || replace(lower(s_name), '#', '-') || '-sons:' || lower(fc) || '-' || lower(fs) AS record_id, s_name || ' & Sons' AS name, '' AS legal_name, 'http://s' || s_suppkey || '.example.com' AS website,
         concat_ws('|', CASE WHEN fc = 'Salem' THEN '1 Elm ' || s_suppkey END, fc, fs, CASE WHEN fc = 'Salem' THEN '97301' END, 'US') AS address, 'Valves,Check Valve' AS categories,
         'certification|Listed: plant in ' || fc || ', ' || fs || '|Certified products: Check Valve' || CASE WHEN fc = 'Salem' THEN '' ELSE ' | Company office: Salem, OR' END AS evidence, CAST(NULL AS INT) AS employees FROM f""",
-    "src_awards": "SELECT 'G' || o_orderkey AS key, CASE WHEN o_totalprice > 150000 THEN 'market' ELSE 'c-1' END AS purpose, 'V ' || o_custkey AS vendor, o_totalprice AS amount, strftime(o_orderdate, '%Y-%m-%d') AS date, 'A' || o_orderkey AS award_id, o_orderpriority AS description FROM orders WHERE o_custkey % 2 = 0",
+    "src_awards": "SELECT 'G' || o_orderkey AS key, CASE WHEN o_totalprice > 150000 THEN 'market' ELSE 'c-1' END AS purpose, 'V ' || o_custkey AS vendor, o_totalprice AS amount, strftime(o_orderdate, '%Y-%m-%d') AS date, 'A' || o_orderkey AS award_id, o_orderpriority AS description FROM orders",
 }

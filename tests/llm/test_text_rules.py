@@ -53,6 +53,27 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert all(got[i] for i in range(500)) and not any(got[i] for i in range(500, 525))
 
 
+def test_each_statistic_rejects_by_itself(spark):
+    """One odd text for each statistic, each below the base rule; a line printed at both ends of a text is not odd."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 8)))
+    prose = lambda n: [word() for _ in range(n)]
+    lines = lambda n: [" ".join(prose(r.randint(6, 12))) for _ in range(n)]
+    clean = ["\n".join(lines(r.randint(4, 40))) for _ in range(400)]
+    framed = ["\n".join([head, *lines(10), head]) for head in (" ".join(prose(12)) for _ in range(20))]
+    body = prose(600)
+    odd = {
+        "word_chars": " ".join(w * 3 for w in prose(200)),
+        "symbols": " ".join(w + "#" for w in prose(200)),
+        "dup_lines": "\n".join(x for _ in range(60) for x in ("so", " ".join(prose(8)))),
+        "repeats": " ".join([*body, *body[:98]]),
+    }
+    rows = [(i, t, "en", "s", None) for i, t in enumerate([*clean, *framed, *odd.values()])]
+    got = {x.doc_id: x for x in quality.quality_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].kept for i in range(420))
+    assert [k for i, k in enumerate(odd, 420) if got[i].kept or got[i].base_failed] == []
+
+
 def test_mcd_resists_a_minority(spark):
     """Centre and factor come from the tight majority, not from a fifth of far rows."""
     r = random.Random(9)

@@ -1,10 +1,10 @@
 """AVI motion-JPEG: RIFF indexes, baseline JPEG frames, and shots by adaptive histogram differences.
 
-The decoder reads any baseline (sequential, 8-bit, Huffman) JPEG whose scan is one
-component, or its first component, at an eighth of its size: the mean of each 8 x 8
-block, which is what shot detection looks at. Entropy-coded segments between restart
-markers don't depend on each other, so the segments of all frames of a batch are decoded
-side by side, one symbol of each at a time, in numpy.
+The decoder reads baseline (sequential, 8-bit, Huffman) JPEG of any number of components, in one
+interleaved scan or with the first component in a scan of its own, and keeps the first component (the
+luminance): all its samples by inverse DCT, or (what the byte store needs) the mean of each 8 x 8 block.
+Entropy-coded segments between restart markers don't depend on each other, so the segments of many
+frames are decoded side by side, one symbol of each at a time, in numpy.
 
 The writer stores bytes losslessly: each byte is one flat 8 x 8 block whose mean is that
 value (with a quantiser of 8, the DC coefficient is the value less 128, exactly).
@@ -48,39 +48,66 @@ def _lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Frame:
-    """One image: size in blocks of its first component, tables, and its scan's segments."""
+    """One image: the size of its first component, what a unit of its scan holds, and the scan's segments.
+
+    A unit (MCU) is `across` x `down` blocks of the first component and the other components' blocks;
+    `pattern` names each block's component and tables in order.
+    """
 
     width: int
     height: int
-    blocks: int
+    units: tuple[int, int]
+    across: int
+    down: int
     per_segment: int
-    dc: bytes
-    ac: bytes
-    scale: int
+    pattern: tuple[tuple[int, bytes, bytes], ...]
+    quant: tuple[int, ...]
     segments: list[bytes]
 
+    @property
+    def blocks(self) -> tuple[int, int]:
+        """Rows and columns of the blocks that hold samples of the picture."""
+        return -(-self.height // 8), -(-self.width // 8)
+
 
-#: Motion-JPEG frames may leave their Huffman tables out; then the standard's luminance tables hold.
+# Huffman tables K.3 to K.6 of the JPEG standard (counts of each length, then symbols), which
+# motion-JPEG frames may leave out. The symbols that aren't listed follow in ascending order.
 _STANDARD_DC = bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]) + bytes(range(12))
+_STANDARD_DC_COLOUR = bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]) + bytes(range(12))
+_AC_COUNTS = bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125])
+_AC_FIRST = bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a")
+_AC_COLOUR_COUNTS = bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119])
+_AC_COLOUR_FIRST = bytes.fromhex("000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1")
+
+
+def _ac_table(counts: bytes, first: bytes) -> bytes:
+    every = {0x00, 0xF0} | {16 * run + size for run in range(16) for size in range(1, 11)}
+    return counts + first + bytes(sorted(every - set(first)))
+
+
+_STANDARD = {(0, 0): _STANDARD_DC, (0, 1): _STANDARD_DC_COLOUR, (1, 0): _ac_table(_AC_COUNTS, _AC_FIRST), (1, 1): _ac_table(_AC_COLOUR_COUNTS, _AC_COLOUR_FIRST)}
 
 
 def parse_frame(data: bytes) -> Frame:
-    """Markers of a baseline JPEG with one component to a scan."""
+    """Markers of a baseline JPEG, up to its first scan."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    at, tables, quant = 2, {(0, 0): _STANDARD_DC}, {}
+    at, tables, quant = 2, dict(_STANDARD), {}
     width = height = interval = 0
-    component = None
+    parts: list[tuple[int, int, int, int]] = []
     while True:
         if data[at] != 0xFF:
             raise ValueError("marker expected")
+        if data[at + 1] == 0xFF:  # a fill byte
+            at += 1
+            continue
         kind, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
         if kind == 0xDB:
             k = 0
             while k < len(body):
                 wide = body[k] >> 4
-                quant[body[k] & 15] = struct.unpack_from(">H", body, k + 1)[0] if wide else body[k + 1]
+                quant[body[k] & 15] = struct.unpack_from(">64H" if wide else ">64B", body, k + 1)
                 k += 1 + 64 * (2 if wide else 1)
         elif kind == 0xC4:
             k = 0
@@ -89,21 +116,29 @@ def parse_frame(data: bytes) -> Frame:
                 tables[body[k] >> 4, body[k] & 15] = body[k + 1 : k + n]
                 k += n
         elif kind == 0xC0:
-            height, width, parts = struct.unpack_from(">HHB", body, 1)
-            if parts != 1:
-                raise ValueError("more than one component in a scan")
-            component = body[8]
+            height, width, n = struct.unpack_from(">HHB", body, 1)
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
         elif 0xC1 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
             raise ValueError("not a baseline JPEG")
         elif kind == 0xDD:
             interval = struct.unpack(">H", body)[0]
         elif kind == 0xDA:
-            dc, ac = tables[0, body[2] >> 4], tables[1, body[2] & 15]
+            scan = {body[1 + 2 * i]: (tables[0, body[2 + 2 * i] >> 4], tables[1, body[2 + 2 * i] & 15]) for i in range(body[0])}
             at += 2 + size
             break
         at += 2 + size
-    blocks = -(-width // 8) * -(-height // 8)
-    return Frame(width, height, blocks, interval or blocks, dc, ac, quant[component], _segments(data, at))
+    if not parts or not width or not height or parts[0][0] not in scan:
+        raise ValueError("no picture, or its first scan is without the first component")
+    most_h, most_v = max(p[1] for p in parts), max(p[2] for p in parts)
+    _, across, down, table = parts[0]
+    width, height = -(-width * across // most_h), -(-height * down // most_v)
+    if len(scan) == 1:  # blocks of one component follow each other row by row
+        across = down = 1
+        pattern = ((0, *scan[parts[0][0]]),)
+    else:
+        pattern = tuple((i, *scan[p[0]]) for i, p in enumerate(parts) if p[0] in scan for _ in range(p[1] * p[2]))
+    units = -(-height // (8 * down)), -(-width // (8 * across))
+    return Frame(width, height, units, across, down, interval or units[0] * units[1], pattern, quant[table], _segments(data, at))
 
 
 def _segments(data: bytes, at: int) -> list[bytes]:
@@ -120,28 +155,69 @@ def _segments(data: bytes, at: int) -> list[bytes]:
     raise ValueError("the scan has no end")
 
 
-def decode_means(frames: list[Frame]) -> list[np.ndarray]:
-    """Of each frame the means of its blocks, 0 to 255, in scan order."""
-    out: list[np.ndarray] = [np.zeros(f.blocks, np.uint8) for f in frames]
+#: Coefficients of the first component that are held at once.
+AT_ONCE = 1 << 25
+
+
+def decode(frames: list[Frame], whole: bool = False) -> list[np.ndarray]:
+    """Of each frame the first component, row by row: its blocks' means, or (whole) its samples; 0 to 255."""
+    depth = 64 if whole else 1
+    planes = [np.zeros((f.units[0] * f.units[1], f.down * f.across, depth), np.int16) for f in frames]
     groups: dict[tuple, list[tuple[int, int, int, bytes]]] = {}
     for i, f in enumerate(frames):
+        n = f.units[0] * f.units[1]
+        if len(f.segments) != -(-n // f.per_segment):
+            raise ValueError("segments are missing")
         for k, s in enumerate(f.segments):
-            first = k * f.per_segment
-            groups.setdefault((f.dc, f.ac, f.scale), []).append((i, first, min(f.per_segment, f.blocks - first), s))
-    for (dc, ac, scale), some in groups.items():
-        for at in range(0, len(some), 1 << 14):
-            part = some[at : at + (1 << 14)]
-            levels = _decode_segments([s for *_, s in part], [n for _, _, n, _ in part], dc, ac)
-            means = np.clip(np.floor_divide(levels * scale + 4, 8) + 128, 0, 255).astype(np.uint8)
-            for (i, first, n, _), row in zip(part, means, strict=True):
-                out[i][first : first + n] = row[:n]
-    return out
+            groups.setdefault((f.pattern, f.across * f.down), []).append((i, k * f.per_segment, min(f.per_segment, n - k * f.per_segment), s))
+    for (pattern, own), some in groups.items():
+        most = max(n for _, _, n, _ in some) * own * depth
+        step = max(1, min(1 << 14, AT_ONCE // most))
+        for at in range(0, len(some), step):
+            part = some[at : at + step]
+            levels = _decode_segments([s for *_, s in part], [n for _, _, n, _ in part], pattern, whole)
+            for (i, first, n, _), row in zip(part, levels, strict=True):
+                planes[i][first : first + n] = row[: n * own].reshape(n, own, depth)
+    return [_picture(f, p, whole) for f, p in zip(frames, planes, strict=True)]
+
+
+def _picture(f: Frame, plane: np.ndarray, whole: bool) -> np.ndarray:
+    """Coefficients in scan order to samples row by row, without what lies beyond the picture's edges."""
+    rows, columns = f.units
+    levels = plane.reshape(rows, columns, f.down, f.across, -1).transpose(0, 2, 1, 3, 4).reshape(rows * f.down, columns * f.across, -1)
+    levels = levels[: f.blocks[0], : f.blocks[1]].astype(np.int32)
+    if not whole:
+        return np.clip(np.floor_divide(levels[..., 0] * f.quant[0] + 4, 8) + 128, 0, 255).astype(np.uint8)
+    order, cosines = _transform()
+    values = np.zeros(levels.shape, np.float32)
+    values[..., order] = levels * np.array(f.quant, np.int32)
+    samples = cosines.T @ values.reshape(*f.blocks, 8, 8) @ cosines
+    samples = np.clip(np.rint(samples) + 128, 0, 255).astype(np.uint8)
+    return samples.transpose(0, 2, 1, 3).reshape(f.blocks[0] * 8, f.blocks[1] * 8)[: f.height, : f.width]
+
+
+@lru_cache(maxsize=1)
+def _transform() -> tuple[np.ndarray, np.ndarray]:
+    """Where the coefficients stand in a block, by the order they are stored in (diagonals, to and fro), and the DCT's matrix."""
+    zigzag = sorted(((x, y) for x in range(8) for y in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))
+    k = np.arange(8)
+    cosines = np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16) / 2
+    cosines[0] /= np.sqrt(2)
+    return np.array([8 * x + y for x, y in zigzag]), cosines.astype(np.float32)
 
 
-def _decode_segments(segments: list[bytes], blocks: list[int], dc: bytes, ac: bytes) -> np.ndarray:
-    """DC coefficients (before scaling) of segments side by side; row i holds segment i's blocks."""
-    dc_len, dc_sym = _lookup(dc)
-    ac_len, ac_sym = _lookup(ac)
+def decode_means(frames: list[Frame]) -> list[np.ndarray]:
+    """Of each frame the means of its blocks, 0 to 255, row by row."""
+    return [p.ravel() for p in decode(frames)]
+
+
+def _decode_segments(segments: list[bytes], units: list[int], pattern: tuple[tuple[int, bytes, bytes], ...], whole: bool) -> np.ndarray:
+    """Coefficients (before scaling) of the first component of segments side by side.
+
+    Row i holds segment i's blocks, each with its DC coefficient or (whole) all 64 in stored order.
+    """
+    tables = [(part, *_lookup(dc), *_lookup(ac)) for part, dc, ac in pattern]
+    own = sum(part == 0 for part, *_ in pattern)
     pad = [s + b"\xff\xff\xff\xff\xff\xff\xff\xff" for s in segments]
     flat = np.frombuffer(b"".join(pad), np.uint8)
     # 32 bits from every byte on, so one gather gives a code and its extra bits
@@ -151,45 +227,57 @@ def _decode_segments(segments: list[bytes], blocks: list[int], dc: bytes, ac: by
     words |= flat[3:]
     sizes = np.array([len(p) for p in pad], np.int64)
     pos = (np.cumsum(sizes) - sizes) * 8
-    left = np.array(blocks, np.int64)
-    values = np.zeros((len(segments), int(left.max(initial=0))), np.int32)
+    left = np.array(units, np.int64)
+    values = np.zeros((len(segments), int(left.max(initial=0)) * own, 64 if whole else 1), np.int16)
     order = np.argsort(-left, kind="stable")
     pos, left = pos[order], left[order]
-    level = np.zeros(len(order), np.int32)
+    level = np.zeros((1 + max(part for part, *_ in pattern), len(order)), np.int32)
 
     def window(bits: np.ndarray) -> np.ndarray:
         return words[bits >> 3] << (bits & 7).astype(np.uint32)
 
-    for b in range(values.shape[1]):
-        n = int(np.searchsorted(-left, -b, side="left"))  # segments that have a block b: left > b
-        p = pos[:n]
-        bits = window(p)
-        at = bits >> 16
-        size, length = dc_sym[at], dc_len[at]
-        if not length.all():
-            raise ValueError("bad code")
-        p = p + length
-        bits = window(p)
+    def extra(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The signed number in the next `size` bits."""
         shift = np.minimum(32 - size.astype(np.int64), 31).astype(np.uint32)
-        extra = np.where(size == 0, 0, bits >> shift).astype(np.int64)
+        value = np.where(size == 0, 0, bits >> shift).astype(np.int64)
         negative = (size > 0) & (bits < np.uint32(1 << 31))
-        level[:n] += np.where(negative, extra - (1 << size.astype(np.int64)) + 1, extra).astype(np.int32)
-        p = p + size
-        values[order[:n], b] = level[:n]
-        k = np.ones(n, np.int64)  # AC coefficients are passed over
-        live = np.arange(n)
-        while len(live):
-            q = p[live]
-            at = window(q) >> 16
-            sym, length = ac_sym[at], ac_len[at]
+        return np.where(negative, value - (1 << size.astype(np.int64)) + 1, value).astype(np.int32)
+
+    block = 0
+    for u in range(int(left.max(initial=0))):
+        n = int(np.searchsorted(-left, -u, side="left"))  # segments that have a unit u: left > u
+        for part, dc_len, dc_sym, ac_len, ac_sym in tables:
+            p = pos[:n]
+            at = window(p) >> 16
+            size, length = dc_sym[at], dc_len[at]
             if not length.all():
                 raise ValueError("bad code")
-            run, size = sym >> 4, sym & 15
-            p[live] = q + length + size
-            ended = sym == 0
-            k[live] += np.where(ended, 64, run.astype(np.int64) + 1)
-            live = live[k[live] < 64]
-        pos[:n] = p
+            p = p + length
+            level[part, :n] += extra(window(p), size)
+            p = p + size
+            if part == 0:
+                values[order[:n], block, 0] = level[0, :n]
+            k = np.ones(n, np.int64)
+            live = np.arange(n)
+            while len(live):
+                q = p[live]
+                at = window(q) >> 16
+                sym, length = ac_sym[at], ac_len[at]
+                if not length.all():
+                    raise ValueError("bad code")
+                run, size = sym >> 4, sym & 15
+                if whole and part == 0:
+                    some = np.flatnonzero(size)
+                    place = k[live[some]] + run[some]
+                    if (place > 63).any():
+                        raise ValueError("too many coefficients")
+                    values[order[live[some]], block, place] = extra(window(q[some] + length[some]), size[some])
+                p[live] = q + length + size
+                ended = sym == 0
+                k[live] += np.where(ended, 64, run.astype(np.int64) + 1)
+                live = live[k[live] < 64]
+            pos[:n] = p
+            block += part == 0
     return values
 
 
@@ -282,7 +370,7 @@ def write_avi(frames: list[bytes], payload: int, width: int, height: int, rate:
 
 @dataclass
 class Movie:
-    """Where the frames of the first video stream lie, and its timing."""
+    """Where the frames of the first video stream lie, and its timing. A frame of no bytes repeats the one before it."""
 
     frame_s: float
     width: int
@@ -291,46 +379,79 @@ class Movie:
     comment: str
 
 
+def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Kind, start and size of the chunks between two places."""
+    while at + 8 <= end:
+        kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        yield kind, at + 8, size
+        at += 8 + size + size % 2
+
+
+def _is_video(kind: bytes) -> bool:
+    return kind[2:] in (b"dc", b"db") and kind[:2].isalnum()
+
+
+def _walked(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Kind, start and size of the frames in a movi list, and in record lists inside it."""
+    for kind, start, size in _chunks(data, at, end):
+        if kind == b"LIST" and data[start : start + 4] == b"rec ":
+            yield from _walked(data, start + 4, min(end, start + size))
+        elif _is_video(kind):
+            yield kind, start, size
+
+
+def _indexed(data: bytes, index: bytes, movi: int) -> list[tuple[bytes, int, int]]:
+    """Frames by an idx1 index; its offsets count from the movi list or from the start of the file: the first entry tells."""
+    entries = [(index[i : i + 4], *struct.unpack_from("<II", index, i + 8)) for i in range(0, len(index) - 15, 16)]
+    video = [e for e in entries if _is_video(e[0])]
+    base = movi if video and data[movi + video[0][1] :][:4] == video[0][0] else 0
+    return [(kind, base + o + 8, n) for kind, o, n in video]
+
+
+def _super_indexed(data: bytes, index: bytes) -> list[tuple[bytes, int, int]]:
+    """Frames by an index of indexes, as files beyond one RIFF chunk have it."""
+    out = []
+    for i in range(struct.unpack_from("<I", index, 4)[0]):
+        at = struct.unpack_from("<Q", index, 24 + 16 * i)[0] + 8
+        longs, _, n, kind, base = struct.unpack_from("<HHI4sQ", data, at)
+        out += [(kind, base + o, size & 0x7FFFFFFF) for o, size in (struct.unpack_from("<II", data, at + 24 + 4 * longs * j) for j in range(n))]
+    return [e for e in out if _is_video(e[0])]
+
+
 def parse_avi(data: bytes) -> Movie:
-    """Chunks, headers and the index of an AVI file; without an idx1 index the movi list is walked.
+    """Chunks, headers and indexes of an AVI file, of all its RIFF chunks.
 
-    Index offsets count from the movi list or from the start of the file: the first entry tells.
+    Frames are found by the index of indexes if there is one; else by the idx1 index, and without it, and
+    in further RIFF chunks, by walking the movi lists.
     """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     movie = Movie(1 / RATE, 0, 0, [], "")
-    movi = (0, 0)
-    index = b""
-    todo = [(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))]
-    while todo:
-        at, end = todo.pop()
-        while at + 8 <= end:
-            kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            if kind == b"LIST" and data[at + 8 : at + 12] == b"movi":
-                movi = (at + 8, at + 8 + size)
-            elif kind == b"LIST":
-                todo.append((at + 12, at + 8 + size))
-            elif kind == b"avih":
-                movie.frame_s = struct.unpack_from("<I", data, at + 8)[0] / 1e6
-                movie.width, movie.height = struct.unpack_from("<II", data, at + 8 + 32)
-            elif kind == b"ICMT":
-                movie.comment = data[at + 8 : at + 8 + size].rstrip(b"\0").decode()
-            elif kind == b"idx1":
-                index = data[at + 8 : at + 8 + size]
-            at += 8 + size + size % 2
-    if index:
-        entries = [(index[i : i + 4], *struct.unpack_from("<II", index, i + 8)) for i in range(0, len(index) - 15, 16)]
-        video = [(o, n) for kind, o, n in entries if kind[2:] in (b"dc", b"db")]
-        if video:
-            base = movi[0] if data[movi[0] + video[0][0] :][2:4] in (b"dc", b"db") else 0
-            movie.frames = [(base + o + 8, n) for o, n in video]
-    else:
-        at = movi[0] + 4
-        while at + 8 <= movi[1]:
-            kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            if kind[2:] in (b"dc", b"db"):
-                movie.frames.append((at + 8, size))
-            at += 8 + size + size % 2
+    found: list[tuple[bytes, int, int]] = []
+    above: list[tuple[bytes, int, int]] = []
+    for riff, start, size in _chunks(data, 0, len(data)):
+        if riff != b"RIFF" or data[start : start + 4] not in (b"AVI ", b"AVIX"):
+            continue
+        movi, index = (0, 0), b""
+        todo = [(start + 4, min(len(data), start + size))]
+        while todo:
+            for kind, at, n in _chunks(data, *todo.pop()):
+                if kind == b"LIST" and data[at : at + 4] == b"movi":
+                    movi = (at, min(len(data), at + n))
+                elif kind == b"LIST":
+                    todo.append((at + 4, at + n))
+                elif kind == b"avih":
+                    movie.frame_s = struct.unpack_from("<I", data, at)[0] / 1e6
+                    movie.width, movie.height = struct.unpack_from("<II", data, at + 32)
+                elif kind == b"ICMT":
+                    movie.comment = data[at : at + n].rstrip(b"\0").decode(errors="replace")
+                elif kind == b"idx1":
+                    index = data[at : at + n]
+                elif kind == b"indx" and not above and data[at + 3] == 0:
+                    above = _super_indexed(data, data[at : at + n])
+        found += _indexed(data, index, movi[0]) if index else list(_walked(data, movi[0] + 4, movi[1]))
+    found = above or found
+    movie.frames = [(at, n) for kind, at, n in found if kind == found[0][0]]
     return movie
 
 
@@ -381,18 +502,66 @@ class Clip:
     jump: float
 
 
-def shots(means: np.ndarray, frame_s: float, bins: int = 32, around: int = 8, factor: float = 3.0, least: float = 0.08) -> list[Clip]:
+BINS = 32
+
+
+def histograms(frames: np.ndarray, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
+    """Of each frame (a row of samples) the shares of its samples by bin, and their mean."""
+    n = len(frames)
+    if not n:
+        return np.zeros((0, bins)), np.zeros(0)
+    at = (frames.astype(np.int64) * bins >> 8) + bins * np.arange(n)[:, None]
+    return np.bincount(at.ravel(), minlength=n * bins).reshape(n, bins) / frames.shape[1], frames.mean(axis=1)
+
+
+def movie_histograms(file: bytes) -> tuple[Movie, np.ndarray, np.ndarray]:
+    """A file's headers, and the histograms and means of all samples of its frames.
+
+    Frames are decoded in portions of AT_ONCE samples, so memory follows the file, not its pictures.
+    """
+    movie = parse_avi(file)
+    shares, level, held, size = [], [], [], 0
+
+    def flush() -> None:
+        for picture in decode(held, whole=True):
+            own = histograms(picture.reshape(1, -1))
+            shares.append(own[0][0])
+            level.append(own[1][0])
+        held.clear()
+
+    for at, n in movie.frames:
+        if not n:  # dropped: the picture before it stays
+            flush()
+            size = 0
+            if shares:
+                shares.append(shares[-1])
+                level.append(level[-1])
+            continue
+        frame = parse_frame(file[at : at + n])
+        size += frame.width * frame.height
+        if held and size > AT_ONCE:
+            flush()
+            size = frame.width * frame.height
+        held.append(frame)
+    flush()
+    return movie, np.array(shares).reshape(-1, BINS), np.array(level)
+
+
+def shots(means: np.ndarray, frame_s: float) -> list[Clip]:
+    """Clips of frames given as rows of samples."""
+    return clips_of(*histograms(means), frame_s)
+
+
+def clips_of(shares: np.ndarray, level: np.ndarray, frame_s: float, around: int = 8, factor: float = 3.0, least: float = 0.08) -> list[Clip]:
     """Runs of frames between cuts.
 
     A cut is where the difference of neighbouring frames' histograms (half the sum of absolute
     differences of shares) is above `least` and above the mean plus `factor` deviations of the
     up to `around` differences on either side of it.
     """
-    n = len(means)
+    n = len(shares)
     if not n:
         return []
-    at = (means.astype(np.int64) * bins >> 8) + bins * np.arange(n)[:, None]
-    shares = np.bincount(at.ravel(), minlength=n * bins).reshape(n, bins) / means.shape[1]
     diff = np.abs(np.diff(shares, axis=0)).sum(axis=1) / 2
     m = len(diff)
     one = np.concatenate(([0.0], np.cumsum(diff)))
@@ -402,33 +571,36 @@ def shots(means: np.ndarray, frame_s: float, bins: int = 32, around: int = 8, fa
     mean = (one[hi] - one[lo] - diff) / others
     spread = np.sqrt(np.maximum(0, (two[hi] - two[lo] - diff * diff) / others - mean * mean))
     cuts = [0, *(np.flatnonzero((diff > least) & (diff > mean + factor * spread)) + 1).tolist(), n]
-    level = means.mean(axis=1)
     return [Clip(a, b - a, a * frame_s, b * frame_s, float(level[a:b].mean()), float(diff[a - 1]) if a else 0.0) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 # ---------------------------------------------------------------- as DataFrames
 
-CLIPS = "key long, clip int, first_frame int, n_frames int, start_s double, end_s double, level double, jump double"
+CLIPS = "key long, clip int, first_frame int, n_frames int, start_s double, end_s double, level double, jump double, error string"
 
 
 def clip_rows(files: DataFrame, key_col: str, data_col: str) -> DataFrame:
-    """One row a shot of each AVI file: key, clip, first_frame, n_frames, start_s, end_s, level, jump.
+    """One row a shot of each AVI file: key, clip, first_frame, n_frames, start_s, end_s, level, jump, error.
 
-    Null files and files that are no AVI of baseline JPEG frames give no rows.
+    A null file, one that is no AVI of baseline JPEG frames, and one without frames give one row with their key and the error.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                clips, error = [], None
                 try:
-                    movie, means = read_movies([data])[0] if data else (None, np.zeros((0, 0)))
-                except (ValueError, KeyError, IndexError, struct.error):
-                    continue
-                for i, c in enumerate(shots(means, movie.frame_s) if movie else []):
-                    for k, v in enumerate((key, i, c.first, c.frames, c.start_s, c.end_s, c.level, c.jump)):
+                    movie, shares, level = movie_histograms(data or b"")
+                    clips = clips_of(shares, level, movie.frame_s)
+                    error = None if clips else "no frames"
+                except (ValueError, KeyError, IndexError, struct.error) as e:
+                    error = str(e) or type(e).__name__
+                rows = [(key, i, c.first, c.frames, c.start_s, c.end_s, c.level, c.jump, None) for i, c in enumerate(clips)]
+                for row in rows or [(key, *[None] * 7, error)]:
+                    for k, v in enumerate(row):
                         out[k].append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
+            kinds = [pa.int64(), *[pa.int32()] * 3, *[pa.float64()] * 4, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=[c.split()[0] for c in CLIPS.split(", ")])
 
     return files.select(column(files, key_col).cast("long"), column(files, data_col).cast("binary")).mapInArrow(run, CLIPS)

@@ -70,9 +70,79 @@ def test_movie_digests(spark):
 
 def test_clip_rows(spark):
     cut = (b"a" * 64 * 80) + (b"z" * 64 * 80)
-    files = [(1, bytearray(avi.store_bytes([avi.padded(cut)])[0])), (2, None), (3, bytearray(b"no movie"))]
+    files = [(1, bytearray(avi.store_bytes([avi.padded(cut)])[0])), (2, None), (3, bytearray(b"no movie")), (4, bytearray(avi.write_avi([], 0, 8, 8)))]
     got = avi.clip_rows(spark.createDataFrame(files, "k long, data binary"), "k", "data").collect()
-    assert [(r.key, r.first_frame, r.n_frames) for r in got] == [(1, 0, 10), (1, 10, 10)]
+    assert [(r.key, r.first_frame, r.n_frames) for r in got if r.error is None] == [(1, 0, 10), (1, 10, 10)]
+    assert {r.key: r.error for r in got if r.error} == {2: "not an AVI file", 3: "not an AVI file", 4: "no frames"}
+
+
+def another_encoder(spark, picture):
+    """A colour picture (rows, columns, 3) as JPEG by the Java library, and the luminance that library reads back."""
+    high, wide = picture.shape[:2]
+    rows = b"".join(row[:, ::-1].tobytes() + b"\0" * (-3 * wide % 4) for row in picture[::-1])
+    bmp = b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + len(rows), 0, 0, 54, 40, wide, high, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows
+    java, image = spark._jvm.java, spark._jvm.javax.imageio.ImageIO
+    out = java.io.ByteArrayOutputStream()
+    assert image.write(image.read(java.io.ByteArrayInputStream(bytearray(bmp))), "jpg", out)
+    data = bytes(out.toByteArray())
+    reader = image.getImageReadersByFormatName("jpeg").next()
+    reader.setInput(image.createImageInputStream(java.io.ByteArrayInputStream(bytearray(data))))
+    raster = reader.readRaster(0, None)
+    space = spark.sparkContext._gateway.new_array(spark._jvm.int, high * wide)
+    return data, np.array(list(raster.getSamples(0, 0, wide, high, 0, space))).reshape(high, wide)
+
+
+def pictures(high, wide, tints):
+    y, x = np.mgrid[0:high, 0:wide]
+    wave = 50 * np.sin(x / 5) + 40 * np.cos(y / 3 + x / 9)
+    return [np.clip(np.stack([wave + t, wave / 2 + t, 200 - wave - t], axis=2), 0, 255).astype(np.uint8) for t in tints]
+
+
+@pytest.mark.parametrize(("high", "wide"), [(16, 16), (37, 53), (64, 48)])
+def test_colour_frames_of_another_encoder(spark, high, wide):
+    """Interleaved components with halved colour planes: every luminance sample, with and without Huffman tables in the frame."""
+    for picture in pictures(high, wide, (20, 110, 180)):
+        data, want = another_encoder(spark, picture)
+        bare, at = data[:2], 2
+        while data[at + 1] != 0xDA:  # leave the Huffman tables out, as motion-JPEG may
+            n = 2 + struct.unpack_from(">H", data, at + 2)[0]
+            bare += b"" if data[at + 1] == 0xC4 else data[at : at + n]
+            at += n
+        for jpeg in (data, bare + data[at:]):
+            frame = avi.parse_frame(jpeg)
+            assert len(frame.pattern) > 1
+            got = avi.decode([frame], whole=True)[0].astype(int)
+            assert got.shape == want.shape and np.abs(got - want).max() <= 1
+            mean = avi.decode([frame])[0].astype(int)[: high // 8, : wide // 8]
+            assert np.abs(mean - want[: high // 8 * 8, : wide // 8 * 8].reshape(high // 8, 8, wide // 8, 8).mean(axis=(1, 3))).max() <= 2
+
+
+def test_clips_of_a_colour_movie(spark):
+    """Shots of a movie of another encoder's frames; a dropped frame repeats the one before it."""
+    frames = [another_encoder(spark, p)[0] for p in pictures(37, 53, [20, 21, 22, 23, 24, 25, 150, 151, 152, 153, 154, 155])]
+    frames[3] = b""
+    got = avi.clip_rows(spark.createDataFrame([(7, bytearray(avi.write_avi(frames, 0, 53, 37)))], "k long, data binary"), "k", "data").collect()
+    assert [(r.first_frame, r.n_frames, r.error) for r in got] == [(0, 6, None), (6, 6, None)]
+    broken = avi.write_avi([frames[0], frames[1][:-40]], 0, 53, 37)
+    assert avi.clip_rows(spark.createDataFrame([(8, bytearray(broken))], "k long, data binary"), "k", "data").first().error
+
+
+def test_frames_of_all_riff_chunks_and_records():
+    """Further RIFF chunks are walked; an index of indexes holds over both; record lists are opened; other streams are left out."""
+    one, two = avi.encode_frame(avi.encode_rows(np.full((8, 64), 9, np.uint8))), avi.encode_frame(avi.encode_rows(np.full((8, 64), 200, np.uint8)))
+    sound = avi._chunk(b"01wb", b"abc") + avi._chunk(b"02dc", two)
+    more = avi._chunk(b"RIFF", b"AVIX" + avi._chunk(b"LIST", b"movi" + avi._chunk(b"LIST", b"rec " + avi._chunk(b"00dc", two) + sound)))
+    file = avi.write_avi([one], 0, 512, 64) + more
+    at = avi.parse_avi(file).frames
+    assert [file[a : a + n] for a, n in at] == [one, two]
+    part = b"ix00" + struct.pack("<IHBBI4sQI", 24 + 16, 2, 0, 1, 2, b"00dc", 0, 0) + b"".join(struct.pack("<II", a, n | 0x80000000) for a, n in reversed(at))
+    place = 12  # the index of indexes is put in front of the first list, so all places move by its size
+    size = 8 + 24 + 16
+    moved = b"ix00" + part[4:20] + struct.pack("<Q", size) + part[28:]
+    above = avi._chunk(b"indx", struct.pack("<HBBI4s12xQII", 4, 0, 0, 1, b"00dc", len(file) + size, len(moved), 2))
+    big = file[:place] + above + file[place:] + moved
+    big = big[:4] + struct.pack("<I", struct.unpack_from("<I", file, 4)[0] + size) + big[8:]
+    assert [big[a : a + n] for a, n in avi.parse_avi(big).frames] == [two, one]
 
 
 @pytest.mark.parametrize("wide", [False, True])

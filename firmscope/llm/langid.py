@@ -23,18 +23,20 @@ from pyspark.sql import functions as F
 
 from .common import column
 
-def _marks() -> str:
-    """The combining marks, as ranges of a character class."""
-    found = [c for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Mn", "Mc")]
+def _marks(found: list[int]) -> str:
+    """Code points as ranges of a character class."""
     starts = [c for i, c in enumerate(found) if not i or found[i - 1] != c - 1]
     ends = [c for i, c in enumerate(found) if i + 1 == len(found) or found[i + 1] != c + 1]
     return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
 
 
+#: The combining marks.
+MARKS = [c for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Mn", "Mc")]
+IS_MARK = np.zeros(sys.maxunicode + 1, bool)
+IS_MARK[MARKS] = True
 WORDS = re.compile(r"[^\W\d_]+")
-MARKS = re.compile(f"[{_marks()}]")
 #: With the marks that many scripts write vowels with.
-MARKED_WORDS = re.compile(rf"[^\W\d_](?:[^\W\d_]|{MARKS.pattern})*")
+MARKED_WORDS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_marks(MARKS)}])*")
 LONGEST = 4
 UNKNOWN = "und"
 
@@ -42,7 +44,8 @@ UNKNOWN = "und"
 def words_of(text: str) -> list[str]:
     """Runs of letters, with the combining marks behind them, in small letters."""
     low = text.lower()
-    return (WORDS if low.isascii() or not MARKS.search(low) else MARKED_WORDS).findall(low)
+    marked = not low.isascii() and IS_MARK[np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)].any()
+    return (MARKED_WORDS if marked else WORDS).findall(low)
 
 
 @dataclass(frozen=True)
@@ -156,6 +159,7 @@ class Scorer:
 
     def __init__(self, model: Model, remember: int = 200_000):
         self.model, self.remember = model, min(remember, CELLS // max(1, len(model.languages)))
+        self.step = max(1, min(self.remember, (1 << 17) // max(1, len(model.languages))))  # unseen words looked up at a time
         self._forget()
 
     def _forget(self) -> None:
@@ -165,14 +169,28 @@ class Scorer:
         self.place = dict(self.model.words)
 
     def unseen(self, word: str) -> np.ndarray:
-        grams, marked = self.model.grams, f"^{word}$"
-        for n in range(LONGEST, 0, -1):
-            rows = [r for i in range(len(marked) - n + 1) if (r := grams.get(marked[i : i + n])) is not None]
-            if n == 1:
-                rows = [r for c in word if (r := grams.get(c)) is not None]
-            if rows:
-                return self.model.gram_logs[rows].mean(axis=0)
-        return np.zeros(len(self.model.languages))
+        return self.all_unseen([word])[0]
+
+    def all_unseen(self, words: list[str]) -> np.ndarray:
+        """A row for each word: the mean of its n-grams of the greatest length of which any is known."""
+        known = self.model.grams.get
+        rows: list[int] = []
+        starts, at = [], []
+        for k, word in enumerate(words):
+            marked = f"^{word}$"
+            for n in range(LONGEST, 0, -1):
+                cut = word if n == 1 else [marked[i : i + n] for i in range(len(marked) - n + 1)]
+                found = [r for r in map(known, cut) if r is not None]
+                if found:
+                    starts.append(len(rows))
+                    at.append(k)
+                    rows += found
+                    break
+        out = np.zeros((len(words), len(self.model.languages)))
+        if rows:
+            sizes = np.diff(np.array([*starts, len(rows)]))
+            out[at] = np.add.reduceat(self.model.gram_logs[rows], starts, axis=0) / sizes[:, None]
+        return out
 
     def score(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its posterior probability under equal priors."""
@@ -183,12 +201,14 @@ class Scorer:
         total = np.zeros(len(self.model.languages))
         for at in range(0, len(words), 1 << 16):
             some = words[at : at + (1 << 16)]
-            for w in set(some).difference(place):
-                if len(place) >= len(self.logs):
+            new = list(set(some).difference(place))
+            for k in range(0, len(new), self.step):
+                part = new[k : k + self.step]
+                if len(place) + len(part) > len(self.logs):
                     self._forget()
                     place = self.place
-                place[w] = row = len(place)
-                self.logs[row] = self.unseen(w)
+                self.logs[len(place) : len(place) + len(part)] = self.all_unseen(part)
+                place.update(zip(part, range(len(place), len(place) + len(part)), strict=True))
             try:
                 rows = np.fromiter(map(place.__getitem__, some), np.int64, len(some))
                 total += self.logs[rows].sum(axis=0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, langid, licenses, mixing, neardup, oracles, packing, quality, sharding, tokens, warczip
+from . import avi, langid, licenses, mixing, neardup, oracles, packing, pieces, quality, repair, sharding, spelling, tokens, warczip
 from .common import stage
 
 
@@ -71,6 +71,21 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", F.round("mix_weight", 6).alias("weight"), F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_place").alias("place"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged and repaired by the cheapest edits."""
+    return repair.repair_report(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all documents with their near words and the form they are variants of."""
+    return spelling.variant_report(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_piece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by a table of distinct chunks, and decoded."""
+    return pieces.piece_digests(_table(spark, sf_dir, "documents", "doc_id", "text"), "piece_bpe_32k.model")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_vector_shards": op2_vector_shards,
@@ -82,6 +97,9 @@ QUERIES = {
     "op8_best_fit_packs": op8_best_fit_packs,
     "op9_word_backoff_language": op9_word_backoff_language,
     "op10_pfair_mix": op10_pfair_mix,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_piece_chunks": op13_piece_chunks,
 }
 
 def queries() -> dict:

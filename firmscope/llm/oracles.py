@@ -65,10 +65,71 @@ a AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_base, min(at_word) FILTER (
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (rank = 0), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, CASE min(rank) {score} END::DOUBLE AS score FROM k GROUP BY doc_id)
 SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM n LEFT JOIN a USING (doc_id)"""
 
+#: The checksum's table of 256 numbers, and the checksum of a text in ASCII and Latin-1 over it (`tab.t`).
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+
+
+def _crc32(s: str) -> str:
+    octets = f"flatten(list_transform(string_split({s}, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN [ord(ch)::BIGINT] ELSE [192 + (ord(ch) >> 6)::BIGINT, 128 + (ord(ch) & 63)::BIGINT] END))"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def conversation_repair() -> str:
+    """Row by row with the best way into each of four states (cost, edits, text so far), all conversations side by side."""
+    way = lambda x, cost, letter, line: f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 't': {x}.t || {line}}} END"
+    ins = lambda x, who: way(x, 2, "I", f"'{who}:' || chr(10)")
+    after = f"list_min([v2, {ins('v0', 'user')}, {ins('v1', 'user')}, {ins('v3', 'user')}])"
+    closed = f"SELECT *, list_min([v3, {ins('w2', 'assistant')}]) AS w3 FROM (SELECT *, {after} AS w2 FROM FROM_HERE)"
+    keep = lambda x, first: f"CASE WHEN NOT gone AND i = '{first}' THEN {way(x, 'cut', 'K', 'role || chr(58) || text || chr(10)')} END"
+    rerole = lambda x, who: f"CASE WHEN NOT gone THEN {way(x, '2 + cut', 'R', f'{chr(39)}{who}:{chr(39)} || text || chr(10)')} END"
+    drop = lambda x: way(x, 3, "D", "''")
+    kind = "{'c': 0::BIGINT, 'a': '', 't': ''}"
+    none = "NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    user = [f(x) for x in ("v0", "v1", "v3") for f in (lambda x: keep(x, "u"), lambda x: rerole(x, "user"))]
+    return rf"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations, tab),
+m AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM m),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+  left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS prior FROM o),
+r AS (SELECT conv_id, pos, role, text, i, fault IN ('blank', 'duplicate') AS gone, (fault = 'truncated')::BIGINT AS cut FROM f),
+c AS (SELECT conv_id, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pos > 1 AND prior || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+dp AS (SELECT conv_id, 0::BIGINT AS pos, {kind} AS v0, {none} AS v1, {none} AS v2, {none} AS v3 FROM c
+  UNION ALL SELECT conv_id, pos, {drop('v0')}, list_min([{drop('v1')}, {keep('v0', 's')}]), list_min([{drop('w2')}, {', '.join(user)}, {keep('w3', 'u')}, {rerole('w3', 'user')}]), list_min([{drop('w3')}, {keep('w2', 'a')}, {rerole('w2', 'assistant')}])
+  FROM ({closed.replace("FROM_HERE", "(SELECT dp.conv_id, r.pos, r.role, r.text, r.i, r.gone, r.cut, v0, v1, v2, v3 FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.pos = dp.pos + 1)")})),
+e AS (SELECT conv_id, list_min([v0, w3]) AS best FROM ({closed.replace("FROM_HERE", "(SELECT dp.* FROM dp JOIN c ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND c.n = dp.pos)")}))
+SELECT x.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+  coalesce(best.a, '') AS audit, sha256(CASE WHEN coalesce(best.t, '') = '' THEN '' ELSE best.t[1:-2] END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM x.conv_id"""
+
+
+def spelling_variants() -> str:
+    """Near words by joins of one-character wildcards and of one-character deletions; roots by a recursive walk."""
+    runs = f"regexp_extract_all({_SMALL.format(t='text')}, '[A-Za-zÀ-ÿ]+')"
+    return f"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+u AS (SELECT doc_id, unnest({runs}) AS w FROM documents),
+h AS (SELECT w, c, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM (SELECT doc_id, w, count(*) AS c FROM u WHERE length(w) >= 6 GROUP BY ALL), tab),
+d AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+s AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS wild, left(word, i - 1) || substr(word, i + 1) AS less FROM p),
+near AS (SELECT a.word AS a, b.word AS b, b.n AS n FROM s a JOIN s b ON a.wild = b.wild WHERE a.word <> b.word
+  UNION SELECT s.less, s.word, s.n FROM s JOIN v ON v.word = s.less UNION SELECT s.word, v.word, v.n FROM s JOIN v ON v.word = s.less),
+k AS (SELECT a, count(*) AS n_near, max(n) AS most FROM near GROUP BY a),
+b AS (SELECT k.a, k.n_near, k.most, min(near.b) AS form FROM k JOIN near ON near.a = k.a AND near.n = k.most GROUP BY ALL),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 5 * v.n THEN form END AS form, CASE WHEN most >= 5 * v.n THEN most END AS form_n FROM v LEFT JOIN b ON b.a = v.word),
+t AS (SELECT word AS start, word AS at, form AS up FROM f UNION ALL SELECT t.start, f.word, f.form FROM t JOIN f ON f.word = t.up)
+SELECT f.word, f.form, t.at AS root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.start = f.word AND t.up IS NULL"""
+
 
 ORACLE = {
     "op3_license_rules": license_scan(),
     "op6_zip_warc": warc(),
     "op7_bayes_near_duplicates": near_duplicates(),
     "op10_pfair_mix": mixture(),
+    "op11_conversation_repair": conversation_repair(),
+    "op12_spelling_variants": spelling_variants(),
 }

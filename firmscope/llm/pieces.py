@@ -46,14 +46,16 @@ class ChunkTable:
             raise ValueError(f"{path}: pieces cross white space, so chunks can't be segmented by themselves")
         if any(p.type == p.USER_DEFINED for p in model.pieces):
             raise ValueError(f"{path}: pieces of the user's own are matched before chunks")
-        self.end = self.library.eos_id()
+        if self.library.is_unknown(self.library.piece_to_id(MARK)):
+            raise ValueError(f"{path}: no piece for a mark by itself")
+        self.end, self.mark = self.library.eos_id(), self.library.piece_to_id(MARK)
         self.most, self.longest = most, longest
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _segment(self, chunks: list[str]) -> dict[str, bytes]:
-        """The library puts the first mark of a text there itself, so a chunk goes to it without its own."""
-        ids = self.library.encode([c[1:] for c in chunks], num_threads=1)
+        """The library puts the first mark of a text there itself, so a chunk goes to it without its own; one mark at a text's end is left alone."""
+        ids = [i if len(c) > 1 else [self.mark] for c, i in zip(chunks, self.library.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
         return {c: np.array(i, "<i4").tobytes() for c, i in zip(chunks, ids, strict=True)}
 
     def _lookup(self, chunks: list[str]) -> list[bytes]:
@@ -75,8 +77,6 @@ class ChunkTable:
         for i, t in enumerate(texts):
             if t:
                 found = _CHUNK.findall(" " + t)
-                if not found[0].strip(" " + MARK) and len(found) > 1:
-                    raise AssertionError("a chunk of marks stands only by itself")
                 chunks += found
                 sizes[i] = len(found)
         coded = pc.dictionary_encode(pa.array(chunks, pa.string()))

@@ -30,21 +30,23 @@ r AS (SELECT doc_id AS d, doc_id AS c FROM w UNION SELECT e.y, r.c FROM r JOIN e
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, m.c = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(c) AS c FROM r GROUP BY d) m ON m.d = w.doc_id"""
 
 
-def mixture(block_rows: int = 16, period: int = mixing.PERIOD) -> str:
-    """Earliest deadline first, slot by slot, as a recursive query over one row that carries each source's blocks so far."""
+def mixture(block_rows: int = 16, total: int = mixing.UNITS) -> str:
+    """Earliest deadline first, slot by slot from the true weights, as a recursive query over one row that carries each source's blocks so far."""
     return f"""
-WITH RECURSIVE c AS (SELECT source, sqrt(count(*)) AS weight FROM documents GROUP BY source),
-sh AS (SELECT source, weight, weight / sum(weight) OVER () * ({period} - count(*) OVER ()) AS share, {period} - count(*) OVER () AS room FROM c),
-u AS (SELECT source, weight, floor(share)::BIGINT + 1 + (row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, source) <= room - sum(floor(share)::BIGINT) OVER ())::INT AS units FROM sh),
-o AS (SELECT list(units ORDER BY units DESC, source) AS us, list(source ORDER BY units DESC, source) AS ss FROM u),
-sim AS (SELECT -1 AS slot, list_transform(us, lambda x: 0::BIGINT) AS had, 0::BIGINT AS pick FROM o
+WITH RECURSIVE c AS (SELECT source, sqrt(count(*)) AS weight, (count(*) + {block_rows - 1}) // {block_rows} AS blocks FROM documents GROUP BY source),
+f AS (SELECT min(f) FILTER (fits) AS f FROM (SELECT k, first(f) AS f, bool_and(abs(weight * f - round(weight * f)) <= weight * f * 1e-12) AND sum(weight) * first(f) <= {total} AS fits FROM c, (SELECT k, CASE k WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 1.0 / (SELECT min(weight) FROM c) ELSE (10::DOUBLE ** (k - 1)) END AS f FROM range(8) r(k)) GROUP BY k)),
+w AS (SELECT source, weight, blocks, row_number() OVER (ORDER BY weight DESC, coalesce(source, ''), source IS NULL) AS i, (SELECT sum(weight) FROM c) AS whole, (SELECT f FROM f) AS f FROM c),
+g AS (SELECT *, CASE WHEN f IS NOT NULL THEN round(weight * f)::BIGINT ELSE floor(weight / whole * {total})::BIGINT END AS part FROM w),
+u AS (SELECT source, weight, blocks, i, CASE WHEN f IS NOT NULL THEN (SELECT sum(part) FROM g)::BIGINT ELSE {total} END AS total, (part + CASE WHEN i = 1 AND f IS NULL THEN {total} - (SELECT sum(part) FROM g) ELSE 0 END)::BIGINT AS u FROM g),
+o AS (SELECT list(u ORDER BY i) AS us, any_value(total) AS total, max(ceil(blocks * (total / u)))::BIGINT AS slots FROM u),
+sim AS (SELECT -1::BIGINT AS slot, list_transform(us, lambda x: 0::BIGINT) AS had, 0::BIGINT AS pick FROM o
   UNION ALL SELECT slot + 1, list_transform(had, lambda h, i: h + (i = k)::INT), k FROM (
-    SELECT slot, had, list_min(list_filter(list_transform(had, lambda h, i: CASE WHEN h < us[i] AND h * {period} // us[i] <= slot + 1 THEN (((h + 1) * {period} + us[i] - 1) // us[i]) * 100000 + i END), lambda x: x IS NOT NULL)) % 100000 AS k
-    FROM (SELECT sim.slot, sim.had, o.us FROM sim, o WHERE sim.slot < {period} - 1))),
-t AS (SELECT slot, ss[pick] AS source, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS nth FROM sim, o WHERE slot >= 0),
+    SELECT slot, had, list_min(list_filter(list_transform(had, lambda h, i: CASE WHEN h * total // us[i] <= slot + 1 THEN (((h + 1) * total + us[i] - 1) // us[i]) * 100000 + i END), lambda x: x IS NOT NULL)) % 100000 AS k
+    FROM (SELECT sim.slot, sim.had, o.us, o.total FROM sim, o WHERE sim.slot < o.slots))),
+t AS (SELECT slot, pick, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS block FROM sim WHERE slot >= 0),
 d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r FROM documents)
-SELECT doc_id, d.source, round(weight, 6) AS weight, r // {block_rows} AS block, (r // {block_rows}) // units * {period} + t.slot AS slot, r % {block_rows} AS place
-FROM d JOIN u ON d.source = u.source JOIN t ON t.source = d.source AND t.nth = (r // {block_rows}) % units"""
+SELECT doc_id, d.source, round(weight, 6) AS weight, t.block, t.slot, r % {block_rows} AS place
+FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source JOIN t ON t.pick = u.i AND t.block = r // {block_rows}"""
 
 
 def license_scan() -> str:

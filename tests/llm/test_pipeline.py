@@ -132,7 +132,7 @@ def test_run_against_a_plain_pipeline(spark):
     for i, r in enumerate(mixed, 1):
         had[r.source] += 1
         first_out = first_out or any(had[s] == n for s, n in counts.items())
-        assert first_out or all(abs(had[s] - i * math.sqrt(n) / total) < 1 + i / mixing.PERIOD for s, n in counts.items())
+        assert first_out or all(abs(had[s] - i * math.sqrt(n) / total) < 1 for s, n in counts.items())
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])

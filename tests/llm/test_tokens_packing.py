@@ -1,7 +1,9 @@
 """Token files, packing, mixing and sharding against brute force."""
 
 import collections
+import math
 import random
+from fractions import Fraction
 import unicodedata
 import zlib
 
@@ -137,32 +139,81 @@ def test_ranks_of_ids_all_over_the_range(spark):
         assert mixing.mix_sources(docs).count() == packing.pack_documents(docs).count() == len(rows)
 
 
-def edf(units, period):
-    had, run = dict.fromkeys(units, 0), []
-    for slot in range(period):
-        ready = [(-(-(had[s] + 1) * period // u), -u, s) for s, u in units.items() if had[s] < u and had[s] * period // u <= slot]
-        run.append(min(ready)[2])
-        had[run[-1]] += 1
+def deviation(run, weights):
+    """The most that any source is off its weight over all prefixes up to the first run-out, in blocks, exactly."""
+    total, had, left, worst = sum(map(Fraction, weights.values())), collections.Counter(), collections.Counter(run), 0
+    for i, s in enumerate(run, 1):
+        had[s] += 1
+        if had[s] > left[s] - 1:
+            return i, worst
+        worst = max(worst, max(abs(had[k] - i * Fraction(w) / total) for k, w in weights.items()))
+    return len(run), worst
+
+
+def plain_edf(units, blocks):
+    """Slot by slot over all slots, in whole numbers; units in the order that breaks ties."""
+    total, had, run, slot = sum(units.values()), dict.fromkeys(units, 0), {}, 0
+    while any(had[s] < blocks[s] for s in units):
+        ready = [(-(-(had[s] + 1) * total // u), i, s) for i, (s, u) in enumerate(units.items()) if had[s] * total // u <= slot]
+        s = min(ready)[2]
+        if had[s] < blocks[s]:
+            run[slot] = s
+        had[s] += 1
+        slot += 1
     return run
 
 
-def test_schedule_is_edf_and_fair(spark):
-    weights = spark.createDataFrame([("a", 5.0), ("b", 1.0), ("c", 2.5), (None, 0.1)], "source string, weight double")
-    units = mixing.whole_units(weights, 256)
-    u = {r.source or "": r.units for r in units.collect()}
-    assert sum(u.values()) == 256 and min(u.values()) >= 1
-    run = [r.source or "" for r in mixing.one_period(units, 256).orderBy("slot").collect()]
-    assert run == edf(u, 256)
-    had = collections.Counter()
-    for i, s in enumerate(run, 1):
-        had[s] += 1
-        assert all(abs(had[k] - i * u[k] / 256) < 1 for k in u)
+def scheduled(spark, weights, blocks, stretch):
+    sources = spark.createDataFrame([(s, float(w), blocks[s]) for s, w in weights.items()], "source string, weight double, blocks long")
+    units = stage(mixing.source_units(sources), "units")
+    one = units.first()
+    many = max(math.ceil(x["blocks"] * one["total"] / x["u"]) for x in one["s"]) // stretch + 1
+    return one, {r.slot: (r.source, r.block) for r in mixing.schedule(units, many, stretch).collect()}
+
+
+MIXES = {
+    "whole": {"a": 5, "b": 1, "c": 3, None: 2},
+    "roots": {f"s{i}": math.sqrt(i * i * i + 1) for i in range(23)},
+    "steep": {"big": 1000.5, "mid": 30.25, **{f"t{i}": 0.4 + i / 7 for i in range(9)}},
+    "even": {f"e{i}": 1.1 for i in range(12)},
+}
+
+
+@pytest.mark.parametrize("name", MIXES)
+@pytest.mark.parametrize("stretch", [7, 64, 1024])
+def test_schedule_holds_the_true_weights(spark, name, stretch):
+    """Less than one block off the weights as given, not as rounded, at every prefix; blocks of a source follow each other."""
+    weights = MIXES[name]
+    total = sum(weights.values())
+    blocks = {s: max(1, round(1500 * w / total)) for s, w in weights.items()}
+    one, slots = scheduled(spark, weights, blocks, stretch)
+    run = [slots[i][0] for i in sorted(slots)]
+    until, worst = deviation(run, weights)
+    assert sorted(slots)[:until] == list(range(until)) and until > 500 * (name != "steep") and worst < 1
+    assert collections.Counter(run) == blocks
+    for s in weights:
+        assert [slots[i][1] for i in sorted(slots) if slots[i][0] == s] == list(range(blocks[s]))
+    if stretch == 1024 and name != "steep":  # far from a stretch's end nothing tells it from one long run
+        plain = plain_edf({x["source"]: x["u"] for x in one["s"]}, blocks)
+        assert [slots[i][0] for i in range(500)] == [plain[i] for i in range(500)]
+
+
+def test_long_schedules_do_not_drift(spark):
+    """Far out, each stretch still begins and ends less than one block off: no error adds up."""
+    weights = {f"s{i}": math.sqrt(3 + 7 * i) for i in range(17)}
+    sources = spark.createDataFrame([(s, w, 1 << 40) for s, w in weights.items()], "source string, weight double, blocks long")
+    starts = mixing.stretch_starts(stage(mixing.source_units(sources), "units"), 3, 1 << 28).orderBy("k").collect()
+    total = sum(weights.values())
+    for r in starts:
+        had = {x["source"]: y["base"] + y["ahead"] for x, y in zip(r["s"], r["at"], strict=True)}
+        slot = r["k"] << 28
+        assert sum(had.values()) == slot and all(abs(had[s] - slot * w / total) < 1 for s, w in weights.items())
 
 
 def test_mix_keeps_every_row(spark):
     rows = [(i, f"s{i % 3}" if i % 7 else None, "x") for i in range(200)] + [(5, "s1", "again"), (None, "s1", "y")]
     df = spark.createDataFrame(rows, "doc_id long, source string, x string").withColumnRenamed("x", "mix.p_units")
-    got = mixing.mix_sources(df, block_rows=4, period=64).collect()
+    got = mixing.mix_sources(df, block_rows=4, stretch=64).collect()
     assert len(got) == len(rows) and {(r.doc_id, r.source, r["mix.p_units"]) for r in got} == set(rows)
     slots = collections.defaultdict(set)
     for r in got:
@@ -171,16 +222,17 @@ def test_mix_keeps_every_row(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
-def test_more_sources_than_the_period(spark):
-    """The period grows, each source keeps all its rows, and the heap runs what the fold runs."""
-    rows = [(i, f"s{i % 4500}") for i in range(5000)]
-    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1).collect()
+def test_thousands_of_sources(spark):
+    """All rows, one slot a block, and still less than one block off."""
+    rows = [(i, f"s{i % 2100}") for i in range(3000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1, power=1.0).collect()
     assert {(r.doc_id, r.source) for r in got} == set(rows) and len({r.mix_slot for r in got}) == len(rows)
-    assert mixing.period_for(4096) == 4096 and mixing.period_for(4097) == 32768
-    for u in ({"a": 20, "b": 7, "c": 4, "d": 1}, {"a": 11, "b": 11, "c": 10}):
-        assert [list(u)[i] for i in mixing.edf_slots(list(u.values()), 32)] == edf(u, 32)
-    with pytest.raises(Exception, match="more than 8 sources"):
-        mixing.whole_units(spark.createDataFrame([(f"s{i}", 1.0) for i in range(9)], "source string, weight double"), 8).collect()
+    counts = collections.Counter(s for _, s in rows)
+    run = [r.source for r in sorted(got, key=lambda r: r.mix_slot)]
+    had = collections.Counter()
+    for i, s in enumerate(run, 1):
+        had[s] += 1
+        assert abs(had[s] - i * counts[s] / 3000) < 1
 
 
 def test_shards(spark):

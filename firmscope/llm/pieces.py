@@ -9,6 +9,7 @@ text are those of its chunks, taken from the table by position.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,7 @@ class ChunkTable:
     new ones are forgotten. A model whose pieces can cross a mark, or that changes texts before it marks them, is refused.
     """
 
-    def __init__(self, path: str, most: int = 900_000, longest: int = 32):
+    def __init__(self, path: str, most: int = 500_000, longest: int = 16):
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
         self.library = SentencePieceProcessor(model_file=path)
@@ -55,20 +56,30 @@ class ChunkTable:
 
     def _segment(self, chunks: list[str]) -> dict[str, bytes]:
         """The library puts the first mark of a text there itself, so a chunk goes to it without its own; one mark at a text's end is left alone."""
-        ids = [i if len(c) > 1 else [self.mark] for c, i in zip(chunks, self.library.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
-        return {c: np.array(i, "<i4").tobytes() for c, i in zip(chunks, ids, strict=True)}
+        found = {}
+        for i in range(0, len(chunks), 8192):
+            some = chunks[i : i + 8192]
+            ids = self.library.encode([c[1:] for c in some], num_threads=1)
+            found.update(zip(some, [array("i", x).tobytes() for x in ids], strict=True))
+        for c in (" ", MARK):
+            if c in found:
+                found[c] = array("i", [self.mark]).tobytes()
+        return found
 
     def _lookup(self, chunks: list[str]) -> list[bytes]:
         found = list(map(self.known.get, chunks))
-        new = [c for c, f in zip(chunks, found, strict=True) if f is None]
+        new = [i for i, f in enumerate(found) if f is None]
         if not new:
             return found
-        more = {c: f for c in new if (f := self.older.get(c)) is not None}
-        more.update(self._segment([c for c in new if c not in more]))
-        self.known.update((c, f) for c, f in more.items() if len(c) <= self.longest)
+        names = [chunks[i] for i in new]
+        more = {c: f for c in names if (f := self.older.get(c)) is not None}
+        more.update(self._segment([c for c in names if c not in more] if more else names))
+        for i, c in zip(new, names, strict=True):
+            found[i] = more[c]
+        self.known.update([x for x in more.items() if len(x[0]) <= self.longest])
         if len(self.known) > self.most // 2:
             self.known, self.older = {}, self.known
-        return [more[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
+        return found
 
     def encode(self, texts: list[str], end: bool = True) -> pa.ListArray:
         """The ids of each text, with the end id behind them."""
@@ -103,22 +114,26 @@ def chunk_table(path: str) -> ChunkTable:
     return ChunkTable(path)
 
 
-def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", out: str = "piece_ids") -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", out: str = "piece_ids", decoded: str | None = None) -> DataFrame:
     """Adds each text's ids with the end id (null and empty texts: the end id alone), an array of int in a column named like `out`.
 
+    `decoded`: also adds a column with the text that the library decodes from them, in the same pass; the text's own column goes.
     No shuffle: every row is encoded where it is read. Repeated rows stay; an empty table stays empty.
     """
     name, at = fresh(docs, out), docs.columns.index(text_col)
+    kept = [i for i in range(len(docs.columns)) if not decoded or i != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunk_table(tokenizer_path(model))
         for batch in batches:
-            for start, texts in in_portions(batch.column(at)):
+            for start, texts in in_portions(batch.column(at), 1 << 20):
                 ids = table.encode(texts.to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, ids], [*batch.schema.names, name])
+                more = [ids, pa.array(table.decode(ids.to_pylist()), pa.string())] if decoded else [ids]
+                own = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([*[own.column(i) for i in kept], *more], [*[batch.schema.names[i] for i in kept], name, *[decoded] * bool(decoded)])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{name}` array<int>")
+    fields = ", ".join(f"`{docs.schema.fields[i].name.replace('`', '``')}` {docs.schema.fields[i].dataType.simpleString()}" for i in kept)
+    return docs.mapInArrow(run, f"{fields}, `{name}` array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode_pieces(rows: DataFrame, model: str, ids_col: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -139,7 +154,7 @@ def decode_pieces(rows: DataFrame, model: str, ids_col: str = "piece_ids", out:
 
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids (decimal, with one space between) and of the text decoded from them."""
-    coded = decode_pieces(encode_pieces(docs.select("doc_id", "text"), model).drop("text"), model)
+    coded = encode_pieces(docs.select("doc_id", "text"), model, decoded="decoded")
     ids = column(coded, "piece_ids")
     return coded.select(
         "doc_id",

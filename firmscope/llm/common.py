@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,24 +44,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if _noted is not None:
-        _noted.append(path)
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_noted: list[str] | None = None
+#: Each thread has a value of its own, so runs side by side don't note (and drop) each other's tables.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
 @contextmanager
 def noting() -> Iterator[list[str]]:
-    """Collects the paths that `stage` writes meanwhile, for whoever knows when they aren't needed any more."""
-    global _noted
-    outer, _noted = _noted, []
+    """Collects the paths that `stage` writes meanwhile in this thread, for whoever knows when they aren't needed any more."""
+    made: list[str] = []
+    before = _noted.set(made)
     try:
-        yield _noted
+        yield made
     finally:
-        _noted = outer
+        _noted.reset(before)
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:

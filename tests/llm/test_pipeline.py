@@ -5,6 +5,7 @@ import math
 import random
 import re
 import tempfile
+import threading
 import zlib
 from functools import partial
 
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from firmscope.llm import langid, mixing, neardup, packing, quality
-from firmscope.llm.common import tokenizer_path
+from firmscope.llm.common import noting, stage, tokenizer_path
 
 SPACES = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality string, place string, mix_slot string"
@@ -200,3 +201,21 @@ def test_copies_from_80_of_100_on_go(spark, sf):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()}
     assert kept == {d for d, _ in rows if d % 3 != 1}
     assert neardup.linked_groups(docs).filter("kept").count() == len(rows)
+
+
+def test_runs_side_by_side_note_their_own_tables(spark, monkeypatch):
+    """Two runs at once in two threads: each sees the tables that it staged itself, and none of the other's."""
+    met, seen = threading.Barrier(2, timeout=60), {}
+
+    def one(name):
+        with noting() as made:
+            met.wait()
+            for i in range(3):
+                stage(spark.range(5), f"own-{name}-{i}")
+            met.wait()
+            seen[name] = [p.rsplit("/", 1)[-1][:7] for p in made]
+
+    threads = [threading.Thread(target=one, args=(n,)) for n in "ab"]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert seen == {n: [f"own-{n}-{i}"[:7] for i in range(3)] for n in "ab"}

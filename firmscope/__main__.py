@@ -45,7 +45,7 @@ class Stages:
 
         code = OK
         for name in self.names:
-            records, log, status = registry.discover(self.spark, self.settings.search(name).get("sources") or [], self.settings.policy(name).region)
+            records, log, status = registry.discover(self.spark, list(self.settings[name].sources), self.settings[name].policy.region)
             print(f"{name}: {status}, " + ", ".join(f"{k} {n if s == 'ok' else s}" for k, s, n, _ in log), file=sys.stderr)
             self.runs.save_records(self.spark, records, log, self.args.root, name, self.args.date)
             code = max(code, NO_RECORDS if status == "failed" else OK)
@@ -106,7 +106,7 @@ class Stages:
         for name in self.names:
             records = self._records(name)
             log = self.runs.saved_log(self.spark, self.args.root, name, self.args.date)
-            label, goal, target = self.settings.label(name), self.settings.goal(name), self.settings.target(name)
+            label, goal, target = self.settings[name].label, self.settings[name].goal, self.settings[name].target
             if records is None or records.isEmpty():
                 print(f"{name}: no records", file=sys.stderr)
                 code, cells[name] = NO_RECORDS, ""

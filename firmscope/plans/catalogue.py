@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..streaming import market_stream
-from . import market, names, payloads, ranking
+from . import buying, market, names, payloads, ranking
 
 
-MODULES = [ranking, names, market, payloads, market_stream]
+MODULES = [ranking, names, market, payloads, buying, market_stream]
 
 
 def queries() -> dict:

@@ -262,7 +262,7 @@ def website_lookup(spark, sf_dir):
 # ---------------------------------------------------------------- purchases
 
 def _companies(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").selectExpr("concat('c-', p_partkey) as account_id", f"{COMPANY} as name", "p_partkey as pos")
+    return table(spark, sf_dir, "part").selectExpr("concat('c-', p_partkey) as account_id", f"{COMPANY} as name", "p_partkey as pos")
 
 
 def vendor_match(spark, sf_dir):
@@ -273,7 +273,7 @@ def vendor_match(spark, sf_dir):
 def vendor_filter(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     fields = {"id": "o_orderkey", "vendor": "c_name", "description": "o_orderpriority", "amount": "o_totalprice", "date": "o_orderdate"}
-    return city_purchases(rows, fields, ["urgent"], ["%CUSTOMER%00%7"], "1998-01-01", 100_000).select("award_id", "vendor", "description", "amount", "date")
+    return city_purchases(rows, fields, ["urgent"], ["%CUSTOMER%00%7"], "1998-01-01").select("award_id", "vendor", "description", "amount", "date")
 
 
 def award_dedup(spark, sf_dir):
@@ -463,9 +463,9 @@ ORACLE = {
     "website_lookup": f"""WITH {_REC}, w AS (SELECT unnest(regexp_extract_all(concat_ws(' ', replace(d, '-', ''), lower(t)), '[a-z]+')) AS word, page_id FROM (SELECT page_id, d, (SELECT 1) AS one, {{title}} AS t FROM rec)), n AS (SELECT doc_id, unnest(list_filter({sql_words('text')}, lambda w: length(w) >= 4 AND w NOT IN {{common}})) AS word FROM documents)
         SELECT doc_id, min(page_id) AS page_id FROM n JOIN w USING (word) GROUP BY doc_id""",
     "vendor_match": f"""WITH v AS (SELECT vendor, {TOKENS.replace("'name'", "'vendor'")} AS vt FROM (SELECT DISTINCT concat({COMPANY}, CASE p_partkey % 3 WHEN 0 THEN ' Holdings' ELSE '' END) AS vendor, vendor AS name FROM part)),
-        c AS (SELECT account_id, pos, {TOKENS} AS ct FROM (SELECT 'c-' || p_partkey AS account_id, {COMPANY} AS name, p_partkey AS pos FROM part WHERE p_partkey % 10 = 0))
+        c AS (SELECT account_id, pos, {TOKENS} AS ct FROM (SELECT 'c-' || p_partkey AS account_id, {COMPANY} AS name, p_partkey AS pos FROM part))
         SELECT vendor, account_id FROM v JOIN c ON len(ct) > 0 AND list_has_all(vt, ct) AND (len(list_filter(ct, lambda w: w NOT IN {{generic}})) > 0 OR len(ct) = len(vt)) QUALIFY row_number() OVER (PARTITION BY vendor ORDER BY len(ct) DESC, pos) = 1""",
-    "vendor_filter": "SELECT o_orderkey AS award_id, c_name AS vendor, o_orderpriority AS description, o_totalprice AS amount, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders JOIN customer ON o_custkey = c_custkey WHERE (upper(o_orderpriority) LIKE '%URGENT%' OR upper(c_name) LIKE '%CUSTOMER%00%7') AND o_orderdate >= DATE '1998-01-01' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100000",
+    "vendor_filter": "SELECT o_orderkey AS award_id, c_name AS vendor, o_orderpriority AS description, o_totalprice AS amount, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders JOIN customer ON o_custkey = c_custkey WHERE (upper(o_orderpriority) LIKE '%URGENT%' OR upper(c_name) LIKE '%CUSTOMER%00%7') AND o_orderdate >= DATE '1998-01-01'",
     "award_dedup": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 2 END AS q FROM orders WHERE o_custkey % 3 = 0 OR o_totalprice > 200000",
     "top_buyers": f"WITH {_PUR} SELECT label, sum(amount) AS total, count(*) AS count, string_agg(DISTINCT coalesce(listed, vendor), '; ' ORDER BY coalesce(listed, vendor)) AS vendors FROM pur GROUP BY label",
     "other_vendors": f"WITH {_PUR} SELECT vendor, sum(amount) AS total, count(*) AS count, string_agg(DISTINCT label, '; ' ORDER BY label) AS buyers FROM pur WHERE aid IS NULL GROUP BY vendor",

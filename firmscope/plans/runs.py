@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..operators import accounts as A
 from ..operators import buyers as B
 from ..operators import exports, judging, report, resolve, sites, verdicts
+from ..operators.purchases import kept_awards, purchase_export
 from ..sources.registry import discovered, status_of  # noqa: F401 - part of a run
-from .settings import Settings
+from .settings import Profile, Search
 
 LOG = "source string, status string, count long, error string"
 
@@ -56,41 +57,41 @@ def saved_log(spark: SparkSession, root: str, name: str, run_date: str) -> repor
     return [tuple(r) for r in exports.read_stage(spark, f"{root}/{name}", "sources", run_date).select("source", "status", "count", "error").orderBy("source").collect()]  # one row a source
 
 
-def save_sites(spark: SparkSession, settings: Settings, name: str, records: DataFrame, pages: DataFrame, scripts: DataFrame | None, root: str, run_date: str) -> tuple[int, int]:
+def save_sites(spark: SparkSession, settings: Profile, name: str, records: DataFrame, pages: DataFrame, scripts: DataFrame | None, root: str, run_date: str) -> tuple[int, int]:
     """Read websites from staged pages under the search's budget; returns how many were read and failed."""
-    own = settings.search(name).get("enrich") or {}
+    own = settings[name]
     rows = sites.read_sites(
-        records, pages, settings.policy(name).region, int(own.get("max_sites", 300)), int(own.get("max_pages", 3)), scripts, int(own.get("max_scripts", 0))
+        records, pages, own.policy.region, own.max_sites, own.max_pages, scripts, own.max_scripts
     )
     exports.write_stage(rows.withColumn("run_date", F.lit(run_date).cast("date")), f"{root}/{name}", "enriched")
     counts = sites.reading_counts(exports.read_stage(spark, f"{root}/{name}", "enriched", run_date)).first()
     return counts["sites_read"], counts["sites_failed"]
 
 
-def _ranked(settings: Settings, name: str, records: DataFrame, run_date: str, history: DataFrame | None = None) -> DataFrame:
-    return A.ranked(A.evaluated(resolve.accounts(records), settings.policy(name), F.lit(run_date).cast("date"), history))
+def _ranked(search: Search, records: DataFrame, run_date: str, history: DataFrame | None = None) -> DataFrame:
+    return A.ranked(A.evaluated(resolve.accounts(records), search.policy, F.lit(run_date).cast("date"), history))
 
 
-def judge_sizes(spark: SparkSession, settings: Settings, name: str, records: DataFrame, run_date: str) -> list[Any]:
+def judge_sizes(spark: SparkSession, settings: Profile, name: str, records: DataFrame, run_date: str) -> list[Any]:
     """A dry run of the judge: part, parts, accounts and characters of each batch."""
-    queue = _ranked(settings, name, records, run_date).filter("passed").orderBy("rank").limit(settings.judge_limit(name))
+    queue = _ranked(settings[name], records, run_date).filter("passed").orderBy("rank").limit(settings[name].judge_limit)
     sized = judging.batch_texts(queue).select("part", "parts", F.size(F.split("body", "\n")).alias("accounts"), F.length("body").alias("characters"))
     return sized.orderBy("part").collect()  # one row a batch
 
 
-def run_search(spark: SparkSession, settings: Settings, name: str, records: DataFrame, run_date: str, root: str, decisions: DataFrame | None = None, headings: list[str] | None = None, purchases: DataFrame | None = None, log: report.Log | None = None, census: dict[str, Any] | None = None) -> Outcome:
+def run_search(spark: SparkSession, settings: Profile, name: str, records: DataFrame, run_date: str, root: str, decisions: DataFrame | None = None, headings: list[str] | None = None, purchases: DataFrame | None = None, log: report.Log | None = None, census: dict[str, Any] | None = None) -> Outcome:
     """Resolve, filter, rank, apply decisions, match purchases, export and report one search."""
-    day = F.lit(run_date).cast("date")
+    search, day = settings[name], F.lit(run_date).cast("date")
     history = None
-    if settings.suppresses(name) and there(spark, f"{root}/runs"):  # the first run has no history
+    if search.suppresses and there(spark, f"{root}/runs"):  # the first run has no history
         history = exports.recent_names(spark.read.schema(exports.RUNS).parquet(f"{root}/runs"), settings.window, run_date)
-    exports.write_stage(_ranked(settings, name, records, run_date, history).withColumns({"run_date": day, "search": F.lit(name)}), f"{root}/{name}", "accounts")
+    exports.write_stage(_ranked(settings[name], records, run_date, history).withColumns({"run_date": day, "search": F.lit(name)}), f"{root}/{name}", "accounts")
     ranked = exports.read_stage(spark, f"{root}/{name}", "accounts", run_date)
-    goal, target = settings.goal(name), settings.target(name)
+    goal, target = search.goal, search.target
     kept = rejected = None
     if decisions is not None:
-        queue = ranked.filter("passed").orderBy("rank").limit(settings.judge_limit(name))
-        kept, rejected, _ = verdicts.enforced(queue, decisions, headings or [], settings.drafts(name), target if goal == "top_n" else None)
+        queue = ranked.filter("passed").orderBy("rank").limit(settings[name].judge_limit)
+        kept, rejected, _ = verdicts.enforced(queue, decisions, headings or [], search.drafts, search.wanted)
     none = spark.createDataFrame([], "account_id string, fit string, fit_score int")
     if goal == "top_n":
         delivered = verdicts.deliver_top(ranked, kept, target)
@@ -105,14 +106,18 @@ def run_search(spark: SparkSession, settings: Settings, name: str, records: Data
     rows = None
     if purchases is not None:
         listed = delivered.select("account_id", "name", F.col("place").alias("pos"))
-        matched = purchases.join(B.match_vendors(purchases, listed).withColumnRenamed("account_id", "vendor_account_id"), "vendor", "left")
-        rows = B.labelled(B.own_lookups(matched), listed)
-        exports.write_csv(rows.drop("purpose").orderBy(F.desc_nulls_last("amount"), "vendor"), f"{root}/{name}/exports/{run_date}/purchases", only_if_rows=True)
+        if "payload" in purchases.columns:  # saved answers of the award service
+            found = kept_awards(purchases, listed, search.most_awards)
+        else:
+            matched = purchases.join(B.match_vendors(purchases, listed).withColumnRenamed("account_id", "vendor_account_id"), "vendor", "left")
+            found = B.own_lookups(matched)
+        rows = B.labelled(found, listed)
+        exports.write_csv(purchase_export(rows), f"{root}/{name}/exports/{run_date}/purchases", only_if_rows=True)
     exports.save_run(delivered.select(day.alias("run_date"), F.lit(name).alias("search"), F.col("place").alias("rank"), "name"), root)
     counts = {"records": records.count(), "accounts": ranked.count(), "delivered": delivered.count()}
     funnel = exports.funnel_line(ranked, counts["records"], kept, rejected)
     notes = [report.coverage_text(census, counts["delivered"]), report.tools_text(ranked)]
-    text = report.section(settings.label(name), goal, funnel, delivered, rows, judged=kept is not None, target=target, notes=notes, log=log, rejected=rejected)
+    text = report.section(search.label, goal, funnel, delivered, rows, judged=kept is not None, target=target, notes=notes, log=log, rejected=rejected)
     today = spark.read.schema(exports.RUNS).parquet(f"{root}/runs").filter((F.col("run_date") == day) & (F.col("search") == name))
     cell = exports.index_cells(today).first()
     return Outcome(delivered, text, cell["cell"] if cell else "", counts)

@@ -42,6 +42,7 @@ def _plain(fragment: Column) -> Column:
     return T.collapse(F.regexp_replace(bare, r"\[[A-Z0-9]{1,2}\]", ""))
 
 
+# Headings of a listing that aren't product types.
 HEADER_WORDS = ["Trade Designation", "Size", "Temp", "Material", "Water", "Contact"]
 
 
@@ -91,22 +92,37 @@ AWARDS = """struct<results:array<struct<`Recipient Name`:string,`Awarding Agency
   `Description`:string,`Start Date`:string,`Award ID`:string,generated_internal_id:string>>,page_metadata:struct<hasNext:boolean>,detail:string>"""
 
 
-def awards(pages: DataFrame, most: int) -> DataFrame:
-    """pages: purpose, qpos, page, payload. Each query's first `most` awards; an award found again by a later query is the earlier's."""
+def award_rows(pages: DataFrame, most: int) -> DataFrame:
+    """pages: purpose, qpos, page, payload. All awards that each query found, its first `most` of them, in order (nth).
+
+    An answer with an error fails the plan with its words. A query's pages end with the first that says so or holds nothing.
+    """
     from pyspark.sql import Window
 
-    rows = pages.select("purpose", "qpos", "page", F.posexplode(F.from_json("payload", AWARDS)["results"]).alias("at", "r"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("qpos").orderBy("page", "at"))).filter(F.col("nth") <= most)
-    key = F.coalesce(F.nullif("r.generated_internal_id", F.lit("")), F.col("r.`Award ID`"))
-    rows = rows.select(
-        "purpose", "qpos", "nth", key.alias("key"), F.lit("usaspending").alias("source"), F.col("r.`Awarding Agency`").alias("buyer"), F.col("r.`Awarding Sub Agency`").alias("buyer_unit"),
-        F.col("r.`Recipient Name`").alias("vendor"), F.left("r.Description", F.lit(300)).alias("description"), F.col("r.`Award Amount`").alias("amount"), F.col("r.`Start Date`").alias("date"), F.col("r.`Award ID`").alias("award_id"),
+    answer = F.from_json("payload", AWARDS)
+    error = F.raise_error(F.concat(F.lit("the award service answered: "), answer["detail"]))
+    found = F.when(F.coalesce(answer["detail"], F.lit("")) != "", error).otherwise(F.coalesce(answer["results"], F.array()))
+    per = Window.partitionBy("qpos").orderBy("page")
+    before = per.rowsBetween(Window.unboundedPreceding, -1)
+    shown = pages.select("purpose", "qpos", "page", found.alias("r"), F.coalesce(answer["page_metadata"]["hasNext"], F.lit(True)).alias("more"))
+    shown = shown.select("purpose", "qpos", "page", "r", F.coalesce(F.sum(F.size("r")).over(before), F.lit(0)).alias("start"), F.coalesce(F.min(F.col("more") & (F.size("r") > 0)).over(before), F.lit(True)).alias("on"))
+    rows = shown.filter("on").select("purpose", "qpos", "start", F.posexplode("r").alias("at", "r")).withColumn("nth", F.col("start") + F.col("at") + 1).filter(F.col("nth") <= most)
+    ident = F.nullif("r.generated_internal_id", F.lit(""))
+    blank = lambda c, other="": F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    return rows.select(
+        "purpose", "qpos", "nth", F.coalesce(ident, F.col("r.`Award ID`")).alias("key"), F.lit("usaspending").alias("source"), blank("r.`Awarding Agency`", "Unknown federal agency").alias("buyer"), blank("r.`Awarding Sub Agency`").alias("buyer_unit"),
+        blank("r.`Recipient Name`").alias("vendor"), F.left(blank("r.Description"), F.lit(300)).alias("description"), F.col("r.`Award Amount`").alias("amount"), F.col("r.`Start Date`").alias("date"), F.col("r.`Award ID`").alias("award_id"),
+        F.when(ident.isNotNull(), F.concat(F.lit("https://www.usaspending.gov/award/"), ident)).otherwise("").alias("url"),
     )
-    return first_wins(rows, ["key"], [F.col("qpos"), F.col("nth")])
 
 
-def city_purchases(rows: DataFrame, fields: dict[str, str], keywords: list[str], companies: list[str], since: str, most: int) -> DataFrame:
-    """A city's purchase table, filtered as its API would: any keyword in the description or any company pattern in the vendor, on or after a day, newest first."""
+def awards(pages: DataFrame, most: int) -> DataFrame:
+    """Each query's first `most` awards, each once, for the earlier query; for a search that looks no companies up (else operators.purchases.kept_awards)."""
+    return first_wins(award_rows(pages, most), ["key"], [F.col("qpos"), F.col("nth")])
+
+
+def city_purchases(rows: DataFrame, fields: dict[str, str], keywords: list[str], companies: list[str], since: str, most: int | None = None) -> DataFrame:
+    """A city's purchase table, filtered as its API would: any keyword in the description or any company pattern in the vendor, on or after a day; the newest `most`, if that is given."""
     text, vendor = F.upper(F.col(fields["description"])), F.upper(F.col(fields["vendor"]))
     asked = F.lit(False)
     for k in keywords:
@@ -116,7 +132,8 @@ def city_purchases(rows: DataFrame, fields: dict[str, str], keywords: list[str],
             asked = asked | vendor.like(p)
     day = F.left(F.col(fields["date"]).cast("string"), F.lit(10))
     found = rows.filter(asked & (day >= since) & (F.coalesce(F.trim(F.col(fields["vendor"])), F.lit("")) != ""))
-    return found.orderBy(day.desc(), F.col(fields["id"])).limit(most).select(
+    found = found.orderBy(day.desc(), F.col(fields["id"])).limit(most) if most else found
+    return found.select(
         F.col(fields["id"]).alias("award_id"), F.col(fields["vendor"]).alias("vendor"), F.col(fields["description"]).alias("description"),
         F.coalesce(F.col(fields["amount"]).cast("string").try_cast("double"), F.lit(0.0)).alias("amount"), day.alias("date"),
     )

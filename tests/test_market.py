@@ -115,8 +115,11 @@ def test_bad_settings(change):
 
 def test_settings():
     s = settings.checked(GOOD)
-    assert (s.judge_limit("s"), s.suppresses("s"), s.label("a_b"), s.window, s.ordered(["x", "s"])) == (10, True, "A B", 30, ["s", "x"])
-    assert s.policy("s").region.regions == ["OR"] and s.policy("other").knockouts
+    assert (s["s"].judge_limit, s["s"].suppresses, s["a_b"].label, s.window, s.ordered(["x", "s"])) == (10, True, "A B", 30, ["s", "x"])
+    assert s["s"].policy.region.regions == ["OR"] and s["other"].policy.knockouts
+    with pytest.raises(settings.SettingsError) as e:  # all faults at once, each with its place
+        settings.checked({"searches": {"a": {"goal": "x"}, "b": {"target_count": 1, "region": {"cities": ["Salem"]}, "sources": [{"type": "?"}]}}, "filters": {"knockouts": ["nope"]}})
+    assert [place for place, _ in e.value.faults] == ["", "a", "a", "a", "b"]
 
 
 def test_overpass_query():
@@ -151,7 +154,7 @@ def test_profile_falls_back_and_context(tmp_path):
     (tmp_path / "bad.json").write_text("{")
     with pytest.raises(settings.SettingsError):
         settings.load(tmp_path / "bad.json")
-    assert settings.checked({"searches": {"a": {**GOOD["searches"]["s"], "buyers": {"years": 5}}, "b": GOOD["searches"]["s"]}}).with_block("buyers", ["b", "a"]) == ["a"]
+    assert settings.checked({"searches": {"a": {**GOOD["searches"]["s"], "buyers": {"years": 5}}, "b": GOOD["searches"]["s"]}}).asking("buyers", ["b", "a"]) == ["a"]
 
 
 def test_index_keeps_one_row_a_day(tmp_path):

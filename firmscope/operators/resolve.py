@@ -3,14 +3,13 @@
 Records are linked by website domain, and by normalised name (or legal name) and city.
 Linking is transitive, but groups that own different domains never merge. Without such a
 conflict, groups are the connected components of the keys, found by pointers to the least
-record id. Only components that hold two domains or more need the ordered rule, applied
-inside each of these small components: domains join first, then names in record order,
-refusing unions of groups with different domains.
+record id. Components that hold two domains or more need the ordered rule: domains join first, then
+names in record order, refusing unions of groups with different domains. That rule, too, is rounds
+of joins (`ordered_labels`), so no component goes through one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,45 +42,62 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("id", "root")
 
 
-def _greedy(parts: pd.DataFrame) -> pd.DataFrame:
-    """The ordered rule inside one component: rows record_id, domain, keys."""
-    rows = parts.sort_values("record_id").reset_index(drop=True)
-    root = list(range(len(rows)))
-    own = [d if isinstance(d, str) else None for d in rows["domain"]]
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for kind in ("d:", "n:"):
-        first: dict[str, int] = {}
-        for i, keys in enumerate(rows["keys"]):
-            for k in keys:
-                if not k.startswith(kind):
-                    continue
-                j = first.setdefault(k, i)
-                a, b = top(j), top(i)
-                if a != b and not (own[a] and own[b] and own[a] != own[b]):
-                    root[b], own[a] = a, own[a] or own[b]
-    least: dict[int, str] = {}
-    for i in range(len(rows)):
-        least.setdefault(top(i), rows["record_id"][i])
-    return pd.DataFrame({"record_id": rows["record_id"], "group_id": [least[top(i)] for i in range(len(rows))]})
+def ordered_labels(free: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) of nodes without a domain, by the ordered rule; a label is a domain's node, or the node that leads a group without one.
+
+    free: node. edges: a, b (nodes) and w, their place in the order, which no two share. Taken in that order, an edge joins two groups
+    unless both own a domain. That is a minimum spanning forest in which all domains count as joined from the start: an edge between
+    two groups that own one would close a ring. So it needs no order of work: in each round every group without a domain takes its
+    first edge out, chains of such choices are followed by doubling pointers, and the groups are at least halved.
+    """
+    owned = lambda c: F.col(c).startswith("d:")
+    label = staged(free.select("node", F.col("node").alias("label")), "order-labels")
+    left = staged(edges.filter((F.col("a") != F.col("b")) & ~(owned("a") & owned("b"))).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w")), "order-edges")
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o"), "w"), F.struct(F.col("b").alias("c"), F.col("a").alias("o"), "w"))).alias("e")).select("e.*")
+        first = ends.filter(~owned("c")).groupBy("c").agg(F.min_by("o", "w").alias("o"))
+        back = first.select(F.col("c").alias("bc"), F.col("o").alias("bo"))
+        both = first.join(back, (F.col("o") == F.col("bc")) & (F.col("bo") == F.col("c")), "left")  # two that chose each other: the lesser leads
+        to = staged(both.select("c", F.when(F.col("bc").isNotNull() & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("to")), "order-pointers")
+        while True:
+            far = to.select(F.col("c").alias("fc"), F.col("to").alias("far"))
+            new = staged(to.join(far, F.col("to") == F.col("fc"), "left").select("c", F.coalesce("far", "to").alias("to"), F.col("to").alias("old")), "order-pointers")
+            to = new.select("c", "to")
+            if new.filter("to <> old").isEmpty():
+                break
+
+        def moved(df: DataFrame, at: str, to: DataFrame = to) -> DataFrame:
+            return df.join(to.select(F.col("c").alias("mc"), F.col("to").alias("mt")), F.col(at) == F.col("mc"), "left").withColumn(at, F.coalesce("mt", at)).drop("mc", "mt")
+
+        label = staged(moved(label, "label"), "order-labels")
+        left = moved(moved(left, "a"), "b").filter((F.col("a") != F.col("b")) & ~(owned("a") & owned("b")))
+        left = staged(left.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w")), "order-edges")
+    return label
 
 
 def groups(records: DataFrame) -> DataFrame:
-    """(record_id, group_id): group_id is the group's least record id. Record ids must be unique."""
+    """(record_id, group_id): group_id is the group's least record id. Record ids must be unique.
+
+    Components of all keys that hold one domain at most are groups. The others go by the ordered rule: records of a domain
+    are one node, then names join nodes in record order.
+    """
     k = staged(keyed(records), "keys")
     keys = k.select("record_id", F.explode("keys").alias("key"))
     star = keys.groupBy("key").agg(F.min("record_id").alias("first"))
     edges = keys.join(star, "key").filter("record_id <> first").select(F.col("first").alias("a"), F.col("record_id").alias("b"))
     found = components(edges).select(F.col("id").alias("record_id"), "root")
-    all_of = k.join(found, "record_id", "left").withColumn("root", F.coalesce("root", "record_id"))
+    all_of = staged(k.join(found, "record_id", "left").withColumn("root", F.coalesce("root", "record_id")), "rooted")
     torn = all_of.groupBy("root").agg(F.min("domain").alias("lo"), F.max("domain").alias("hi")).filter("lo <> hi").select("root")
     plain = all_of.join(torn, "root", "left_anti").select("record_id", F.col("root").alias("group_id"))
-    mixed = all_of.join(torn, "root", "left_semi").select("root", "record_id", "domain", "keys")
-    return plain.unionByName(mixed.groupBy("root").applyInPandas(_greedy, "record_id string, group_id string"))
+    node = F.coalesce(F.concat(F.lit("d:"), "domain"), F.concat(F.lit("r:"), "record_id"))
+    mixed = staged(all_of.join(torn, "root", "left_semi").select("record_id", node.alias("node"), "keys"), "torn")
+    names = mixed.select("record_id", "node", F.posexplode("keys").alias("at", "key")).filter(F.col("key").startswith("n:"))
+    firsts = names.groupBy("key").agg(F.min_by("node", "record_id").alias("first"))
+    tied = names.join(firsts, "key").select(F.col("first").alias("a"), F.col("node").alias("b"), F.struct("record_id", "at").alias("w"))
+    labels = ordered_labels(mixed.filter(F.col("node").startswith("r:")).select("node"), tied).withColumnRenamed("node", "free")
+    labelled = staged(mixed.join(labels, F.col("node") == F.col("free"), "left").select("record_id", F.coalesce("label", "node").alias("label")), "labelled")
+    least = labelled.groupBy("label").agg(F.min("record_id").alias("group_id"))
+    return plain.unionByName(labelled.join(least, "label").select("record_id", "group_id"))
 
 
 def accounts(records: DataFrame) -> DataFrame:

@@ -216,6 +216,12 @@ def er_groups(spark, sf_dir):
     return resolve.groups(_page_records(spark, sf_dir, torn=True))
 
 
+def er_torn_accounts(spark, sf_dir):
+    """Accounts of the records that the ordered rule groups: the first with a website names it."""
+    a = resolve.accounts(_page_records(spark, sf_dir, torn=True))
+    return a.select("domain", "name", "website", F.array_join("record_ids", ",").alias("record_ids"), F.array_join("sources", ",").alias("sources"), "employees", F.col("address.city").alias("city"))
+
+
 def er_accounts(spark, sf_dir):
     a = resolve.accounts(_page_records(spark, sf_dir))
     return a.select("account_id", "domain", "name", "website", "phone", "employees", F.array_join("sources", ",").alias("sources"), F.array_join("categories", ",").alias("categories"), F.size("record_ids").alias("n"), F.col("address.city").alias("city"))
@@ -398,7 +404,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         signals_recent, signals_funded, first_events, last_events, filters_struct, knockouts, ranked_accounts, judge_queue, judge_batches, verdict_kept, verdict_rejected,
-        judge_stats, deliver_topn, deliver_map, funnel, export_accounts, index_rows, excluded, seen_recent, er_edges, er_groups, er_accounts, account_filters, site_budget, site_read,
+        judge_stats, deliver_topn, deliver_map, funnel, export_accounts, index_rows, excluded, seen_recent, er_edges, er_groups, er_torn_accounts, er_accounts, account_filters, site_budget, site_read,
         enrich_counters, website_lookup, vendor_match, vendor_filter, award_dedup, top_buyers, other_vendors, by_company, listed_purchases, coverage_rollup, search_queries,
         source_union, tags_union, date_windows, latest_filing, largest_awards, account_view, early_prune, risks_coerced, conversation_postings,
     )
@@ -414,6 +420,15 @@ _DEC = f"""dec AS (SELECT doc_id, 'doc-' || doc_id AS account_id, CASE WHEN qual
   kept AS (SELECT *, row_number() OVER (ORDER BY fit_score DESC, rank) AS place FROM j WHERE decision = 'keep' AND fit <> 'none')"""
 _all = f"WITH {_ACC}, {_QUEUE}, {_DEC}"
 _REC = f"""rec AS (SELECT page_id, 'web:' || lpad(CAST(page_id AS VARCHAR), 9, '0') AS record_id, {DOMAIN} AS d, url, html FROM pages)"""
+#: The ordered rule, edge by edge over one row: the label of each record and the domain of each label.
+_ORDERED = f"""torn AS (SELECT page_id, record_id, CASE WHEN page_id % 3 <> 0 THEN d END AS d, CASE WHEN page_id % 3 <> 0 THEN url END AS site, CASE WHEN page_id % 2 = 0 THEN 'web_search' ELSE 'csv' END AS source,
+  'Site ' || (page_id % 40) || CASE WHEN page_id % 2 = 0 THEN ', Inc.' ELSE '' END AS name, (page_id % 40) || CASE WHEN page_id % 5 = 0 THEN 'salem' ELSE '' END AS key, row_number() OVER (ORDER BY record_id) AS i FROM rec),
+  ties AS (SELECT row_number() OVER (ORDER BY phase, b) AS k, a, b FROM (
+    SELECT 1 AS phase, min(i) OVER (PARTITION BY d) AS a, i AS b FROM torn WHERE d IS NOT NULL UNION ALL SELECT 2, min(i) OVER (PARTITION BY key), i FROM torn) WHERE a <> b),
+  walk AS (SELECT 0::BIGINT AS k, (SELECT list(i ORDER BY i) FROM torn) AS lab, (SELECT list(d ORDER BY i) FROM torn) AS own
+    UNION ALL SELECT k, CASE WHEN fits THEN list_transform(lab, lambda x: CASE WHEN x = lb THEN la ELSE x END) ELSE lab END, CASE WHEN fits THEN list_transform(own, lambda x, j: CASE WHEN j = la THEN coalesce(own[la], own[lb]) ELSE x END) ELSE own END
+    FROM (SELECT *, la <> lb AND coalesce(own[la] = own[lb], TRUE) AS fits FROM (SELECT ties.k, lab, own, lab[a] AS la, lab[b] AS lb FROM walk JOIN ties ON ties.k = walk.k + 1))),
+  grouped AS (SELECT torn.*, lab[i] AS lab FROM torn, (SELECT lab FROM walk ORDER BY k DESC LIMIT 1))"""
 _PUR = """pur AS (SELECT r_name AS buyer, CASE WHEN n_nationkey % 5 = 0 THEN '' WHEN n_nationkey % 5 = 1 THEN lower(r_name) ELSE n_name END AS unit, s_name AS vendor, CASE WHEN s_suppkey % 4 = 0 THEN 's-' || s_suppkey END AS aid,
   CASE WHEN s_suppkey % 4 = 0 THEN 'Listed ' || s_suppkey END AS listed, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount,
   CASE WHEN unit = '' OR lower(unit) = lower(buyer) THEN buyer ELSE buyer || ' / ' || unit END AS label
@@ -453,6 +468,12 @@ ORACLE = {
         SELECT p_partkey, p_name <> '' AND regexp_matches(blob, '(^|[^a-z0-9])' || regexp_escape(lower(p_name)) || '($|[^a-z0-9])') AS seen FROM part, b""",
     "er_edges": f"""WITH {_REC}, k AS (SELECT record_id, 'd:' || d AS key FROM rec WHERE page_id % 3 <> 0 UNION ALL SELECT record_id, 'n:site ' || (page_id % 40) || chr(10) || CASE WHEN page_id % 5 = 0 THEN 'salem' ELSE '' END FROM rec)
         SELECT key, min(record_id) AS first, count(*) AS n FROM k GROUP BY key""",
+    "er_groups": f"""WITH RECURSIVE {_REC}, {_ORDERED} SELECT record_id, (SELECT min(record_id) FROM grouped h WHERE h.lab = g.lab) AS group_id FROM grouped g""",
+    "er_torn_accounts": f"""WITH RECURSIVE {_REC}, {_ORDERED},
+        m AS (SELECT *, row_number() OVER (PARTITION BY lab ORDER BY site IS NULL, record_id) AS ord FROM grouped)
+        SELECT max(d) AS domain, first(name ORDER BY ord) AS name, first(site ORDER BY ord) FILTER (site IS NOT NULL) AS website, string_agg(record_id, ',' ORDER BY ord) AS record_ids,
+        first(source ORDER BY ord) || CASE WHEN min(source) < max(source) THEN CASE first(source ORDER BY ord) WHEN 'csv' THEN ',web_search' ELSE ',csv' END ELSE '' END AS sources,
+        max(page_id) FILTER (page_id % 7 = 0)::INT AS employees, CASE WHEN count(*) FILTER (page_id % 5 = 0) > 0 THEN 'Salem' END AS city FROM m GROUP BY lab""",
     "er_accounts": f"""WITH {_REC}, c AS (SELECT d, list(DISTINCT 'k' || (page_id % 3)) AS ks FROM rec GROUP BY d), o AS (SELECT d, k, min(page_id) AS f FROM (SELECT d, page_id, 'k' || (page_id % 3) AS k FROM rec) GROUP BY d, k)
         SELECT trim(regexp_replace(r.d, '[^a-z0-9]+', '-', 'g'), '-') AS account_id, r.d AS domain, 'Page ' || min(page_id) AS name, first(url ORDER BY page_id) AS website, first('+1 ' || page_id ORDER BY page_id) FILTER (page_id % 4 = 0) AS phone, max(page_id) FILTER (page_id % 7 = 0) AS employees,
         (SELECT string_agg(s, ',' ORDER BY f) FROM (SELECT CASE WHEN page_id % 2 = 0 THEN 'web_search' ELSE 'csv' END AS s, min(page_id) AS f FROM rec x WHERE x.d = r.d GROUP BY 1)) AS sources,

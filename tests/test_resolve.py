@@ -65,6 +65,20 @@ def test_groups_equal_the_sequential_rule(spark):
         assert got == want
 
 
+def test_rounds_follow_long_chains(spark):
+    """Records in one long line of shared names, few of them with a domain, in an order that makes groups meet late."""
+    r = random.Random(5)
+    order = list(range(120))
+    r.shuffle(order)
+    rows = []
+    for k, i in enumerate(order):
+        site = f"d{i % 3}.example" if i % 17 == 0 else None
+        rows.append((f"s:{k:03d}", "a", f"Link {i}", f"Link {i + 1}", site, (None, None, None, None, None), None, [], [], None, None))
+    want = model(rows)
+    got = {x.record_id: x.group_id for x in resolve.groups(spark.createDataFrame(rows, RECORD)).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
 def fold(members):
     a = dict(name=members[0][2], legal=members[0][3], cats=[], site=members[0][4], phone=None, emp=None, city=None)
     for m in members:

@@ -10,6 +10,7 @@ from ..functions.region import Region
 from ..session import table
 from ..sources import listings as L
 from ..sources import registries as R
+from ..sources import web_source
 
 STATE = "case s_nationkey % 4 when 0 then 'OR' when 1 then 'new york' when 2 then 'WA' else '' end"
 
@@ -136,11 +137,24 @@ def src_awards(spark, sf_dir):
     return L.awards(pages, 1_000_000_000).select("key", "purpose", "vendor", "amount", "date", "award_id", "description")
 
 
-QUERIES = {f.__name__: f for f in (src_npi, src_osm, src_csv, src_osha, src_directory, src_filings, src_web, src_certified, src_awards)}
+def src_paged(spark, sf_dir):
+    """All customers as saved answers of 25 requests, 20 entries a page; every third page falls short of that, and what was saved behind it isn't read."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.pmod("c_custkey", F.lit(25)).cast("long").alias("request"), F.floor(F.floor(F.col("c_custkey") / 25) / 20).cast("long").alias("page"))
+    entry = F.struct(F.col("c_custkey").cast("string").alias("number"), F.lit("NPI-2").alias("enumeration_type"), F.struct(F.concat(F.lit("Clinic "), "c_custkey").alias("organization_name")).alias("basic"))
+    some = F.filter(F.array_sort(F.collect_list(F.struct("c_custkey", entry.alias("e")))), lambda x: (F.col("page") % 3 < 2) | (F.floor(x["c_custkey"] / 25) % 20 < 15))
+    pages = c.groupBy("request", "page").agg(F.to_json(F.struct(F.transform(some, lambda x: x["e"]).alias("results"))).alias("payload"))
+    answers = pages.select("request", "page", F.lit("https://registry.example/").alias("url"), "payload", F.lit(None).cast("string").alias("error"))
+    return R.npi_answers(web_source.usable(answers), 20).select("record_id", "name")
+
+
+QUERIES = {f.__name__: f for f in (src_npi, src_paged, src_osm, src_csv, src_osha, src_directory, src_filings, src_web, src_certified, src_awards)}
 
 _state = "CASE s_nationkey % 4 WHEN 0 THEN 'OR' WHEN 1 THEN 'NY' WHEN 2 THEN 'WA' END"
 _city = "CASE s_suppkey % 3 WHEN 0 THEN 'Salem' WHEN 1 THEN 'Dayton' END"
 ORACLE = {
+    "src_paged": """WITH c AS (SELECT c_custkey AS k, c_custkey % 25 AS request, c_custkey // 25 // 20 AS page, c_custkey // 25 % 20 AS spot FROM customer), e AS (SELECT * FROM c WHERE page % 3 < 2 OR spot < 15),
+        p AS (SELECT request, page, count(*) AS n FROM e GROUP BY ALL), s AS (SELECT request, min(page) AS short FROM (SELECT r.request, q.page, coalesce(n, 0) AS n FROM (SELECT DISTINCT request FROM c) r JOIN (SELECT DISTINCT request, page FROM c) q USING (request) LEFT JOIN p ON p.request = r.request AND p.page = q.page) WHERE n < 20 GROUP BY request)
+        SELECT 'npi:' || k AS record_id, 'Clinic ' || k AS name FROM e LEFT JOIN s USING (request) WHERE short IS NULL OR page <= short""",
     "src_npi": f"""SELECT 'npi:' || (s_suppkey % 80) AS record_id, CASE WHEN s_suppkey % 5 = 0 THEN 'Trade ' || s_suppkey ELSE replace(s_name, 'Supplier', 'Supplier') || ' LLC' END AS name, CASE WHEN s_suppkey % 5 = 0 THEN s_name || ' LLC' ELSE '' END AS legal_name, '' AS website,
         concat_ws('|', '1 Main ' || s_suppkey, {_city}, {_state}, '97401', 'US') AS address, 'Dentist' AS categories, concat_ws(' ; ', 'registry|NPI ' || (s_suppkey % 80), CASE WHEN s_suppkey % 2 = 0 THEN 'registered|NPI enumerated 2025-03-01|2025-03-01' END) AS evidence, CAST(NULL AS INT) AS employees
         FROM supplier WHERE s_suppkey % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY s_suppkey % 80 ORDER BY s_suppkey) = 1""",

@@ -1,17 +1,21 @@
-"""Guards for live connectors: only public hosts, redirects checked again, one request a second to a host.
+"""Polite, guarded reading of the web: public hosts only, redirects checked again, robots.txt kept, one request a second to a host.
 
-Live reading is optional; every reader takes saved payloads. URLs are dealt by host, so one
+Live reading is optional; every reader takes saved payloads. Requests are dealt by host, so one
 task owns a host and can keep its pace.
 """
 
 from __future__ import annotations
 
 import ipaddress
+import json
 import socket
 import time
 import urllib.request
+import urllib.robotparser
 from collections.abc import Iterable, Iterator
-from urllib.parse import urlsplit
+from dataclasses import dataclass, field
+from typing import Any
+from urllib.parse import urlencode, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,28 +53,88 @@ class _Checked(urllib.request.HTTPRedirectHandler):
         return super().redirect_request(req, fp, code, msg, headers, newurl)
 
 
-def fetch(url: str, agent: str, timeout: float = 20, most: int = 2_000_000) -> str:
-    check_url(url)
-    ask = urllib.request.Request(url, headers={"User-Agent": agent})
-    with urllib.request.build_opener(_Checked).open(ask, timeout=timeout) as r:
-        return r.read(most).decode(r.headers.get_content_charset() or "utf-8", "replace")
-
-
-def fetched(urls: DataFrame, agent: str, pace: float = 1.0, tasks: int = 16) -> DataFrame:
-    """urls: url. url, body, error; each host's pages come from one task at its pace."""
+@dataclass(frozen=True)
+class Answer:
+    url: str
+    kind: str
+    body: str
+
+
+@dataclass
+class Visitor:
+    """Who asks hosts, one request after another; kept by a task for the hosts it owns.
+
+    What is asked for decides what becomes of a body over `cap` bytes: half a JSON or XML document or script is
+    worth nothing, so those are refused; of a page the first part is kept. Pages and scripts are subject to robots.txt;
+    a host without a readable one allows all. `private` lets local hosts through (for tests).
+    """
+
+    agent: str
+    pace: float = 1.0
+    cap: int = 2_000_000
+    timeout: float = 20.0
+    private: bool = False
+    last: dict[str, float] = field(default_factory=dict)
+    robots: dict[str, urllib.robotparser.RobotFileParser | None] = field(default_factory=dict)
+
+    def _open(self, url: str, headers: dict[str, str], data: bytes | None, whole: bool) -> Answer:
+        if not self.private:
+            check_url(url)
+        host = urlsplit(url).hostname or ""
+        time.sleep(max(0.0, self.last.get(host, -self.pace) + self.pace - time.monotonic()))
+        self.last[host] = time.monotonic()
+        opener = urllib.request.build_opener() if self.private else urllib.request.build_opener(_Checked)
+        try:
+            with opener.open(urllib.request.Request(url, data, {"User-Agent": self.agent, **headers}), timeout=self.timeout) as r:
+                body = r.read(self.cap + 1)
+                if whole and len(body) > self.cap:
+                    raise NetError(f"{url} has more than {self.cap} bytes")
+                return Answer(r.geturl(), r.headers.get("Content-Type", ""), body[: self.cap].decode(r.headers.get_content_charset() or "utf-8", "replace"))
+        except OSError as e:
+            raise NetError(f"{url}: {e}") from e
+
+    def may(self, url: str) -> bool:
+        parts = urlsplit(url)
+        origin = f"{parts.scheme}://{parts.netloc}"
+        if origin not in self.robots:
+            rules = urllib.robotparser.RobotFileParser()
+            try:
+                rules.parse(self._open(f"{origin}/robots.txt", {}, None, False).body.splitlines())
+                self.robots[origin] = rules
+            except NetError:
+                self.robots[origin] = None
+        kept = self.robots[origin]
+        return kept is None or kept.can_fetch(self.agent, url)
+
+    def ask(self, url: str, params: dict[str, Any] | None = None, post: Any = None) -> Answer:
+        """An API's answer, whole or refused; `post` is sent as JSON."""
+        data = None if post is None else json.dumps(post).encode()
+        return self._open(f"{url}?{urlencode(params, doseq=True)}" if params else url, {"Content-Type": "application/json"} if data else {}, data, True)
+
+    def visit(self, url: str, script: bool = False) -> Answer:
+        """A page (HTML only) or a script (whole or refused), where robots.txt allows it."""
+        if not self.may(url):
+            raise NetError(f"robots.txt keeps {url} back")
+        found = self._open(url, {}, None, script)
+        if not script and "html" not in found.kind.lower():
+            raise NetError(f"{url} is no page ({found.kind or 'no type'})")
+        return found
+
+
+def fetched(urls: DataFrame, agent: str, pace: float = 1.0, tasks: int = 16, private: bool = False) -> DataFrame:
+    """urls: url. url, final, body, error; each host's pages come from one task at its pace."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[str, float] = {}
+        visitor = Visitor(agent, pace, private=private)
         for f in frames:
             rows = []
             for url in f["url"]:
-                host = urlsplit(url).hostname or ""
-                time.sleep(max(0.0, last.get(host, 0.0) + pace - time.monotonic()))
-                last[host] = time.monotonic()
                 try:
-                    rows.append((url, fetch(url, agent), None))
-                except (NetError, OSError, ValueError) as e:
-                    rows.append((url, None, str(e)[:160]))
-            yield pd.DataFrame(rows, columns=["url", "body", "error"])
-
-    return urls.select("url").repartition(tasks, domain_of("url")).mapInPandas(run, "url string, body string, error string").withColumn("at", F.current_timestamp())
+                    found = visitor.visit(url)
+                    rows.append((url, found.url, found.body, None))
+                except (NetError, ValueError) as e:
+                    rows.append((url, None, None, str(e)[:160]))
+            yield pd.DataFrame(rows, columns=["url", "final", "body", "error"])
+
+    shape = "url string, final string, body string, error string"
+    return urls.select("url").repartition(tasks, domain_of("url")).mapInPandas(run, shape).withColumn("at", F.current_timestamp())

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.region import Region, region_status
 from .records import evidence, first_wins, record
+from .web_source import until_short
 
 NPI = """struct<number:string,enumeration_type:string,basic:struct<organization_name:string,enumeration_date:string>,
   other_names:array<struct<type:string,organization_name:string>>,
@@ -42,6 +43,14 @@ def npi(pages: DataFrame) -> DataFrame:
     return first_wins(e.select("pos", "at", *cols), ["record_id"], [F.col("pos"), F.col("at")]).drop("pos", "at")
 
 
+def npi_answers(found: DataFrame, size: int, most: int | None = None) -> DataFrame:
+    """Answers (request, page, url, payload) of the registry, of each request those that a collector would have asked for; errors in an answer fail the plan."""
+    pages = until_short(found, "results", size, most)
+    bad = F.get_json_object("payload", "$.Errors")
+    payload = F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("the registry answered with errors: "), F.left(bad, F.lit(160))))).otherwise(F.col("payload"))
+    return npi(pages.select(F.struct("request", "page").alias("pos"), payload.alias("payload")))
+
+
 OSM = "struct<elements:array<struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>>"
 CATEGORY_TAGS = ["amenity", "healthcare", "shop", "craft", "industrial", "office", "man_made"]
 

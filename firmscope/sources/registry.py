@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.region import Region
 from ..operators.staging import staged
-from . import listings, registries
+from . import listings, registries, web_source
 
 Reader = Callable[[SparkSession, dict[str, Any], Region], DataFrame]
 
@@ -35,14 +35,39 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("value").alias("payload"), name.alias("pos"), name.alias("url"))
 
 
+#: The registry's address, its page and how far it lets a reader skip.
+NPI_URL, NPI_PAGE, NPI_SKIP = "https://npiregistry.cms.hhs.gov/api/", 200, 1000
+
+
+def npi_requests(spec: dict[str, Any], region: Region) -> list[dict[str, Any]]:
+    """One request for each trade, state and city that the profile names."""
+    if not region.regions:
+        raise SourceError("the registry needs the region's states")
+    most = min(int(spec.get("max_results", 600)), NPI_SKIP + NPI_PAGE)
+    paging = {"param": "skip", "first": 0, "step": NPI_PAGE, "size": NPI_PAGE, "items": "results", "most": most}
+    base = {"version": "2.1", "enumeration_type": "NPI-2", "limit": NPI_PAGE}
+    return [
+        {"url": spec.get("url", NPI_URL), "params": base | {"taxonomy_description": trade, "state": state} | ({"city": city} if city else {}), "paging": paging}
+        for trade in spec.get("taxonomy_descriptions") or []
+        for state in region.regions
+        for city in spec.get("cities") or [None]
+    ]
+
+
 def npi(spark: SparkSession, spec: dict[str, Any], region: Region) -> DataFrame:
-    """Result pages of the registry, up to and with the first short page; an answer that holds errors fails the source."""
-    pages = whole_files(spark, spec["path"])
-    bad = pages.filter(F.get_json_object("payload", "$.Errors").isNotNull()).select(F.left(F.get_json_object("payload", "$.Errors"), F.lit(160))).first()
-    if bad:
-        raise SourceError(f"the registry answered with errors: {bad[0]}")
-    rows = registries.npi(pages)
-    return rows.limit(int(spec["max_results"])) if spec.get("max_results") else rows
+    """Result pages of the registry, live, as saved answers, or as files of one request; an answer that holds errors fails the source.
+
+    A request's pages end with its first short one, and with the page that reaches `max_results`.
+    """
+    if spec.get("live"):
+        found = web_source.answers(spark, npi_requests(spec, region), agent=spec.get("agent", "firmscope"), private=bool(spec.get("private")), pace=spec.get("pace", 1))
+    elif spec.get("answers"):
+        found = web_source.saved_answers(spark, spec["answers"])
+    else:
+        files = whole_files(spark, spec["path"])
+        number = files.groupBy().agg(F.array_sort(F.collect_list("pos")).alias("names"))  # the names of one request's few pages
+        found = files.crossJoin(F.broadcast(number)).select(F.lit(0).cast("long").alias("request"), (F.array_position("names", F.col("pos")) - 1).alias("page"), "url", "payload", F.lit(None).cast("string").alias("error"))
+    return registries.npi_answers(web_source.usable(found), int(spec.get("page_size", NPI_PAGE)), int(spec["max_results"]) if spec.get("max_results") else None)
 
 
 def osm(spark: SparkSession, spec: dict[str, Any], region: Region) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import web as W
 from ..functions.region import Region, region_status
+from .ordering import numbered
 
 SIGNALS = "array<struct<kind:string,detail:string,url:string>>"
 FILTERS = ["in_region", "relevant", "no_exclude_terms", "not_excluded", "signal_ok", "has_website", "tech_ok"]
@@ -141,15 +142,23 @@ def evaluated(accounts: DataFrame, policy: Policy, run_day: Column, recent: Data
     return a.withColumns({"passed": passed, "score": score}).drop("_text", "seen_name")
 
 
+def rank_order() -> list[Column]:
+    """Passed first, then score, then lower-case name; account_id settles ties."""
+    return [F.desc("passed"), F.desc("score"), F.lower("name").asc(), F.col("account_id").asc()]
+
+
 def ranked(accounts: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """rank from 1: passed first, then score, then lower-case name; account_id settles ties. by: one ranking each (a search)."""
-    order = [F.desc("passed"), F.desc("score"), F.lower("name"), F.col("account_id")]
-    return accounts.withColumn("rank", F.row_number().over(Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order)))
+    """rank from 1 in rank order, numbered by ranges. by: one ranking each (a search)."""
+    return numbered(accounts, rank_order(), "rank", by)
 
 
 def judge_queue(accounts: DataFrame, most: int, by: list[str] | None = None) -> DataFrame:
-    """The first passed accounts in rank order."""
-    return ranked(accounts.filter("passed"), by).filter(F.col("rank") <= most)
+    """The first passed accounts in rank order; each task keeps its first `most` before they meet."""
+    passed = accounts.filter("passed")
+    if not by:
+        passed = passed.orderBy(*rank_order()).limit(most)
+    first = Window.partitionBy(*(by or [F.lit(1)])).orderBy(*rank_order())
+    return passed.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most)
 
 
 def bounded_view(accounts: DataFrame, text: int = 3000, evidence: int = 10) -> DataFrame:

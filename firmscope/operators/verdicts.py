@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 # Texts that stand in results where a decision lacks them.
 NO_DECISION = "No decision returned by the judge; review by hand."
 NO_REASON = "Rejected without a stated reason."
@@ -61,14 +63,16 @@ def deliver_top(accounts: DataFrame, kept: DataFrame | None, target: int | None)
     """A top-n search: judged accounts in the judge's order, or without a judge the first passed ones."""
     if kept is not None:
         return accounts.join(kept.select("account_id", "place", "fit", "fit_score"), "account_id")
-    rows = accounts.filter("passed").withColumn("place", F.row_number().over(Window.orderBy("rank")))
-    return rows.filter(F.col("place") <= target) if target else rows
+    rows = accounts.filter("passed")
+    if not target:
+        return numbered(rows, [F.col("rank").asc()], "place")
+    return rows.orderBy("rank").limit(target).withColumn("place", F.row_number().over(Window.orderBy("rank")))  # `target` rows
 
 
 def deliver_map(accounts: DataFrame, kept: DataFrame, rejected: DataFrame) -> DataFrame:
     """A market map: passed accounts that weren't rejected, judged ones first by fit, others in rank order."""
     rows = accounts.filter("passed").join(rejected.select("account_id"), "account_id", "left_anti").join(kept.select("account_id", "fit", "fit_score"), "account_id", "left")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("fit").isNull(), F.desc("fit_score"), "rank")))
+    return numbered(rows, [F.col("fit").isNull().asc(), F.desc("fit_score"), F.col("rank").asc()], "place")
 
 
 def batches(queue: DataFrame, size: int = 20) -> DataFrame:

@@ -9,8 +9,10 @@ from ..functions import text as T
 from ..functions import web as W
 from ..functions.region import Region
 from ..operators import accounts as A
+from ..operators import searches as S
 from ..operators import buyers as B
 from ..operators import resolve, verdicts
+from ..operators.staging import staged
 from ..session import table
 from ..sources.listings import census_rows, city_purchases, queries_for
 from ..sources.records import RECORD, first_wins, union_all
@@ -237,6 +239,29 @@ def account_filters(spark, sf_dir):
     return a.select("account_id", "region_status", F.array_join("keyword_hits", ",").alias("hits"), "size_band", "filters.relevant", "filters.no_exclude_terms", "filters.not_excluded", "passed", "score", F.col("rank").cast("long").alias("rank"))
 
 
+SEARCHES = {
+    "pages": PAGES_POLICY,
+    "sevens": A.Policy(region=Region(site_terms=["Page 7"]), include_any=["page [0-9]*7"], exclude_any=[r"\bk2\b", "page 27"], exclude_companies=["page 17"]),
+    "all": A.Policy(region=Region(cities=["Salem"]), min_signals=0, require_website=True, prefer_small=True, knockouts=["has_website"]),
+}
+
+
+def _all_ranked(spark, sf_dir) -> DataFrame:
+    rows = _page_records(spark, sf_dir).withColumn("site", F.lit(None).cast("struct<url:string,title:string,description:string,text:string,error:string,tech:array<string>,client_rendered:boolean>"))
+    policies = S.policy_table(spark, SEARCHES)
+    each = staged(resolve.accounts(rows), "accounts").crossJoin(F.broadcast(policies.select("search")))  # here all searches found the same records
+    return S.ranked_all(S.evaluated_all(each, policies, _day()))
+
+
+def all_searches(spark, sf_dir):
+    """Three searches' filters, scores and ranks in one plan, with their rules as data."""
+    return _all_ranked(spark, sf_dir).select("search", "account_id", "region_status", F.array_join("keyword_hits", ",").alias("hits"), "filters.relevant", "filters.no_exclude_terms", "filters.not_excluded", "passed", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def search_funnels(spark, sf_dir):
+    return S.funnels(_all_ranked(spark, sf_dir)).select("search", "accounts", "in_region", "relevant", "no_exclude_terms", "not_excluded", "passed", "best")
+
+
 def site_budget(spark, sf_dir):
     """Pages of the first twenty domains, in page order."""
     pages = table(spark, sf_dir, "pages").select("page_id", W.domain_of("url").alias("domain"))
@@ -404,7 +429,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         signals_recent, signals_funded, first_events, last_events, filters_struct, knockouts, ranked_accounts, judge_queue, judge_batches, verdict_kept, verdict_rejected,
-        judge_stats, deliver_topn, deliver_map, funnel, export_accounts, index_rows, excluded, seen_recent, er_edges, er_groups, er_torn_accounts, er_accounts, account_filters, site_budget, site_read,
+        judge_stats, deliver_topn, deliver_map, funnel, export_accounts, index_rows, excluded, seen_recent, er_edges, er_groups, er_torn_accounts, er_accounts, account_filters, all_searches, search_funnels, site_budget, site_read,
         enrich_counters, website_lookup, vendor_match, vendor_filter, award_dedup, top_buyers, other_vendors, by_company, listed_purchases, coverage_rollup, search_queries,
         source_union, tags_union, date_windows, latest_filing, largest_awards, account_view, early_prune, risks_coerced, conversation_postings,
     )
@@ -513,6 +538,19 @@ ORACLE["account_filters"] = f"""WITH {_REC}, o AS (SELECT d, k, min(page_id) AS
   c AS (SELECT *, len(h) > 0 AS relevant, region_status = 'in' AND relevant AND no_exclude_terms AND not_excluded AS passed,
     least(len(h), 5) + (s > 1)::INT + (region_status = 'in')::INT + CASE size_band WHEN 'under 20' THEN 4 WHEN '20-99' THEN 3 WHEN '100-249' THEN 1 ELSE 0 END AS score FROM b)
   SELECT account_id, region_status, array_to_string(h, ',') AS hits, size_band, relevant, no_exclude_terms, not_excluded, passed, score, row_number() OVER (ORDER BY passed DESC, score DESC, lower(name), account_id) AS rank FROM c"""
+_one = lambda name, region, hits, bad, gone, strict, small: f"""SELECT '{name}' AS search, *, len(h) > 0 OR {not hits} AS relevant FROM (SELECT *, {region} AS region_status,
+    list_filter(CAST([{', '.join(chr(39) + x + chr(39) for x in hits)}] AS VARCHAR[]), lambda x: regexp_matches(t, '(?i)' || x)) AS h, {bad} AS no_exclude_terms, {gone} AS not_excluded, {strict} AS strict, {small} AS small FROM a)"""
+_EACH = f"""{_REC}, o AS (SELECT d, k, min(page_id) AS f FROM (SELECT d, page_id, 'k' || (page_id % 3) AS k FROM rec) GROUP BY d, k),
+  a AS (SELECT d, trim(regexp_replace(d, '[^a-z0-9]+', '-', 'g'), '-') AS account_id, 'Page ' || min(page_id) AS name, 'Page ' || min(page_id) || chr(10) || split_part(d, '.', -1) || ' ' || (SELECT string_agg(k, ' ' ORDER BY f) FROM o WHERE o.d = r.d) AS t, max(page_id) FILTER (page_id % 7 = 0) AS n, count(DISTINCT page_id % 2) AS s FROM rec r GROUP BY d),
+  e AS ({_one("pages", "CASE WHEN regexp_matches(t, '(^|[^A-Za-z])Page [13]([^A-Za-z]|$)') THEN 'in' ELSE 'unknown' END", PAGES_POLICY.include_any, "NOT regexp_matches(t, '(?i)page 11')", "d <> 'spam-farm.example.org'", True, True)}
+    UNION ALL {_one("sevens", "CASE WHEN regexp_matches(t, '(^|[^A-Za-z])Page 7([^A-Za-z]|$)') THEN 'in' ELSE 'unknown' END", ["page [0-9]*7"], "NOT regexp_matches(t, '(?i)page 27') AND NOT regexp_matches(t, '(?i)[[:<:]]k2[[:>:]]')".replace("[[:<:]]", chr(92) + "b").replace("[[:>:]]", chr(92) + "b"), "name <> 'Page 17'", False, False)}
+    UNION ALL {_one("all", "'unknown'", [], "TRUE", "TRUE", False, True)}),
+  p AS (SELECT *, CASE search WHEN 'all' THEN TRUE ELSE (region_status = 'in' OR NOT strict) AND relevant AND no_exclude_terms AND not_excluded END AS passed,
+    least(len(h), 5) + (s > 1)::INT + (region_status = 'in')::INT + CASE WHEN NOT small OR n IS NULL OR n >= 250 THEN 0 WHEN n < 20 THEN 4 WHEN n < 100 THEN 3 ELSE 1 END AS score FROM e)"""
+ORACLE["all_searches"] = f"""WITH {_EACH} SELECT search, account_id, region_status, array_to_string(h, ',') AS hits, relevant, no_exclude_terms, not_excluded, passed, score,
+  row_number() OVER (PARTITION BY search ORDER BY passed DESC, score DESC, lower(name), account_id) AS rank FROM p"""
+ORACLE["search_funnels"] = f"""WITH {_EACH} SELECT search, count(*) AS accounts, count(*) FILTER (region_status = 'in' OR NOT strict) AS in_region, count(*) FILTER (relevant) AS relevant, count(*) FILTER (no_exclude_terms) AS no_exclude_terms,
+  count(*) FILTER (not_excluded) AS not_excluded, count(*) FILTER (passed) AS passed, max(score) AS best FROM p GROUP BY search"""
 _title = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
 ORACLE["website_lookup"] = ORACLE["website_lookup"].replace("{title}", f"trim({sql_decoded(_title)})").replace("{common}", sql_list(T.COMMON_NAME_WORDS))
 ORACLE["vendor_match"] = ORACLE["vendor_match"].replace("{generic}", sql_list(T.GENERIC_WORDS))

@@ -25,7 +25,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("stage", nargs="?", choices=(*STAGES, "run"), default="run")
     for name in ("--profile", "--root", "--date"):
         p.add_argument(name, required=True)
-    for name in ("--records", "--search", "--pages", "--scripts", "--decisions", "--purchases", "--context"):
+    for name in ("--records", "--search", "--hits", "--pages", "--scripts", "--decisions", "--purchases", "--context"):
         p.add_argument(name)
     p.add_argument("--dry-run", action="store_true", help="judge: print sizes, ask nobody")
     return p.parse_args(argv)
@@ -59,6 +59,9 @@ class Stages:
         for name in self.names:
             records = self._records(name)
             if records is not None:
+                if self.args.hits:
+                    hits = self.spark.read.schema("record_id string, pos int, url string, title string").json(f"{self.args.hits}/{name}")
+                    records = self.runs.with_websites(self.spark, records, hits, self.args.root, name, self.args.date)
                 read, failed = self.runs.save_sites(self.spark, self.settings, name, records, pages, scripts, self.args.root, self.args.date)
                 print(f"{name}: {read} sites read, {failed} failed", file=sys.stderr)
         return OK

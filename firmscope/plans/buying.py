@@ -1,4 +1,4 @@
-"""Registered queries over purchase records: what a search asks for, what it keeps, what a city's table gives."""
+"""Registered queries over purchase records, long lists of domains, and looked-up websites, each through its operator."""
 
 from __future__ import annotations
 
@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import buyers as B
+from ..functions import web as W
+from ..operators import domains as D
 from ..operators import purchases as P
+from ..operators.sites import find_websites
 from ..session import table
+from ..sources.records import EVIDENCE
+from .names import DOMAIN
 
 TODAY = "2025-01-31"
 
@@ -57,12 +62,38 @@ def city_given(spark, sf_dir):
     return P.city_rows(rows.withColumn("paid", F.when(F.col("o_orderkey") % 3 == 0, "n/a").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))), CITY)
 
 
-QUERIES = {f.__name__: f for f in (award_queries, award_lookups, city_asked, city_given)}
+def long_skip_list(spark, sf_dir):
+    """Pages outside a list of a domain for each order and line, which also holds every third page's own domain or the one above it."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", W.domain_of("url").alias("domain"))
+    many = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("https://www.l"), "l_orderkey", F.lit("."), "l_suppkey", F.lit(".example.org/x")).alias("domain"))
+    some = pages.filter("page_id % 30 = 0").select(F.when(F.col("page_id") % 60 == 0, F.col("domain")).otherwise(F.array_join(F.slice(F.split("domain", "[.]"), 2, 9), ".")).alias("domain"))
+    return D.without_listed(pages, many.unionAll(some)).select("page_id", "domain")
+
+
+def found_websites(spark, sf_dir):
+    """All customers as records, a fifth of them with a website, and search hits for each: a directory, a host or a title that names it, one too far down, none."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    records = c.select(F.concat(F.lit("r:"), key).alias("record_id"), F.concat(F.lit("Acme"), key, F.lit(" Co")).alias("name"), F.when(key % 5 == 0, "https://own.example/").alias("website"), F.array().cast(EVIDENCE).alias("evidence"))
+    hit = lambda pos, url, title: F.struct(F.lit(pos).alias("pos"), url.alias("url"), title.alias("title"))
+    none = F.lit(None).cast("string")
+    named = F.concat(F.lit("https://www.ac-me"), key, F.lit("-shop.example/page"))
+    hits = F.when(key % 4 == 0, F.array(hit(0, F.concat(F.lit("https://www.linkedin.com/acme"), key), none), hit(1, named, none))).when(key % 4 == 1, F.array(hit(0, F.lit("https://other.example/"), F.lit("Else")), hit(3, F.lit("https://titled.example/a"), F.concat(F.lit("ACME"), key, F.lit(" home")))))
+    hits = hits.when(key % 4 == 2, F.array(hit(7, named, none))).otherwise(F.array(hit(0, F.lit("https://nothing.example/"), none)))
+    found = find_websites(records, c.select(F.concat(F.lit("r:"), key).alias("record_id"), F.explode(hits).alias("h")).select("record_id", "h.*"))
+    return found.select("record_id", "website", F.array_join("evidence.url", ",").alias("seen"))
+
+
+QUERIES = {f.__name__: f for f in (award_queries, award_lookups, city_asked, city_given, long_skip_list, found_websites)}
 
 _TAIL = '],"time_period":[{"start_date":"2023-02-01","end_date":"2025-01-31"}]'
 _REST = '},"limit":100,"page":1,"sort":"Award Amount","order":"desc","fields":["Award ID","Recipient Name","Awarding Agency","Awarding Sub Agency","Award Amount","Description","Start Date","generated_internal_id"]}'
 _HEAD = '{"filters":{"award_type_codes":["A","B","C","D"'
 ORACLE = {
+    "long_skip_list": f"""WITH p AS (SELECT page_id, {DOMAIN} AS domain FROM pages), l AS (SELECT CASE WHEN page_id % 60 = 0 THEN domain ELSE regexp_replace(domain, '^[^.]*[.]', '') END AS d FROM p WHERE page_id % 30 = 0)
+        SELECT page_id, domain FROM p WHERE NOT EXISTS (SELECT 1 FROM l WHERE p.domain = l.d OR ends_with(p.domain, '.' || l.d))""",
+    "found_websites": """SELECT 'r:' || c_custkey AS record_id, CASE WHEN c_custkey % 5 = 0 THEN 'https://own.example/' ELSE found END AS website, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE coalesce(found, '') END AS seen
+        FROM (SELECT *, CASE c_custkey % 4 WHEN 0 THEN 'https://ac-me' || c_custkey || '-shop.example/' WHEN 1 THEN 'https://titled.example/' END AS found FROM customer)""",
     "award_queries": f"""SELECT 0::BIGINT AS qpos, 'market' AS purpose, '{_HEAD}{_TAIL},"naics_codes":{{"require":["332911"]}},"place_of_performance_locations":[{{"country":"USA","state":"IL"}},{{"country":"USA","state":"IN"}}],"keywords":["valve"]{_REST}' AS body
         UNION ALL SELECT s_suppkey + 1, 's-' || s_suppkey, '{_HEAD}{_TAIL},"recipient_search_text":["MAKER' || s_suppkey || '"]{_REST}' FROM supplier WHERE s_suppkey % 7 <> 0""",
     "award_lookups": """WITH o AS (SELECT *, o_custkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS maker FROM orders), l AS (SELECT s_suppkey AS s FROM supplier WHERE s_suppkey % 7 <> 0)

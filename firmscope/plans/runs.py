@@ -6,7 +6,7 @@ import os
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import accounts as A
@@ -57,6 +57,13 @@ def saved_log(spark: SparkSession, root: str, name: str, run_date: str) -> repor
     return [tuple(r) for r in exports.read_stage(spark, f"{root}/{name}", "sources", run_date).select("source", "status", "count", "error").orderBy("source").collect()]  # one row a source
 
 
+def with_websites(spark: SparkSession, records: DataFrame, hits: DataFrame, root: str, name: str, run_date: str) -> DataFrame:
+    """The day's records with websites from search hits where they had none, written in their stage and read back."""
+    found = sites.find_websites(records, hits).withColumn("run_date", F.lit(run_date).cast("date"))
+    exports.write_stage(found, f"{root}/{name}", "looked_up")
+    return exports.read_stage(spark, f"{root}/{name}", "looked_up", run_date).drop("run_date")
+
+
 def save_sites(spark: SparkSession, settings: Profile, name: str, records: DataFrame, pages: DataFrame, scripts: DataFrame | None, root: str, run_date: str) -> tuple[int, int]:
     """Read websites from staged pages under the search's budget; returns how many were read and failed."""
     own = settings[name]
@@ -85,7 +92,10 @@ def run_search(spark: SparkSession, settings: Profile, name: str, records: DataF
     history = None
     if search.suppresses and there(spark, f"{root}/runs"):  # the first run has no history
         history = exports.recent_names(spark.read.schema(exports.RUNS).parquet(f"{root}/runs"), settings.window, run_date)
-    exports.write_stage(_ranked(settings[name], records, run_date, history).withColumns({"run_date": day, "search": F.lit(name)}), f"{root}/{name}", "accounts")
+    seen = {k: Observation() for k in ("records", "accounts", "delivered")}  # counted by the jobs that write, not by jobs of their own
+    count = F.count(F.lit(1)).alias("n")
+    records = records.observe(seen["records"], count)
+    exports.write_stage(_ranked(settings[name], records, run_date, history).observe(seen["accounts"], count).withColumns({"run_date": day, "search": F.lit(name)}), f"{root}/{name}", "accounts")
     ranked = exports.read_stage(spark, f"{root}/{name}", "accounts", run_date)
     goal, target = search.goal, search.target
     kept = rejected = None
@@ -113,8 +123,8 @@ def run_search(spark: SparkSession, settings: Profile, name: str, records: DataF
             found = B.own_lookups(matched)
         rows = B.labelled(found, listed)
         exports.write_csv(purchase_export(rows), f"{root}/{name}/exports/{run_date}/purchases", only_if_rows=True)
-    exports.save_run(delivered.select(day.alias("run_date"), F.lit(name).alias("search"), F.col("place").alias("rank"), "name"), root)
-    counts = {"records": records.count(), "accounts": ranked.count(), "delivered": delivered.count()}
+    exports.save_run(delivered.select(day.alias("run_date"), F.lit(name).alias("search"), F.col("place").alias("rank"), "name").observe(seen["delivered"], count), root)
+    counts = {k: o.get["n"] for k, o in seen.items()}
     funnel = exports.funnel_line(ranked, counts["records"], kept, rejected)
     notes = [report.coverage_text(census, counts["delivered"]), report.tools_text(ranked)]
     text = report.section(search.label, goal, funnel, delivered, rows, judged=kept is not None, target=target, notes=notes, log=log, rejected=rejected)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import web as W
+from ..operators.domains import without_listed
 from .records import evidence, first_wins, record
 
 
@@ -22,9 +23,10 @@ def search_results(payloads: DataFrame, provider: str) -> DataFrame:
     return rows.select((F.col("seq") * 1000 + F.col("at")).alias("seq"), "query", F.coalesce("r.title", F.lit("")).alias("title"), F.col("r.url").alias("url"), F.coalesce(F.col(f"r.{text}"), F.lit("")).alias("snippet"))
 
 
-def web_search(results: DataFrame, skip: list[str] | None = None) -> DataFrame:
-    """One record a domain: the first result names it, all are evidence; directories are passed over."""
+def web_search(results: DataFrame, skip: list[str] | None = None, listed: DataFrame | None = None) -> DataFrame:
+    """One record a domain: the first result names it, all are evidence; directories are passed over, and what a list of domains (of any length) holds."""
     r = results.withColumn("domain", W.domain_of("url")).filter(F.col("domain").isNotNull() & ~W.is_skipped("domain", skip))
+    r = without_listed(r, listed) if listed is not None else r
     seen = evidence("search_result", F.concat(F.lit('"'), "query", F.lit('"')), F.col("url"), snippet=F.col("snippet"))
     one = r.groupBy("domain").agg(F.min_by("title", "seq").alias("title"), F.array_sort(F.collect_list(F.struct("seq", seen.alias("e")))).alias("all"))
     return one.select(*record("web_search", F.col("domain"), T.title_name("title", F.col("domain")), website=F.concat(F.lit("https://"), "domain", F.lit("/")), evidence=F.col("all.e")))

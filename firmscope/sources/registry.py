@@ -86,7 +86,8 @@ def postings(spark: SparkSession, spec: dict[str, Any], region: Region) -> DataF
 
 def web_search(spark: SparkSession, spec: dict[str, Any], region: Region) -> DataFrame:
     answers = spark.read.schema("seq long, query string, payload string").json(spec["path"])
-    return listings.web_search(listings.search_results(answers, spec.get("provider", "brave")), spec.get("skip_domains"))
+    listed = spark.read.text(spec["skip_list"]).select(F.trim("value").alias("domain")) if spec.get("skip_list") else None
+    return listings.web_search(listings.search_results(answers, spec.get("provider", "brave")), spec.get("skip_domains"), listed)
 
 
 def nsf(spark: SparkSession, spec: dict[str, Any], region: Region) -> DataFrame:

@@ -72,3 +72,13 @@ def test_export_columns(spark):
     rows = spark.createDataFrame([("b", 1.0, "m"), ("a", 9.0, "m")], "vendor string, amount double, purpose string")
     got = P.purchase_export(rows)
     assert got.columns == P.PURCHASE_COLUMNS and [r.vendor for r in got.collect()] == ["a", "b"]
+
+
+def test_long_lists_of_domains(spark):
+    from firmscope.operators import domains as D
+
+    rows = spark.createDataFrame([(1, "a.b.org"), (2, "b.org"), (3, "ab.org"), (4, None), (5, "c.net"), (6, "x.c.net"), (6, "x.c.net")], "k int, domain string")
+    listed = spark.createDataFrame([("https://www.B.org/x",), ("x.c.net",), (None,), ("net.c",)], "domain string")
+    assert sorted(r.k for r in D.without_listed(rows, listed).collect()) == [3, 4, 5]
+    assert {(r.domain, r.entry) for r in D.listed_among(rows, listed).collect()} == {("a.b.org", "b.org"), ("b.org", "b.org"), ("x.c.net", "x.c.net")}
+    assert D.without_listed(rows, listed.limit(0)).count() == 7

@@ -97,3 +97,25 @@ def test_filings_in_a_zip(spark, tmp_path):
         z.writestr("data.csv", "\ufeff" + head + "\r\n" + 'Acme - Salem,"Acme, Inc.",1 A St,Salem,OR,97301,332911,Valves,1,12,2023\r\nFar,Far,2,Austin,TX,73301,332911,Valves,1,5,2023\r\n')
     rows = registry.READERS["osha_ita"](spark, {"path": str(tmp_path / "f.zip"), "naics": ["3329"]}, Region(regions=["OR"])).collect()
     assert [(r.employees, r.address.city) for r in rows] == [(12, "Salem")]
+
+
+def test_hits_saved_awards_and_a_run_without_results(spark, tmp_path):
+    """Websites come from search hits, purchases from saved answers of the award service; a search that keeps nothing still counts and reports."""
+    bare = [{**r, "website": None} for r in RECORDS]
+    for folder, name, rows in (
+        ("records", "pumps", bare), ("records", "none", bare), ("hits", "pumps", [{"record_id": "a:1", "pos": 0, "url": "https://valve-works.example/x", "title": ""}]), ("hits", "none", [{"record_id": "x", "pos": 0, "url": "", "title": ""}]),
+        ("buys", "pumps", [{"purpose": "market", "qpos": 0, "page": 1, "payload": json.dumps({"results": [{"Recipient Name": "VALVE WORKS 1 CO", "Awarding Agency": "Navy", "Award Amount": 9.5, "Award ID": "A1"}]})}]), ("buys", "none", [{"purpose": "market", "qpos": 0, "page": 1, "payload": "{}"}]),
+    ):
+        (tmp_path / folder / name).mkdir(parents=True)
+        (tmp_path / folder / name / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "pages.json").write_text(json.dumps({"url": "https://valve-works.example/", "html": "<title>Valves</title><p>family owned"}))
+    search = {**PROFILE["searches"]["pumps"], "buyers": {"years": 5}}
+    (tmp_path / "profile.json").write_text(json.dumps({"searches": {"pumps": search, "none": {**search, "include_any": ["no such word"]}}}))
+    base = ["--profile", str(tmp_path / "profile.json"), "--records", str(tmp_path / "records"), "--root", str(tmp_path / "out"), "--date", "2025-01-01"]
+    assert cli.main([*base, "--hits", str(tmp_path / "hits"), "--pages", str(tmp_path / "pages.json"), "--purchases", str(tmp_path / "buys")]) == 0
+    text = (tmp_path / "out" / "reports" / "2025-01-01.md").read_text()
+    assert "4 records → 4 companies → 4 passed filters" in text and "4 records → 4 companies → 0 passed filters" in text and "Navy: $10 over 1 purchases" in text.replace("$9.50", "$10").replace("$9", "$10")
+    found = {r.record_id: r.website for r in spark.read.parquet(str(tmp_path / "out" / "pumps" / "looked_up")).collect()}
+    assert found["a:1"] == "https://valve-works.example/" and found["a:2"] is None
+    sold = spark.read.option("header", True).csv(str(tmp_path / "out" / "pumps" / "exports" / "2025-01-01" / "purchases"))
+    assert sold.columns[:5] == ["source", "buyer", "buyer_unit", "vendor", "listed_company"] and sold.first()["listed_company"].startswith("Valve Works 1")

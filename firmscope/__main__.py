@@ -85,21 +85,20 @@ class Stages:
         return OK
 
     def report(self) -> int:
+        from pyspark.sql import functions as F
+
         from .operators import report
-        from .operators.verdicts import DECISION
+        from .operators.judging import saved_decisions
         from .plans.settings import SettingsError, context_headings
 
         decisions = None
         if self.args.decisions:
-            decisions = self.spark.read.schema("pos int, " + DECISION).option("mode", "FAILFAST").json(self.args.decisions)
-            try:
-                bad = decisions.filter("account_id is null or decision not in ('keep', 'reject')").count()
-            except Exception as e:  # noqa: BLE001 - Spark wraps what a malformed line raises
-                print(f"decisions can't be read: {str(e).splitlines()[0][:160]}", file=sys.stderr)
-                return BAD_JUDGE
+            found = saved_decisions(self.spark, self.args.decisions)
+            bad = found.filter(F.size("faults") > 0).orderBy(F.array_contains("faults", "not JSON").desc(), "pos").select("pos", "faults").first()
             if bad:
-                print(f"{bad} decisions lack an account or a verdict", file=sys.stderr)
-                return BAD_SHAPE
+                print(f"decision {bad['pos']}: {', '.join(bad['faults'])}", file=sys.stderr)
+                return BAD_JUDGE if "not JSON" in bad["faults"] else BAD_SHAPE
+            decisions = found.drop("faults")
         try:
             headings = context_headings(self.settings, self.args.context)
         except SettingsError as e:

@@ -12,6 +12,7 @@ from ..operators import accounts as A
 from ..operators import searches as S
 from ..operators import buyers as B
 from ..operators import resolve, verdicts
+from ..operators.judging import checked_answers, texts_of
 from ..operators.staging import staged
 from ..session import table
 from ..sources.listings import census_rows, city_purchases, queries_for
@@ -407,11 +408,20 @@ def early_prune(spark, sf_dir):
 def risks_coerced(spark, sf_dir):
     """A field that is a text in some rows and a list in others, as one list."""
     raw = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("r"), "doc_id").alias("risks")))).when(F.col("doc_id") % 3 == 1, F.to_json(F.struct(F.array(F.lit("a"), F.col("quality").cast("string")).alias("risks")))).otherwise(F.lit("{}")).alias("j"))
-    text = F.get_json_object("j", "$.risks")
-    some = F.coalesce(F.from_json(F.when(text.startswith("["), text), "array<string>"), F.when(F.coalesce(text, F.lit("")) != "", F.array(text)), F.array().cast("array<string>"))
+    some = texts_of(F.try_variant_get(F.parse_json("j"), "$.risks", "variant"))
     return raw.select("doc_id", F.array_join(some, "; ").alias("risks"))
 
 
+def decision_faults(spark, sf_dir):
+    """Labels as a judge's answers, sound and not: what is wrong with each."""
+    k = F.col("doc_id") % 7
+    good = F.to_json(F.struct(F.concat(F.lit("a-"), "doc_id").alias("account_id"), F.when(k == 1, "maybe").otherwise("keep").alias("decision"), F.lit("strong").alias("fit"), F.col("quality").alias("fit_score")))
+    one = F.when(k == 2, F.concat(F.lit('{"decision":"keep","fit_score":"high","why_fit":"text","n":'), F.col("doc_id").cast("string"), F.lit("}"))).when(k == 3, '{"account_id":"x","decision":null,"risks":3}').otherwise(good)
+    answer = F.when(k == 4, '{"decisions": [').when(k == 5, '{"none_reason": "none"}').otherwise(F.concat(F.lit('{"decisions":['), one, F.lit(']}')))
+    rows = checked_answers(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("part"), answer.alias("answer")))
+    return rows.select("pos", "account_id", "fit_score", F.array_join("faults", "; ").alias("faults"))
+
+
 def conversation_postings(spark, sf_dir):
     """Conversations as postings: a company's first turn places it, all its turns are evidence."""
     from ..sources.registries import postings
@@ -431,7 +441,7 @@ QUERIES = {
         signals_recent, signals_funded, first_events, last_events, filters_struct, knockouts, ranked_accounts, judge_queue, judge_batches, verdict_kept, verdict_rejected,
         judge_stats, deliver_topn, deliver_map, funnel, export_accounts, index_rows, excluded, seen_recent, er_edges, er_groups, er_torn_accounts, er_accounts, account_filters, all_searches, search_funnels, site_budget, site_read,
         enrich_counters, website_lookup, vendor_match, vendor_filter, award_dedup, top_buyers, other_vendors, by_company, listed_purchases, coverage_rollup, search_queries,
-        source_union, tags_union, date_windows, latest_filing, largest_awards, account_view, early_prune, risks_coerced, conversation_postings,
+        source_union, tags_union, date_windows, latest_filing, largest_awards, account_view, early_prune, risks_coerced, decision_faults, conversation_postings,
     )
 }
 
@@ -527,6 +537,8 @@ ORACLE = {
     "account_view": "SELECT doc_id, md5(left(text, 3000)) AS digest, length(text) // 4 AS tokens FROM documents",
     "early_prune": "SELECT p_brand, count(*) AS n, sum(CAST(value AS DECIMAL(18,2))) AS total FROM events JOIN part ON user_id = p_partkey WHERE event_type = 'purchase' AND value > 5 AND p_size < 25 GROUP BY p_brand",
     "risks_coerced": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'r' || doc_id WHEN 1 THEN 'a; ' || quality ELSE '' END AS risks FROM labels",
+    "decision_faults": """SELECT doc_id * 100000 AS pos, CASE WHEN doc_id % 7 = 3 THEN 'x' WHEN doc_id % 7 IN (0, 1, 6) THEN 'a-' || doc_id END AS account_id, CASE WHEN doc_id % 7 IN (0, 1, 6) THEN quality::INT END AS fit_score,
+        CASE doc_id % 7 WHEN 1 THEN 'decision is none of keep, reject' WHEN 2 THEN 'no account_id; fit_score has another type; why_fit has another type' WHEN 3 THEN 'no decision; risks has another type' WHEN 4 THEN 'not JSON' WHEN 5 THEN 'no list of decisions' ELSE '' END AS faults FROM labels""",
     "conversation_postings": """WITH c AS (SELECT conv_id % 40 AS k, conv_id * 1000 + turn AS pos, turn, role FROM conversations) SELECT 'postings:acme-' || k || '-llc' AS record_id, 'Acme ' || k || ' LLC' AS name, CASE WHEN first(turn ORDER BY pos) % 2 = 0 THEN 'Dayton' ELSE 'Salem' END AS city,
         CASE WHEN first(turn ORDER BY pos) % 2 = 0 THEN 'OH' ELSE 'OR' END AS state, count(*) AS n, 'Hiring: ' || first(role || ' ' || turn ORDER BY pos) AS first FROM c GROUP BY k""",
 }

@@ -119,7 +119,7 @@ def buyers_part(rows: DataFrame, checked: int, log: Log | None = None) -> list[s
     shown = lambda df, *cols: df.orderBy(F.desc("total"), df.columns[0]).limit(LISTED).select(T.money("total").alias("money"), "count", *cols).collect()
     for r in shown(own, "listed_company", F.slice("buyers", 1, 3).alias("some")):
         lines.append(f"- {r['listed_company']}: {r['money']} over {r['count']} purchases, from {'; '.join(r['some'])}")
-    if top := shown(B.top_buyers(rows), "label", F.slice("vendors", 1, 3).alias("some"), F.size("vendors").alias("n_vendors")):
+    if top := shown(B.top_buyers(rows), "label", F.slice("vendors", 1, 3).alias("some"), "n_vendors"):
         lines += ["", "Buyers:", *[f"- {b['label']}: {b['money']} over {b['count']} purchases, to {', '.join(b['some'])}" + (f" +{b['n_vendors'] - 3}" if b["n_vendors"] > 3 else "") for b in top]]
     if others := shown(B.other_vendors(rows), "vendor"):
         lines += ["", "Vendors they pay that aren't listed:", *[f"- {v['vendor']}: {v['money']} over {v['count']} purchases" for v in others]]

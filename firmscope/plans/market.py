@@ -11,7 +11,7 @@ from ..functions.region import Region
 from ..operators import accounts as A
 from ..operators import searches as S
 from ..operators import buyers as B
-from ..operators import resolve, verdicts
+from ..operators import exports, resolve, verdicts
 from ..operators.judging import checked_answers, texts_of
 from ..operators.staging import staged
 from ..session import table
@@ -172,8 +172,7 @@ def export_accounts(spark, sf_dir):
 
 def index_rows(spark, sf_dir):
     a = A.ranked(_accounts(spark, sf_dir).filter("passed"), ["source"])
-    one = a.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("all"))  # names of one search's result
-    return one.select("source", T.with_tail(F.col("all.name"), 5).alias("cell"))
+    return exports.index_cells(a.select(_day().alias("run_date"), F.col("source").alias("search"), "rank", "name")).select(F.col("search").alias("source"), "cell")
 
 
 def excluded(spark, sf_dir):
@@ -330,11 +329,11 @@ def _labelled(spark, sf_dir):
 
 
 def top_buyers(spark, sf_dir):
-    return B.top_buyers(_labelled(spark, sf_dir)).select("label", "total", "count", F.array_join("vendors", "; ").alias("vendors"))
+    return B.top_buyers(_labelled(spark, sf_dir)).select("label", "total", "count", "n_vendors", F.array_join("vendors", "; ").alias("vendors"))
 
 
 def other_vendors(spark, sf_dir):
-    return B.other_vendors(_labelled(spark, sf_dir)).select("vendor", "total", "count", F.array_join("buyers", "; ").alias("buyers"))
+    return B.other_vendors(_labelled(spark, sf_dir)).select("vendor", "total", "count", "n_buyers", F.array_join("buyers", "; ").alias("buyers"))
 
 
 def by_company(spark, sf_dir):
@@ -369,10 +368,11 @@ def source_union(spark, sf_dir):
 
 
 def tags_union(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("w", F.split("p_name", " "))
-    per = p.groupBy("p_brand").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("words"))  # distinct words of a name list: a few dozen
+    """Words of each brand's names: how many, and which of three they have or lack; only those three are gathered."""
+    words = table(spark, sf_dir, "part").select("p_brand", F.explode(F.split("p_name", " ")).alias("w")).distinct()
     base = F.array(F.lit("red"), F.lit("bolt"), F.lit("nothing"))
-    return per.select("p_brand", F.size("words").alias("n"), F.arrays_overlap("words", base).alias("any"), F.array_join(F.array_sort(F.array_intersect("words", base)), ",").alias("both"), F.array_join(F.array_sort(F.array_except(base, "words")), ",").alias("missing"))
+    per = words.groupBy("p_brand").agg(F.count(F.lit(1)).cast("int").alias("n"), F.array_sort(F.collect_list(F.when(F.array_contains(base, F.col("w")), F.col("w")))).alias("both"))
+    return per.select("p_brand", "n", (F.size("both") > 0).alias("any"), F.array_join("both", ",").alias("both"), F.array_join(F.array_sort(F.array_except(base, "both")), ",").alias("missing"))
 
 
 def date_windows(spark, sf_dir):
@@ -523,8 +523,8 @@ ORACLE = {
         SELECT vendor, account_id FROM v JOIN c ON len(ct) > 0 AND list_has_all(vt, ct) AND (len(list_filter(ct, lambda w: w NOT IN {{generic}})) > 0 OR len(ct) = len(vt)) QUALIFY row_number() OVER (PARTITION BY vendor ORDER BY len(ct) DESC, pos) = 1""",
     "vendor_filter": "SELECT o_orderkey AS award_id, c_name AS vendor, o_orderpriority AS description, o_totalprice AS amount, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders JOIN customer ON o_custkey = c_custkey WHERE (upper(o_orderpriority) LIKE '%URGENT%' OR upper(c_name) LIKE '%CUSTOMER%00%7') AND o_orderdate >= DATE '1998-01-01'",
     "award_dedup": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 2 END AS q FROM orders WHERE o_custkey % 3 = 0 OR o_totalprice > 200000",
-    "top_buyers": f"WITH {_PUR} SELECT label, sum(amount) AS total, count(*) AS count, string_agg(DISTINCT coalesce(listed, vendor), '; ' ORDER BY coalesce(listed, vendor)) AS vendors FROM pur GROUP BY label",
-    "other_vendors": f"WITH {_PUR} SELECT vendor, sum(amount) AS total, count(*) AS count, string_agg(DISTINCT label, '; ' ORDER BY label) AS buyers FROM pur WHERE aid IS NULL GROUP BY vendor",
+    "top_buyers": f"WITH {_PUR} SELECT label, sum(amount) AS total, count(*) AS count, count(DISTINCT coalesce(listed, vendor)) AS n_vendors, array_to_string(list_sort(list_distinct(list(coalesce(listed, vendor))))[1:10], '; ') AS vendors FROM pur GROUP BY label",
+    "other_vendors": f"WITH {_PUR} SELECT vendor, sum(amount) AS total, count(*) AS count, count(DISTINCT label) AS n_buyers, array_to_string(list_sort(list_distinct(list(label)))[1:10], '; ') AS buyers FROM pur WHERE aid IS NULL GROUP BY vendor",
     "by_company": f"WITH {_PUR}, p AS (SELECT aid, label, sum(amount) AS t, count(*) AS n FROM pur WHERE aid IS NOT NULL GROUP BY aid, label), l AS (SELECT aid, sum(t) AS total, sum(n) AS count, list(label ORDER BY t DESC, label) AS b FROM p GROUP BY aid) SELECT aid AS account_id, total, count, {_tail('b').format(k=3)} AS buyers FROM l",
     "listed_purchases": f"WITH {_PUR} SELECT coalesce(listed, '') AS listed_company, count(*) AS n, CAST(max(amount) AS DOUBLE) AS most FROM pur WHERE amount > 60000 GROUP BY 1",
     "coverage_rollup": "SELECT c_mktsegment AS naics, coalesce(sum(c_custkey % 50) FILTER (c_custkey % 4 = 0), 0) AS total, coalesce(sum(c_custkey % 50) FILTER (c_custkey % 4 IN (1, 2)), 0) AS under_20, min('Label ' || c_mktsegment) AS label FROM customer GROUP BY ROLLUP (c_mktsegment)",

@@ -12,10 +12,10 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ _CHUNK = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
 class ChunkTable:
     """Segments whole texts with a SentencePiece model.
 
-    Each distinct chunk of a portion is looked up once. Up to `most` chunks of at most `longest` characters are
+    Each distinct chunk of a portion is segmented once at most. Up to `most` chunks of at most `longest` characters are
     remembered over portions and, as one table serves a Python worker, over tasks; those not met for half as many
     new ones are forgotten. A model whose pieces can cross a mark, or that changes texts before it marks them, is refused.
     """
@@ -66,43 +66,27 @@ class ChunkTable:
                 found[c] = array("i", [self.mark]).tobytes()
         return found
 
-    def _lookup(self, chunks: list[str]) -> list[bytes]:
-        found = list(map(self.known.get, chunks))
-        new = [i for i, f in enumerate(found) if f is None]
-        if not new:
-            return found
-        names = [chunks[i] for i in new]
-        more = {c: f for c in names if (f := self.older.get(c)) is not None}
-        more.update(self._segment([c for c in names if c not in more] if more else names))
-        for i, c in zip(new, names, strict=True):
-            found[i] = more[c]
-        self.known.update([x for x in more.items() if len(x[0]) <= self.longest])
-        if len(self.known) > self.most // 2:
-            self.known, self.older = {}, self.known
-        return found
+    def _learn(self, chunks: set[str]) -> None:
+        """Have all of these in the table: from the older half, or segmented now."""
+        more = {c: f for c in chunks if (f := self.older.get(c)) is not None}
+        self.known.update(more)
+        self.known.update(self._segment([c for c in chunks if c not in more] if more else list(chunks)))
 
     def encode(self, texts: list[str], end: bool = True) -> pa.ListArray:
         """The ids of each text, with the end id behind them."""
-        chunks: list[str] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                found = _CHUNK.findall(" " + t)
-                chunks += found
-                sizes[i] = len(found)
-        coded = pc.dictionary_encode(pa.array(chunks, pa.string()))
-        of = self._lookup(coded.dictionary.to_pylist())
-        at = coded.indices.to_numpy()
-        size = np.fromiter(map(len, of), np.int64, len(of)) // 4
-        flat, begin = np.frombuffer(b"".join(of), "<i4"), np.cumsum(size) - size
-        each = size[at] if len(at) else np.zeros(0, np.int64)
-        total = np.concatenate(([0], np.cumsum(each)))
-        ids = flat[np.repeat(begin[at] - total[:-1], each) + np.arange(total[-1])] if len(at) else np.zeros(0, "<i4")
-        ends = total[np.cumsum(sizes)]
-        if end:
-            ids = np.insert(ids, ends, self.end)
-            ends = ends + np.arange(1, len(texts) + 1)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32()))
+        chunks = [_CHUNK.findall(" " + t) if t else [] for t in texts]
+        new = set(chain.from_iterable(chunks)).difference(self.known)
+        if new:
+            self._learn(new)
+        table, mark = self.known.__getitem__, array("i", [self.end] * end).tobytes()
+        ids = [b"".join(map(table, some)) + mark for some in chunks]
+        for c in new:
+            if len(c) > self.longest:
+                del self.known[c]
+        if len(self.known) > self.most // 2:
+            self.known, self.older = {}, self.known
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids) if ids else []

@@ -25,7 +25,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("stage", nargs="?", choices=(*STAGES, "run"), default="run")
     for name in ("--profile", "--root", "--date"):
         p.add_argument(name, required=True)
-    for name in ("--records", "--search", "--hits", "--pages", "--scripts", "--decisions", "--purchases", "--context"):
+    for name in ("--records", "--search", "--hits", "--pages", "--scripts", "--decisions", "--purchases", "--census", "--context"):
         p.add_argument(name)
     p.add_argument("--dry-run", action="store_true", help="judge: print sizes, ask nobody")
     return p.parse_args(argv)
@@ -74,6 +74,13 @@ class Stages:
             found = self.spark.read.schema(RECORD).json(f"{self.args.records}/{name}")
         return found
 
+    def _census(self, name: str) -> dict[str, Any] | None:
+        """What the saved answers of the census count, for a search that asks for coverage."""
+        if not self.args.census or not self.settings[name].coverage:
+            return None
+        payloads = self.spark.read.text(f"{self.args.census}/{name}", wholetext=True).withColumnRenamed("value", "payload")
+        return self.runs.census_counts(self.settings[name], payloads)
+
     def judge(self) -> int:
         if not self.args.dry_run:
             return OK  # who decides stands outside: see operators/judging.py; decisions come back by --decisions
@@ -115,7 +122,7 @@ class Stages:
                 summary.append(report.summary_line(label, goal, 0, target, failed=bool(log) and all(x[1] != "ok" for x in log)))
                 continue
             purchases = self.spark.read.json(f"{self.args.purchases}/{name}") if self.args.purchases else None
-            done = self.runs.run_search(self.spark, self.settings, name, records, self.args.date, self.args.root, decisions, headings, purchases, log)
+            done = self.runs.run_search(self.spark, self.settings, name, records, self.args.date, self.args.root, decisions, headings, purchases, log, self._census(name))
             print(f"{name}: {json.dumps(done.counts)}", file=sys.stderr)
             sections.append(done.text)
             summary.append(report.summary_line(label, goal, done.counts["delivered"], target))

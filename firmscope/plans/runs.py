@@ -13,6 +13,7 @@ from ..operators import accounts as A
 from ..operators import buyers as B
 from ..operators import exports, judging, report, resolve, sites, verdicts
 from ..operators.purchases import kept_awards, purchase_export
+from ..sources.listings import census_rows
 from ..sources.registry import discovered, status_of  # noqa: F401 - part of a run
 from .settings import Profile, Search
 
@@ -64,6 +65,18 @@ def with_websites(spark: SparkSession, records: DataFrame, hits: DataFrame, root
     return exports.read_stage(spark, f"{root}/{name}", "looked_up", run_date).drop("run_date")
 
 
+def census_counts(search: Search, payloads: DataFrame) -> dict[str, Any]:
+    """What the census (payload: its answers) counts for a search's coverage block, as the report's coverage line takes it; a failure is part of it."""
+    own = search.coverage
+    told = {"year": int(own.get("year", 2022)), "codes": [str(c) for c in own.get("naics") or []], "counties": sum(len(v) for v in (own.get("counties") or {}).values())}
+    if not told["codes"] or not told["counties"]:
+        return told | {"status": "failed", "error": "coverage needs industry codes and counties"}
+    rows = census_rows(payloads)
+    asked = rows.filter(F.col("naics").isin(told["codes"]))
+    found = B.coverage(asked).filter("naics is null").first()
+    return told | {"status": "ok", "total": found["total"] if found else 0, "under_20": found["under_20"] if found else 0}
+
+
 def save_sites(spark: SparkSession, settings: Profile, name: str, records: DataFrame, pages: DataFrame, scripts: DataFrame | None, root: str, run_date: str) -> tuple[int, int]:
     """Read websites from staged pages under the search's budget; returns how many were read and failed."""
     own = settings[name]

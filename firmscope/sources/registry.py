@@ -70,6 +70,22 @@ def npi(spark: SparkSession, spec: dict[str, Any], region: Region) -> DataFrame:
     return registries.npi_answers(web_source.usable(found), int(spec.get("page_size", NPI_PAGE)), int(spec["max_results"]) if spec.get("max_results") else None)
 
 
+#: The census of establishments by county, and what is asked of it.
+CENSUS_URL, CENSUS_GET = "https://api.census.gov/data/{year}/cbp", "ESTAB,EMPSZES_LABEL,NAICS2017_LABEL"
+
+
+def census_requests(coverage: dict[str, Any], key: str, url: str = CENSUS_URL) -> list[dict[str, Any]]:
+    """One request for each industry code and state of a search's coverage block; a block without codes or counties can't be counted."""
+    codes, counties = [str(c) for c in coverage.get("naics") or []], coverage.get("counties") or {}
+    if not codes or not counties:
+        raise SourceError("coverage needs industry codes and counties")
+    return [
+        {"url": url.format(year=int(coverage.get("year", 2022))), "params": {"get": CENSUS_GET, "for": f"county:{','.join(map(str, some))}", "in": f"state:{state}", "NAICS2017": code, "key": key}}
+        for code in codes
+        for state, some in counties.items()
+    ]
+
+
 def osm(spark: SparkSession, spec: dict[str, Any], region: Region) -> DataFrame:
     only = region.regions[0] if len(region.regions) == 1 and len(region.regions[0]) == 2 else None
     return registries.osm(whole_files(spark, spec["path"]), only)

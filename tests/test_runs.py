@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from firmscope import __main__ as cli
 from firmscope.plans import runs
 
@@ -109,13 +111,27 @@ def test_hits_saved_awards_and_a_run_without_results(spark, tmp_path):
         (tmp_path / folder / name).mkdir(parents=True)
         (tmp_path / folder / name / "a.json").write_text("\n".join(map(json.dumps, rows)))
     (tmp_path / "pages.json").write_text(json.dumps({"url": "https://valve-works.example/", "html": "<title>Valves</title><p>family owned"}))
-    search = {**PROFILE["searches"]["pumps"], "buyers": {"years": 5}}
-    (tmp_path / "profile.json").write_text(json.dumps({"searches": {"pumps": search, "none": {**search, "include_any": ["no such word"]}}}))
+    search = {**PROFILE["searches"]["pumps"], "buyers": {"years": 5}, "coverage": {"naics": ["3329"], "counties": {"41": ["047", "039"]}}}
+    table = [["ESTAB", "EMPSZES_LABEL", "NAICS2017_LABEL", "NAICS2017"], ["12", "All establishments", "Valves", "3329"], ["5", "Establishments with less than 5 employees", "Valves", "3329"], ["9", "All establishments", "Other", "9999"]]
+    (tmp_path / "census" / "pumps").mkdir(parents=True)
+    (tmp_path / "census" / "pumps" / "a.json").write_text(json.dumps(table))
+    (tmp_path / "profile.json").write_text(json.dumps({"searches": {"pumps": search, "none": {**search, "include_any": ["no such word"], "coverage": {}}}}))
     base = ["--profile", str(tmp_path / "profile.json"), "--records", str(tmp_path / "records"), "--root", str(tmp_path / "out"), "--date", "2025-01-01"]
-    assert cli.main([*base, "--hits", str(tmp_path / "hits"), "--pages", str(tmp_path / "pages.json"), "--purchases", str(tmp_path / "buys")]) == 0
+    assert cli.main([*base, "--hits", str(tmp_path / "hits"), "--pages", str(tmp_path / "pages.json"), "--purchases", str(tmp_path / "buys"), "--census", str(tmp_path / "census")]) == 0
     text = (tmp_path / "out" / "reports" / "2025-01-01.md").read_text()
+    assert "listed against 12 establishments in 3329 (2022, 2 counties)" in text and "5 of them have under 20 employees" in text
     assert "4 records → 4 companies → 4 passed filters" in text and "4 records → 4 companies → 0 passed filters" in text and "Navy: $10 over 1 purchases" in text.replace("$9.50", "$10").replace("$9", "$10")
     found = {r.record_id: r.website for r in spark.read.parquet(str(tmp_path / "out" / "pumps" / "looked_up")).collect()}
     assert found["a:1"] == "https://valve-works.example/" and found["a:2"] is None
     sold = spark.read.option("header", True).csv(str(tmp_path / "out" / "pumps" / "exports" / "2025-01-01" / "purchases"))
     assert sold.columns[:5] == ["source", "buyer", "buyer_unit", "vendor", "listed_company"] and sold.first()["listed_company"].startswith("Valve Works 1")
+
+
+def test_census_requests():
+    from firmscope.sources import registry
+
+    asked = registry.census_requests({"naics": [3329, "3331"], "counties": {"41": ["047", "039"], "53": ["011"]}, "year": 2021}, "k")
+    assert len(asked) == 4 and asked[0]["url"].endswith("/2021/cbp") and asked[0]["params"]["for"] == "county:047,039" and asked[3]["params"]["NAICS2017"] == "3331" and asked[3]["params"]["in"] == "state:53"
+    for bad in ({}, {"naics": ["1"]}, {"counties": {"1": ["2"]}}):
+        with pytest.raises(registry.SourceError):
+            registry.census_requests(bad, "k")

@@ -247,12 +247,19 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred: str = "
 
 
 def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learned from the rows that aren't held out."""
+    """doc_id, held_out, lang_pred, score; learned from the rows that aren't held out.
+
+    A text that is null, empty or without a letter is `und` with score 0. Rows with a null language teach nothing; where none
+    teach, all are `und`. Languages of equal score: the first by name. Repeated rows get the same result each; an empty table gives no row.
+    """
     model = fit(docs.filter(~in_fold(column(docs, id_col))), text_col=text_col, lang_col=lang_col, id_col=id_col)
     rows = docs.select(column(docs, id_col).alias("doc_id"), in_fold(column(docs, id_col)).alias("held_out"), column(docs, text_col).alias("text"))
     return predict(rows, model, score="score").drop("text")
 
 
 def keep_identified(docs: DataFrame, keep: float = 0.5) -> DataFrame:
-    """The rows whose language is told with at least that probability, with the input's columns."""
+    """The rows whose language is told with at least that probability, with the input's columns.
+
+    Null and empty texts and those without a letter go; repeated rows stay or go together; an empty table stays empty.
+    """
     return predict(docs, fit(docs), keep=keep)

@@ -352,7 +352,11 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    A null or empty text has no words: counts 0, null places, empty labels, score 0. Very long texts are read whole. Repeated rows give
+    repeated results; an empty table gives no row; columns other than id and text aren't looked at.
+    """
     rows = scan_licenses(docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text")))
     hits = F.col("license_hits")
     base = F.filter(hits, lambda x: x["rank"] == 0)

@@ -237,7 +237,11 @@ def judge(rows: DataFrame, name: str, lang_col: str = "lang", source_col: str =
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+
+    A null or empty text has no words and fails the base rule. Null languages and sources are groups of their own. Repeated rows
+    count and get the same verdict each, as do rows with equal statistics; an empty table gives no row.
+    """
     wanted = docs.select(column(docs, id_col).alias("doc_id"), column(docs, text_col).alias("text"), column(docs, lang_col).alias("lang"), column(docs, source_col).alias("source"))
     measured, name = with_statistics(wanted, name="q")
     rows = judge(stage(measured.drop("text"), "statistics"), name)
@@ -245,7 +249,10 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows the rules keep, with the input's columns."""
+    """The rows the rules keep, with the input's columns, whatever their names.
+
+    Null and empty texts go, as they fail the base rule; repeated rows stay or go together; an empty table stays empty.
+    """
     measured, name = with_statistics(docs)
     staged = stage(measured, "measured")
     kept = fresh(staged, "kept")

@@ -39,25 +39,37 @@ def _alone(apply):
 
 @_alone
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or are outliers of their language and source go."""
+    """Documents that fail the base rule or are outliers of their language and source go.
+
+    Null and empty texts fail the base rule; repeated rows stay or go together; null languages and sources are groups; an empty table stays empty.
+    """
     return quality.keep_good(docs)
 
 
 @_alone
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: no letter, or no language of at least even odds."""
+    """Documents whose language can't be told go: no letter (null and empty texts too), or no language of at least even odds.
+
+    Where no row names a language, nothing can be told and all go. Repeated rows stay or go together; an empty table stays empty.
+    """
     return langid.keep_identified(docs)
 
 
 @_alone
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the least doc_id."""
+    """One document of each near-duplicate group stays, the one with the least doc_id, and of repeated rows of a doc_id one.
+
+    Texts without words are linked with nothing and stay, as do rows without a doc_id; an empty table stays empty.
+    """
     return neardup.keep_one_each(docs)
 
 
 @_alone
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the Pfair schedule, so every prefix of the written table holds the target weights."""
+    """All documents in the order of the Pfair schedule, so every prefix of the written table holds the target weights until a source runs out.
+
+    A null source is a source; rows without a doc_id come first in theirs; repeated rows all stay, in any order among themselves; an empty table stays empty.
+    """
     mixed = mixing.mix_sources(docs)
     return mixed.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot", "mix_place").select(*docs.columns)
 
@@ -89,7 +101,10 @@ def in_written_order(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, s
 
 @_alone
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' ids in sequences of at most 2048, in the order of the mixture; tasks share their memory with what earlier stages left in it."""
+    """All documents' ids in sequences of at most 2048, in the order of the mixture; tasks share their memory with what earlier stages left in it.
+
+    A null or empty text is its end id alone; very long texts are cut into full windows; repeated rows are packed each; an empty table gives no pieces.
+    """
     placed, place = in_written_order(spark, docs)
     return packing.pack_documents(placed, remember=300_000, place_col=place)
 

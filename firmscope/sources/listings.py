@@ -48,31 +48,31 @@ def _plain(fragment: Column) -> Column:
 HEADER_WORDS = ["Trade Designation", "Size", "Temp", "Material", "Water", "Contact"]
 
 
-def nsf(pages: DataFrame, label: str, match: list[str] | None = None) -> DataFrame:
-    """pages: pos, url, html of certification listings. One record a facility; a record seen again adds categories and evidence."""
-    blocks = pages.select("pos", "url", F.posexplode(F.split("html", r"(?i)<hr noshade>\s*<br>\s*<table")).alias("at", "block")).filter("at > 0")
+def nsf(pages: DataFrame, label: str | Column, match: list[str] | None = None) -> DataFrame:
+    """pages: pos, url, html of certification listings; label: what they certify, one for all or by page. One record a facility; a record seen again adds categories and evidence."""
+    blocks = pages.select("pos", "url", (F.lit(label) if isinstance(label, str) else label).alias("label"), F.posexplode(F.split("html", r"(?i)<hr noshade>\s*<br>\s*<table")).alias("at", "block")).filter("at > 0")
     every = lambda c, p: F.regexp_extract_all(c, F.lit(p), F.lit(1))
     b = blocks.withColumn("name", _plain(F.regexp_extract("block", r"(?is)<font size='\+2'>(.*?)</font>", 1))).filter("name <> ''")
     head = F.when(F.contains("block", F.lit("</table>")), F.substring_index("block", "</table>", 1)).otherwise(F.col("block"))
     lines = F.filter(F.transform(every(head, r"""(?is)<td align=['"]?left['"]?[^>]*>(.*?)</td>"""), _plain), lambda t: (t != "") & (t != F.col("name")))
     csz, phone = r"^(.+?),\s*([A-Z]{2})\s+([0-9]{5})(?:-?[0-9]{4})?$", r"^\+?[0-9\s().-]{7,}$"
     b = b.withColumns({"lines": lines, "site": F.nullif(F.regexp_extract(head, r"""(?i)<a href="([^"]+)"[^>]*>\s*Visit this company""", 1), F.lit(""))})
-    town = F.element_at(F.filter("lines", lambda t: t.rlike(csz)), -1)
+    town = F.try_element_at(F.filter("lines", lambda t: t.rlike(csz)), F.lit(-1))
     before = F.when(F.exists("lines", lambda t: t.rlike(csz)), F.slice("lines", F.lit(1), F.array_position("lines", F.get(F.filter("lines", lambda t: t.rlike(csz)), F.lit(0))).cast("int") - 1)).otherwise(F.col("lines"))
     street = F.get(F.filter(before, lambda t: ~t.rlike(phone) & ~t.isin("United States", "Visit this company's website")), F.lit(0))
     groups = F.transform(every(F.col("block"), r"""(?is)<font size="3">\s*<strong>(.*?)</strong>"""), _plain)
     types = F.array_sort(F.array_except(F.array_distinct(F.transform(every(F.col("block"), r"""(?is)colspan="[0-9]+">\s*(?:<br>)?\s*<font size="2">\s*<strong>(.*?)</strong>"""), _plain)), F.array(*[F.lit(w) for w in HEADER_WORDS])))
     places = F.array_sort(F.array_distinct(F.transform(every(F.col("block"), r"(?i)Facility\s*:\s*</strong>\s*([^<]+)"), _plain)))
     b = b.select(
-        "pos", "at", "url", "name", "site", street.alias("street"), F.regexp_extract(town, csz, 1).alias("city"), F.regexp_extract(town, csz, 2).alias("state"), F.regexp_extract(town, csz, 3).alias("zip"),
-        F.element_at(F.filter("lines", lambda t: t.rlike(phone)), -1).alias("phone"), groups.alias("groups"), types.alias("types"), F.posexplode_outer(places).alias("n", "facility"),
+        "pos", "at", "url", "label", "name", "site", street.alias("street"), F.regexp_extract(town, csz, 1).alias("city"), F.regexp_extract(town, csz, 2).alias("state"), F.regexp_extract(town, csz, 3).alias("zip"),
+        F.try_element_at(F.filter("lines", lambda t: t.rlike(phone)), F.lit(-1)).alias("phone"), groups.alias("groups"), types.alias("types"), F.posexplode_outer(places).alias("n", "facility"),
     )
     cut = F.regexp_extract("facility", r"^(.*), ([^,]*)$", 1), F.regexp_extract("facility", r"^(.*), ([^,]*)$", 2)
     f_city, f_state = F.coalesce(cut[0], F.lit("")), F.when(F.contains("facility", F.lit(", ")), cut[1]).otherwise(F.coalesce("facility", F.lit("")))
     same = F.coalesce((F.lower(f_city) == F.lower("city")) & (f_state == F.col("state")), F.lit(False))
     made = F.when(F.size("types") > 0, F.array_join("types", "; ")).otherwise(F.array_join("groups", "; "))
     office = F.when(~same & (F.coalesce("city", F.lit("")) != ""), F.concat(F.lit(" | Company office: "), "city", F.lit(", "), "state")).otherwise(F.lit(""))
-    seen = evidence("certification", F.concat(F.lit(label + ": plant in "), F.coalesce("facility", F.lit("unlisted location"))), F.col("url"))
+    seen = evidence("certification", F.concat("label", F.lit(": plant in "), F.coalesce("facility", F.lit("unlisted location"))), F.col("url"))
     seen = seen.withField("snippet", F.concat(F.left(F.concat(F.lit("Certified products: "), made), F.lit(300)), office))
     ident = F.concat(T.slug("name"), F.lit(":"), T.slug(F.coalesce("facility", F.lit("none"))))
     rows = b.select("pos", "at", *record(

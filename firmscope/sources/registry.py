@@ -12,8 +12,10 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from typing import Any
+from urllib.parse import urlencode
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,9 +108,35 @@ def web_search(spark: SparkSession, spec: dict[str, Any], region: Region) -> Dat
     return listings.web_search(listings.search_results(answers, spec.get("provider", "brave")), spec.get("skip_domains"), listed)
 
 
+# The certifier's programmes, their labels and parameters, and where their listings are.
+PROGRAMS = {"PwsComponents": ("NSF/ANSI/CAN 61 drinking water components", {"Standard": "061"}), "Plumbing": ("NSF plumbing system components", {})}
+LISTINGS_URL = "https://info.nsf.org/Certified/{program}/Listings.asp"
+
+
+def listing_url(program: str, state: str, base: str = LISTINGS_URL) -> str:
+    return base.format(program=program) + "?" + urlencode(PROGRAMS[program][1] | {"PlantState": state, "PlantCountry": "UNITED STATES"})
+
+
+def nsf_programs(spec: dict[str, Any], region: Region) -> list[tuple[str, str]]:
+    """(programme, state) of each listing that the profile asks for."""
+    asked = spec.get("programs") or list(PROGRAMS)
+    if not region.regions:
+        raise SourceError("certification listings need the region's states")
+    if strange := [p for p in asked if p not in PROGRAMS]:
+        raise SourceError(f"no programmes of the certifier: {', '.join(strange)}")
+    return [(p, s) for p in asked for s in region.regions]
+
+
 def nsf(spark: SparkSession, spec: dict[str, Any], region: Region) -> DataFrame:
-    pages = whole_files(spark, spec["path"]).withColumnRenamed("payload", "html")
-    return listings.nsf(pages, spec.get("label") or "Certified", spec.get("match"))
+    """Certification listings, live (each programme's in each state) or as saved pages under one label."""
+    match = spec.get("product_match") or spec.get("match")
+    if not spec.get("live"):
+        return listings.nsf(whole_files(spark, spec["path"]).withColumnRenamed("payload", "html"), spec.get("label") or "Certified", match)
+    asked = nsf_programs(spec, region)
+    requests = [{"url": listing_url(p, s, spec.get("url", LISTINGS_URL)), "kind": "page"} for p, s in asked]
+    found = web_source.usable(web_source.answers(spark, requests, agent=spec.get("agent", "firmscope"), private=bool(spec.get("private")), pace=spec.get("pace", 1)))
+    label = F.get(F.array(*[F.lit(PROGRAMS[p][0]) for p, _ in asked]), F.col("request").cast("int"))
+    return listings.nsf(found.select(F.col("request").alias("pos"), "url", F.col("payload").alias("html"), "request"), label, match)
 
 
 def first_csv_member(packages: Iterable[pa.RecordBatch], most: int = 5_000) -> Iterator[pa.RecordBatch]:
@@ -174,6 +202,10 @@ READERS: dict[str, Reader] = {
 }
 
 
+#: Signs that the driver or its context is lost, which is no source's fault.
+LOST = ("OutOfMemoryError", "SparkContext was shut down", "stopped SparkContext")
+
+
 def discovered(sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, list[tuple[str, str, int, str]]]:
     """Records of all sources and a log of (source, status, count, error).
 
@@ -186,7 +218,9 @@ def discovered(sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame |
             rows = staged(read(), "source")
             log.append((name, "ok", rows.count(), ""))
             frames.append(rows)
-        except Exception as e:  # noqa: BLE001 - any failure of a source is its own
+        except (SourceError, ValueError, KeyError, OSError, PySparkException) as e:
+            if any(sign in str(e) for sign in LOST):
+                raise
             log.append((name, "failed", 0, str(e).splitlines()[0][:160] if str(e) else type(e).__name__))
     return (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None), log
 

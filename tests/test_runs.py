@@ -135,3 +135,13 @@ def test_census_requests():
     for bad in ({}, {"naics": ["1"]}, {"counties": {"1": ["2"]}}):
         with pytest.raises(registry.SourceError):
             registry.census_requests(bad, "k")
+
+
+def test_a_lost_driver_is_no_failed_source(spark):
+    def gone():
+        raise ValueError("java.lang.OutOfMemoryError: Java heap space")
+
+    with pytest.raises(ValueError):
+        runs.discovered({"gone": gone})
+    with pytest.raises(ZeroDivisionError):  # nor is a mistake of our own
+        runs.discovered({"own": lambda: 1 / 0})

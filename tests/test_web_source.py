@@ -37,6 +37,9 @@ class Handler(BaseHTTPRequestHandler):
         elif at.path == "/npi":
             skip = int(asked["skip"])
             self._send(json.dumps({"results": (PEOPLE * 60)[skip : skip + 200]} if asked["state"] == "OR" else {"Errors": [{"description": "bad state"}]}))
+        elif at.path.startswith("/listing/"):
+            name = f"{at.path.rsplit('/', 1)[1]} {asked['PlantState']} Works"
+            self._send(f"<hr noshade> <br> <table><font size='+2'>{name}</font><td align='left'>1 Elm St</td><td align='left'>Salem, OR 97301</td></table><strong>Facility :</strong> Salem, OR<br>", "text/html")
         elif at.path == "/robots.txt":
             self._send("User-agent: *\nDisallow: /kept", "text/plain")
         elif at.path in ("/page", "/kept"):
@@ -122,3 +125,13 @@ def test_registry_live_and_saved(spark, server, tmp_path):
     assert saved(max_results=2) == ["npi:0", "npi:1", "npi:4", "npi:5"]
     with pytest.raises(registry.SourceError):
         registry.npi_requests({}, Region())
+
+
+def test_certification_listings_live(spark, server):
+    spec = {"url": f"http://127.0.0.1:{server.server_port}/listing/{{program}}", "live": True, "private": True, "pace": 0}
+    rows = {r.name: r.evidence[0] for r in registry.nsf(spark, spec, Region(regions=["OR", "WA"])).collect()}
+    assert len(rows) == 4 and {e.detail for e in rows.values()} == {"NSF/ANSI/CAN 61 drinking water components: plant in Salem, OR", "NSF plumbing system components: plant in Salem, OR"}
+    assert any("PlantState=WA&PlantCountry=UNITED+STATES" in e.url and "Standard=061" in e.url for e in rows.values())
+    for bad, region in (({"programs": ["x"]}, Region(regions=["OR"])), ({}, Region())):
+        with pytest.raises(registry.SourceError):
+            registry.nsf_programs(bad, region)

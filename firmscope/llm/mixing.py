@@ -77,30 +77,35 @@ def stretch_starts(units: DataFrame, many: int, stretch: int) -> DataFrame:
         base, rest = _done(x["u"], slot, total, zero)
         return F.struct(base.alias("base"), rest.alias("rest"), x["u"].alias("u"))
 
-    rows = rows.withColumn("at", F.transform("s", at))
-    under = F.transform("at", lambda x, i: F.when(x["rest"] > 0, F.struct(_up(total - x["rest"], x["u"]).alias("due"), (-_up(x["rest"], x["u"])).alias("free"), i.alias("i"))))
-    rows = rows.withColumn("under", F.array_sort(F.filter(under, lambda x: x.isNotNull())))
-    whole = lambda y: F.aggregate("at", zero, lambda had, x: had + F.greatest(_done(x["u"], y, total, x["rest"])[0] - F.when(x["rest"] > 0, 1).otherwise(0), zero))
-    must = lambda x, n: F.when(
-        (n + 1 == F.size("under")) | (F.get(F.col("under"), n + 1)["due"] > x["due"]), n + 1 - (x["due"] - whole(x["due"]))
-    ).otherwise(zero)
-    rows = rows.withColumn("jobs", F.transform("under", lambda x, n: F.struct(x["free"].alias("free"), x["i"].alias("i"), must(x, n).alias("must"))))
+    def under(at: Column) -> Column:
+        """The blocks under way: due and free (how far ahead its deadline is, how far back its release, negative), i; by deadline."""
+        due = F.transform(at, lambda x, i: F.when(x["rest"] > 0, F.struct(_up(total - x["rest"], x["u"]).alias("due"), (-_up(x["rest"], x["u"])).alias("free"), i.alias("i"))))
+        return F.sort_array(F.filter(due, lambda x: x.isNotNull()))
+
+    def jobs(at: Column, blocks: Column) -> Column:
+        """`must`: how many of the blocks up to this deadline have to be done before; given with the last block of a deadline."""
+        whole = lambda y: F.aggregate(at, zero, lambda had, x: had + F.greatest(_done(x["u"], y, total, x["rest"])[0] - F.when(x["rest"] > 0, 1).otherwise(0), zero))
+        last = lambda x, n: (n + 1 == F.size(blocks)) | (F.get(blocks, n + 1)["due"] > x["due"])
+        must = lambda x, n: F.when(last(x, n), n + 1 - (x["due"] - whole(x["due"]))).otherwise(zero)
+        return F.transform(blocks, lambda x, n: F.struct(x["free"].alias("free"), x["i"].alias("i"), must(x, n).alias("must")))
 
     def take(state: Column, job: Column) -> Column:
-        waiting = F.array_sort(F.concat(state["waiting"], F.array(F.struct(job["free"].alias("free"), job["i"].alias("i")))))
+        waiting = F.concat(state["waiting"], F.array(F.struct(job["free"].alias("free"), job["i"].alias("i"))))
         need = F.greatest(job["must"] - F.size(state["done"]), zero).cast("int")
-        return _bound(
-            F.struct(waiting.alias("w"), need.alias("n")),
-            lambda x: F.struct(
-                F.slice(x["w"], x["n"] + 1, F.size(x["w"])).alias("waiting"), F.concat(state["done"], F.transform(F.slice(x["w"], F.lit(1), x["n"]), lambda y: y["i"])).alias("done")
-            ),
+        some = _bound(
+            F.sort_array(waiting), lambda w: F.struct(F.slice(w, need + 1, F.size(w)).alias("waiting"), F.concat(state["done"], F.transform(F.slice(w, F.lit(1), need), lambda y: y["i"])).alias("done"))
         )
+        return F.when(need > 0, some).otherwise(F.struct(waiting.alias("waiting"), state["done"].alias("done")))  # sorted only where some are taken
 
-    number = slot - F.aggregate("at", zero, lambda had, x: had + x["base"])
     start = F.struct(F.array().cast("array<struct<free:bigint,i:int>>").alias("waiting"), F.array().cast("array<int>").alias("done"))
-    done = F.aggregate("jobs", start, take, lambda x: F.concat(x["done"], F.transform(F.slice(x["waiting"], F.lit(1), (number - F.size(x["done"])).cast("int")), lambda y: y["i"])))
-    rows = rows.withColumn("done", done)
-    return rows.select("k", "s", "total", F.transform("at", lambda x, i: F.struct(x["base"].alias("base"), x["rest"].alias("rest"), F.array_contains("done", i).cast("long").alias("ahead"))).alias("at"))
+
+    def settled(at: Column) -> Column:
+        number = slot - F.aggregate(at, zero, lambda had, x: had + x["base"])
+        rest = lambda x: F.transform(F.slice(F.sort_array(x["waiting"]), F.lit(1), (number - F.size(x["done"])).cast("int")), lambda y: y["i"])
+        done = F.aggregate(_bound(under(at), lambda blocks: jobs(at, blocks)), start, take, lambda x: F.concat(x["done"], rest(x)))
+        return _bound(done, lambda d: F.transform(at, lambda x, i: F.struct(x["base"].alias("base"), x["rest"].alias("rest"), F.array_contains(d, i).cast("long").alias("ahead"))))
+
+    return rows.select("k", "s", "total", _bound(F.transform("s", at), settled).alias("at"))
 
 
 def schedule(units: DataFrame, many: int, stretch: int = STRETCH) -> DataFrame:
@@ -132,10 +137,10 @@ def schedule(units: DataFrame, many: int, stretch: int = STRETCH) -> DataFrame:
 
     start = F.struct(F.transform("at", lambda x, i: window(i, x["ahead"])).alias("next"), F.array().cast("array<struct<i:int,had:bigint>>").alias("run"))
     run = F.aggregate(F.sequence(F.lit(0), F.lit(stretch - 1)), start, step, lambda x: x["run"])
-    slots = rows.select("k", "s", "at", F.posexplode(run).alias("n", "p"))
-    of = F.get("s", F.col("p.i"))
-    block = F.get("at", F.col("p.i"))["base"] + F.col("p.had")
-    return slots.select((F.col("k") * stretch + F.col("n")).alias("slot"), of["source"].alias("source"), of["weight"].alias("weight"), block.alias("block"), of["blocks"].alias("blocks")).where("block < blocks").drop("blocks")
+    of = lambda p: F.get("s", p["i"])
+    named = F.transform(run, lambda p: F.struct(of(p)["source"].alias("source"), of(p)["weight"].alias("weight"), (F.get("at", p["i"])["base"] + p["had"]).alias("block"), of(p)["blocks"].alias("blocks")))
+    slots = rows.select("k", F.posexplode(named).alias("n", "p")).where("p.block < p.blocks")
+    return slots.select((F.col("k") * stretch + F.col("n")).alias("slot"), "p.source", "p.weight", "p.block")
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = 16, stretch: int = STRETCH, source_col: str = "source", id_col: str = "doc_id", power: float = 0.5) -> DataFrame:

@@ -224,7 +224,7 @@ def test_mix_keeps_every_row(spark):
 
 def test_thousands_of_sources(spark):
     """All rows, one slot a block, and still less than one block off."""
-    rows = [(i, f"s{i % 2100}") for i in range(3000)]
+    rows = [(i, f"s{i % 5000}") for i in range(7000)]
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1, power=1.0).collect()
     assert {(r.doc_id, r.source) for r in got} == set(rows) and len({r.mix_slot for r in got}) == len(rows)
     counts = collections.Counter(s for _, s in rows)
@@ -232,7 +232,7 @@ def test_thousands_of_sources(spark):
     had = collections.Counter()
     for i, s in enumerate(run, 1):
         had[s] += 1
-        assert abs(had[s] - i * counts[s] / 3000) < 1
+        assert abs(had[s] - i * counts[s] / 7000) < 1
 
 
 def test_shards(spark):

@@ -6,6 +6,9 @@ rows are well defined however the files are split.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,6 +210,9 @@ def form_d(filings: DataFrame, groups: list[str], new_only: bool = True) -> Data
     f = filings.filter("cik is not null and adsh <> ''")
     if new_only:
         f = f.filter("form = 'D'")
+    telling = [max(re.findall(r"[a-z0-9]+", g.lower()) or [""], key=len) for g in groups]
+    low = F.lower("xml")  # a document without a group's longest word, and without coded letters, is of no such group: it needn't be parsed
+    f = f.filter(reduce(lambda a, w: a | F.contains(low, F.lit(w)), telling, F.contains(low, F.lit("&#"))))
     f = f.withColumn("d", F.from_xml("xml", FORM_D, {"ignoreNamespace": "true"}))
     f = f.select(
         "pos", "cik", "adsh", "file_date", at("primaryIssuer.entityName").alias("name"), at("primaryIssuer.issuerAddress.street1").alias("street"),

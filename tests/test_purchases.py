@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from firmscope.operators import buyers as B
 from firmscope.operators import purchases as P
 from firmscope.sources.listings import award_rows
 
@@ -82,3 +83,10 @@ def test_long_lists_of_domains(spark):
     assert sorted(r.k for r in D.without_listed(rows, listed).collect()) == [3, 4, 5]
     assert {(r.domain, r.entry) for r in D.listed_among(rows, listed).collect()} == {("a.b.org", "b.org"), ("b.org", "b.org"), ("x.c.net", "x.c.net")}
     assert D.without_listed(rows, listed.limit(0)).count() == 7
+
+
+def test_every_vendor_of_a_buyer_is_listed(spark):
+    rows = [("A", None if n % 3 else f"L{n:02}", f"v{n:02}", 2.0) for n in range(40) for _ in range(2)] + [("B", None, None, 1.0)]
+    df = spark.createDataFrame(rows, "label string, listed_company string, vendor string, amount double")
+    got = {r["label"]: (float(r["total"]), r["count"], r["vendors"]) for r in B.top_buyers(df).collect()}
+    assert got == {"A": (160.0, 80, sorted(f"v{n:02}" if n % 3 else f"L{n:02}" for n in range(40))), "B": (1.0, 1, [])}

@@ -90,3 +90,10 @@ def test_every_vendor_of_a_buyer_is_listed(spark):
     df = spark.createDataFrame(rows, "label string, listed_company string, vendor string, amount double")
     got = {r["label"]: (float(r["total"]), r["count"], r["vendors"]) for r in B.top_buyers(df).collect()}
     assert got == {"A": (160.0, 80, sorted(f"v{n:02}" if n % 3 else f"L{n:02}" for n in range(40))), "B": (1.0, 1, [])}
+
+
+def test_every_buyer_of_an_unlisted_vendor_is_listed(spark):
+    rows = [(f"L{n:02}", None, "v", 2.0) for n in range(30)] + [("L99", "listed", "v", 2.0), ("L1", None, None, 1.0)]
+    df = spark.createDataFrame(rows, "label string, vendor_account_id string, vendor string, amount double")
+    got = {r["vendor"]: (float(r["total"]), r["count"], r["buyers"]) for r in B.other_vendors(df).collect()}
+    assert got == {"v": (60.0, 30, [f"L{n:02}" for n in range(30)]), None: (1.0, 1, ["L1"])}

@@ -94,20 +94,32 @@ AWARDS = """struct<results:array<struct<`Recipient Name`:string,`Awarding Agency
   `Description`:string,`Start Date`:string,`Award ID`:string,generated_internal_id:string>>,page_metadata:struct<hasNext:boolean>,detail:string>"""
 
 
+#: Pages of a query whose answers are put in order together.
+PAGE_BLOCK = 64
+
+
 def award_rows(pages: DataFrame, most: int) -> DataFrame:
     """pages: purpose, qpos, page, payload. All awards that each query found, its first `most` of them, in order (nth).
 
     An answer with an error fails the plan with its words. A query's pages end with the first that says so or holds nothing.
+    Pages are taken in blocks of PAGE_BLOCK; what stands before a block comes from a table of blocks, so no task holds a query's answers.
     """
     from pyspark.sql import Window
 
     answer = F.from_json("payload", AWARDS)
     error = F.raise_error(F.concat(F.lit("the award service answered: "), answer["detail"]))
     found = F.when(F.coalesce(answer["detail"], F.lit("")) != "", error).otherwise(F.coalesce(answer["results"], F.array()))
-    per = Window.partitionBy("qpos").orderBy("page")
-    before = per.rowsBetween(Window.unboundedPreceding, -1)
-    shown = pages.select("purpose", "qpos", "page", found.alias("r"), F.coalesce(answer["page_metadata"]["hasNext"], F.lit(True)).alias("more"))
-    shown = shown.select("purpose", "qpos", "page", "r", F.coalesce(F.sum(F.size("r")).over(before), F.lit(0)).alias("start"), F.coalesce(F.min(F.col("more") & (F.size("r") > 0)).over(before), F.lit(True)).alias("on"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # a struct, so that a query or page without a number meets its like
+    block = F.struct("qpos", F.floor(F.col("page") / PAGE_BLOCK).alias("nth"))
+    shown = pages.select("purpose", "qpos", "page", found.alias("r"), F.coalesce(answer["page_metadata"]["hasNext"], F.lit(True)).alias("more"), block.alias("block"))
+    shown = shown.withColumns({"n": F.size("r"), "more": F.col("more") & (F.size("r") > 0)})
+    blocks, earlier = shown.groupBy("block").agg(F.sum("n").alias("n"), F.min("more").alias("more")), before(Window.partitionBy("block.qpos").orderBy("block.nth"))
+    starts = blocks.select("block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"), F.coalesce(F.min("more").over(earlier), F.lit(True)).alias("open"))
+    inside = before(Window.partitionBy("block").orderBy("page"))
+    shown = shown.join(starts, "block").select(
+        "purpose", "qpos", "r", (F.col("first") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("start"), (F.col("open") & F.coalesce(F.min("more").over(inside), F.lit(True))).alias("on")
+    )
     rows = shown.filter("on").select("purpose", "qpos", "start", F.posexplode("r").alias("at", "r")).withColumn("nth", F.col("start") + F.col("at") + 1).filter(F.col("nth") <= most)
     ident = F.nullif("r.generated_internal_id", F.lit(""))
     blank = lambda c, other="": F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))

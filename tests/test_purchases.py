@@ -97,3 +97,17 @@ def test_every_buyer_of_an_unlisted_vendor_is_listed(spark):
     df = spark.createDataFrame(rows, "label string, vendor_account_id string, vendor string, amount double")
     got = {r["vendor"]: (float(r["total"]), r["count"], r["buyers"]) for r in B.other_vendors(df).collect()}
     assert got == {"v": (60.0, 30, [f"L{n:02}" for n in range(30)]), None: (1.0, 1, ["L1"])}
+
+
+def test_pages_of_many_blocks_are_counted_on_and_end_once(spark):
+    """300 pages of two awards each; the second query's end with page 200, and a block's order goes on from the blocks before it."""
+    rows = [(q, n, answer({"k": f"{q}-{n}a"}, {"k": f"{q}-{n}b"}, more=(q, n) != (2, 200))) for q in (1, 2) for n in range(1, 301)]
+    pages = spark.createDataFrame(rows, "qpos int, page int, payload string").selectExpr("'market' as purpose", "*").repartition(7)
+    found = {(r.qpos, r.nth): r.key for r in award_rows(pages, 500).collect()}
+    assert found == {(q, 2 * n - 1 + k): f"{q}-{n}{'ab'[k]}" for q, last in ((1, 250), (2, 200)) for n in range(1, last + 1) for k in (0, 1)}
+
+
+def test_no_task_orders_all_answers_of_a_query(spark):
+    pages = spark.createDataFrame([("market", 0, 1, answer({"k": "x"}))], "purpose string, qpos int, page int, payload string")
+    plan = award_rows(pages, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [w for w in plan.splitlines() if "Window" in w and "[qpos" in w]

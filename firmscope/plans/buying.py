@@ -29,17 +29,21 @@ def award_queries(spark, sf_dir):
 
 
 def award_lookups(spark, sf_dir):
-    """All orders as awards. Each is found by three queries: the market (if dear), a stranger's lookup, and its own vendor's; answers come in pages."""
-    most = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey").alias("most"))
-    o = table(spark, sf_dir, "orders").crossJoin(F.broadcast(most)).withColumn("maker", F.col("o_custkey") % F.col("most") + 1)  # most is one number
+    """All orders as awards. Each is found by three queries: the market (if dear), a stranger's lookup, and its own vendor's; answers come in pages.
+
+    There are as many pages as hold about 100 of the market's awards, or a few of a lookup's, however many orders there are.
+    """
+    most = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey").alias("most")).crossJoin(table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("all_orders")))
+    o = table(spark, sf_dir, "orders").crossJoin(F.broadcast(most)).withColumn("maker", F.col("o_custkey") % F.col("most") + 1)  # most is one row of two numbers
     key = F.concat(F.lit("G"), "o_orderkey")
     item = F.struct(
         F.concat(F.lit("MAKER"), "maker", F.lit(" VALVES LLC")).alias("Recipient Name"), F.lit("Department").alias("Awarding Agency"), F.col("o_orderstatus").alias("Awarding Sub Agency"), F.col("o_totalprice").alias("Award Amount"),
         F.col("o_orderpriority").alias("Description"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Start Date"), key.alias("Award ID"), F.when(F.col("o_orderkey") % 2 > 0, key).alias("generated_internal_id"),
     )
     asked = F.filter(F.array(F.when(F.col("o_totalprice") > 200000, F.lit(0)), F.col("maker") % F.col("most") + 2, F.col("maker") + 1), lambda q: q.isNotNull())
-    found = o.select(F.explode(F.array_distinct(asked).cast("array<long>")).alias("qpos"), key.alias("k"), item.alias("i"))
-    pages = found.groupBy("qpos", F.pmod(F.xxhash64("k"), F.lit(50)).alias("page")).agg(F.sort_array(F.collect_list(F.struct("k", "i"))).alias("all"))
+    found = o.select(F.explode(F.array_distinct(asked).cast("array<long>")).alias("qpos"), "most", "all_orders", key.alias("k"), item.alias("i"))
+    of_query = F.ceil(F.col("all_orders") / F.when(F.col("qpos") == 0, F.lit(100)).otherwise(3 * (F.col("most") + 1)))
+    pages = found.groupBy("qpos", F.pmod(F.xxhash64("k"), of_query).alias("page")).agg(F.sort_array(F.collect_list(F.struct("k", "i"))).alias("all"))
     answer = F.to_json(F.struct(F.col("all.i").alias("results"), F.struct(F.lit(True).alias("hasNext")).alias("page_metadata")))
     purpose = F.when(F.col("qpos") == 0, "market").otherwise(F.concat(F.lit("s-"), F.col("qpos") - 1))
     kept = P.kept_awards(pages.select(purpose.alias("purpose"), "qpos", "page", answer.alias("payload")), _makers(spark, sf_dir), 1 << 40)

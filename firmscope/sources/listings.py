@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import web as W
 from ..operators.domains import without_listed
+from ..operators.staging import staged
 from .records import evidence, first_wins, record
 
 
@@ -113,7 +114,8 @@ def award_rows(pages: DataFrame, most: int) -> DataFrame:
     # a struct, so that a query or page without a number meets its like
     block = F.struct("qpos", F.floor(F.col("page") / PAGE_BLOCK).alias("nth"))
     shown = pages.select("purpose", "qpos", "page", found.alias("r"), F.coalesce(answer["page_metadata"]["hasNext"], F.lit(True)).alias("more"), block.alias("block"))
-    shown = shown.withColumns({"n": F.size("r"), "more": F.col("more") & (F.size("r") > 0)})
+    # the answers are parsed once: they are read again for the blocks, the awards and their vendors
+    shown = staged(shown.withColumns({"n": F.size("r"), "more": F.col("more") & (F.size("r") > 0)}), "award-pages")
     blocks, earlier = shown.groupBy("block").agg(F.sum("n").alias("n"), F.min("more").alias("more")), before(Window.partitionBy("block.qpos").orderBy("block.nth"))
     starts = blocks.select("block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"), F.coalesce(F.min("more").over(earlier), F.lit(True)).alias("open"))
     inside = before(Window.partitionBy("block").orderBy("page"))

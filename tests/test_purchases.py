@@ -111,3 +111,22 @@ def test_no_task_orders_all_answers_of_a_query(spark):
     pages = spark.createDataFrame([("market", 0, 1, answer({"k": "x"}))], "purpose string, qpos int, page int, payload string")
     plan = award_rows(pages, 100)._jdf.queryExecution().optimizedPlan().toString()
     assert not [w for w in plan.splitlines() if "Window" in w and "[qpos" in w]
+
+
+def test_generic_companies_meet_only_vendors_of_just_their_words(spark):
+    """Companies of the same generic words count once, and their join doesn't bring every vendor with such a word together with them."""
+    companies = spark.createDataFrame([(f"c{n}", "Valve Company", n) for n in range(300)] + [("s", "Sloan Valve", 300), ("t", "Valve Sloan Inc", 299)], "account_id string, name string, pos long")
+    vendors = spark.createDataFrame([(f"MAKER{n} VALVES",) for n in range(300)] + [("VALVES LLC",), ("SLOAN VALVE WORKS",)], "vendor string")
+    matched = B.match_vendors(vendors, companies)
+    assert sorted(map(tuple, matched.collect())) == [("SLOAN VALVE WORKS", "t"), ("VALVES LLC", "c0")]
+
+
+def test_pages_of_award_lookups_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    from firmscope.plans import buying
+
+    spark.range(20_000).selectExpr("id as o_orderkey", "id % 700 as o_custkey", "'O' as o_orderstatus", "300000D as o_totalprice", "'1' as o_orderpriority", "timestamp'2024-01-01' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(40).selectExpr("id as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    seen, kept = [], P.kept_awards
+    monkeypatch.setattr(P, "kept_awards", lambda pages, *rest: seen.append(pages) or kept(pages, *rest))
+    assert buying.award_lookups(spark, str(tmp_path)).count() == 20_000
+    assert seen[0].selectExpr("max(length(payload))").first()[0] < 60_000

@@ -28,7 +28,9 @@ def find_websites(records: DataFrame, hits: DataFrame, skip: list[str] | None =
     hyphens) or title contains a telling word of the name; directories are passed over. A wrong site is worse than none.
     """
     bare = records.filter(F.coalesce("website", F.lit("")) == "").select("record_id", T.distinctive_tokens("name").alias("tokens"))
-    top = hits.filter(F.col("pos") < HITS).withColumn("domain", W.domain_of("url")).filter(F.col("domain").isNotNull() & ~W.is_skipped("domain", skip))
+    # the host is worked out once a hit, though the list of directories names it many times; the hits are dealt anew, for they may lie in few files
+    own = lambda d: F.when(d.isNotNull() & ~W.is_skipped(d, skip), d)
+    top = hits.filter(F.col("pos") < HITS).repartition("record_id").withColumn("domain", F.explode(F.filter(F.transform(F.array(W.domain_of("url")), own), lambda d: d.isNotNull())))
     blob = F.concat(F.replace("domain", F.lit("-"), F.lit("")), F.lit(" "), F.lower(F.coalesce("title", F.lit(""))))
     met = top.join(bare, "record_id").filter(F.exists("tokens", lambda t: F.contains(blob, t)))
     found = met.groupBy("record_id").agg(F.min_by(F.concat(F.lit("https://"), "domain", F.lit("/")), "pos").alias("found"))

@@ -16,7 +16,11 @@ Two passes look at all candidates without listing the pairs of a group:
 2. Buckets that still hold more than one component. Of their members those of the bucket's
    largest component are compared with the others, and the others among themselves, never
    the largest component's among themselves; again in blocks, any two of which meet in a
-   row of their own.
+   row of their own. These blocks hold no texts but signatures and odd sketches. A pair is
+   looked at in the first bucket it shares; what isn't given up is settled by its sketches
+   where they prove that it has no link, which leaves hardly more than links. Only the
+   documents of pairs left between two components go on to be confirmed, each once for the
+   two, so texts aren't dealt by the pairs that merely share buckets.
 
 Any two representatives that share a bucket have then been compared or are in one
 component: no link between unconnected documents is left out, and no cap is set.
@@ -46,6 +50,12 @@ BATCH = 45
 EARLY = 9
 #: Members and word runs that a block holds, about.
 BLOCK, BLOCK_RUNS = 64, 1 << 17
+#: Blocks without texts hold so many times more.
+WIDER = 16
+#: Places of an odd sketch for each word run, at least.
+SKETCH_PLACES = 8
+#: Where the number of its band begins in a bucket.
+BAND_AT = 54
 THRESHOLD = (85, 100)
 MISS = 1e-7
 #: A corpus stage links from 0.8 on. 52 bands of 6 places, all but 3 of the signature's, miss a pair at 0.8 with a chance of 1.4e-7.
@@ -124,6 +134,27 @@ def signature(hashes: np.ndarray) -> bytes:
     return (_mixed(least.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
+def odd_sketch(hashes: np.ndarray) -> bytes:
+    """Of each of so many places (a power of two), whether an odd number of the hashes fall on it.
+
+    Common hashes of two sets cancel each other out: places that differ are no more than hashes that only one of the sets has.
+    """
+    places = 1 << max(6, (SKETCH_PLACES * len(hashes) - 1).bit_length())
+    counts = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits(counts.astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def odd_places(x: tuple[int, int], y: tuple[int, int]) -> int:
+    """How many places of two sketches (their bits and number of places) differ; the longer one is folded first."""
+    if x[1] < y[1]:
+        x, y = y, x
+    bits, places = x
+    while places > y[1]:
+        places //= 2
+        bits = (bits >> places) ^ (bits & ((1 << places) - 1))
+    return (bits ^ y[0]).bit_count()
+
+
 @lru_cache(maxsize=8)
 def fewest_matches(threshold: float, miss: float, places: int = PLACES, batch: int = BATCH) -> tuple[int, ...]:
     """For each number of places compared so far (batch, 2 * batch, ..), the matches below which a pair is given up.
@@ -174,26 +205,34 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return wanted.mapInArrow(run, "doc_id long, n_shingles long, words_hash binary, signature binary")
 
 
+def buckets_of(signs: np.ndarray, bands: tuple[int, int], numbers: range) -> np.ndarray:
+    """Signatures (one a row) to their buckets in these bands: the band's number, then a hash of its places."""
+    rows, n = bands[1], len(signs)
+    signs = signs[:, numbers.start * rows : numbers.stop * rows].reshape(n, len(numbers), rows).astype(np.uint64)
+    own = np.array(numbers, np.uint64)
+    bucket = np.broadcast_to(own + np.uint64(1), (n, len(numbers))).copy()
+    for k in range(rows):
+        bucket = _mixed(bucket ^ signs[:, :, k])
+    return ((bucket >> np.uint64(64 - BAND_AT)) | (own << np.uint64(BAND_AT))).view(np.int64)
+
+
 def in_buckets(reps: DataFrame, bands: tuple[int, int], which: slice) -> DataFrame:
-    """(doc_id, also, signature) to one row for each of some bands: bucket, doc_id, also."""
-    rows = bands[1]
+    """Rows with a signature, and longs that go along, to one row for each of some bands: bucket and the longs."""
     numbers = range(*which.indices(bands[0]))
-    schema = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("also", pa.int64())])
+    along = [c for c in reps.columns if c != "signature"]
+    schema = pa.schema([(c, pa.int64()) for c in ["bucket", *along]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n or not len(numbers):
                 continue
-            signs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, PLACES)
-            signs = signs[:, numbers.start * rows : numbers.stop * rows].reshape(n, len(numbers), rows).astype(np.uint64)
-            bucket = np.broadcast_to(np.array(numbers, np.uint64) + np.uint64(1), (n, len(numbers))).copy()
-            for k in range(rows):
-                bucket = _mixed(bucket ^ signs[:, :, k])
-            ids = [np.repeat(batch.column(c).to_numpy(), len(numbers)) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64).ravel()), pa.array(ids[0]), pa.array(ids[1])], schema=schema)
+            signs = np.frombuffer(b"".join(batch.column(len(along)).to_pylist()), np.uint8).reshape(n, PLACES)
+            bucket = buckets_of(signs, bands, numbers)
+            longs = [np.repeat(batch.column(c).to_numpy(), len(numbers)) for c in range(len(along))]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), *map(pa.array, longs)], schema=schema)
 
-    return reps.mapInArrow(run, "bucket long, doc_id long, also long")
+    return reps.select(*along, "signature").mapInArrow(run, ", ".join(f"{c} long" for c in ["bucket", *along]))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -291,9 +330,52 @@ def _compare(percent: tuple[int, int], miss: float, bands: tuple[int, int]):
     return run
 
 
-def _blocks(n: str, runs: str) -> F.Column:
+def _pairs_left(percent: tuple[int, int], miss: float, bands: tuple[int, int]):
+    """Blocks of a bucket (lists of doc_id, label, n_shingles, signature and sketch, as for links) to pairs of two labels that may be linked."""
+    num, den = percent
+    schema = pa.schema([(f"{c}_{side}", pa.int64()) for side in "ab" for c in ("doc_id", "label", "n_shingles")])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from _pairs(batch.column(0)[k].as_py(), [batch.column(c)[k].values for c in (1, 2)])
+
+    def _pairs(bucket: int, sides: list[pa.StructArray]) -> Iterator[pa.RecordBatch]:
+        signs = [np.frombuffer(b"".join(x.field("signature").to_pylist()), np.uint8).reshape(-1, PLACES) for x in sides]
+        right = 1 if len(sides[1]) else 0
+        i, j = np.array(_likely(signs[0], signs[1] if right else None, num / den, miss, bands), np.int64).reshape(-1, 2).T
+        ids, labels, sizes = [[x.field(c).to_numpy() for x in (sides[0], sides[right])] for c in ("doc_id", "label", "n_shingles")]
+        n, m = sizes[0][i], sizes[1][j]
+        may = (labels[0][i] != labels[1][j]) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
+        i, j, both = i[may], j[may], (n + m)[may]
+        if not len(i):
+            return
+        # a pair meets in each bucket that it shares, and is looked at in the first
+        buckets = [buckets_of(x, bands, range(bands[0])) for x in (signs[0], signs[right])]
+        first = np.concatenate([(buckets[0][i[at : at + 4096]] == buckets[1][j[at : at + 4096]]).argmax(axis=1) for at in range(0, len(i), 4096)])
+        i, j, both = (x[first == bucket >> BAND_AT] for x in (i, j, both))
+        sketches = [[(int.from_bytes(b, "little"), 8 * len(b)) for b in x.field("sketch").to_pylist()] for x in (sides[0], sides[right])]
+        # den * intersection >= num * union, in terms of the sizes' sum and the runs that only one of both has
+        may = [(den + num) * odd_places(sketches[0][x], sketches[1][y]) <= (den - num) * z for x, y, z in zip(i.tolist(), j.tolist(), both.tolist(), strict=True)]
+        i, j = i[may], j[may]
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(c[side][at]) for side, at in ((0, i), (1, j)) for c in (ids, labels, sizes)], schema=schema)
+
+    return run
+
+
+def pairs_left(placed: DataFrame, chosen: DataFrame, percent: tuple[int, int], miss: float, bands: tuple[int, int]) -> DataFrame:
+    """Members dealt to blocks of buckets to pairs that the signatures and sketches leave open; chosen: doc_id, signature, sketch."""
+    member = F.struct("doc_id", "label", "n_shingles", "signature", "sketch")
+    rows = placed.join(chosen.select("doc_id", "signature", "sketch"), "doc_id")
+    one, two = F.collect_list(F.when(~F.col("second"), member)), F.collect_list(F.when(F.col("second"), member))
+    blocks = rows.groupBy("bucket", "part", "with").agg(one.alias("one"), two.alias("two")).select("bucket", "one", "two")
+    return blocks.mapInArrow(_pairs_left(percent, miss, bands), ", ".join(f"{c}_{side} long" for side in "ab" for c in ("doc_id", "label", "n_shingles")))
+
+
+def _blocks(n: str, runs: str, times: int = 1) -> F.Column:
     """How many blocks so many members with so many word runs make."""
-    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(runs) / BLOCK_RUNS, F.lit(1))).cast("int")
+    return F.ceil(F.greatest(F.col(n) / (times * BLOCK), F.col(runs) / (times * BLOCK_RUNS), F.lit(1))).cast("int")
 
 
 def _part(parts: str) -> F.Column:
@@ -317,32 +399,49 @@ def star_blocks(stars: DataFrame) -> DataFrame:
     return members.union(centres).select("star", "part", "doc_id", F.col("doc_id").alias("label"), F.lit(False).alias("second"))
 
 
-def open_blocks(labelled: DataFrame, bands: tuple[int, int]) -> DataFrame:
-    """(doc_id, label, n_shingles, signature) to blocks of the buckets that hold more than one label.
+def open_members(labelled: DataFrame, bands: tuple[int, int]) -> DataFrame:
+    """(doc_id, label, n_shingles, signature) to the members of the buckets that hold more than one label: bucket, doc_id, label, n_shingles.
 
-    home: the bucket's most frequent label. Others are compared with others (block `with` others) and with
-    the home label's members (block `with` theirs, numbered from -1 down). Buckets with the same members are looked at once.
+    Of buckets with the same members only the first band's is left.
     """
-    banded = stage(in_buckets(labelled.select("doc_id", F.col("label").alias("also"), "signature"), bands, slice(None)), "buckets").withColumnRenamed("also", "label")
+    banded = stage(in_buckets(labelled.select("doc_id", "label", "n_shingles", "signature"), bands, slice(None)), "buckets")
     same = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))) for k in (0, 1)]
     open_ = banded.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), *[s.alias(f"s{k}") for k, s in enumerate(same)], F.count(F.lit(1)).alias("n"))
     open_ = open_.filter("low <> high").groupBy("s0", "s1", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = stage(banded.join(open_, "bucket").join(labelled.select("doc_id", "n_shingles"), "doc_id"), "open-buckets")
-    by_label = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("runs"))
-    home = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).getField("label").alias("home"))
+    return stage(banded.join(open_, "bucket"), "open-buckets")
+
+
+def open_blocks(members: DataFrame, key: list[str], times: int = 1) -> DataFrame:
+    """Members (key, doc_id, label, n_shingles) of groups of more than one label to blocks any two of which, of different labels, meet.
+
+    home: the group's most frequent label. Others are compared with others (block `with` others) and with
+    the home label's members (block `with` theirs, numbered from -1 down).
+    """
+    by_label = members.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("runs"))
+    home = by_label.groupBy(*key).agg(F.max(F.struct("n", "label")).getField("label").alias("home"))
     mine = F.col("label") == F.col("home")
-    parts = by_label.join(home, "bucket").groupBy("bucket").agg(
-        F.max("home").alias("home"), *[F.sum(F.when(own, F.col(c))).alias(f"{c}_{kind}") for kind, own in (("home", mine), ("other", ~mine)) for c in ("n", "runs")]
+    parts = by_label.join(home, key).groupBy(*key).agg(
+        F.max("home").alias("home"),
+        F.count(F.lit(1)).alias("labels"),
+        *[F.sum(F.when(own, F.col(c))).alias(f"{c}_{kind}") for kind, own in (("home", mine), ("other", ~mine)) for c in ("n", "runs")],
     )
-    parts = parts.select("bucket", "home", _blocks("n_home", "runs_home").alias("homes"), _blocks("n_other", "runs_other").alias("others"))
-    dealt = members.join(parts, "bucket").withColumn("part", F.when(mine, _part("homes")).otherwise(_part("others")))
+    parts = parts.select(*key, "home", "labels", _blocks("n_home", "runs_home", times).alias("homes"), _blocks("n_other", "runs_other", times).alias("others"))
+    dealt = members.join(parts, key).withColumn("part", F.when(mine, _part("homes")).otherwise(_part("others")))
     others = F.sequence(F.lit(0), F.col("others") - 1)
     # a block of home members meets each block of others; a block of others meets those, itself and each other one
     with_home = lambda o, h: F.struct(o.alias("part"), (-1 - h).alias("with"), mine.alias("second"))
     met_home = F.when(mine, F.transform(others, lambda o: with_home(o, F.col("part")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda h: with_home(F.col("part"), h)))
     met_other = F.transform(others, lambda o: F.struct(F.least(o, F.col("part")).alias("part"), F.greatest(o, F.col("part")).alias("with"), (F.col("part") > o).alias("second")))
-    rows = dealt.select("bucket", "doc_id", "label", F.explode(F.when(mine, met_home).otherwise(F.concat(met_home, met_other))).alias("at"))
-    return rows.select("bucket", "at.*", "doc_id", "label")
+    met = F.when(mine | (F.col("labels") == 2), met_home).otherwise(F.concat(met_home, met_other))  # others of one label are one component
+    rows = dealt.select(*key, "doc_id", "label", "n_shingles", F.explode(met).alias("at"))
+    return rows.select(*key, "at.*", "doc_id", "label", "n_shingles")
+
+
+def between_labels(pairs: DataFrame) -> DataFrame:
+    """Pairs left to the documents they name, once for each two labels: low, high, doc_id, label, n_shingles."""
+    low, high = F.least("label_a", "label_b").alias("low"), F.greatest("label_a", "label_b").alias("high")
+    sides = [pairs.select(low, high, *[F.col(f"{c}_{side}").alias(c) for c in ("doc_id", "label", "n_shingles")]) for side in "ab"]
+    return stage(sides[0].union(sides[1]).distinct(), "open-documents")
 
 
 def candidates(reps: DataFrame, bands: tuple[int, int]) -> DataFrame:
@@ -351,7 +450,7 @@ def candidates(reps: DataFrame, bands: tuple[int, int]) -> DataFrame:
     The first EARLY bands find most; of the others only representatives that those leave alone take part, so what is
     joined stays in proportion to the members of a large group, not to them times all bands.
     """
-    plain = reps.select("doc_id", F.lit(0).cast("long").alias("also"), "signature")
+    plain = reps.select("doc_id", "signature")
     ends = in_buckets(plain, bands, slice(None)).groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     ends = stage(ends.filter("first <> last").select("bucket", "first"), "shared-buckets")
 
@@ -388,7 +487,9 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = stage(links_of(star_blocks(stars), chosen, ["star", "part"], percent, miss, bands), "star-links")
     label = components(links).withColumnRenamed("group", "label")
     labelled = chosen.join(label, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "n_shingles", "signature")
-    more = stage(links_of(open_blocks(labelled, bands), chosen, ["bucket", "part", "with"], percent, miss, bands), "open-links")
+    wide = open_blocks(open_members(labelled, bands), ["bucket"], WIDER)
+    asked = open_blocks(between_labels(pairs_left(wide, chosen, percent, miss, bands)), ["low", "high"])
+    more = stage(links_of(asked, chosen, ["low", "high", "part", "with"], percent, miss, bands), "open-links")
     groups = components(links.union(more))
     rows = described.select("doc_id", "n_shingles", "words_hash").join(owners.select("words_hash", "rep"), "words_hash", "left")
     out = rows.join(groups.select(F.col("doc_id").alias("rep"), "group"), "rep", "left")
@@ -397,7 +498,7 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _with_texts(shared: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidates with what they are compared by: doc_id, star, n_shingles, signature, text.
+    """Candidates with what they are compared by: doc_id, star, n_shingles, signature, text, sketch.
 
     A row of texts that repeats a doc_id with other words than the representative's isn't meant; one with the same words, whatever its case and spaces, stands for all.
     """
@@ -406,13 +507,14 @@ def _with_texts(shared: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFra
     def meant(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, some in in_portions(batch.column(1)):
-                keys = pa.array([key for _, _, key in hashed(some)], pa.binary())
+                keys, sketches = zip(*[(key, odd_sketch(hashes)) for _, hashes, key in hashed(some)], strict=True)
                 part = batch.slice(first, len(some))
-                yield part.select([0, 1, 3, 4, 5]).filter(pc.equal(keys, part.column(2)))
+                own = part.select([0, 1, 3, 4, 5]).append_column("sketch", pa.array(sketches, pa.binary()))
+                yield own.filter(pc.equal(pa.array(keys, pa.binary()), part.column(2)))
 
     rows = texts.join(described, "doc_id").select("doc_id", "text", "words_hash", "star", "n_shingles", "signature")
-    once = rows.mapInArrow(meant, "doc_id long, text string, star long, n_shingles long, signature binary")
-    return once.groupBy("doc_id", "signature").agg(F.min("star").alias("star"), F.min("n_shingles").alias("n_shingles"), F.min("text").alias("text"))
+    once = rows.mapInArrow(meant, "doc_id long, text string, star long, n_shingles long, signature binary, sketch binary")
+    return once.groupBy("doc_id", "signature").agg(*[F.min(c).alias(c) for c in ("star", "n_shingles", "text", "sketch")])
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:

@@ -330,6 +330,42 @@ def test_near_duplicates(spark, monkeypatch, block, early):
     assert got == {i: (n, g, g == i) for i, (n, g) in enumerate(want)}
 
 
+def test_unlinked_near_copies(spark, monkeypatch):
+    """Of near copies that share buckets and aren't linked, texts are dealt in proportion to the documents, not to the pairs."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    dealt, links_of = [], neardup.links_of
+
+    def counted(placed, *rest):
+        dealt.append(placed.count())
+        return links_of(placed, *rest)
+
+    monkeypatch.setattr(neardup, "links_of", counted)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(150)], []
+    for _ in range(120):
+        t = list(base)
+        for at in r.sample(range(150), r.choice([1, 2, 2, 3])):
+            t[at] = word()
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.linked_groups(df).collect()}
+    assert got == dict(enumerate(groups_of(texts)))
+    assert sum(dealt) <= 10 * len(texts)  # 816; by buckets and blocks it was 28,689
+
+
+def test_odd_sketches_never_exceed_the_difference():
+    r = np.random.default_rng(3)
+    for n in (1, 5, 8, 9, 60, 1000):
+        one = r.integers(0, 1 << 63, n).astype(np.uint64)
+        for lost in sorted({0, 1, n // 9, n}):
+            for more in (0, 1, n // 8 + 1):
+                other = np.concatenate([one[lost:], r.integers(0, 1 << 63, more).astype(np.uint64)])
+                if len(other):
+                    x, y = [(int.from_bytes(b, "little"), 8 * len(b)) for b in map(neardup.odd_sketch, (one, other))]
+                    assert neardup.odd_places(x, y) == neardup.odd_places(y, x) <= lost + more
+
+
 def test_equal_hashes_do_not_link(spark):
     """Words whose polynomial hashes modulo a power of two are equal are different words."""
     one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))

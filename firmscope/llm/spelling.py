@@ -70,7 +70,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     keys = [F.struct(F.lit(2 * j + side).alias("which"), F.xxhash64(F.lit(2 * j + side), F.col("code").bitwiseAND(F.lit(m)), end).alias("key")) for j, m in enumerate(masks) for side, end in enumerate(ends)]
     rows = coded.select("word", "n", "code", F.explode(F.array(*keys)).alias("k")).select("word", "n", "code", "k.which", "k.key")
     a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.which") == F.col("b.which")) & (F.col("a.word") < F.col("b.word")))
+    # Spark sizes the rows from the words' files, without their thirty keys each: unhinted, it would broadcast them all
+    pairs = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.which") == F.col("b.which")) & (F.col("a.word") < F.col("b.word")))
     apart = F.col("a.code").bitwiseXOR(F.col("b.code"))
     first = F.lit(None)
     for j, m in reversed(list(enumerate(masks))):
@@ -82,12 +83,15 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
 
 def _roots(forms: DataFrame, largest: int, times: int) -> DataFrame:
-    """word and root of words that have a form, by pointer doubling; each step's form is `times` as frequent, which bounds the steps."""
+    """word and root of words that have a form, by pointer doubling; each step's form is `times` as frequent, which bounds the steps.
+
+    Roots repeat, so their files are a tenth of the rows or less: joins with them are merged by hint, as Spark would broadcast them by the files' size.
+    """
     depth = max(1, math.ceil(math.log(max(largest, times), times)))
     found = stage(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     for _ in range(math.ceil(math.log2(depth + 1))):
         up = found.select(F.col("word").alias("up_word"), F.col("root").alias("up_root"))
-        found = stage(found.join(up, F.col("root") == F.col("up_word"), "left").select("word", F.coalesce("up_root", "root").alias("root")), "spelling-roots")
+        found = stage(found.join(up.hint("merge"), F.col("root") == F.col("up_word"), "left").select("word", F.coalesce("up_root", "root").alias("root")), "spelling-roots")
     return found
 
 
@@ -106,4 +110,4 @@ def variant_report(docs: DataFrame, times: int = 5) -> DataFrame:
     rows = stage(rows.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(has, F.col("best.form")).alias("form"), F.when(has, -F.col("best.less")).alias("form_n")), "spelling-forms")
     largest = rows.agg(F.max("n")).first()[0] or 1
     roots = _roots(rows.where(F.col("form").isNotNull()), largest, times)
-    return rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -206,6 +206,26 @@ def test_no_near_pair_is_missed(spark):
     assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == pairs
 
 
+def test_no_table_of_words_is_broadcast(spark, capsys, monkeypatch):
+    """Spark sizes a join's tables by their files, and words with all their keys, or with a root, are far larger than those."""
+
+    def plan(df):
+        capsys.readouterr()
+        df.explain()
+        return capsys.readouterr().out
+
+    def noted(df, name):
+        plans.append((name, plan(df)))
+        return stage(df, name)
+
+    plans, stage = [], spelling.stage
+    monkeypatch.setattr(spelling, "stage", noted)
+    report = spelling.variant_report(spark.createDataFrame(spelled_corpus(), "doc_id long, text string"))
+    words = stage(spark.createDataFrame([("abcdef", 5), ("abcdeg", 6)], "word string, n long"), "spelling-words")
+    joins = [p for name, p in plans if name == "spelling-roots"][1:] + [plan(report), plan(spelling.near_pairs(words))]
+    assert len(joins) > 3 and all("SortMergeJoin" in p and "Broadcast" not in p for p in joins)
+
+
 # ---------------------------------------------------------------- pieces
 
 MODEL = "piece_bpe_32k.model"
